@@ -24,6 +24,8 @@ from cliplane.llm.common import lists, quoted, scan_text
 
 LANG_ROWS = 400
 TRAIN_BYTES = 30000
+#: Texts of the sample that the driver looks at together, for the sake of its memory.
+TRAIN_SLICE = 50
 PENALTY = 6.0
 BUCKETS = 1 << 15
 NGRAMS = (2, 3, 4)
@@ -117,10 +119,12 @@ class Model:
         count = np.zeros((len(names), BUCKETS))
         used = np.zeros((len(names), len(SCRIPTS)))
         for k, name in enumerate(names):
-            words = Words(pa.array([t for t, g in zip(texts, langs, strict=True) if g == name], pa.string()))
-            b, keep = words.grams()
-            count[k] = np.bincount(b[keep], minlength=BUCKETS)
-            used[k] = np.bincount(words.script, minlength=len(SCRIPTS))
+            own = [t for t, g in zip(texts, langs, strict=True) if g == name]
+            for i in range(0, len(own), TRAIN_SLICE):
+                words = Words(pa.array(own[i : i + TRAIN_SLICE], pa.string()))
+                b, keep = words.grams()
+                count[k] += np.bincount(b[keep], minlength=BUCKETS)
+                used[k] += np.bincount(words.script, minlength=len(SCRIPTS))
         share = (count + 0.5) / (count.sum(1, keepdims=True) + 0.5 * BUCKETS)
         weights = (np.log(share) - np.log(share.mean(0, keepdims=True))).T if names else np.zeros((BUCKETS, 0))
         return cls(names, weights, used >= 0.02 * np.maximum(used.sum(1, keepdims=True), 1))

@@ -22,6 +22,8 @@ from cliplane.llm.common import quoted, scan_text
 SAMPLE_ROWS = 6000
 #: Longer texts aren't fitted on; every text is scored whole.
 TRAIN_BYTES = 20000
+#: Texts of the sample that the driver looks at together, for the sake of its memory.
+TRAIN_SLICE = 100
 THRESHOLD = 0.3
 #: A word joins the lexicon if so many different toxic texts of the sample have it, and so many times the share of clean ones.
 LEARN_ROWS, LEARN_TIMES = 5, 12
@@ -107,16 +109,22 @@ class Lexicon:
 def learn(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     """Words of toxic texts that clean ones hardly have; equal texts count once."""
     rows = dict(zip(texts, toxic.tolist(), strict=True))
-    raw, off = tk.flat(pa.array(list(rows), pa.string()))
-    bad = np.array(list(rows.values())) > 0
-    starts, ends, first = tk.spans(raw, off, _LETTER)
-    words, code = np.unique(tk.hashes(tk.LOWER[raw], starts, ends), return_inverse=True)
-    pair = np.unique(np.repeat(np.arange(len(rows)), np.diff(first)) * max(1, len(words)) + code)
-    doc, code = pair // max(1, len(words)), pair % max(1, len(words))
-    in_bad = np.bincount(code[bad[doc]], minlength=len(words))
-    in_good = np.bincount(code[~bad[doc]], minlength=len(words))
+    names, bad = list(rows), np.array(list(rows.values())) > 0
+    of: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    for k in range(0, len(names), TRAIN_SLICE):
+        raw, off = tk.flat(pa.array(names[k : k + TRAIN_SLICE], pa.string()))
+        starts, ends, first = tk.spans(raw, off, _LETTER)
+        words = tk.hashes(tk.LOWER[raw], starts, ends)
+        for d in range(len(off) - 1):
+            of[bool(bad[k + d])].append(np.unique(words[first[d] : first[d + 1]]))
+    words, in_bad = np.unique(np.concatenate([np.zeros(0, np.uint64), *of[True]]), return_counts=True)
+    words, in_bad = words[in_bad >= LEARN_ROWS], in_bad[in_bad >= LEARN_ROWS]
+    in_good = np.zeros(len(words), np.int64)
+    for each in of[False]:
+        at = tk.lookup(words, each)
+        in_good[at[at >= 0]] += 1
     times = (in_bad / max(1, bad.sum())) / ((in_good + 0.5) / max(1, (~bad).sum()))
-    return words[(in_bad >= LEARN_ROWS) & (times >= LEARN_TIMES)]
+    return words[times >= LEARN_TIMES]
 
 
 class Forest:
@@ -246,7 +254,9 @@ def fit(texts: list[str], toxic: np.ndarray) -> Forest:
     apart = np.arange(len(texts)) % 4 == 1
     learned = learn([t for t, a in zip(texts, apart, strict=True) if not a], toxic[~apart])
     model = Forest(learned=learned)
-    return model.fit(Lexicon(learned).features(pa.array(texts, pa.string())), toxic, apart)
+    lexicon = Lexicon(learned)
+    x = [lexicon.features(pa.array(texts[k : k + TRAIN_SLICE], pa.string())) for k in range(0, len(texts), TRAIN_SLICE)]
+    return model.fit(np.concatenate(x), toxic, apart)
 
 
 def score(docs: DataFrame, model: Forest, text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
