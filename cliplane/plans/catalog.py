@@ -1,4 +1,469 @@
-"""The query catalogue."""
+"""The query catalogue: every query over the supplied tables, and the SQL that gives the same rows in another engine."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cliplane.functions import columns as fn
+from cliplane.operators import boxes as bx
+from cliplane.operators import guards, masks, pose, sequence
+from cliplane.sources import views as v
+from cliplane.streaming import twin
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+W, H = v.WIDTH, v.HEIGHT
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# ---------------------------------------------------------------- boxes
+
+_IOU_SQL = f"""WITH {v.BOXES_SQL}, p AS (
+  SELECT clip, frame, x1, y1, x2, y2, score, lag(x1) OVER w AS a1, lag(y1) OVER w AS b1, lag(x2) OVER w AS a2, lag(y2) OVER w AS b2, lag(score) OVER w AS s FROM boxes WINDOW w AS (PARTITION BY clip ORDER BY frame)
+), i AS (SELECT *, greatest(0e0, least(x2, a2) - greatest(x1, a1)) * greatest(0e0, least(y2, b2) - greatest(y1, b1)) AS inter FROM p),
+iou AS (SELECT clip, frame, CASE WHEN score > 0 AND s > 0 THEN inter / ((x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - inter) END AS v FROM i)"""
+
+
+@query(_IOU_SQL + " SELECT clip, frame, round(v, 6) AS box_iou_prev FROM iou")
+def box_iou_prev(spark, d):
+    return rounded(bx.iou_with_previous(v.boxes(spark, d)).select("clip", "frame", "box_iou_prev"), "box_iou_prev")
+
+
+_RUNS_SQL = """r AS (SELECT clip, min(frame) AS first, max(frame) AS last, count(*) AS n FROM (SELECT clip, frame, frame - row_number() OVER (PARTITION BY clip ORDER BY frame) AS g FROM f) GROUP BY clip, g)"""
+
+
+@query(_IOU_SQL + f", f AS (SELECT clip, frame FROM iou WHERE v < 0.3), {_RUNS_SQL} SELECT clip, sum(n)::BIGINT AS flagged, max(n) AS longest, count(*) AS runs FROM r GROUP BY clip")
+def guard_subject_switch(spark, d):
+    flags = bx.iou_with_previous(v.boxes(spark, d)).where("box_iou_prev < 0.3").select("clip", F.lit("subject_switch").alias("check"), "frame")
+    return guards.runs(flags).groupBy("clip").agg(F.sum("length").alias("flagged"), F.max("length").alias("longest"), F.count("*").alias("runs"))
+
+
+@query(_IOU_SQL + f""", f AS (SELECT clip, frame FROM iou WHERE v < 0.3), {_RUNS_SQL}
+SELECT clip, string_agg(CASE WHEN first = last THEN first::VARCHAR ELSE first || '-' || last END, ', ' ORDER BY first) AS frames, sum(n)::BIGINT AS count, max(n) AS longest FROM r GROUP BY clip""")
+def frame_ranges_text(spark, d):
+    flags = bx.iou_with_previous(v.boxes(spark, d)).where("box_iou_prev < 0.3").select("clip", "frame")
+    return guards.ranges_text(flags, ("clip",))
+
+
+@query(f"""WITH {v.BOXES_SQL}, u AS (
+  SELECT *, min(CASE WHEN score > 0 THEN x1 END) OVER w AS a, min(CASE WHEN score > 0 THEN y1 END) OVER w AS b, max(CASE WHEN score > 0 THEN x2 END) OVER w AS c, max(CASE WHEN score > 0 THEN y2 END) OVER w AS e
+  FROM boxes WINDOW w AS (PARTITION BY clip ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+SELECT clip, frame, score, persons, CASE WHEN score > 0 THEN a ELSE x1 END AS x1, CASE WHEN score > 0 THEN b ELSE y1 END AS y1, CASE WHEN score > 0 THEN c ELSE x2 END AS x2, CASE WHEN score > 0 THEN e ELSE y2 END AS y2 FROM u""")
+def box_widen(spark, d):
+    return bx.widen(v.boxes(spark, d), 3)
+
+
+@query(f"""WITH {v.BOXES_SQL}, g AS (
+  SELECT clip, frame, CASE WHEN score > 0 THEN greatest(0e0, x1 - 0.1e0 * greatest(x2 - x1, 1e0)) END AS a, CASE WHEN score > 0 THEN greatest(0e0, y1 - 0.1e0 * greatest(y2 - y1, 1e0)) END AS b,
+    CASE WHEN score > 0 THEN least(1280e0, x2 + 0.1e0 * greatest(x2 - x1, 1e0)) END AS c, CASE WHEN score > 0 THEN least(720e0, y2 + 0.1e0 * greatest(y2 - y1, 1e0)) END AS e FROM boxes)
+SELECT clip, frame, round(coalesce(min(a) OVER w, 0), 6) AS ex1, round(coalesce(min(b) OVER w, 0), 6) AS ey1, round(coalesce(max(c) OVER w, 1280), 6) AS ex2, round(coalesce(max(e) OVER w, 720), 6) AS ey2
+FROM g WINDOW w AS (PARTITION BY clip ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)""")
+def box_envelope(spark, d):
+    return rounded(bx.envelope(v.boxes(spark, d), W, H).select("clip", "frame", "ex1", "ey1", "ex2", "ey2"), "ex1", "ey1", "ex2", "ey2")
+
+
+@query(f"""WITH {v.BOXES_SQL} SELECT clip, frame, score, CASE WHEN x1 < 0.1e0 * (x2 - x1) THEN 0 ELSE x1 END AS x1, CASE WHEN y1 < 0.1e0 * (y2 - y1) THEN 0 ELSE y1 END AS y1,
+  CASE WHEN 1280 - x2 < 0.1e0 * (x2 - x1) THEN 1280 ELSE x2 END AS x2, CASE WHEN 720 - y2 < 0.1e0 * (y2 - y1) THEN 720 ELSE y2 END AS y2 FROM boxes""")
+def box_snap(spark, d):
+    return bx.snap(v.boxes(spark, d).drop("persons"), W, H)
+
+
+@query(f"""WITH {v.BOXES_SQL}, b AS (SELECT *, score <= 0 OR x2 - x1 < 10 OR y2 - y1 < 10 AS bad FROM boxes)
+SELECT clip, frame, CASE WHEN bad THEN 0 ELSE x1 END AS x1, CASE WHEN bad THEN 0 ELSE y1 END AS y1, CASE WHEN bad THEN 1280 ELSE x2 END AS x2, CASE WHEN bad THEN 720 ELSE y2 END AS y2,
+  CASE WHEN bad THEN -1 ELSE score END AS score, CASE WHEN bad THEN 0 ELSE persons END AS persons FROM b""")
+def box_fallback(spark, d):
+    return bx.fallback(v.boxes(spark, d), W, H)
+
+
+@query("""SELECT event_id, (100 + event_id % 50)::DOUBLE AS x1, 20e0 AS y1, (100 + event_id % 50 + event_id % 7)::DOUBLE AS x2, 20e0 + event_id % 5 AS y2 FROM events WHERE event_id % 7 > 0 AND event_id % 5 > 0 AND event_id % 3 < 2""")
+def box_json_parse(spark, d):
+    e = v.table(spark, d, "events")
+    a, b, c, g = F.col("event_id") % 50 + 100, F.lit(20), F.col("event_id") % 50 + 100 + F.col("event_id") % 7, F.col("event_id") % 5 + 20
+    text = F.when(F.col("event_id") % 3 == 0, F.format_string("[%d, %d, %d, %d, 9]", a, b, c, g)).when(F.col("event_id") % 3 == 1, F.format_string('{"startX": %d, "startY": %d, "endX": %d, "endY": %d}', c, g, a, b)).otherwise("no box")
+    df = e.select("event_id", bx.parse(text).alias("box")).where("box IS NOT NULL")
+    return df.select("event_id", *[F.col("box")[k].alias(n) for k, n in enumerate(bx.CORNERS)])
+
+
+@query(f"WITH {v.KP_SQL} SELECT clip, frame, count(*) AS points, min(j)::BIGINT AS first FROM kp WHERE x >= 0 AND x < 1280 AND y >= 0 AND y < 720 GROUP BY clip, frame")
+def point_in_frame(spark, d):
+    p = v.pose(spark, d).select("clip", "frame", F.posexplode("body").alias("j", "p"))
+    return p.where(bx.in_frame(F.col("p.x"), F.col("p.y"), W, H)).groupBy("clip", "frame").agg(F.count("*").alias("points"), F.min("j").cast("long").alias("first"))
+
+
+@query(f"""WITH {v.BOXES_SQL}, c AS (SELECT clip, frame // 20 AS slot, frame, (x2 - x1) * (y2 - y1) AS area, greatest(x2 - x1, y2 - y1) AS side FROM boxes WHERE score > 0),
+m AS (SELECT *, max(side) OVER (PARTITION BY clip, slot) AS top FROM c)
+SELECT clip, slot, frame FROM (SELECT *, row_number() OVER (PARTITION BY clip, slot ORDER BY area DESC, frame) AS n FROM m WHERE side >= 0.3e0 * top) WHERE n = 1""")
+def person_select(spark, d):
+    b = v.boxes(spark, d).where("score > 0").selectExpr("clip", "frame div 20 AS slot", "frame", "(x2 - x1) * (y2 - y1) AS area", "greatest(x2 - x1, y2 - y1) AS side")
+    top = b.groupBy("clip", "slot").agg(F.max("side").alias("top"))
+    return b.join(top, ["clip", "slot"]).where("side >= 0.3D * top").groupBy("clip", "slot").agg(F.min_by("frame", F.struct(-F.col("area"), "frame")).alias("frame"))
+
+
+@query()
+def nms_greedy(spark, d):
+    return bx.suppress(v.candidates(spark, d)).select("clip", "event_id", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- planning
+
+_DOWN, _UP = "greatest(5, (({0}) - 1) // 4 * 4 + 1)", "greatest(5, (({0}) + 2) // 4 * 4 + 1)"
+
+
+def _plan_sql(length: str) -> str:
+    full = _DOWN.format("frames_per_chunk")
+    return f"""WITH RECURSIVE {v.RUN_SQL}, r AS (SELECT video_id, total_frames, overlap, {full} AS c FROM req), p AS (
+  SELECT video_id, total_frames, overlap, c, 0::BIGINT AS chunk, {length.format(need="total_frames")} AS length, {length.format(need="total_frames")} AS produced FROM r
+  UNION ALL SELECT video_id, total_frames, overlap, c, chunk + 1, {length.format(need="total_frames - produced + overlap")}, produced + {length.format(need="total_frames - produced + overlap")} - overlap FROM p WHERE produced < total_frames)"""
+
+
+_FIT = f"least(c, {_UP.format('{need}')})"
+_PLANS = {"fit": _FIT, "full": "c", "min29": f"least(c, greatest({_FIT}, 29))"}
+
+
+@query(_plan_sql(_PLANS["fit"]) + " SELECT video_id, chunk, length::BIGINT AS length FROM p")
+def chunk_plan_fit(spark, d):
+    return sequence.plan_chunks(v.run_requests(spark, d), "fit").select("video_id", "chunk", "length")
+
+
+@query(_plan_sql(_PLANS["full"]) + " SELECT video_id, chunk, length::BIGINT AS length FROM p")
+def chunk_plan_full(spark, d):
+    return sequence.plan_chunks(v.run_requests(spark, d), "full").select("video_id", "chunk", "length")
+
+
+@query(_plan_sql(_PLANS["min29"]) + " SELECT video_id, chunk, length::BIGINT AS length FROM p")
+def chunk_plan_min29(spark, d):
+    return sequence.plan_chunks(v.run_requests(spark, d), "min29").select("video_id", "chunk", "length")
+
+
+@query(_plan_sql(_PLANS["fit"]) + """ SELECT video_id, max(produced)::BIGINT AS produced,
+  string_agg(length::VARCHAR, ' + ' ORDER BY chunk) || ' -> ' || max(produced) || ' produced -> ' || any_value(total_frames) || ' frames (pose ' || any_value(total_frames) || ', overlap ' || any_value(overlap) || ')' AS plan FROM p GROUP BY video_id""")
+def chunk_plan_text(spark, d):
+    return sequence.plan_text(sequence.plan_chunks(v.run_requests(spark, d), "fit"))
+
+
+@query(f"WITH {v.RUN_SQL} SELECT video_id, ({_DOWN.format('total_frames')})::BIGINT AS down, ({_UP.format('total_frames')})::BIGINT AS up, (CASE WHEN overlap <= 0 THEN 0 ELSE (overlap - 1) // 4 * 4 + 1 END)::BIGINT AS trimmed FROM req")
+def snap_grid(spark, d):
+    return v.run_requests(spark, d).select("video_id", fn.grid_down(F.col("total_frames")).cast("long").alias("down"), fn.grid_up(F.col("total_frames")).cast("long").alias("up"), fn.overlap_of_motion(F.col("overlap")).cast("long").alias("trimmed"))
+
+
+@query("SELECT v AS video, i AS out, least(i, v - 1) AS hold, CASE WHEN v = 1 THEN 0 WHEN i % (2 * v - 2) < v THEN i % (2 * v - 2) ELSE 2 * v - 2 - i % (2 * v - 2) END AS ping_pong FROM (SELECT n_nationkey::BIGINT + 1 AS v FROM nation), range(80) t(i)")
+def tail_padding(spark, d):
+    n = v.table(spark, d, "nation").select((F.col("n_nationkey").cast("long") + 1).alias("video"))
+    df = n.select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(79).cast("long"))).alias("out"))
+    return df.select("video", "out", sequence.hold_tail(F.col("out"), F.col("video")).alias("hold"), F.when(F.col("video") == 1, 0).otherwise(sequence.ping_pong_tail(F.col("out"), F.col("video"))).cast("long").alias("ping_pong"))
+
+
+@query()
+def time_grid(spark, d):
+    return sequence.time_grid(v.videos(spark, d))
+
+
+@query(f"WITH {v.VIDEO_SQL} SELECT video_id, CASE WHEN frames > 10 THEN least(200, frames - 10 ) // 4 * 4 - CASE WHEN least(200, frames - 10) % 4 = 0 THEN 3 ELSE -1 END END::BIGINT AS loaded, fps, round(frames / fps, 6) AS seconds, width, height FROM video")
+def video_info(spark, d):
+    kept = F.least(F.lit(200), F.col("frames") - 10)
+    return rounded(v.videos(spark, d).select("video_id", (F.floor((kept - 1) / 4) * 4 + 1).cast("long").alias("loaded"), "fps", (F.col("frames") / F.col("fps")).alias("seconds"), "width", "height"), "seconds")
+
+
+@query(f"""WITH {v.VIDEO_SQL}, l(label, w, h) AS (VALUES ('480p', 480, 832), ('720p', 720, 1280), ('1080p', 1080, 1920)),
+b AS (SELECT video_id, width, height, arg_min({{'label': label, 'w': w, 'h': h}}, abs(ln(w::DOUBLE / least(width, height)))) AS s FROM video, l GROUP BY ALL)
+SELECT video_id, s.label AS label, (CASE WHEN height > width THEN s.w ELSE s.h END)::BIGINT AS to_width, (CASE WHEN height > width THEN s.h ELSE s.w END)::BIGINT AS to_height FROM b""")
+def conform_size(spark, d):
+    return sequence.conform(v.videos(spark, d))
+
+
+_ASPECT = "(1280e0 / 720e0)"
+
+
+@query(f"""WITH {v.VIDEO_SQL}, s AS (SELECT *, width::DOUBLE / height > {_ASPECT} AS wide FROM video),
+t AS (SELECT video_id, width, height, CASE WHEN wide THEN round_even(height * {_ASPECT}, 0) ELSE width END::BIGINT AS w, CASE WHEN wide THEN height ELSE round_even(width / {_ASPECT}, 0) END::BIGINT AS h FROM s)
+SELECT video_id, ((width - w) // 2)::BIGINT AS x, ((height - h) // 2)::BIGINT AS y, w, h FROM t""")
+def crop_box(spark, d):
+    return sequence.crop_box(v.videos(spark, d), 1280, 720)
+
+
+@query(f"""WITH {v.VIDEO_SQL}, s AS (SELECT *, width::DOUBLE / height AS a FROM video)
+SELECT video_id, CASE WHEN a > {_ASPECT} THEN round_even((width - width * ({_ASPECT} / a)) / 2, 0) ELSE 0 END::BIGINT AS x, CASE WHEN a < {_ASPECT} THEN round_even((height - height * (a / {_ASPECT})) / 2, 0) ELSE 0 END::BIGINT AS y FROM s""")
+def center_crop(spark, d):
+    return sequence.center_crop(v.videos(spark, d), 1280, 720)
+
+
+@query(f"""WITH {v.VIDEO_SQL}, s AS (SELECT video_id, width, height, least(1280e0 / width, 720e0 / height) AS r FROM video), t AS (SELECT video_id, round_even(width * r, 0)::BIGINT AS w, round_even(height * r, 0)::BIGINT AS h FROM s)
+SELECT video_id, ((1280 - w) // 2)::BIGINT AS x, ((720 - h) // 2)::BIGINT AS y, w, h FROM t""")
+def contain_box(spark, d):
+    return sequence.contain_box(v.videos(spark, d), 1280, 720)
+
+
+# ---------------------------------------------------------------- pose
+
+_ON = "(c >= 0.5 AND x >= 0 AND x < 1280 AND y >= 0 AND y < 720)"
+_LIMBS = ", ".join(f"({a}, {b})" for a, b in pose.LIMBS)
+
+
+def _pts(*js: int) -> str:
+    """Named keypoints side by side for each frame."""
+    cols = ", ".join(f"max(CASE WHEN j = {j} THEN {c} END) AS {c}{j}" for j in js for c in "xyc")
+    return f"pt AS (SELECT clip, frame, {cols} FROM kp GROUP BY clip, frame)"
+
+
+def _dist(a: int, b: int) -> str:
+    return f"sqrt((x{a} - x{b}) * (x{a} - x{b}) + (y{a} - y{b}) * (y{a} - y{b}))"
+
+
+@query(f"""WITH {v.KP_SQL}, o AS (SELECT *, {_ON} AS on_ FROM kp), l(a, b) AS (VALUES {_LIMBS}),
+m AS (SELECT p.clip, p.frame, count(*) AS limbs FROM o p JOIN l ON p.j = l.a JOIN o q ON q.j = l.b AND q.clip = p.clip AND q.frame = p.frame WHERE p.on_ AND q.on_ GROUP BY 1, 2)
+SELECT o.clip, o.frame, round(avg(c), 6) AS pose_conf, sum(on_::INT)::BIGINT AS drawn_keypoints, coalesce(any_value(limbs), 0) AS drawn_limbs FROM o LEFT JOIN m ON o.clip = m.clip AND o.frame = m.frame GROUP BY o.clip, o.frame""")
+def drawn_counts(spark, d):
+    return rounded(pose.counts(v.pose(spark, d), W, H), "pose_conf")
+
+
+_SCALE = f"greatest(CASE WHEN c2 >= 0.5 AND c5 >= 0.5 THEN {_dist(2, 5)} ELSE 0 END, CASE WHEN c8 >= 0.5 AND c11 >= 0.5 THEN {_dist(8, 11)} ELSE 0 END, CASE WHEN c1 >= 0.5 AND c0 >= 0.5 THEN 1.5e0 * {_dist(1, 0)} ELSE 0 END, 1e0)"
+
+
+@query(f"WITH {v.KP_SQL}, {_pts(0, 1, 2, 5, 8, 11)} SELECT clip, frame, round({_SCALE}, 6) AS scale FROM pt")
+def body_scale(spark, d):
+    return rounded(v.pose(spark, d).select("clip", "frame", pose.body_scale().alias("scale")), "scale")
+
+
+@query(f"""WITH {v.KP_SQL}, {_pts(0, 1, 2, 5, 8, 11)}, s AS (SELECT clip, frame, {_SCALE} AS scale FROM pt), l(a, b) AS (VALUES {_LIMBS}),
+e AS (SELECT p.clip, p.frame, a, b, p.c >= 0.5 AS da, q.c >= 0.5 AS db, CASE WHEN p.c >= 0.5 THEN q.x ELSE p.x END AS x, CASE WHEN p.c >= 0.5 THEN q.y ELSE p.y END AS y FROM kp p JOIN l ON p.j = a JOIN kp q ON q.j = b AND q.clip = p.clip AND q.frame = p.frame)
+SELECT clip, frame, a::BIGINT AS a, b::BIGINT AS b FROM e JOIN s USING (clip, frame) WHERE da <> db AND least(x, 1279 - x, y, 719 - y) < 0.15e0 * scale""")
+def out_of_shot(spark, d):
+    return pose.out_of_shot(v.pose(spark, d), W, H)
+
+
+_TORSO = f"""WITH {v.KP_SQL}, t AS (SELECT clip, frame, j, x, y, {_ON} AS on_, lag(x) OVER w AS px, lag(y) OVER w AS py, lag({_ON}) OVER w AS pon FROM kp WHERE j IN (1, 2, 5, 8, 11) WINDOW w AS (PARTITION BY clip, j ORDER BY frame)),
+m AS (SELECT clip, frame, coalesce(max(CASE WHEN on_ AND pon THEN sqrt((x - px) * (x - px) + (y - py) * (y - py)) END), 0) AS move FROM t GROUP BY clip, frame)"""
+
+
+@query(_TORSO + " SELECT clip, frame, round(move, 6) AS torso_move FROM m")
+def torso_move(spark, d):
+    return rounded(pose.torso_move(v.pose(spark, d), W, H), "torso_move")
+
+
+def _measures(spark, d) -> DataFrame:
+    """Boxes and poses of the clips that have both, frame by frame."""
+    b = bx.iou_with_previous(v.boxes(spark, d))
+    m = pose.torso_move(v.pose(spark, d), W, H)
+    diagonal = F.hypot(F.greatest(F.col("x2") - F.col("x1"), F.lit(1.0)), F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0)))
+    return b.join(m, ["clip", "frame"]).select("clip", "frame", "box_iou_prev", (F.col("torso_move") / diagonal).alias("torso_jump"))
+
+
+_FLAGS = _IOU_SQL + _TORSO.replace("WITH ", ", ", 1) + """, q AS (SELECT iou.clip, iou.frame, v, move / sqrt(power(greatest(x2 - x1, 1), 2) + power(greatest(y2 - y1, 1), 2)) AS torso_jump FROM iou JOIN m USING (clip, frame) JOIN boxes USING (clip, frame)),
+fl AS (SELECT clip, 'pose_jump' AS "check", frame FROM q WHERE v > 0.5 AND torso_jump > 0.25e0 UNION ALL SELECT clip, 'subject_switch', frame FROM q WHERE v < 0.3)"""
+
+
+@query(_FLAGS + ' SELECT clip, "check", frame FROM fl')
+def guard_pose_flags(spark, d):
+    return guards.pose_flags(_measures(spark, d))
+
+
+@query(_FLAGS + """, r AS (SELECT clip, "check", min(frame) AS first, max(frame) AS last, count(*) AS n FROM (SELECT *, frame - row_number() OVER (PARTITION BY clip, "check" ORDER BY frame) AS g FROM fl) GROUP BY clip, "check", g),
+tx AS (SELECT clip, "check", sum(n)::BIGINT AS n, min(first) AS seen, string_agg(CASE WHEN first = last THEN first::VARCHAR ELSE first || '-' || last END, ', ' ORDER BY first) AS frames FROM r GROUP BY clip, "check")
+SELECT clip, string_agg("check" || ' x' || n || ' (frames ' || frames || ')', '; ' ORDER BY n DESC, seen, "check") AS report FROM tx GROUP BY clip""")
+def guard_report(spark, d):
+    return guards.report(guards.pose_flags(_measures(spark, d)))
+
+
+@query()
+def guard_metrics_json(spark, d):
+    return guards.metrics_json(rounded(_measures(spark, d), "box_iou_prev", "torso_jump"), ["box_iou_prev", "torso_jump"])
+
+
+@query(f"""WITH {v.KP_SQL}, k AS (SELECT *, {_ON} AS on_ FROM kp WHERE j IN (3, 4, 6, 7, 9, 10, 12, 13)),
+s AS (SELECT a.clip, a.j, a.frame, min(b.frame - a.frame) AS back FROM k a JOIN k p ON p.clip = a.clip AND p.j = a.j AND p.frame = a.frame - 1 JOIN k b ON b.clip = a.clip AND b.j = a.j AND b.frame BETWEEN a.frame + 1 AND a.frame + 3
+  WHERE a.on_ AND p.on_ AND b.on_ AND sqrt(power(a.x - p.x, 2) + power(a.y - p.y, 2)) > 0.08e0 * 720 AND sqrt(power(b.x - p.x, 2) + power(b.y - p.y, 2)) < 0.08e0 * 720 / 2 GROUP BY 1, 2, 3)
+SELECT DISTINCT clip, unnest(range(frame, frame + back)) AS frame, j::BIGINT AS keypoint FROM s""")
+def guard_pose_spike(spark, d):
+    return pose.limb_spikes(v.pose(spark, d), H, W)
+
+
+@query(f"""WITH {v.KP_SQL}, {_pts(0, 1, 2, 3, 4, 5, 6, 7, 8, 11)}, s AS (SELECT *, greatest({_dist(2, 5)}, {_dist(8, 11)}, 1.5e0 * {_dist(1, 0)}, 1e0) * 0.3e0 AS reach FROM pt)
+SELECT clip, frame, CASE WHEN c3 + c4 < c6 + c7 THEN 'right' ELSE 'left' END AS side FROM s WHERE {_dist(3, 6)} < reach AND {_dist(4, 7)} < reach AND c3 + c4 <> c6 + c7
+  AND ((c3 >= 0.5 AND c4 >= 0.5 AND (c6 >= 0.5 OR c7 >= 0.5)) OR (c6 >= 0.5 AND c7 >= 0.5 AND (c3 >= 0.5 OR c4 >= 0.5)))""")
+def arm_mirror(spark, d):
+    return pose.mirrored_arms(v.pose(spark, d))
+
+
+@query(f"""WITH {v.KP_SQL}, {_pts(3, 4, 6, 7)}, a AS (SELECT clip, frame, 'left' AS side, {_dist(6, 7)} AS n FROM pt WHERE c6 >= 0.5 AND c7 >= 0.5 UNION ALL SELECT clip, frame, 'right', {_dist(3, 4)} FROM pt WHERE c3 >= 0.5 AND c4 >= 0.5),
+m AS (SELECT *, quantile_cont(n, 0.5) OVER (PARTITION BY clip, side) AS median FROM a) SELECT clip, side, frame, round(median, 6) AS median, round(n / median, 6) AS ratio FROM m WHERE n > 1.4e0 * median""")
+def forearm_overlong(spark, d):
+    return rounded(pose.overlong_forearms(v.pose(spark, d), 1.4), "median", "ratio")
+
+
+@query(f"""WITH {v.KP_SQL}, b AS (SELECT clip, frame, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM kp WHERE j >= 1 GROUP BY clip, frame),
+s AS (SELECT clip, frame, CASE WHEN x1 - x0 < 36 THEN (x0 + x1) / 2 - 18 ELSE x0 END AS x0, CASE WHEN x1 - x0 < 36 THEN (x0 + x1) / 2 + 18 ELSE x1 END AS x1, CASE WHEN y1 - y0 < 36 THEN (y0 + y1) / 2 - 18 ELSE y0 END AS y0, CASE WHEN y1 - y0 < 36 THEN (y0 + y1) / 2 + 18 ELSE y1 END AS y1 FROM b),
+n AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM s), e AS (SELECT *, (sqrt(w * h * 1.3e0 * (w / h)) - w) / 2 AS dx, (sqrt(w * h * 1.3e0 * (h / w)) - h) / 4 AS dy FROM n)
+SELECT clip, frame, trunc(greatest(x0 - dx, 0))::BIGINT AS x1, trunc(least(x1 + dx, 1280))::BIGINT AS x2, trunc(greatest(y0 - 3 * dy, 0))::BIGINT AS y1, trunc(least(y1 + dy, 720))::BIGINT AS y2 FROM e""")
+def face_box(spark, d):
+    p = v.pose(spark, d)
+    return p.select("clip", "frame", pose.face_box(F.slice("body", 2, 19), W, H).alias("box")).select("clip", "frame", "box.*")
+
+
+@query(f"""WITH {v.BOXES_SQL} SELECT clip, frame, {", ".join(f"coalesce(quantile_cont(CASE WHEN score > 0 THEN {c} END, 0.5) OVER w, {c}) AS {c}" for c in bx.CORNERS)}
+FROM boxes WINDOW w AS (PARTITION BY clip ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+def face_smooth_median(spark, d):
+    return pose.smooth_median(v.boxes(spark, d))
+
+
+@query(f"""WITH {v.BOXES_SQL}, k AS (SELECT a.clip, a.frame, sum(exp(-0.5e0 * power((b.frame - a.frame) / 2e0, 2))) AS t, sum(exp(-0.5e0 * power((b.frame - a.frame) / 2e0, 2)) * ln(greatest(b.x2 - b.x1, 1))) AS w, sum(exp(-0.5e0 * power((b.frame - a.frame) / 2e0, 2)) * ln(greatest(b.y2 - b.y1, 1))) AS h
+  FROM boxes a JOIN boxes b ON a.clip = b.clip AND b.frame BETWEEN a.frame - 6 AND a.frame + 6 AND b.score > 0 GROUP BY 1, 2),
+s AS (SELECT b.clip, b.frame, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, exp(coalesce(k.w / k.t, ln(greatest(x2 - x1, 1)))) / 2 AS hw, exp(coalesce(k.h / k.t, ln(greatest(y2 - y1, 1)))) / 2 AS hh FROM boxes b LEFT JOIN k USING (clip, frame))
+SELECT clip, frame, round(cx - hw, 6) AS x1, round(cy - hh, 6) AS y1, round(cx + hw, 6) AS x2, round(cy + hh, 6) AS y2 FROM s""")
+def face_smooth_gauss(spark, d):
+    return rounded(pose.smooth_size(v.boxes(spark, d)), *bx.CORNERS)
+
+
+# ---------------------------------------------------------------- masks
+
+
+@query(f"WITH {v.MASK_SQL} SELECT clip, frame, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM px GROUP BY clip, frame")
+def mask_area(spark, d):
+    return masks.areas(v.mask_px(spark, d))
+
+
+@query(f"""WITH {v.MASK_SQL}, a AS (SELECT clip, frame, count(*) AS n FROM px GROUP BY 1, 2), c AS (SELECT p.clip, p.frame, count(*) AS common FROM px p JOIN px q ON q.clip = p.clip AND q.frame = p.frame - 1 AND q.x = p.x AND q.y = p.y GROUP BY 1, 2)
+SELECT a.clip, a.frame, round(coalesce(common, 0)::DOUBLE / (a.n + b.n - coalesce(common, 0)), 6) AS iou FROM a LEFT JOIN a b ON b.clip = a.clip AND b.frame = a.frame - 1 LEFT JOIN c ON c.clip = a.clip AND c.frame = a.frame""")
+def mask_iou_prev(spark, d):
+    return rounded(masks.iou_with_previous(v.mask_px(spark, d)), "iou")
+
+
+_GROWN = f"WITH {v.MASK_SQL}, g AS (SELECT DISTINCT clip, frame, x + dx AS x, y + dy AS y FROM px, range(-3, 4) a(dx), range(-3, 4) b(dy) WHERE abs(dx) + abs(dy) <= 3 AND x + dx BETWEEN 0 AND 47 AND y + dy BETWEEN 0 AND 49)"
+
+
+@query(_GROWN + """, b AS (SELECT clip, frame, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM g GROUP BY 1, 2),
+n AS (SELECT *, greatest(1, (x1 - x0) // 8) AS nx, greatest(1, (y1 - y0) // 8) AS ny FROM b), i AS (SELECT n.*, least((x - x0) // ((x1 - x0) // nx), nx - 1) AS i, least((y - y0) // ((y1 - y0) // ny), ny - 1) AS k FROM g JOIN n USING (clip, frame))
+SELECT DISTINCT clip, frame, (x0 + i * ((x1 - x0) // nx))::BIGINT AS bx0, (y0 + k * ((y1 - y0) // ny))::BIGINT AS by0, (CASE WHEN i = nx - 1 THEN x1 ELSE x0 + (i + 1) * ((x1 - x0) // nx) END)::BIGINT AS bx1, (CASE WHEN k = ny - 1 THEN y1 ELSE y0 + (k + 1) * ((y1 - y0) // ny) END)::BIGINT AS by1 FROM i""")
+def mask_final(spark, d):
+    return masks.final_blocks(v.mask_px(spark, d), 3, 8, 48, 50)
+
+
+@query(_GROWN + " SELECT clip, frame, count(*) AS area FROM g GROUP BY clip, frame")
+def mask_dilate(spark, d):
+    return masks.dilate(v.mask_px(spark, d), 3, 48, 50).groupBy("clip", "frame").agg(F.count("*").alias("area"))
+
+
+@query(f"WITH {v.MASK_SQL} SELECT clip, frame, count(*) AS area, round(avg(CASE WHEN x BETWEEN 10 AND 39 AND y BETWEEN 5 AND 44 THEN 0e0 ELSE 1e0 END), 6) AS outside FROM px GROUP BY clip, frame")
+def mask_outside_box(spark, d):
+    return rounded(masks.outside_box(v.mask_px(spark, d), (10, 5, 40, 45)), "outside")
+
+
+@query(f"WITH {v.MASK_SQL} SELECT min(clip) AS clip, frame, x, y FROM px GROUP BY frame, x, y")
+def mask_non_overlap(spark, d):
+    return masks.without_overlap(v.mask_px(spark, d))
+
+
+@query(f"""WITH {v.MASK_SQL}, w AS (SELECT min(clip) AS clip, frame, x, y FROM px GROUP BY frame, x, y), l AS (SELECT clip, frame, count(*) AS n FROM w GROUP BY 1, 2), a AS (SELECT clip, frame, count(*) AS area FROM px GROUP BY 1, 2)
+SELECT a.clip, a.frame, area, (CASE WHEN coalesce(n, 0) >= 0.9e0 * area THEN coalesce(n, 0) ELSE 0 END)::BIGINT AS kept FROM a LEFT JOIN l USING (clip, frame)""")
+def mask_suppress_shrunk(spark, d):
+    return masks.suppress_shrunk(v.mask_px(spark, d), 0.9)
+
+
+@query(f"WITH {v.MASK_SQL} SELECT DISTINCT clip, frame, x // 8 AS x, y // 8 AS y FROM px")
+def mask_cells(spark, d):
+    return masks.pooled(v.mask_px(spark, d), 8)
+
+
+@query()
+def mask_pieces(spark, d):
+    return masks.pieces(v.mask_px(spark, d))
+
+
+@query(f"WITH {v.MASK_SQL} SELECT x, y, sum(CASE clip WHEN 0 THEN 255 ELSE 0 END)::BIGINT AS red, sum(CASE clip WHEN 1 THEN 255 ELSE 0 END)::BIGINT AS green FROM px WHERE frame = 0 GROUP BY x, y")
+def mask_identity(spark, d):
+    colour = lambda k: F.sum(F.when(F.col("clip") == k, 255).otherwise(0)).cast("long")
+    return v.mask_px(spark, d).where("frame = 0").groupBy("x", "y").agg(colour(0).alias("red"), colour(1).alias("green"))
+
+
+# ---------------------------------------------------------------- colour
+
+
+def _lab_sql(r: str, g: str, b: str) -> str:
+    lin = lambda c: f"(CASE WHEN {c} <= 0.04045e0 THEN {c} / 12.92e0 ELSE power(({c} + 0.055e0) / 1.055e0, 2.4e0) END)"
+    f = []
+    for row, white in zip(fn.TO_XYZ, fn.D65, strict=True):
+        t = "((" + " + ".join(f"{lin(c)} * {k!r}e0" for c, k in zip((r, g, b), row, strict=True)) + f") / {white!r}e0)"
+        f.append(f"(CASE WHEN {t} > {fn.DELTA**3!r}e0 THEN power({t}, 1e0 / 3e0) ELSE {t} / {3 * fn.DELTA**2!r}e0 + 4e0 / 29e0 END)")
+    return f"116e0 * {f[1]} - 16e0 AS l, 500e0 * ({f[0]} - {f[1]}) AS a, 200e0 * ({f[1]} - {f[2]}) AS b_"
+
+
+_LAB = f"WITH {v.RGB_SQL}, lab AS (SELECT clip, weight, r, g, b, {_lab_sql('r', 'g', 'b')} FROM rgb)"
+
+
+@query(_LAB + " SELECT clip, count(*) AS pixels, round(avg(l), 6) AS l, round(avg(a), 6) AS a, round(avg(b_), 6) AS b FROM lab GROUP BY clip")
+def lab_forward(spark, d):
+    df = v.frame_rgb(spark, d)
+    for n, c in zip("LAB", fn.lab(F.col("r"), F.col("g"), F.col("b")), strict=True):
+        df = df.withColumn(f"lab_{n}", c)
+    return rounded(df.groupBy("clip").agg(F.count("*").alias("pixels"), F.avg("lab_L").alias("l"), F.avg("lab_A").alias("a"), F.avg("lab_B").alias("b")), "l", "a", "b")
+
+
+@query(f"WITH {v.RGB_SQL} SELECT round(r, 4) AS r, round(g, 4) AS g, round(b, 4) AS b, count(*) AS n FROM rgb GROUP BY 1, 2, 3")
+def lab_roundtrip(spark, d):
+    df = v.frame_rgb(spark, d).select("r", "g", "b").withColumns(dict(zip(("p", "q", "s"), fn.lab(F.col("r"), F.col("g"), F.col("b")), strict=True)))
+    back = fn.srgb(F.col("p"), F.col("q"), F.col("s"))
+    return df.select(*[F.round(c, 4).alias(n) for n, c in zip("rgb", back, strict=True)]).groupBy("r", "g", "b").agg(F.count("*").alias("n"))
+
+
+@query(_LAB + """, m AS (SELECT clip, sum(l * weight) / sum(weight) AS ml, sum(a * weight) / sum(weight) AS ma, sum(b_ * weight) / sum(weight) AS mb FROM lab GROUP BY clip),
+s AS (SELECT clip, any_value(ml) AS ml, any_value(ma) AS ma, any_value(mb) AS mb, sqrt(sum(power(l - ml, 2) * weight) / sum(weight)) AS sl, sqrt(sum(power(a - ma, 2) * weight) / sum(weight)) AS sa, sqrt(sum(power(b_ - mb, 2) * weight) / sum(weight)) AS sb FROM lab JOIN m USING (clip) GROUP BY clip)
+SELECT s.clip, round(s.ml, 6) AS mean_l, round(t.ml, 6) AS to_l, round(least(greatest(t.sl / greatest(s.sl, 1e-6), 0.5e0), 2e0), 6) AS ratio_l, round(least(greatest(t.sa / greatest(s.sa, 1e-6), 0.5e0), 2e0), 6) AS ratio_a, round(least(greatest(t.sb / greatest(s.sb, 1e-6), 0.5e0), 2e0), 6) AS ratio_b
+FROM s JOIN s t ON t.clip = 'N'""")
+def lab_transfer(spark, d):
+    df = v.frame_rgb(spark, d).select("clip", "weight", *[c.alias(n) for n, c in zip("lab", fn.lab(F.col("r"), F.col("g"), F.col("b")), strict=True)])
+    total = F.sum("weight")
+    mean = df.groupBy("clip").agg(*[(F.sum(F.col(c) * F.col("weight")) / total).alias(f"m{c}") for c in "lab"])
+    std = df.join(F.broadcast(mean), "clip").groupBy("clip").agg(*[F.first(f"m{c}").alias(f"m{c}") for c in "lab"], *[F.sqrt(F.sum((F.col(c) - F.col(f"m{c}")) ** 2 * F.col("weight")) / total).alias(f"s{c}") for c in "lab"])
+    to = std.where("clip = 'N'").select(*[F.col(f"{k}{c}").alias(f"t{k}{c}") for k in "ms" for c in "lab"])
+    ratio = [F.least(F.greatest(F.col(f"ts{c}") / F.greatest(F.col(f"s{c}"), F.lit(1e-6)), F.lit(0.5)), F.lit(2.0)).alias(f"ratio_{c}") for c in "lab"]
+    out = std.crossJoin(F.broadcast(to)).select("clip", F.col("ml").alias("mean_l"), F.col("tml").alias("to_l"), *ratio)  # one row a clip, and one target row
+    return rounded(out, "mean_l", "to_l", "ratio_l", "ratio_a", "ratio_b")
+
+
+@query(f"WITH {v.RGB_SQL} SELECT clip, frame, round(avg(round_even(64e0 + 876e0 * (0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b), 0)), 6) AS luma FROM rgb GROUP BY clip, frame")
+def luma_10bit(spark, d):
+    level = fn.half_even(64.0 + 876.0 * (0.2126 * F.col("r") + 0.7152 * F.col("g") + 0.0722 * F.col("b")))
+    return rounded(v.frame_rgb(spark, d).groupBy("clip", "frame").agg(F.avg(level).alias("luma")), "luma")
+
+
+# ---------------------------------------------------------------- other
+
+
+@query("""WITH f AS (SELECT label::BIGINT AS clip, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::BIGINT AS frame, embedding AS e FROM embeddings), u AS (SELECT clip, frame, i, e[i + 1]::DOUBLE AS v FROM f, range(64) t(i))
+SELECT clip, frame, (arg_min(i, i) FILTER (WHERE v = m) % 8)::BIGINT AS x, (min(i) FILTER (WHERE v = m) // 8)::BIGINT AS y, round(any_value(m), 6) AS peak FROM (SELECT *, max(v) OVER (PARTITION BY clip, frame) AS m FROM u) GROUP BY clip, frame""")
+def heatmap_peak(spark, d):
+    p = v.pose(spark, d).withColumn("peak", F.array_max("e")).withColumn("at", F.array_position("e", F.col("peak")) - 1)
+    return p.select("clip", "frame", (F.col("at") % 8).alias("x"), F.floor(F.col("at") / 8).alias("y"), F.round(F.col("peak").cast("double"), 6).alias("peak"))
+
+
+@query(f"""WITH {v.BOXES_SQL}, c AS (SELECT clip, frame FROM boxes WHERE frame % 7 = 0),
+n AS (SELECT b.clip, b.frame, max(c.frame) FILTER (WHERE c.frame <= b.frame) AS before, min(c.frame) FILTER (WHERE c.frame > b.frame) AS after FROM boxes b JOIN c USING (clip) GROUP BY 1, 2)
+SELECT clip, frame, before, coalesce(after, -1) AS after, CASE WHEN after IS NULL OR frame - before <= after - frame THEN before ELSE after END AS closest FROM n""")
+def closest_conditioning(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("clip").orderBy("frame")
+    mark = F.when(F.col("frame") % 7 == 0, F.col("frame"))
+    df = v.boxes(spark, d).select("clip", "frame", F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("before"), F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    near = F.when(F.col("after").isNull() | (F.col("frame") - F.col("before") <= F.col("after") - F.col("frame")), F.col("before")).otherwise(F.col("after"))
+    return df.select("clip", "frame", "before", F.coalesce("after", F.lit(-1)).cast("long").alias("after"), near.alias("closest"))
+
+
+@query(_IOU_SQL + " SELECT clip, count(*) AS flagged FROM iou WHERE v < 0.3 GROUP BY clip")
+def stream_subject_switch(spark, d):
+    return twin.subject_switch(spark, f"{d}/events.parquet")
