@@ -23,7 +23,7 @@ SHARE = 1.5
 EPOCHS = 2.0
 SEED = "mix"
 #: Rows of a source that one key range should hold.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def words(text: Column) -> Column:
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     narrow = materialise(narrow, "mix-rows")  # the text is read once
     sizes = narrow.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("__rows"))
     most = sizes.agg(F.max("__rows")).first()[0] or 0
-    ranges = max(16, -(-most // RANGE_ROWS) * 4)
+    ranges = max(128, -(-most // RANGE_ROWS))
     keyed = narrow.withColumn("__key", key(F.col("__id"), quality(F.col("size"), F.col("__chars"))))
     keyed = keyed.withColumn("__range", F.least(F.lit(ranges - 1), F.floor(ranges * (1 - F.exp(-F.col("__key") * 0.7)))).cast("long"))
     per = keyed.groupBy("source", "__range").agg(F.sum("size").alias("__sum"))
