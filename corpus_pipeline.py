@@ -1,5 +1,7 @@
 """From raw documents to sharded training data: toxicity, near-duplicates, decontamination, mixing, sharding.
 
+Columns of documents whose names are those of results of the last stage give way to them.
+
 Every stage takes (spark, docs, sf_dir) and works on all rows it gets; all but the last return the columns of documents.
 """
 
@@ -11,13 +13,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cliplane.llm import decontaminate, hilbert, mixing, simhash, toxicity
-from cliplane.llm.common import shared_dir, table
+from cliplane.llm.common import quoted, shared_dir, table
+
+
+#: Columns that the operators read; a stage keeps the others out of the way, since their names may be those of an operator's results.
+READ = ("doc_id", "text", "source", "lang")
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    return docs.withColumnsRenamed({c: f"__kept{k}" for k, c in enumerate(docs.columns) if c not in READ})
+
+
+def back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, out of rows that were computed from aside(docs)."""
+    return found.select(*[quoted(c if c in READ else f"__kept{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it is fitted on the labelled rows of documents."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(docs.columns)
+    return back(toxicity.score(aside(docs), model).where(F.col("predicted") == 0), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +49,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule finds go; the others stay as they are."""
-    return decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).where(~decontaminate.contaminated()).select(docs.columns)
+    return back(decontaminate.scan(aside(docs), table(spark, sf_dir, "benchmark")).where(~decontaminate.contaminated()), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document is repeated once for each epoch that takes it; documents that the mix doesn't take go. Texts stay whole."""
-    taken = mixing.mix(docs, keep=docs.columns)
+    plain = aside(docs)
+    taken = mixing.mix(plain, keep=plain.columns)
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
+    return back(taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))), docs)
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and slot along the Hilbert curve."""
-    return hilbert.shard(docs, keep=docs.columns).select(*docs.columns, "size", "text_crc32", "law", "shard", "slot")
+    new = ["size", "text_crc32", "law", "shard", "slot"]
+    return hilbert.shard(docs, keep=docs.columns).select(*[quoted(c) for c in docs.columns if c not in new], *new)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", mix_sources), ("sharding", shard_documents)]
