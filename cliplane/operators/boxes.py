@@ -76,6 +76,24 @@ def in_frame(x: Column, y: Column, width: int, height: int) -> Column:
     return (x >= 0) & (x < width) & (y >= 0) & (y < height)
 
 
+def choose_person(candidates: DataFrame, keys: list[str], name: str, least: float = 0.05, ratio: float = 0.4) -> DataFrame:
+    """keys, chosen (the name of the person's box): of each frame's boxes over the score, best score first, a larger one takes
+    over unless its long side is under this ratio of that of the one to beat, which is at first the longest of all.
+
+    A frame's boxes are few, so they are folded as an array; ties of the score go by name."""
+    size, side = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    one = F.struct((-F.col("score")).alias("place"), F.col(name).alias("name"), size.alias("size"), side.alias("side"))
+    g = candidates.where(F.col("score") > least).groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("all"), F.max(side).alias("longest"))
+    none = F.expr("CAST(NULL AS BIGINT)")
+    start = F.struct(F.lit(float("-inf")).alias("size"), F.col("longest").alias("side"), none.alias("name"))
+
+    def step(held: Column, b: Column) -> Column:
+        wins = (b["size"] > held["size"]) & (b["side"] >= held["side"] * ratio)
+        return F.when(wins, F.struct(b["size"].alias("size"), b["side"].alias("side"), b["name"].cast("long").alias("name"))).otherwise(held)
+
+    return g.select(*keys, F.aggregate("all", start, step)["name"].alias("chosen")).where("chosen IS NOT NULL")
+
+
 def suppress(candidates: DataFrame, limit: float = 0.5) -> DataFrame:
     """Greedy non-maximum suppression of each (clip, slot)'s boxes, best score first. A clip is one Arrow table."""
     import numpy as np

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FRAME = ["clip", "frame"]
@@ -56,10 +56,10 @@ def outside_box(px: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
     return px.groupBy(*FRAME).agg(F.count("*").alias("area"), F.avg(F.when(out, 1.0).otherwise(0.0)).alias("outside"))
 
 
-def without_overlap(px: DataFrame) -> DataFrame:
-    """Where several objects (clip) hold a pixel of a frame, the smallest object number keeps it."""
-    w = Window.partitionBy("frame", "x", "y").orderBy("clip")
-    return px.withColumn("n", F.row_number().over(w)).where("n = 1").select(*PIXEL)
+def without_overlap(px: DataFrame, score: Column | float = 0.0) -> DataFrame:
+    """Where several objects (clip) hold a pixel of a frame, the one with the higher score keeps it (ties: the smallest number)."""
+    best = F.min_by("clip", F.struct(-(score if isinstance(score, Column) else F.lit(score)), "clip"))
+    return px.groupBy("frame", "x", "y").agg(best.alias("clip")).select(*PIXEL)
 
 
 def suppress_shrunk(px: DataFrame, least: float) -> DataFrame:

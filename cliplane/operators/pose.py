@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplane.functions.columns import distance
-from cliplane.operators.boxes import by_frame, in_frame
+from cliplane.operators.boxes import by_frame
 
 #: Keypoint names in order, and the limbs as pairs of them.
 NAMES = ["nose", "neck", "r_shoulder", "r_elbow", "r_wrist", "l_shoulder", "l_elbow", "l_wrist", "r_hip", "r_knee", "r_ankle", "l_hip", "l_knee", "l_ankle", "r_eye", "l_eye", "r_ear", "l_ear", "l_foot", "r_foot"]
@@ -16,7 +16,7 @@ LIMBS = [(1, 2), (1, 5), (2, 3), (3, 4), (5, 6), (6, 7), (1, 8), (8, 9), (9, 10)
 TORSO = [1, 2, 5, 8, 11]
 LIMB_ENDS = [3, 4, 6, 7, 9, 10, 12, 13]
 ARMS = {"left": (6, 7), "right": (3, 4)}
-DRAW, LIMB_WIDTH, MIRROR, SPIKE_BACK = 0.5, 0.15, 0.3, 3
+DRAW, LIMB_WIDTH, MIRROR, SPIKE_BACK = 0.5, 0.25, 0.2, 3
 
 
 def at(j: int, body: Column | None = None) -> Column:
@@ -27,9 +27,9 @@ def drawn(j: int, threshold: float = DRAW, body: Column | None = None) -> Column
     return at(j, body)["c"] >= threshold
 
 
-def counts(pose: DataFrame, width: int, height: int, threshold: float = DRAW) -> DataFrame:
-    """pose_conf, drawn_keypoints and drawn_limbs of each frame."""
-    on = lambda j: drawn(j, threshold) & in_frame(at(j)["x"], at(j)["y"], width, height)
+def counts(pose: DataFrame, threshold: float = DRAW) -> DataFrame:
+    """pose_conf, drawn_keypoints and drawn_limbs of each frame; keypoints off the frame count too."""
+    on = lambda j: drawn(j, threshold)
     number = lambda flags: reduce(lambda a, b: a + b, [F.when(f, 1).otherwise(0) for f in flags]).cast("long")
     conf = F.aggregate("body", F.lit(0.0), lambda a, p: a + p["c"]) / F.size("body")
     return pose.select("clip", "frame", conf.alias("pose_conf"), number([on(j) for j in range(20)]).alias("drawn_keypoints"), number([on(a) & on(b) for a, b in LIMBS]).alias("drawn_limbs"))
@@ -53,19 +53,19 @@ def out_of_shot(pose: DataFrame, width: int, height: int, threshold: float = DRA
     return df.where(one & (edge < LIMB_WIDTH * F.col("scale"))).select("clip", "frame", F.col("limb.a").cast("long").alias("a"), F.col("limb.b").cast("long").alias("b"))
 
 
-def torso_move(pose: DataFrame, width: int, height: int, threshold: float = DRAW) -> DataFrame:
+def torso_move(pose: DataFrame, threshold: float = DRAW) -> DataFrame:
     """Largest move of a torso keypoint that is drawn in this frame and the one before, in pixels; 0 if there is none."""
     before = F.lag("body").over(by_frame())
     df = pose.select("clip", "frame", "body", before.alias("before"))
-    on = lambda j, b: drawn(j, threshold, b) & in_frame(at(j, b)["x"], at(j, b)["y"], width, height)
+    on = lambda j, b: drawn(j, threshold, b)
     body, prev = F.col("body"), F.col("before")
     moves = [F.when(on(j, body) & on(j, prev), distance(at(j, body), at(j, prev))) for j in TORSO]
     return df.select("clip", "frame", F.coalesce(F.greatest(*moves), F.lit(0.0)).alias("torso_move"))
 
 
-def limb_spikes(pose: DataFrame, height: int, width: int, most: float = 0.08, threshold: float = DRAW) -> DataFrame:
+def limb_spikes(pose: DataFrame, height: int, most: float = 0.08, threshold: float = DRAW) -> DataFrame:
     """clip, frame, keypoint: limb ends that jumped away and came back within SPIKE_BACK frames, on the frames they were away."""
-    pts = F.array(*[F.struct(F.lit(j).alias("keypoint"), at(j)["x"].alias("x"), at(j)["y"].alias("y"), (drawn(j, threshold) & in_frame(at(j)["x"], at(j)["y"], width, height)).alias("on")) for j in LIMB_ENDS])
+    pts = F.array(*[F.struct(F.lit(j).alias("keypoint"), at(j)["x"].alias("x"), at(j)["y"].alias("y"), drawn(j, threshold).alias("on")) for j in LIMB_ENDS])
     long = pose.select("clip", "frame", F.explode(pts).alias("p")).select("clip", "frame", "p.*")
     w = Window.partitionBy("clip", "keypoint").orderBy("frame")
     this = F.struct("x", "y", "on")
@@ -115,13 +115,19 @@ def face_box(points: Column, width: int, height: int, scale: float = 1.3) -> Col
     )
 
 
-def smooth_median(boxes: DataFrame, half: int = 2) -> DataFrame:
-    """Median of each coordinate over the valid boxes within so many frames; the box itself if there is none."""
+def settled(smooth: dict[str, Column], width: int, height: int) -> list[Column]:
+    """Smoothed corners of the valid boxes, the invalid boxes' own, back inside the frame and cut to whole pixels."""
+    side = lambda c: float(width if c[0] == "x" else height)
+    return [F.greatest(F.lit(0.0), F.least(F.lit(side(c)), F.when(F.col("score") > 0, v).otherwise(F.col(c)))).cast("long").alias(c) for c, v in smooth.items()]
+
+
+def smooth_median(boxes: DataFrame, width: int, height: int, half: int = 2) -> DataFrame:
+    """Median of each coordinate over the valid boxes within so many frames."""
     near = by_frame().rowsBetween(-half, half)
-    return boxes.select("clip", "frame", *[F.coalesce(F.percentile(F.when(F.col("score") > 0, F.col(c)), 0.5).over(near), F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return boxes.select("clip", "frame", *settled({c: F.percentile(F.when(F.col("score") > 0, F.col(c)), 0.5).over(near) for c in ("x1", "y1", "x2", "y2")}, width, height))
 
 
-def smooth_size(boxes: DataFrame, sigma: float = 2.0) -> DataFrame:
+def smooth_size(boxes: DataFrame, width: int, height: int, sigma: float = 2.0) -> DataFrame:
     """Centres stay; log sizes are averaged with Gaussian weights over the valid boxes nearby. Offsets are lags, so one window serves."""
     import math
 
@@ -138,4 +144,4 @@ def smooth_size(boxes: DataFrame, sigma: float = 2.0) -> DataFrame:
         sums = {c: v + F.when(valid, g * o[c]).otherwise(0.0) for c, v in sums.items()}
     half = {c: F.exp(F.when(total > 0, v / F.greatest(total, F.lit(1e-12))).otherwise(F.col(c))) / 2 for c, v in sums.items()}
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    return df.select("clip", "frame", (cx - half["lw"]).alias("x1"), (cy - half["lh"]).alias("y1"), (cx + half["lw"]).alias("x2"), (cy + half["lh"]).alias("y2"))
+    return df.select("clip", "frame", *settled({"x1": cx - half["lw"], "y1": cy - half["lh"], "x2": cx + half["lw"], "y2": cy + half["lh"]}, width, height))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplane.functions.columns import grid_down, grid_up, half_even
 
 LEAST_LAST = 29
 #: The ladder of portrait sizes.
-LADDER = {"480p": (480, 832), "720p": (720, 1280), "1080p": (1080, 1920)}
+LADDER = {"480p": (480, 854), "720p": (720, 1280), "1080p": (1080, 1920)}
 
 
 def plan_chunks(requests: DataFrame, policy: str = "fit") -> DataFrame:
@@ -98,3 +98,44 @@ def contain_box(videos: DataFrame, to_width: int, to_height: int) -> DataFrame:
     ratio = F.least(to_width / F.col("width"), to_height / F.col("height"))
     w, h = half_even(F.col("width") * ratio).cast("long"), half_even(F.col("height") * ratio).cast("long")
     return videos.select("video_id", F.floor((to_width - w) / 2).alias("x"), F.floor((to_height - h) / 2).alias("y"), w.alias("w"), h.alias("h"))
+
+
+def closest_conditioning(frames: DataFrame, conditioning: DataFrame, keep: int) -> DataFrame:
+    """clip, frame, t: the conditioning frames that each frame uses: the closest before it, the closest at or after it, then the
+    closest of the rest (ties: the earlier).
+
+    They are among the keep nearest on either side, which are numbered, so each frame joins at most 2 * keep rows by equality."""
+    w = Window.partitionBy("clip").orderBy("frame")
+    numbered = conditioning.select("clip", F.col("frame").alias("t"), F.row_number().over(w).alias("number"))
+    marks = frames.select("clip", "frame").join(conditioning.select("clip", "frame").withColumn("mark", F.lit(1)), ["clip", "frame"], "left")
+    before = F.coalesce(F.sum("mark").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = marks.select("clip", "frame", before.cast("int").alias("before"))
+    near = near.select("clip", "frame", "before", F.explode(F.sequence(F.col("before") - keep + 1, F.col("before") + keep)).alias("number")).join(numbered, ["clip", "number"])
+    next_to = F.col("number").isin(F.col("before"), F.col("before") + 1)
+    first = Window.partitionBy("clip", "frame").orderBy((~next_to).cast("int"), F.abs(F.col("t") - F.col("frame")), "t")
+    return near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= keep).select("clip", "frame", "t")
+
+
+def loaded_frames(kept: DataFrame, start: int, count: int | None, step: int) -> DataFrame:
+    """video_id, out, frame of the frames that are loaded: so many of the kept ones from the 1-based start on (None: the rest), cut
+    to step * n + 1. A range past a video's frames is an error."""
+    size = kept.groupBy("video_id").agg(F.count("*").alias("n"))
+    last = F.lit(start if count is None else start + count - 1)
+    n = F.when(last > F.col("n"), F.raise_error(F.format_string("frames %d to %d of video %s, which has %d", F.lit(start), last, "video_id", "n")).cast("long"))
+    n = n.otherwise((F.col("n") - start + 1) if count is None else F.lit(count).cast("long"))
+    size = size.select("video_id", (F.floor((n - 1) / step) * step + 1).alias("n"))
+    place = F.col("out") - (start - 1)
+    return kept.join(size, "video_id").where((place >= 0) & (place < F.col("n"))).select("video_id", place.alias("out"), "frame")
+
+
+def face_window(boxes: DataFrame, image: tuple[int, int], size: tuple[int, int], factor: float, headroom: float = 0.4) -> DataFrame:
+    """clip, frame, x, y, w, h, used: the window of an image around a face box (x1..y2) that is enlarged to size. The factor is
+    lowered until the whole box fits; above the box there are at most headroom box heights; the window is moved into the image."""
+    wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    used = F.least(F.lit(float(factor)), size[0] / wide, size[1] / high)
+    w, h = half_even(size[0] / used), half_even(size[1] / used)
+    x = half_even((F.col("x1") + F.col("x2")) / 2 - w / 2)
+    y = half_even(F.col("y1") - F.least(F.greatest(h - high, F.lit(0.0)) / 2, headroom * high))
+    inside = lambda start, side, limit: F.least(F.greatest(start, F.least(F.lit(0.0), limit - side)), F.greatest(F.lit(0.0), limit - side))
+    out = {"x": inside(x, w, image[0]), "y": inside(y, h, image[1]), "w": w, "h": h}
+    return boxes.select("clip", "frame", *[c.cast("long").alias(k) for k, c in out.items()], used.alias("used"))

@@ -106,13 +106,12 @@ def point_in_frame(spark, d):
     return p.where(bx.in_frame(F.col("p.x"), F.col("p.y"), W, H)).groupBy("clip", "frame").agg(F.count("*").alias("points"), F.min("j").cast("long").alias("first"))
 
 
-@query(f"""WITH {v.BOXES_SQL}, c AS (SELECT clip, frame // 20 AS slot, frame, (x2 - x1) * (y2 - y1) AS area, greatest(x2 - x1, y2 - y1) AS side FROM boxes WHERE score > 0),
+@query(f"""WITH {v.BOXES_SQL}, c AS (SELECT clip, frame // 20 AS slot, frame, score, (x2 - x1) * (y2 - y1) AS area, greatest(x2 - x1, y2 - y1) AS side FROM boxes WHERE score > 0.05e0),
 m AS (SELECT *, max(side) OVER (PARTITION BY clip, slot) AS top FROM c)
-SELECT clip, slot, frame FROM (SELECT *, row_number() OVER (PARTITION BY clip, slot ORDER BY area DESC, frame) AS n FROM m WHERE side >= 0.3e0 * top) WHERE n = 1""")
+SELECT clip, slot, frame AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY clip, slot ORDER BY area DESC, score DESC, frame) AS n FROM m WHERE side >= 0.4e0 * top) WHERE n = 1""")
 def person_select(spark, d):
-    b = v.boxes(spark, d).where("score > 0").selectExpr("clip", "frame div 20 AS slot", "frame", "(x2 - x1) * (y2 - y1) AS area", "greatest(x2 - x1, y2 - y1) AS side")
-    top = b.groupBy("clip", "slot").agg(F.max("side").alias("top"))
-    return b.join(top, ["clip", "slot"]).where("side >= 0.3D * top").groupBy("clip", "slot").agg(F.min_by("frame", F.struct(-F.col("area"), "frame")).alias("frame"))
+    b = v.boxes(spark, d).withColumn("slot", F.expr("frame div 20"))
+    return bx.choose_person(b, ["clip", "slot"], "frame").select("clip", "slot", "chosen")
 
 
 @query()
@@ -180,7 +179,7 @@ def video_info(spark, d):
     return rounded(v.videos(spark, d).select("video_id", (F.floor((kept - 1) / 4) * 4 + 1).cast("long").alias("loaded"), "fps", (F.col("frames") / F.col("fps")).alias("seconds"), "width", "height"), "seconds")
 
 
-@query(f"""WITH {v.VIDEO_SQL}, l(label, w, h) AS (VALUES ('480p', 480, 832), ('720p', 720, 1280), ('1080p', 1080, 1920)),
+@query(f"""WITH {v.VIDEO_SQL}, l(label, w, h) AS (VALUES ('480p', 480, 854), ('720p', 720, 1280), ('1080p', 1080, 1920)),
 b AS (SELECT video_id, width, height, arg_min({{'label': label, 'w': w, 'h': h}}, abs(ln(w::DOUBLE / least(width, height)))) AS s FROM video, l GROUP BY ALL)
 SELECT video_id, s.label AS label, (CASE WHEN height > width THEN s.w ELSE s.h END)::BIGINT AS to_width, (CASE WHEN height > width THEN s.h ELSE s.w END)::BIGINT AS to_height FROM b""")
 def conform_size(spark, d):
@@ -211,7 +210,7 @@ def contain_box(spark, d):
 
 # ---------------------------------------------------------------- pose
 
-_ON = "(c >= 0.5 AND x >= 0 AND x < 1280 AND y >= 0 AND y < 720)"
+_ON = "(c >= 0.5)"
 _LIMBS = ", ".join(f"({a}, {b})" for a, b in pose.LIMBS)
 
 
@@ -229,7 +228,7 @@ def _dist(a: int, b: int) -> str:
 m AS (SELECT p.clip, p.frame, count(*) AS limbs FROM o p JOIN l ON p.j = l.a JOIN o q ON q.j = l.b AND q.clip = p.clip AND q.frame = p.frame WHERE p.on_ AND q.on_ GROUP BY 1, 2)
 SELECT o.clip, o.frame, round(avg(c), 6) AS pose_conf, sum(on_::INT)::BIGINT AS drawn_keypoints, coalesce(any_value(limbs), 0) AS drawn_limbs FROM o LEFT JOIN m ON o.clip = m.clip AND o.frame = m.frame GROUP BY o.clip, o.frame""")
 def drawn_counts(spark, d):
-    return rounded(pose.counts(v.pose(spark, d), W, H), "pose_conf")
+    return rounded(pose.counts(v.pose(spark, d)), "pose_conf")
 
 
 _SCALE = f"greatest(CASE WHEN c2 >= 0.5 AND c5 >= 0.5 THEN {_dist(2, 5)} ELSE 0 END, CASE WHEN c8 >= 0.5 AND c11 >= 0.5 THEN {_dist(8, 11)} ELSE 0 END, CASE WHEN c1 >= 0.5 AND c0 >= 0.5 THEN 1.5e0 * {_dist(1, 0)} ELSE 0 END, 1e0)"
@@ -242,7 +241,7 @@ def body_scale(spark, d):
 
 @query(f"""WITH {v.KP_SQL}, {_pts(0, 1, 2, 5, 8, 11)}, s AS (SELECT clip, frame, {_SCALE} AS scale FROM pt), l(a, b) AS (VALUES {_LIMBS}),
 e AS (SELECT p.clip, p.frame, a, b, p.c >= 0.5 AS da, q.c >= 0.5 AS db, CASE WHEN p.c >= 0.5 THEN q.x ELSE p.x END AS x, CASE WHEN p.c >= 0.5 THEN q.y ELSE p.y END AS y FROM kp p JOIN l ON p.j = a JOIN kp q ON q.j = b AND q.clip = p.clip AND q.frame = p.frame)
-SELECT clip, frame, a::BIGINT AS a, b::BIGINT AS b FROM e JOIN s USING (clip, frame) WHERE da <> db AND least(x, 1279 - x, y, 719 - y) < 0.15e0 * scale""")
+SELECT clip, frame, a::BIGINT AS a, b::BIGINT AS b FROM e JOIN s USING (clip, frame) WHERE da <> db AND least(x, 1279 - x, y, 719 - y) < 0.25e0 * scale""")
 def out_of_shot(spark, d):
     return pose.out_of_shot(v.pose(spark, d), W, H)
 
@@ -253,13 +252,13 @@ m AS (SELECT clip, frame, coalesce(max(CASE WHEN on_ AND pon THEN sqrt((x - px)
 
 @query(_TORSO + " SELECT clip, frame, round(move, 6) AS torso_move FROM m")
 def torso_move(spark, d):
-    return rounded(pose.torso_move(v.pose(spark, d), W, H), "torso_move")
+    return rounded(pose.torso_move(v.pose(spark, d)), "torso_move")
 
 
 def _measures(spark, d) -> DataFrame:
     """Boxes and poses of the clips that have both, frame by frame."""
     b = bx.iou_with_previous(v.boxes(spark, d))
-    m = pose.torso_move(v.pose(spark, d), W, H)
+    m = pose.torso_move(v.pose(spark, d))
     diagonal = F.hypot(F.greatest(F.col("x2") - F.col("x1"), F.lit(1.0)), F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0)))
     return b.join(m, ["clip", "frame"]).select("clip", "frame", "box_iou_prev", (F.col("torso_move") / diagonal).alias("torso_jump"))
 
@@ -290,10 +289,10 @@ s AS (SELECT a.clip, a.j, a.frame, min(b.frame - a.frame) AS back FROM k a JOIN
   WHERE a.on_ AND p.on_ AND b.on_ AND sqrt(power(a.x - p.x, 2) + power(a.y - p.y, 2)) > 0.08e0 * 720 AND sqrt(power(b.x - p.x, 2) + power(b.y - p.y, 2)) < 0.08e0 * 720 / 2 GROUP BY 1, 2, 3)
 SELECT DISTINCT clip, unnest(range(frame, frame + back)) AS frame, j::BIGINT AS keypoint FROM s""")
 def guard_pose_spike(spark, d):
-    return pose.limb_spikes(v.pose(spark, d), H, W)
+    return pose.limb_spikes(v.pose(spark, d), H)
 
 
-@query(f"""WITH {v.KP_SQL}, {_pts(0, 1, 2, 3, 4, 5, 6, 7, 8, 11)}, s AS (SELECT *, greatest({_dist(2, 5)}, {_dist(8, 11)}, 1.5e0 * {_dist(1, 0)}, 1e0) * 0.3e0 AS reach FROM pt)
+@query(f"""WITH {v.KP_SQL}, {_pts(0, 1, 2, 3, 4, 5, 6, 7, 8, 11)}, s AS (SELECT *, greatest({_dist(2, 5)}, {_dist(8, 11)}, 1.5e0 * {_dist(1, 0)}, 1e0) * 0.2e0 AS reach FROM pt)
 SELECT clip, frame, CASE WHEN c3 + c4 < c6 + c7 THEN 'right' ELSE 'left' END AS side FROM s WHERE {_dist(3, 6)} < reach AND {_dist(4, 7)} < reach AND c3 + c4 <> c6 + c7
   AND ((c3 >= 0.5 AND c4 >= 0.5 AND (c6 >= 0.5 OR c7 >= 0.5)) OR (c6 >= 0.5 AND c7 >= 0.5 AND (c3 >= 0.5 OR c4 >= 0.5)))""")
 def arm_mirror(spark, d):
@@ -315,18 +314,23 @@ def face_box(spark, d):
     return p.select("clip", "frame", pose.face_box(F.slice("body", 2, 19), W, H).alias("box")).select("clip", "frame", "box.*")
 
 
-@query(f"""WITH {v.BOXES_SQL} SELECT clip, frame, {", ".join(f"coalesce(quantile_cont(CASE WHEN score > 0 THEN {c} END, 0.5) OVER w, {c}) AS {c}" for c in bx.CORNERS)}
+@query(f"""WITH {v.BOXES_SQL} SELECT clip, frame, {", ".join(f"trunc(greatest(0, least({1280 if c[0] == 'x' else 720}, CASE WHEN score > 0 THEN quantile_cont(CASE WHEN score > 0 THEN {c} END, 0.5) OVER w ELSE {c} END)))::BIGINT AS {c}" for c in bx.CORNERS)}
 FROM boxes WINDOW w AS (PARTITION BY clip ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def face_smooth_median(spark, d):
-    return pose.smooth_median(v.boxes(spark, d))
+    return pose.smooth_median(v.boxes(spark, d), W, H)
 
 
-@query(f"""WITH {v.BOXES_SQL}, k AS (SELECT a.clip, a.frame, sum(exp(-0.5e0 * power((b.frame - a.frame) / 2e0, 2))) AS t, sum(exp(-0.5e0 * power((b.frame - a.frame) / 2e0, 2)) * ln(greatest(b.x2 - b.x1, 1))) AS w, sum(exp(-0.5e0 * power((b.frame - a.frame) / 2e0, 2)) * ln(greatest(b.y2 - b.y1, 1))) AS h
+#: Sides of the view are whole; moved off them, what is cut to whole pixels doesn't hang on the last digit.
+_OFF = 0.3717
+
+
+@query(f"""WITH {v.BOXES_SQL.replace("boxes AS", "whole AS", 1)}, boxes AS (SELECT clip, frame, score, {", ".join(f"CASE WHEN score > 0 THEN {c} + {_OFF}e0 ELSE {c} END AS {c}" for c in bx.CORNERS)} FROM whole), k AS (SELECT a.clip, a.frame, sum(exp(-0.5e0 * power((b.frame - a.frame) / 2e0, 2))) AS t, sum(exp(-0.5e0 * power((b.frame - a.frame) / 2e0, 2)) * ln(greatest(b.x2 - b.x1, 1))) AS w, sum(exp(-0.5e0 * power((b.frame - a.frame) / 2e0, 2)) * ln(greatest(b.y2 - b.y1, 1))) AS h
   FROM boxes a JOIN boxes b ON a.clip = b.clip AND b.frame BETWEEN a.frame - 6 AND a.frame + 6 AND b.score > 0 GROUP BY 1, 2),
-s AS (SELECT b.clip, b.frame, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, exp(coalesce(k.w / k.t, ln(greatest(x2 - x1, 1)))) / 2 AS hw, exp(coalesce(k.h / k.t, ln(greatest(y2 - y1, 1)))) / 2 AS hh FROM boxes b LEFT JOIN k USING (clip, frame))
-SELECT clip, frame, round(cx - hw, 6) AS x1, round(cy - hh, 6) AS y1, round(cx + hw, 6) AS x2, round(cy + hh, 6) AS y2 FROM s""")
+s AS (SELECT b.clip, b.frame, score, x1, y1, x2, y2, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, exp(coalesce(k.w / k.t, ln(greatest(x2 - x1, 1)))) / 2 AS hw, exp(coalesce(k.h / k.t, ln(greatest(y2 - y1, 1)))) / 2 AS hh FROM boxes b LEFT JOIN k USING (clip, frame))
+SELECT clip, frame, {', '.join(f'trunc(greatest(0, least({1280 if c[0] == chr(120) else 720}, CASE WHEN score > 0 THEN {e} ELSE {c} END)))::BIGINT AS {c}' for c, e in zip(bx.CORNERS, ('cx - hw', 'cy - hh', 'cx + hw', 'cy + hh'), strict=True))} FROM s""")
 def face_smooth_gauss(spark, d):
-    return rounded(pose.smooth_size(v.boxes(spark, d)), *bx.CORNERS)
+    moved = v.boxes(spark, d).withColumns({c: F.when(F.col("score") > 0, F.col(c) + _OFF).otherwise(F.col(c)) for c in bx.CORNERS})
+    return pose.smooth_size(moved, W, H)
 
 
 # ---------------------------------------------------------------- masks
@@ -363,9 +367,9 @@ def mask_outside_box(spark, d):
     return rounded(masks.outside_box(v.mask_px(spark, d), (10, 5, 40, 45)), "outside")
 
 
-@query(f"WITH {v.MASK_SQL} SELECT min(clip) AS clip, frame, x, y FROM px GROUP BY frame, x, y")
+@query(f"WITH {v.MASK_SQL} SELECT arg_min(clip, clip - 100 * (clip * 3 % 4)) AS clip, frame, x, y FROM px GROUP BY frame, x, y")
 def mask_non_overlap(spark, d):
-    return masks.without_overlap(v.mask_px(spark, d))
+    return masks.without_overlap(v.mask_px(spark, d), F.col("clip") * 3 % 4)
 
 
 @query(f"""WITH {v.MASK_SQL}, w AS (SELECT min(clip) AS clip, frame, x, y FROM px GROUP BY frame, x, y), l AS (SELECT clip, frame, count(*) AS n FROM w GROUP BY 1, 2), a AS (SELECT clip, frame, count(*) AS area FROM px GROUP BY 1, 2)
@@ -445,23 +449,21 @@ def luma_10bit(spark, d):
 
 
 @query("""WITH f AS (SELECT label::BIGINT AS clip, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::BIGINT AS frame, embedding AS e FROM embeddings), u AS (SELECT clip, frame, i, e[i + 1]::DOUBLE AS v FROM f, range(64) t(i))
-SELECT clip, frame, (arg_min(i, i) FILTER (WHERE v = m) % 8)::BIGINT AS x, (min(i) FILTER (WHERE v = m) // 8)::BIGINT AS y, round(any_value(m), 6) AS peak FROM (SELECT *, max(v) OVER (PARTITION BY clip, frame) AS m FROM u) GROUP BY clip, frame""")
+SELECT clip, frame, CASE WHEN any_value(m) > 0 THEN (min(i) FILTER (WHERE v = m) % 8)::BIGINT ELSE -1 END AS x, CASE WHEN any_value(m) > 0 THEN (min(i) FILTER (WHERE v = m) // 8)::BIGINT ELSE -1 END AS y, round(any_value(m), 6) AS peak FROM (SELECT *, max(v) OVER (PARTITION BY clip, frame) AS m FROM u) GROUP BY clip, frame""")
 def heatmap_peak(spark, d):
     p = v.pose(spark, d).withColumn("peak", F.array_max("e")).withColumn("at", F.array_position("e", F.col("peak")) - 1)
-    return p.select("clip", "frame", (F.col("at") % 8).alias("x"), F.floor(F.col("at") / 8).alias("y"), F.round(F.col("peak").cast("double"), 6).alias("peak"))
+    on = lambda c: F.when(F.col("peak") > 0, c).otherwise(-1).cast("long")
+    return p.select("clip", "frame", on(F.col("at") % 8).alias("x"), on(F.floor(F.col("at") / 8)).alias("y"), F.round(F.col("peak").cast("double"), 6).alias("peak"))
 
 
-@query(f"""WITH {v.BOXES_SQL}, c AS (SELECT clip, frame FROM boxes WHERE frame % 7 = 0),
-n AS (SELECT b.clip, b.frame, max(c.frame) FILTER (WHERE c.frame <= b.frame) AS before, min(c.frame) FILTER (WHERE c.frame > b.frame) AS after FROM boxes b JOIN c USING (clip) GROUP BY 1, 2)
-SELECT clip, frame, before, coalesce(after, -1) AS after, CASE WHEN after IS NULL OR frame - before <= after - frame THEN before ELSE after END AS closest FROM n""")
+@query(f"""WITH {v.BOXES_SQL}, c AS (SELECT clip, frame AS t FROM boxes WHERE frame % 7 = 0),
+n AS (SELECT b.clip, b.frame, t, t = max(t) FILTER (WHERE t < b.frame) OVER w OR t = min(t) FILTER (WHERE t >= b.frame) OVER w AS near FROM boxes b JOIN c USING (clip) WINDOW w AS (PARTITION BY b.clip, b.frame)),
+k AS (SELECT *, row_number() OVER (PARTITION BY clip, frame ORDER BY coalesce(near, false) DESC, abs(t - frame), t) AS place FROM n)
+SELECT clip, frame, string_agg(t::VARCHAR, ',' ORDER BY t) AS chosen FROM k WHERE place <= 3 GROUP BY clip, frame""")
 def closest_conditioning(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("clip").orderBy("frame")
-    mark = F.when(F.col("frame") % 7 == 0, F.col("frame"))
-    df = v.boxes(spark, d).select("clip", "frame", F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("before"), F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    near = F.when(F.col("after").isNull() | (F.col("frame") - F.col("before") <= F.col("after") - F.col("frame")), F.col("before")).otherwise(F.col("after"))
-    return df.select("clip", "frame", "before", F.coalesce("after", F.lit(-1)).cast("long").alias("after"), near.alias("closest"))
+    b = v.boxes(spark, d).select("clip", "frame")
+    near = sequence.closest_conditioning(b, b.where("frame % 7 = 0"), 3)
+    return near.groupBy("clip", "frame").agg(F.array_join(F.array_sort(F.collect_list("t")), ",").alias("chosen"))
 
 
 @query(_IOU_SQL + " SELECT clip, count(*) AS flagged FROM iou WHERE v < 0.3 GROUP BY clip")
