@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliplane.operators.boxes import in_frame
+from cliplane.operators.pose import DRAW, NAMES, at, drawn
+
+#: The checks in the order of reports, those that only warn, the head's points, and the share of a second piece.
+CHECKS = ("pose_jump", "pose_spike", "subject_switch", "no_driving_person", "driving_empty", "driving_fragmented", "mask_empty", "mask_leak", "mask_attached_leak", "mask_fragmented", "mask_head_out", "mask_limb_out", "mask_loss")
+WARNINGS = ("pose_jump", "pose_spike", "subject_switch", "mask_leak", "mask_attached_leak", "driving_empty", "reference_fragmented", "reference_misaligned")
+HEAD, TORN = (0, 14, 15, 16, 17), 0.05
+
 
 def runs(flags: DataFrame, keys: tuple[str, ...] = ("clip", "check")) -> DataFrame:
     """Runs of consecutive frames of each key: first, last, length."""
@@ -21,18 +29,103 @@ def ranges_text(flags: DataFrame, keys: tuple[str, ...] = ("clip", "check")) ->
 
 
 def pose_flags(measures: DataFrame, most_torso: float = 0.25) -> DataFrame:
-    """clip, check, frame of pose_jump and subject_switch; measures: box_iou_prev, torso_jump."""
+    """clip, check, frame of pose_jump, pose_spike and subject_switch; measures: box_iou_prev, torso_jump and, if there, limb_spikes."""
     iou = F.col("box_iou_prev")
-    fired = F.array_compact(F.array(F.when((iou > 0.5) & (F.col("torso_jump") > most_torso), F.lit("pose_jump")), F.when(iou < 0.3, F.lit("subject_switch"))))
-    return measures.select("clip", "frame", F.explode(fired).alias("check")).select("clip", "check", "frame")
+    spike = F.col("limb_spikes") if "limb_spikes" in measures.columns else F.lit(0)
+    fired = {"pose_jump": (iou > 0.5) & (F.col("torso_jump") > most_torso), "pose_spike": spike > 0, "subject_switch": iou < 0.3}
+    return fire(measures, fired)
+
+
+def fire(measures: DataFrame, fired: dict[str, Column]) -> DataFrame:
+    checks = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in fired.items()]))
+    return measures.select("clip", "frame", F.explode(checks).alias("check")).select("clip", "check", "frame")
+
+
+def mask_measures(frames: DataFrame, px: DataFrame, width: int, height: int, threshold: float = DRAW) -> DataFrame:
+    """Each frame's measures of its mask against box and pose. frames: clip, frame, x1..y2, score, ex1..ey2 (the envelope), body.
+
+    mask_area and mask_to_box are shares, outside is the share of the mask off the envelope, head_out names head points in the frame
+    with no mask near. A frame's pixels meet its one row, and all is summed in one pass."""
+    wide, high = F.greatest(F.col("x2") - F.col("x1"), F.lit(1.0)), F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0))
+    reach = F.floor(F.greatest(F.lit(3), F.floor(0.02 * F.hypot(wide, high)).cast("int").bitwiseOR(F.lit(1))) / 2)
+    on = F.filter("body", lambda p: p["c"] >= threshold)
+    sure = F.aggregate(on, F.lit(0.0), lambda a, p: a + p["c"]) / F.size(on)
+    seen = lambda j: drawn(j, threshold) & in_frame(at(j)["x"], at(j)["y"], width, height)
+    heads = {j: F.when(seen(j), F.struct(at(j)["x"].cast("int").alias("x"), at(j)["y"].cast("int").alias("y"))) for j in HEAD}
+    f = frames.select("clip", "frame", (wide * high).alias("__box"), reach.alias("__reach"), *[F.floor(c).alias(c) for c in ("ex1", "ey1", "ex2", "ey2")], *[h.alias(f"__h{j}") for j, h in heads.items()],
+                      ((F.col("score") > 0) & (F.size(on) >= 8) & (sure >= 0.5)).alias("box_reliable"))
+    inside = (F.col("x") >= F.col("ex1")) & (F.col("x") < F.col("ex2")) & (F.col("y") >= F.col("ey1")) & (F.col("y") < F.col("ey2"))
+    near = lambda j: (F.abs(F.col("x") - F.col(f"__h{j}.x")) <= F.col("__reach")) & (F.abs(F.col("y") - F.col(f"__h{j}.y")) <= F.col("__reach"))
+    met = f.join(px.select("clip", "frame", "x", "y"), ["clip", "frame"]).groupBy("clip", "frame")
+    met = met.agg(F.count("*").alias("__area"), F.count(F.when(inside, 1)).alias("__inside"), *[F.max(F.when(near(j), 1)).alias(f"__m{j}") for j in HEAD])
+    df = f.join(met, ["clip", "frame"], "left").withColumn("__area", F.coalesce("__area", F.lit(0)))
+    out = F.array_compact(F.array(*[F.when(F.col(f"__h{j}").isNotNull() & F.col(f"__m{j}").isNull() & (F.col("__area") > 0), F.lit(NAMES[j])) for j in HEAD]))
+    return df.select("clip", "frame", (F.col("__area") / (width * height)).alias("mask_area"), (F.col("__area") / F.col("__box")).alias("mask_to_box"), "box_reliable",
+                     F.when(F.col("__area") > 0, (F.col("__area") - F.col("__inside")) / F.col("__area")).otherwise(0.0).alias("outside"), out.alias("head_out"))
+
+
+def mask_flags(measures: DataFrame, fragments: DataFrame | None = None, least: float = 0.15, most_outside: float = 0.10, sides: int = 2) -> DataFrame:
+    """clip, check, frame of mask_empty, mask_leak, mask_head_out and, with fragments (clip, frame, share), mask_fragmented."""
+    empty = F.col("box_reliable") & ((F.col("mask_area") == 0) | (F.col("mask_to_box") < least))
+    others = F.size(F.array_remove("head_out", NAMES[0]))
+    fired = {"mask_empty": empty, "mask_leak": F.col("box_reliable") & ~empty & (F.col("outside") > most_outside)}
+    if fragments is not None:
+        torn = fragments.where(F.col("share") >= TORN).select("clip", "frame", F.lit(1).alias("torn")).distinct()
+        measures = measures.join(torn, ["clip", "frame"], "left")
+        fired["mask_fragmented"] = F.col("torn").isNotNull()
+    fired["mask_head_out"] = (F.col("mask_area") > 0) & (F.array_contains("head_out", NAMES[0]) | (others >= sides))
+    return fire(measures, fired)
+
+
+def driving_flags(areas: DataFrame, fragments: DataFrame, posed: bool) -> DataFrame:
+    """clip, check, frame of no_driving_person (no frame of the clip has a mask: nothing else fires), driving_empty (only without a
+    pose) and driving_fragmented. areas: clip, frame, area, frames without a mask included."""
+    some = F.max("area").over(Window.partitionBy("clip")) > 0
+    torn = fragments.where(F.col("share") >= TORN).select("clip", "frame", F.lit(1).alias("torn")).distinct()
+    df = areas.withColumn("some", some).join(torn, ["clip", "frame"], "left")
+    fired = {"no_driving_person": ~F.col("some")}
+    if not posed:
+        fired["driving_empty"] = F.col("some") & (F.col("area") == 0)
+    fired["driving_fragmented"] = F.col("some") & F.col("torn").isNotNull()
+    return fire(df, fired)
+
+
+def combine(pose: DataFrame, mask: DataFrame, shared: list[str]) -> DataFrame:
+    """The measures of both guards frame by frame. It fails where a frame is missing on one side or a shared measure differs."""
+    p, m = pose.withColumn("__p", F.lit(1)), mask.withColumnsRenamed({c: f"__{c}" for c in shared}).withColumn("__m", F.lit(1))
+    df = p.join(m, ["clip", "frame"], "full")
+    fails = [F.when(F.col("__p").isNull() | F.col("__m").isNull(), F.format_string("clip %s frame %d is not in both", F.col("clip").cast("string"), "frame"))]
+    fails += [F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.format_string("clip %s frame %d: both differ on %s", F.col("clip").cast("string"), "frame", F.lit(c))) for c in shared]
+    # the check must not be pruned with a column nobody reads, so it is a filter
+    fine = F.coalesce(*fails).isNull()
+    ok = F.when(fine, True).otherwise(F.raise_error(F.coalesce(*fails)).cast("boolean"))
+    return df.where(ok).drop("__p", "__m", *[f"__{c}" for c in shared])
+
 
+def report(flags: DataFrame, frames: DataFrame, title: str, enabled: set[str], names: DataFrame | None = None) -> DataFrame:
+    """clip, passed, report: a headline and one line a check in the order they first fired (ties: the order of CHECKS).
 
-def report(flags: DataFrame) -> DataFrame:
-    """One line a clip: its checks by descending count (ties: by first frame, then name), each with its frames."""
+    frames: clip and n, its number of frames. Checks that only warn never fail; others fail if enabled, else they are off.
+    names: clip, check, frame, place, name: what a check missed on a frame, counted by name at the line's end."""
+    kind = F.when(F.col("check").isin(*WARNINGS), "warning").when(F.col("check").isin(*enabled), "fail").otherwise("off")
+    order = F.coalesce(*[F.when(F.col("check") == c, k) for k, c in enumerate(CHECKS)])
     text = ranges_text(flags).join(flags.groupBy("clip", "check").agg(F.min("frame").alias("seen")), ["clip", "check"])
-    line = F.format_string("%s x%d (frames %s)", "check", "count", "frames")
-    parts = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "seen", "check", line.alias("line"))))
-    return text.groupBy("clip").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "; ").alias("report"))
+    missed = F.lit("")
+    if names is not None:
+        fired = names.join(flags, ["clip", "check", "frame"], "left_semi")
+        n = fired.groupBy("clip", "check", "name").agg(F.count("*").alias("n"), F.min(F.struct("frame", "place")).alias("at"))
+        parts = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "at", F.format_string("%s x%d", "name", "n").alias("text"))))
+        lines = n.groupBy("clip", "check").agg(F.concat(F.lit(" | missed: "), F.array_join(F.transform(parts, lambda p: p["text"]), ", ")).alias("missed"))
+        text, missed = text.join(lines, ["clip", "check"], "left"), F.coalesce("missed", F.lit(""))
+    line = F.concat(F.format_string("- %s (%s): %d frame(s), longest run %d: %s", "check", kind, "count", "longest", "frames"), missed)
+    lines = F.array_sort(F.collect_list(F.struct("seen", order.alias("order"), line.alias("line"), kind.alias("kind"))))
+    by_clip = text.groupBy("clip").agg(lines.alias("lines"))
+    bad = flags.where(kind == "fail").groupBy("clip").agg(F.countDistinct("check").alias("checks"), F.countDistinct("frame").alias("bad"))
+    df = frames.join(by_clip, "clip", "left").join(bad, "clip", "left")
+    checks = F.coalesce("checks", F.lit(0))
+    head = F.format_string(f"{title}: %s - %d check(s) failed on %d/%d frames", F.when(checks > 0, "FAILED").otherwise("passed"), checks, F.coalesce("bad", F.lit(0)), "n")
+    rest = F.coalesce(F.transform("lines", lambda x: x["line"]), F.expr("CAST(array() AS array<string>)"))
+    return df.select("clip", (checks == 0).alias("passed"), F.array_join(F.concat(F.array(head), rest), "\n").alias("report"))
 
 
 def metrics_json(measures: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FRAME = ["clip", "frame"]
@@ -70,13 +70,98 @@ def suppress_shrunk(px: DataFrame, least: float) -> DataFrame:
     return df.select(*FRAME, "area", F.when(rest >= least * F.col("area"), rest).otherwise(0).alias("kept"))
 
 
-def pooled(px: DataFrame, size: int) -> DataFrame:
-    """Max pooling: the cells that hold a pixel."""
-    return px.select(*FRAME, F.floor(F.col("x") / size).alias("x"), F.floor(F.col("y") / size).alias("y")).distinct()
+def cells(px: DataFrame, width: int, height: int, least: float = 0.5) -> DataFrame:
+    """The cells of the grid that is a sixteenth of the frame, each side rounded up, of which half or more is mask: clip, frame, x, y.
+
+    The frame is halved first: a half-size pixel is on if all it covers are. A cell reads every half-size pixel it touches."""
+    half = px.groupBy(*FRAME, F.floor(F.col("x") / 2).alias("x"), F.floor(F.col("y") / 2).alias("y")).agg(F.count("*").alias("n")).where("n = 4")
+    reach = {}
+    for c, n in (("x", width // 2), ("y", height // 2)):
+        m = n
+        for _ in range(3):
+            m = (m + 1) // 2
+        bounds = [(i * n // m, -(-(i + 1) * n // m)) for i in range(m)]
+        reach[c] = F.array_compact(F.array(*[F.when((F.col(c) >= a) & (F.col(c) < b), F.struct(F.lit(i).cast("long").alias("at"), F.lit(b - a).alias("n"))) for i, (a, b) in enumerate(bounds)]))
+    df = half.select(*FRAME, F.explode(reach["x"]).alias("i"), "y").select(*FRAME, "i", F.explode(reach["y"]).alias("k"))
+    return df.groupBy(*FRAME, F.col("i.at").alias("x"), F.col("k.at").alias("y")).agg(F.count("*").alias("on"), F.first(F.col("i.n") * F.col("k.n")).alias("of")).where(F.col("on") >= least * F.col("of")).select(*PIXEL)
+
+
+def keypoint_recall(px: DataFrame, points: DataFrame, width: int, height: int, least: float = 0.5) -> DataFrame:
+    """clip, frame, recall: the share of a frame's sure points (clip, frame, x, y, c) that its mask holds; 1 with no sure point.
+    Points off the frame are moved to its edge."""
+    place = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(c))).cast("long")
+    on = points.select(*FRAME, place("x", width).alias("x"), place("y", height).alias("y"), (F.col("c") >= least).alias("sure"))
+    hit = on.join(px.select(*PIXEL).distinct().withColumn("hit", F.lit(1.0)), PIXEL, "left")
+    return hit.groupBy(*FRAME).agg(F.coalesce(F.avg(F.when(F.col("sure"), F.coalesce("hit", F.lit(0.0)))), F.lit(1.0)).alias("recall"))
+
+
+def paint(pixels: DataFrame, px: DataFrame, colour: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Colour pixels (clip, frame, x, y, r, g, b, ...) with those of the mask in one colour, the rest unchanged."""
+    df = pixels.join(px.select(*PIXEL).distinct().withColumn("__on", F.lit(True)), PIXEL, "left")
+    return df.withColumns({c: F.when(F.col("__on"), v).otherwise(F.col(c)) for c, v in zip("rgb", colour, strict=True)}).drop("__on")
+
+
+def convention(pixels: DataFrame, width: int, height: int, modes: dict[str, str]) -> DataFrame:
+    """clip, mode: which way a coloured mask (clip, x, y, r, g, b of its first frame) was drawn, read from the frame's border: the
+    mode whose background (white or black) most of the border has; null if neither has most."""
+    border = pixels.where((F.col("x") == 0) | (F.col("x") == width - 1) | (F.col("y") == 0) | (F.col("y") == height - 1))
+    share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
+    white, black = share(F.least("r", "g", "b") > 225.0 / 255.0), share(F.greatest("r", "g", "b") <= 0.1)
+    named = {colour: mode for mode, colour in modes.items()}
+    return border.groupBy("clip").agg(F.when(white > 0.5, named["white"]).when(black > 0.5, named["black"]).alias("mode"))
+
+
+def clean(px: DataFrame, width: int, height: int, hole: float = 0.01, island: float = 0.01) -> DataFrame:
+    """px with small enclosed holes filled (up to this share of the mask) and then pieces dropped that are under this share of the
+    largest. Holes connect by sides, pieces also by corners. One frame is one Arrow table, bounded by its size."""
+
+    def regions(mask: np.ndarray, diagonal: bool) -> tuple[np.ndarray, int]:
+        label, n = np.zeros(mask.shape, np.int64), 0
+        steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
+        for start in zip(*np.nonzero(mask), strict=True):
+            if label[start]:
+                continue
+            n += 1
+            label[start], stack = n, [start]
+            while stack:
+                y, x = stack.pop()
+                for dy, dx in steps:
+                    q = (y + dy, x + dx)
+                    if 0 <= q[0] < height and 0 <= q[1] < width and mask[q] and not label[q]:
+                        label[q] = n
+                        stack.append(q)
+        return label, n
+
+    def tidy(pdf: pd.DataFrame) -> pd.DataFrame:
+        mask = np.zeros((height, width), bool)
+        mask[pdf["y"], pdf["x"]] = True
+        limit = hole * mask.sum()
+        label, n = regions(~mask, False)
+        edge = set(np.concatenate([label[0], label[-1], label[:, 0], label[:, -1]]))
+        size = np.bincount(label.ravel(), minlength=n + 1)
+        if n > 1:
+            mask |= np.isin(label, [i for i in range(1, n + 1) if i not in edge and size[i] <= limit])
+        label, n = regions(mask, True)
+        size = np.bincount(label.ravel(), minlength=n + 1)
+        size[0] = 0
+        y, x = np.nonzero(mask & (size[label] >= island * size.max()))
+        return pd.DataFrame({"clip": pdf["clip"].iloc[0], "frame": pdf["frame"].iloc[0], "x": x, "y": y})
+
+    return px.select(*PIXEL).groupBy(*FRAME).applyInPandas(tidy, "clip long, frame long, x long, y long")
+
+
+def fragments(px: DataFrame, width: int, height: int, least: float = 0.01) -> DataFrame:
+    """clip, frame, share: pieces detached from the largest one, as shares of it. A piece that runs off a side of the frame which the
+    largest runs off too is a part of it."""
+    sides = F.array_compact(F.array(F.when(F.col("x0") == 0, 0), F.when(F.col("y0") == 0, 1), F.when(F.col("x1") == width, 2), F.when(F.col("y1") == height, 3)))
+    all_ = pieces(px, diagonal=True).select(*FRAME, "piece", "area", sides.alias("sides"))
+    first = Window.partitionBy(*FRAME).orderBy("piece")
+    df = all_.select(*FRAME, "piece", "sides", F.first("sides").over(first).alias("of"), (F.col("area") / F.first("area").over(first)).alias("share"))
+    return df.where((F.col("piece") > 0) & ~F.arrays_overlap("sides", "of")).select(*FRAME, F.round("share", 4).alias("share")).where(F.col("share") >= least)
 
 
 def pieces(px: DataFrame, diagonal: bool = False) -> DataFrame:
-    """clip, frame, piece, area, x0, y0: connected pieces, largest first (ties: first in scan order). A frame's pixels are
+    """clip, frame, piece, area, x0, y0, x1, y1 (ends exclusive): connected pieces, largest first (ties: first in scan order). A frame's pixels are
     bounded by its size, so a group is a bounded Arrow table."""
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -97,8 +182,8 @@ def pieces(px: DataFrame, diagonal: bool = False) -> DataFrame:
                     r, s = find(i), find(place[q])
                     root[max(r, s)] = min(r, s)
         top = np.array([find(i) for i in range(len(x))])
-        g = pd.DataFrame({"root": top, "x": x, "y": y}).groupby("root").agg(area=("x", "size"), x0=("x", "min"), y0=("y", "min")).reset_index()
+        g = pd.DataFrame({"root": top, "x": x, "y": y}).groupby("root").agg(area=("x", "size"), x0=("x", "min"), y0=("y", "min"), x1=("x", "max"), y1=("y", "max")).reset_index()
         g = g.sort_values(["area", "root"], ascending=[False, True]).reset_index(drop=True)
-        return pd.DataFrame({"clip": pdf["clip"].iloc[0], "frame": pdf["frame"].iloc[0], "piece": g.index, "area": g["area"], "x0": g["x0"], "y0": g["y0"]})
+        return pd.DataFrame({"clip": pdf["clip"].iloc[0], "frame": pdf["frame"].iloc[0], "piece": g.index, "area": g["area"], "x0": g["x0"], "y0": g["y0"], "x1": g["x1"] + 1, "y1": g["y1"] + 1})
 
-    return px.groupBy(*FRAME).applyInPandas(label, "clip long, frame long, piece long, area long, x0 long, y0 long")
+    return px.groupBy(*FRAME).applyInPandas(label, "clip long, frame long, piece long, area long, x0 long, y0 long, x1 long, y1 long")

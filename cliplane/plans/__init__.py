@@ -1 +1,5 @@
+"""The query catalogue; the guard queries add themselves to it."""
 
+from cliplane.plans import catalog, guard_catalog
+
+__all__ = ["catalog", "guard_catalog"]

@@ -272,13 +272,6 @@ def guard_pose_flags(spark, d):
     return guards.pose_flags(_measures(spark, d))
 
 
-@query(_FLAGS + """, r AS (SELECT clip, "check", min(frame) AS first, max(frame) AS last, count(*) AS n FROM (SELECT *, frame - row_number() OVER (PARTITION BY clip, "check" ORDER BY frame) AS g FROM fl) GROUP BY clip, "check", g),
-tx AS (SELECT clip, "check", sum(n)::BIGINT AS n, min(first) AS seen, string_agg(CASE WHEN first = last THEN first::VARCHAR ELSE first || '-' || last END, ', ' ORDER BY first) AS frames FROM r GROUP BY clip, "check")
-SELECT clip, string_agg("check" || ' x' || n || ' (frames ' || frames || ')', '; ' ORDER BY n DESC, seen, "check") AS report FROM tx GROUP BY clip""")
-def guard_report(spark, d):
-    return guards.report(guards.pose_flags(_measures(spark, d)))
-
-
 @query()
 def guard_metrics_json(spark, d):
     return guards.metrics_json(rounded(_measures(spark, d), "box_iou_prev", "torso_jump"), ["box_iou_prev", "torso_jump"])
@@ -378,11 +371,6 @@ def mask_suppress_shrunk(spark, d):
     return masks.suppress_shrunk(v.mask_px(spark, d), 0.9)
 
 
-@query(f"WITH {v.MASK_SQL} SELECT DISTINCT clip, frame, x // 8 AS x, y // 8 AS y FROM px")
-def mask_cells(spark, d):
-    return masks.pooled(v.mask_px(spark, d), 8)
-
-
 @query()
 def mask_pieces(spark, d):
     return masks.pieces(v.mask_px(spark, d))

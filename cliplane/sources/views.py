@@ -36,6 +36,19 @@ def pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").cast("long").alias("clip"), frame.alias("frame"), F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), point).alias("body"), F.col("embedding").alias("e"))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pose, with left_hand, right_hand (the left one moved aside, with other confidences) and face."""
+    e = table(spark, sf_dir, "embeddings")
+    frame = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long") - 1
+    at = lambda j, k, start=0: F.element_at("embedding", (j * 3 + start) % 64 + k).cast("double")
+    aside = (F.col("vec_id") % 5) * 0.2
+    left = lambda j: F.struct(((0.5 + at(j, 1)) * WIDTH).alias("x"), ((0.5 + at(j, 2)) * HEIGHT).alias("y"), (0.5 + 2 * at(j, 3)).alias("c"))
+    right = lambda j: F.struct(((0.5 + at(j, 1) + aside) * WIDTH).alias("x"), ((0.5 + at(j, 2)) * HEIGHT).alias("y"), (0.5 + 2 * at(j, 2)).alias("c"))
+    face = lambda j: F.struct(((0.5 + at(j, 1)) * WIDTH).alias("x"), ((0.5 + at(j, 1, 1)) * HEIGHT).alias("y"), (0.85 + 2 * at(j, 1, 2)).alias("c"))
+    some = lambda n, f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
+    return e.select(F.col("label").cast("long").alias("clip"), frame.alias("frame"), some(POINTS, left).alias("body"), some(21, left).alias("left_hand"), some(21, right).alias("right_hand"), some(69, face).alias("face"), some(70, face).alias("points"))
+
+
 def mask_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip, frame, x, y of set pixels."""
     return table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 4 AS clip", "l_orderkey % 64 AS frame", "l_partkey % 48 AS x", "CAST(l_quantity AS BIGINT) - 1 AS y").distinct()
@@ -83,3 +96,7 @@ RUN_SQL = "req AS (SELECT o_orderkey AS video_id, (o_orderkey % 900 + 1)::BIGINT
 VIDEO_SQL = """video AS (SELECT p_partkey AS video_id, (320 + 16 * p_size)::BIGINT AS width, (240 + 24 * (p_partkey % 40))::BIGINT AS height, ([24e0, 25e0, 30e0, 29.97e0, 23.976e0, 60e0])[(p_partkey % 6)::INT + 1] AS fps,
   (60 + p_partkey % 900)::BIGINT AS frames, ([16e0, 24e0, 30e0])[(p_partkey % 3)::INT + 1] AS rate FROM part)"""
 RGB_SQL = "rgb AS (SELECT l_returnflag AS clip, l_orderkey AS frame, l_linenumber AS x, l_partkey AS y, l_quantity / 50e0 AS r, l_discount * 10e0 AS g, l_tax * 12.5e0 AS b, l_linenumber / 7e0 AS weight FROM lineitem)"
+_FRAMES = "SELECT vec_id, label::BIGINT AS clip, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::BIGINT AS frame, embedding AS e FROM embeddings"
+HANDS_SQL = f"""hands AS (SELECT clip, frame, j, (0.5e0 + e[3 * j + 1]::DOUBLE) * 1280 AS lx, (0.5e0 + e[3 * j + 2]::DOUBLE) * 720 AS ly, 0.5e0 + 2 * e[3 * j + 3]::DOUBLE AS lc,
+  (0.5e0 + e[3 * j + 1]::DOUBLE + (vec_id % 5) * 0.2e0) * 1280 AS rx, (0.5e0 + e[3 * j + 2]::DOUBLE) * 720 AS ry, 0.5e0 + 2 * e[3 * j + 2]::DOUBLE AS rc FROM ({_FRAMES}), range(21) t(j))"""
+FACE_SQL = f"""face AS (SELECT clip, frame, j, (0.5e0 + e[3 * j % 64 + 1]::DOUBLE) * 1280 AS x, (0.5e0 + e[(3 * j + 1) % 64 + 1]::DOUBLE) * 720 AS y, 0.85e0 + 2 * e[(3 * j + 2) % 64 + 1]::DOUBLE AS c FROM ({_FRAMES}), range(70) t(j))"""
