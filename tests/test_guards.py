@@ -101,3 +101,20 @@ def test_whole_body_places():
     places = draw.whole_from_70()
     assert len(places) == 133 and places[23:91] == [None] * 68
     assert [places[k] for k in (9, 10, 11, 22, 91, 92, 95, 111, 112, 113, 132)] == [62, 41, 9, 20, 62, 45, 42, 58, 41, 24, 37]
+
+
+def test_suppression_is_greedy(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, int(s), i, float(x), float(y), float(x + 40), float(y + 40), float(p)) for i, (s, x, y, p) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(0, 60, 60), rng.integers(0, 60, 60), rng.random(60), strict=True))]
+    df = spark.createDataFrame(rows, "clip long, slot int, event_id int, x1 double, y1 double, x2 double, y2 double, score double")
+
+    def overlap(a, b):
+        wide, high = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+        inter = max(0, wide) * max(0, high)
+        return inter / (3200 - inter)
+
+    kept = []
+    for r in sorted(rows, key=lambda r: -r[7]):
+        if all(k[1] != r[1] or overlap(k, r) <= 0.5 for k in kept):
+            kept.append(r)
+    assert {r["event_id"] for r in boxes.suppress(df).collect()} == {r[2] for r in kept}
