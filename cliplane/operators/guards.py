@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplane.operators.boxes import in_frame
+from cliplane.operators.masks import cut_margins, placed
 from cliplane.operators.pose import DRAW, NAMES, at, drawn
 
 #: The checks in the order of reports, those that only warn, the head's points, and the share of a second piece.
@@ -64,8 +65,9 @@ def mask_measures(frames: DataFrame, px: DataFrame, width: int, height: int, thr
                      F.when(F.col("__area") > 0, (F.col("__area") - F.col("__inside")) / F.col("__area")).otherwise(0.0).alias("outside"), out.alias("head_out"))
 
 
-def mask_flags(measures: DataFrame, fragments: DataFrame | None = None, least: float = 0.15, most_outside: float = 0.10, sides: int = 2) -> DataFrame:
-    """clip, check, frame of mask_empty, mask_leak, mask_head_out and, with fragments (clip, frame, share), mask_fragmented."""
+def mask_flags(measures: DataFrame, fragments: DataFrame | None = None, least: float = 0.15, most_outside: float = 0.10, sides: int = 2, limbs: DataFrame | None = None, losses: DataFrame | None = None) -> DataFrame:
+    """clip, check, frame of mask_empty, mask_leak, mask_head_out and, with fragments (clip, frame, share), limbs (clip, frame, limbs) or
+    losses (clip, frame, mask_loss), mask_fragmented, mask_limb_out and mask_loss. A frame without a mask has no checks but mask_empty."""
     empty = F.col("box_reliable") & ((F.col("mask_area") == 0) | (F.col("mask_to_box") < least))
     others = F.size(F.array_remove("head_out", NAMES[0]))
     fired = {"mask_empty": empty, "mask_leak": F.col("box_reliable") & ~empty & (F.col("outside") > most_outside)}
@@ -74,6 +76,13 @@ def mask_flags(measures: DataFrame, fragments: DataFrame | None = None, least: f
         measures = measures.join(torn, ["clip", "frame"], "left")
         fired["mask_fragmented"] = F.col("torn").isNotNull()
     fired["mask_head_out"] = (F.col("mask_area") > 0) & (F.array_contains("head_out", NAMES[0]) | (others >= sides))
+    if limbs is not None:
+        out = limbs.where(F.size("limbs") > 0).select("clip", "frame", F.lit(1).alias("__limb")).distinct()
+        measures = measures.join(out, ["clip", "frame"], "left")
+        fired["mask_limb_out"] = (F.col("mask_area") > 0) & F.col("__limb").isNotNull()
+    if losses is not None:
+        measures = measures.join(losses.where("mask_loss > 0").select("clip", "frame", F.lit(1).alias("__loss")).distinct(), ["clip", "frame"], "left")
+        fired["mask_loss"] = (F.col("mask_area") > 0) & F.col("__loss").isNotNull()
     return fire(measures, fired)
 
 
@@ -132,3 +141,39 @@ def metrics_json(measures: DataFrame, columns: list[str]) -> DataFrame:
     """Each frame's record as JSON, nulls included, collected by clip in order of frames."""
     one = F.to_json(F.struct("frame", *columns), {"ignoreNullFields": "false"})
     return measures.select("clip", "frame", one.alias("record"))
+
+
+def reference_fit(reference: DataFrame, image: tuple[int, int], first: DataFrame, size: tuple[int, int], least: float = 0.4) -> DataFrame:
+    """clip, area, cropped, iou, scale, flags: how a character on a reference image (clip, x, y) fits the first frame's mask (clip, x, y)
+    once it is cut and resized to the frame. area is its share of the image, cropped the share of it that the cut takes, iou and scale
+    (of heights) compare it with the mask; they are null where either is empty. An iou under least is reference_misaligned.
+
+    Clips of either side have a row; a clip without a character has area 0."""
+    pick = lambda df: df.select("clip", F.lit(0).cast("long").alias("frame"), "x", "y").distinct()
+    own, other = pick(reference), pick(first)
+    put = placed(own, image, size)
+    cut = _cut(own, image, size).groupBy("clip").agg(F.count("*").alias("kept"))
+    high = lambda df, name: df.groupBy("clip").agg(F.count("*").alias(name), (F.max("y") - F.min("y") + 1).alias(f"{name}_high"))
+    common = put.join(other, ["clip", "frame", "x", "y"]).groupBy("clip").agg(F.count("*").alias("common"))
+    df = own.select("clip").union(other.select("clip")).distinct()
+    for part in (high(own, "own"), cut, high(put, "put"), high(other, "other"), common):
+        df = df.join(part, "clip", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    iou = F.when(F.col("put").isNotNull() & F.col("other").isNotNull(), n("common") / (F.col("put") + F.col("other") - n("common")))
+    return df.select("clip", (n("own") / (image[0] * image[1])).alias("area"), F.when(n("own") > 0, 1 - n("kept") / F.col("own")).otherwise(0.0).alias("cropped"), iou.alias("iou"),
+                     (F.col("put_high") / F.col("other_high")).alias("scale"), F.when(iou < least, F.array(F.lit("reference_misaligned"))).otherwise(F.expr("CAST(array() AS array<string>)")).alias("flags"))
+
+
+def _cut(px: DataFrame, image: tuple[int, int], size: tuple[int, int]) -> DataFrame:
+    x, y = cut_margins(image, size)
+    return px.where((F.col("x") >= x) & (F.col("x") < image[0] - x) & (F.col("y") >= y) & (F.col("y") < image[1] - y))
+
+
+def reference_line(record: DataFrame, enabled: set[str]) -> DataFrame:
+    """clip, report: the measures of reference_fit as a line, and one line a flag."""
+    value = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("n/a"))
+    val = lambda c: F.when(F.col(c).isNull(), "n/a").otherwise(value(F.col(c)))
+    line = F.concat(F.lit("reference image: area "), val("area"), F.lit(", cropped "), val("cropped"), F.lit(", IoU with mask frame 0 "), val("iou"), F.lit(", scale vs mask frame 0 "), val("scale"))
+    kind = lambda f: F.when(f.isin(*WARNINGS), "warning").when(f.isin(*enabled), "fail").otherwise("off")
+    rest = F.transform("flags", lambda f: F.concat(F.lit("- "), f, F.lit(" ("), kind(f), F.lit(")")))
+    return record.select("clip", F.array_join(F.concat(F.array(line), rest), "\n").alias("report"))

@@ -111,27 +111,42 @@ def convention(pixels: DataFrame, width: int, height: int, modes: dict[str, str]
     return border.groupBy("clip").agg(F.when(white > 0.5, named["white"]).when(black > 0.5, named["black"]).alias("mode"))
 
 
+def regions(mask: np.ndarray, diagonal: bool) -> tuple[np.ndarray, int]:
+    """Labels 1..n of a frame's connected regions, numbered in scan order, and n. The runs of each row are joined with those of the row
+    above, so the work in Python grows with the runs and not with the pixels."""
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1]
+    root = list(range(len(row)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    start, more = np.searchsorted(row, np.arange(mask.shape[0] + 1)), int(diagonal)
+    for y in range(1, mask.shape[0]):
+        i, above, k, here = start[y - 1], start[y], start[y], start[y + 1]
+        while i < above and k < here:
+            if first[i] < last[k] + more and first[k] < last[i] + more:
+                r, t = find(i), find(k)
+                root[max(r, t)] = min(r, t)
+            if last[i] < last[k]:
+                i += 1
+            else:
+                k += 1
+    top, number = np.unique([find(i) for i in range(len(row))], return_inverse=True) if len(row) else (np.array([]), np.array([], int))
+    label = np.zeros(mask.shape, np.int64)
+    for y, x0, x1, n in zip(row, first, last, number, strict=True):
+        label[y, x0:x1] = n + 1
+    return label, len(top)
+
+
 def clean(px: DataFrame, width: int, height: int, hole: float = 0.01, island: float = 0.01) -> DataFrame:
     """px with small enclosed holes filled (up to this share of the mask) and then pieces dropped that are under this share of the
     largest. Holes connect by sides, pieces also by corners. One frame is one Arrow table, bounded by its size."""
 
-    def regions(mask: np.ndarray, diagonal: bool) -> tuple[np.ndarray, int]:
-        label, n = np.zeros(mask.shape, np.int64), 0
-        steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
-        for start in zip(*np.nonzero(mask), strict=True):
-            if label[start]:
-                continue
-            n += 1
-            label[start], stack = n, [start]
-            while stack:
-                y, x = stack.pop()
-                for dy, dx in steps:
-                    q = (y + dy, x + dx)
-                    if 0 <= q[0] < height and 0 <= q[1] < width and mask[q] and not label[q]:
-                        label[q] = n
-                        stack.append(q)
-        return label, n
-
     def tidy(pdf: pd.DataFrame) -> pd.DataFrame:
         mask = np.zeros((height, width), bool)
         mask[pdf["y"], pdf["x"]] = True
@@ -187,3 +202,41 @@ def pieces(px: DataFrame, diagonal: bool = False) -> DataFrame:
         return pd.DataFrame({"clip": pdf["clip"].iloc[0], "frame": pdf["frame"].iloc[0], "piece": g.index, "area": g["area"], "x0": g["x0"], "y0": g["y0"], "x1": g["x1"] + 1, "y1": g["y1"] + 1})
 
     return px.groupBy(*FRAME).applyInPandas(label, "clip long, frame long, piece long, area long, x0 long, y0 long, x1 long, y1 long")
+
+
+def cut_margins(image: tuple[int, int], size: tuple[int, int]) -> tuple[int, int]:
+    """What a cut about the centre to the aspect of size takes from each side of an image, across and down."""
+    (w, h), old, new = image, image[0] / image[1], size[0] / size[1]
+    return round((w - w * (new / old)) / 2) if old > new else 0, round((h - h * (old / new)) / 2) if old < new else 0
+
+
+def placed(px: DataFrame, image: tuple[int, int], size: tuple[int, int]) -> DataFrame:
+    """px of an image cut to size's aspect about its centre and resized to size, each pixel taking that under its middle."""
+    cut = dict(zip("xy", cut_margins(image, size), strict=True))
+    out = {}
+    for c, n, to in (("x", image[0], size[0]), ("y", image[1], size[1])):
+        side = n - 2 * cut[c]
+        at = lambda v: F.ceil((v * to) / side - 0.5)  # noqa: B023, E731
+        first, last = at(F.col(c) - cut[c]), at(F.col(c) - cut[c] + 1) - 1
+        keep = (F.col(c) >= cut[c]) & (F.col(c) < n - cut[c]) & (first <= last)
+        out[c] = F.when(keep, F.sequence(first, F.when(keep, last).otherwise(first)))
+    df = px.select(*FRAME, F.explode(out["x"]).alias("i"), out["y"].alias("k"))
+    return df.select(*FRAME, F.col("i").alias("x"), F.explode("k").alias("y"))
+
+
+def window(px: DataFrame, size: tuple[int, int], frames: DataFrame, first: int, length: int) -> DataFrame:
+    """clip, out, x, y: the pixels that are on in frames first to first + length of a mask video; frames past its end are on all over.
+    frames: clip and n, its number of frames; a video of one frame is repeated; one that ends before first gives no rows."""
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))).alias("out")
+    want = frames.where((F.col("n") == 1) | (F.col("n") > first)).select("clip", "n", steps)
+    want = want.withColumn("frame", F.when(F.col("n") == 1, 0).otherwise(F.col("out") + first))
+    line = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    past = want.where(F.col("frame") >= F.col("n")).select("clip", "out", line(size[0]).alias("x")).select("clip", "out", "x", line(size[1]).alias("y"))
+    return want.where(F.col("frame") < F.col("n")).join(px.select(*PIXEL), FRAME).select("clip", "out", "x", "y").unionByName(past)
+
+
+def latent_rows(px: DataFrame, seeds: int) -> DataFrame:
+    """clip, row, x, y of a window's mask (clip, out, x, y): the first frames are known and so off, and frame 0 stands four times."""
+    known = px.where(F.col("out") >= seeds)
+    rows = F.when(F.col("out") == 0, F.array(*[F.lit(k).cast("long") for k in range(4)])).otherwise(F.array(F.col("out") + 3))
+    return known.select("clip", F.explode(rows).alias("row"), "x", "y")

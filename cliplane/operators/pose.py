@@ -14,7 +14,7 @@ from cliplane.operators.boxes import by_frame
 NAMES = ["nose", "neck", "r_shoulder", "r_elbow", "r_wrist", "l_shoulder", "l_elbow", "l_wrist", "r_hip", "r_knee", "r_ankle", "l_hip", "l_knee", "l_ankle", "r_eye", "l_eye", "r_ear", "l_ear", "l_foot", "r_foot"]
 LIMBS = [(1, 2), (1, 5), (2, 3), (3, 4), (5, 6), (6, 7), (1, 8), (8, 9), (9, 10), (1, 11), (11, 12), (12, 13), (1, 0), (0, 14), (14, 16), (0, 15), (15, 17), (13, 18), (10, 19)]
 TORSO = [1, 2, 5, 8, 11]
-LIMB_ENDS = [3, 4, 6, 7, 9, 10, 12, 13]
+LIMB_ENDS = [3, 4, 6, 7, 9, 10, 12, 13, 18, 19]
 ARMS = {"left": (6, 7), "right": (3, 4)}
 DRAW, LIMB_WIDTH, MIRROR, SPIKE_BACK = 0.5, 0.25, 0.2, 3
 

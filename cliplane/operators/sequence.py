@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -139,3 +140,44 @@ def face_window(boxes: DataFrame, image: tuple[int, int], size: tuple[int, int],
     inside = lambda start, side, limit: F.least(F.greatest(start, F.least(F.lit(0.0), limit - side)), F.greatest(F.lit(0.0), limit - side))
     out = {"x": inside(x, w, image[0]), "y": inside(y, h, image[1]), "w": w, "h": h}
     return boxes.select("clip", "frame", *[c.cast("long").alias(k) for k, c in out.items()], used.alias("used"))
+
+
+def udp_crop(boxes: DataFrame, size: tuple[int, int] = (768, 1024), padding: float = 1.25) -> DataFrame:
+    """clip, frame, cx, cy, sx, sy, ax, bx, ay, by: centre and sides of the padded crop with size's aspect around a box, and the map
+    from frame to crop pixels (x * ax + bx, y * ay + by), which takes the crop's corners to the middles of the corner pixels."""
+    w, h = (F.col("x2") - F.col("x1")) * padding, (F.col("y2") - F.col("y1")) * padding
+    aspect = size[0] / size[1]
+    wide = w > h * aspect
+    df = boxes.select("clip", "frame", ((F.col("x1") + F.col("x2")) * 0.5).alias("cx"), ((F.col("y1") + F.col("y2")) * 0.5).alias("cy"), F.when(wide, w).otherwise(h * aspect).alias("sx"), F.when(wide, w / aspect).otherwise(h).alias("sy"))
+    df = df.withColumns({"ax": F.try_divide(F.lit(size[0] - 1.0), "sx"), "ay": F.try_divide(F.lit(size[1] - 1.0), "sy")})
+    return df.withColumns({"bx": F.col("ax") * (0.5 * F.col("sx") - F.col("cx")), "by": F.col("ay") * (0.5 * F.col("sy") - F.col("cy"))})
+
+
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its power series on the side of the middle where that closes fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > 0.5:
+        return 1.0 - beta_share(1.0 - x, b, a)
+    term, total = 1.0, 1.0 / a
+    for n in range(1, 200):
+        term *= (n - b) / n * x
+        total += term / (a + n)
+    return math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) * x**a * total
+
+
+def beta_sigmas(steps: int, shift: float, denoise: float = 1.0, alpha: float = 0.6, beta: float = 0.6) -> list[float]:
+    """Noise levels of a sampler: quantiles of the beta distribution between 1 and a thousandth that is shifted twice, then 0; with
+    denoise under 1 the end of a longer schedule."""
+    total = int(steps / denoise) if 0 < denoise < 1 else steps
+    least = 1 / 1000
+    for _ in range(2):
+        least = shift * least / (1 + (shift - 1) * least)
+    levels = []
+    for k in range(total):
+        q, lo, hi = 1 - k / (total - 1) if total > 1 else 1.0, 0.0, 1.0
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if beta_share(mid, alpha, beta) < q else (lo, mid)
+        levels.append(least + hi * (1 - least))
+    return [*levels, 0.0][-(steps + 1) :]

@@ -277,7 +277,7 @@ def guard_metrics_json(spark, d):
     return guards.metrics_json(rounded(_measures(spark, d), "box_iou_prev", "torso_jump"), ["box_iou_prev", "torso_jump"])
 
 
-@query(f"""WITH {v.KP_SQL}, k AS (SELECT *, {_ON} AS on_ FROM kp WHERE j IN (3, 4, 6, 7, 9, 10, 12, 13)),
+@query(f"""WITH {v.KP_SQL}, k AS (SELECT *, {_ON} AS on_ FROM kp WHERE j IN (3, 4, 6, 7, 9, 10, 12, 13, 18, 19)),
 s AS (SELECT a.clip, a.j, a.frame, min(b.frame - a.frame) AS back FROM k a JOIN k p ON p.clip = a.clip AND p.j = a.j AND p.frame = a.frame - 1 JOIN k b ON b.clip = a.clip AND b.j = a.j AND b.frame BETWEEN a.frame + 1 AND a.frame + 3
   WHERE a.on_ AND p.on_ AND b.on_ AND sqrt(power(a.x - p.x, 2) + power(a.y - p.y, 2)) > 0.08e0 * 720 AND sqrt(power(b.x - p.x, 2) + power(b.y - p.y, 2)) < 0.08e0 * 720 / 2 GROUP BY 1, 2, 3)
 SELECT DISTINCT clip, unnest(range(frame, frame + back)) AS frame, j::BIGINT AS keypoint FROM s""")

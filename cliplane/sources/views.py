@@ -54,6 +54,23 @@ def mask_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 4 AS clip", "l_orderkey % 64 AS frame", "l_partkey % 48 AS x", "CAST(l_quantity AS BIGINT) - 1 AS y").distinct()
 
 
+def figure_px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip, frame, x, y of a solid figure on a 32 x 24 canvas for each event of a user: a body whose hand is away on some frames."""
+    e = table(spark, sf_dir, "events")
+    frame = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    line = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    px = e.select(F.col("user_id").alias("clip"), frame.alias("frame"), line(22).alias("x")).select("clip", "frame", "x", line(20).alias("y"))
+    hand = F.col("x").between(10, 21) & F.col("y").between(2, 13) & ~((F.col("frame") + F.col("clip")) % 13).isin(5, 6)
+    return px.where(F.col("x").between(2, 9) | hand)
+
+
+def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip, frame, detection, track, score, overlap: detections of a frame by falling score, and their overlap with three tracks."""
+    e = table(spark, sf_dir, "events").selectExpr("user_id % 10 AS clip", "event_id % 50 AS frame", "event_id", "value / 490 AS score", "explode(array(0L, 1L, 2L)) AS track")
+    place = F.row_number().over(Window.partitionBy("clip", "frame", "track").orderBy(F.desc("score"), "event_id")).cast("long") - 1
+    return e.select("clip", "frame", place.alias("detection"), "track", "score", (F.col("event_id") * (F.col("track") + 3) * 7 % 100 / F.lit(99.0)).alias("overlap"))
+
+
 def run_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS video_id", "CAST(o_orderkey % 900 + 1 AS BIGINT) AS total_frames", "CAST(9 + 4 * (o_custkey % 19) AS BIGINT) AS frames_per_chunk", "CAST(element_at(array(0, 1, 5), CAST(o_orderkey % 3 AS INT) + 1) AS BIGINT) AS overlap"
@@ -100,3 +117,5 @@ _FRAMES = "SELECT vec_id, label::BIGINT AS clip, (row_number() OVER (PARTITION B
 HANDS_SQL = f"""hands AS (SELECT clip, frame, j, (0.5e0 + e[3 * j + 1]::DOUBLE) * 1280 AS lx, (0.5e0 + e[3 * j + 2]::DOUBLE) * 720 AS ly, 0.5e0 + 2 * e[3 * j + 3]::DOUBLE AS lc,
   (0.5e0 + e[3 * j + 1]::DOUBLE + (vec_id % 5) * 0.2e0) * 1280 AS rx, (0.5e0 + e[3 * j + 2]::DOUBLE) * 720 AS ry, 0.5e0 + 2 * e[3 * j + 2]::DOUBLE AS rc FROM ({_FRAMES}), range(21) t(j))"""
 FACE_SQL = f"""face AS (SELECT clip, frame, j, (0.5e0 + e[3 * j % 64 + 1]::DOUBLE) * 1280 AS x, (0.5e0 + e[(3 * j + 1) % 64 + 1]::DOUBLE) * 720 AS y, 0.85e0 + 2 * e[(3 * j + 2) % 64 + 1]::DOUBLE AS c FROM ({_FRAMES}), range(70) t(j))"""
+OVERLAP_SQL = """ov AS (SELECT user_id % 10 AS clip, event_id % 50 AS frame, (row_number() OVER (PARTITION BY user_id % 10, event_id % 50, track ORDER BY value / 490 DESC, event_id) - 1)::BIGINT AS detection, track, value / 490 AS score,
+  (event_id * (track + 3) * 7 % 100) / 99e0 AS overlap FROM events, range(3) t(track))"""
