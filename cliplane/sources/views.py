@@ -59,7 +59,8 @@ def figure_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     frame = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
     line = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    px = e.select(F.col("user_id").alias("clip"), frame.alias("frame"), line(22).alias("x")).select("clip", "frame", "x", line(20).alias("y"))
+    numbered = e.select(F.col("user_id").alias("clip"), frame.alias("frame"))  # before the explode, which a window would count
+    px = numbered.select("clip", "frame", line(22).alias("x")).select("clip", "frame", "x", line(20).alias("y"))
     hand = F.col("x").between(10, 21) & F.col("y").between(2, 13) & ~((F.col("frame") + F.col("clip")) % 13).isin(5, 6)
     return px.where(F.col("x").between(2, 9) | hand)
 
