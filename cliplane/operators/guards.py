@@ -65,9 +65,10 @@ def mask_measures(frames: DataFrame, px: DataFrame, width: int, height: int, thr
                      F.when(F.col("__area") > 0, (F.col("__area") - F.col("__inside")) / F.col("__area")).otherwise(0.0).alias("outside"), out.alias("head_out"))
 
 
-def mask_flags(measures: DataFrame, fragments: DataFrame | None = None, least: float = 0.15, most_outside: float = 0.10, sides: int = 2, limbs: DataFrame | None = None, losses: DataFrame | None = None) -> DataFrame:
-    """clip, check, frame of mask_empty, mask_leak, mask_head_out and, with fragments (clip, frame, share), limbs (clip, frame, limbs) or
-    losses (clip, frame, mask_loss), mask_fragmented, mask_limb_out and mask_loss. A frame without a mask has no checks but mask_empty."""
+def mask_flags(measures: DataFrame, fragments: DataFrame | None = None, least: float = 0.15, most_outside: float = 0.10, sides: int = 2, limbs: DataFrame | None = None, losses: DataFrame | None = None, leaks: DataFrame | None = None, most_leak: float = 0.03) -> DataFrame:
+    """clip, check, frame of mask_empty, mask_leak, mask_head_out and, with fragments (clip, frame, share), limbs (clip, frame, limbs),
+    losses (clip, frame, mask_loss) or leaks (clip, frame, attached_leak), mask_fragmented, mask_limb_out, mask_loss and
+    mask_attached_leak. A frame without a mask has no checks but mask_empty."""
     empty = F.col("box_reliable") & ((F.col("mask_area") == 0) | (F.col("mask_to_box") < least))
     others = F.size(F.array_remove("head_out", NAMES[0]))
     fired = {"mask_empty": empty, "mask_leak": F.col("box_reliable") & ~empty & (F.col("outside") > most_outside)}
@@ -76,6 +77,9 @@ def mask_flags(measures: DataFrame, fragments: DataFrame | None = None, least: f
         measures = measures.join(torn, ["clip", "frame"], "left")
         fired["mask_fragmented"] = F.col("torn").isNotNull()
     fired["mask_head_out"] = (F.col("mask_area") > 0) & (F.array_contains("head_out", NAMES[0]) | (others >= sides))
+    if leaks is not None:
+        measures = measures.join(leaks.where(F.col("attached_leak") > most_leak).select("clip", "frame", F.lit(1).alias("__leak")).distinct(), ["clip", "frame"], "left")
+        fired["mask_attached_leak"] = F.col("__leak").isNotNull()
     if limbs is not None:
         out = limbs.where(F.size("limbs") > 0).select("clip", "frame", F.lit(1).alias("__limb")).distinct()
         measures = measures.join(out, ["clip", "frame"], "left")

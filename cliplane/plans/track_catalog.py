@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cliplane.operators import guards, losses, masks, sequence, tracking
+from cliplane.operators import guards, leaks, losses, masks, sequence, tracking
 from cliplane.plans.catalog import _dist, _pts, query, rounded
 from cliplane.plans.guard_catalog import _frames
 from cliplane.sources import views as v
@@ -164,12 +164,26 @@ def mask_loss(spark, d):
     return rounded(_losses(spark, d), "mask_loss")
 
 
+def _parts(spark, d):
+    moved = lambda c: F.transform(c, lambda p: F.struct((p["x"] * (MW / W)).alias("x"), (p["y"] * (MH / H)).alias("y"), p["c"].alias("c"))).alias(c)
+    p = v.parts(spark, d).select("clip", "frame", *[moved(c) for c in ("body", "left_hand", "right_hand", "face")])
+    return leaks.person_parts(leaks.pose_frames(p, MW, MH), v.mask_px(spark, d), MW, MH)
+
+
+@query()
+def mask_person_parts(spark, d):
+    p = rounded(_parts(spark, d), "attached_leak")
+    return p.select("clip", "frame", F.size("fragments").cast("long").alias("fragments"), F.round(F.get("fragments", 0), 4).alias("largest"), "attached_leak")
+
+
 @query()
 def guard_mask_all_flags(spark, d):
     px, frames = v.mask_px(spark, d), _frames(spark, d)
     n = px.groupBy("clip").agg((F.max("frame") + 1).alias("n"))
     lost = losses.mask_losses(px, n, MW, MH, grow=0, block=1)
-    return guards.mask_flags(guards.mask_measures(frames, px, MW, MH), masks.fragments(px, MW, MH), limbs=_limbs_out(spark, d), losses=lost)
+    parts = _parts(spark, d)
+    torn = parts.select("clip", "frame", F.explode("fragments").alias("share"))
+    return guards.mask_flags(guards.mask_measures(frames, px, MW, MH), torn, limbs=_limbs_out(spark, d), losses=lost, leaks=parts)
 
 
 # ---------------------------------------------------------------- references and windows
