@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cliplane.plans import catalog
@@ -21,7 +22,7 @@ def duck():
 
 def rows(df):
     def clean(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
