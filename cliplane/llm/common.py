@@ -18,13 +18,15 @@ PIECE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir; on one machine (tests) a temporary one if unset."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = sc._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="cliplane-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -38,6 +40,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the written table that materialise returned, once nothing reads it any more."""
+    sc = df.sparkSession.sparkContext
+    base = shared_dir(df.sparkSession)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName() and base.split(":", 1)[-1].rstrip("/") in folder:
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -123,16 +123,36 @@ def test_simhash_components_both_ways(spark):
         assert {f: got.get(f, f) for f in fps} == want
 
 
-def test_hilbert_shards(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    rows = hilbert.shard(docs).collect()
+def shards_hold(rows, ranges):
+    """Law rows, gapless slots, and (shard, slot) in the order of the curve."""
     by = collections.defaultdict(list)
     for r in rows:
         by[r["shard"]].append(r["slot"])
     assert set(by) <= set(range(24)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    curve = [r["curve"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    assert curve == sorted(curve)
+
+
+def test_hilbert_shards(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert all(r["text_crc32"] == binascii.crc32(text[r["doc_id"]].encode()) and r["size"] == len(text[r["doc_id"]].encode()) + 8 for r in rows)
+    for ranges in (1, 7):
+        rows = hilbert.shard(docs, ranges=ranges).collect()
+        shards_hold(rows, ranges)
+        assert all(r["text_crc32"] == binascii.crc32(text[r["doc_id"]].encode()) and r["size"] == len(text[r["doc_id"]].encode()) + 8 for r in rows)
+
+
+def test_hilbert_outliers_and_equal_rows(spark):
+    rows = [(i, "w " * (i % 50), "en" if i % 3 else "de", "src/a" if i % 2 else "src/b") for i in range(600)]
+    rows += [(10**15, "x", "en", "src/c"), (None, None, None, None), (-5, "y", "fr", "src/a")] + [(7, "same text", "en", "src/a")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = hilbert.shard(df, ranges=9).collect()
+    assert len(got) == len(rows)
+    shards_hold(got, 9)
+    assert len({r["curve"] for r in got}) > 300  # one id far away doesn't flatten the others
+    again = hilbert.shard(df.repartition(5), ranges=3).collect()
+    assert sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in got) == sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in again)
 
 
 def test_mixing_targets(spark):
