@@ -1,12 +1,25 @@
 """License scan by template markup.
 
-A template is wording with <<beginOptional>> ... <<endOptional>> regions and <<var;match="...">> replaceable regions
-(match: .+ or .* for any words, .{a,b} for a to b words, or alternatives separated by |). It is compiled to an automaton
-over words, which accepts a passage if all mandatory wording stands there, word for word. Beside it, base phrases are
+A template is wording with optional regions, `<<beginOptional>> ... <<endOptional>>` (a name may follow the word), and
+replaceable regions, `<<var;name="...";original="...";match="...">>`. It is compiled to an automaton over words that accepts
+a passage if all mandatory wording stands there, word for word. What a replaceable region takes, by its match:
+
+    .+  .*  .{a,b}      any words; a and b count characters of the words, joined by single blanks
+    one|two|            these wordings (an empty one too)
+    anything else       words that, joined by single blanks, match this regular expression as a whole
+
+Letters are compared in lower case and punctuation isn't compared, on both sides. Unknown markup raises ValueError.
+
+All places where a passage can begin are followed at once: of several ways into a state only the one with the first begin
+is kept, so a text is read once, whatever its length and whatever the length of its free regions. Of the passages of a
+template the one that begins first counts, up to its last possible end; they don't overlap. Beside that, base phrases are
 found wherever their words stand consecutively.
 
+The score grows with the wording that is matched: m / (m + 4) for the largest number m of mandatory words of an accepted
+template or of words of a base phrase, 0 if nothing is found.
+
 Edge cases: null text counts as empty: no words, no places, empty labels, score 0. Repeated rows are scanned each by
-itself. Input columns named like an output column are replaced.
+itself. Input columns named like an output column are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,127 +29,218 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cliplane.llm import tokens as tk
 from cliplane.llm.common import lists, scan_text
+from cliplane.llm.license_texts import BASE, TEMPLATES
 
-#: Base phrases and their labels.
-BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Most words in a replaceable region without bounds of its own.
-FREE = 40
-
-#: Wording of well-known licenses and of usual notices.
-TEMPLATES = {
-    "mit-text": """<<beginOptional>>the mit license<<endOptional>> <<beginOptional>>copyright <<var;match=".+">><<endOptional>> permission is hereby granted free of charge to any person obtaining a copy of
-        <<var;match="this software|this work">> and <<beginOptional>>its<<endOptional>> associated documentation files the <<var;match="software|materials">> to deal in the <<var;match="software|materials">> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
-        the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software""",
-    "isc-text": """permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies""",
-    "bsd-text": """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met""",
-    "mit-notice": """<<var;match="released|licensed|distributed">> under the <<beginOptional>>terms of the<<endOptional>> mit license""",
-    "apache-2.0-notice": """<<var;match="released|licensed|distributed">> under the <<beginOptional>>terms of the<<endOptional>> apache license <<beginOptional>>version<<endOptional>> 2 0""",
-    "gpl-notice": """<<beginOptional>>this <<var;match="work|program|software|file">> is<<endOptional>> <<var;match="released|licensed|distributed">> under the <<beginOptional>>terms of the<<endOptional>> gnu <<var;match="general|lesser general|affero general">> public license <<beginOptional>><<beginOptional>>as published by the free software foundation<<endOptional>> version <<var;match="1|2|3|2 0|3 0|2 1">><<endOptional>>""",
-    "cc-notice": """<<beginOptional>>this <<var;match="work|text|file">> is<<endOptional>> <<var;match="released|licensed|distributed">> under <<beginOptional>>a<<endOptional>> <<var;match="cc|creative commons">> <<var;match="by|by sa|by nd|by nc|by nc sa|by nc nd|attribution">> <<beginOptional>><<var;match="1|2|2|3|4">> 0<<endOptional>>""",
-    "spdx-tag": """spdx license identifier <<var;match=".{1,5}">>""",
-}
-_MARK = re.compile(r"<<(beginOptional|endOptional|var;[^>]*match=\"([^\"]*)\"[^>]*)>>")
+_TAG = re.compile(r'<<\s*(\w+)((?:\s*;\s*\w+\s*=\s*"(?:[^"\\]|\\.)*")*)\s*>>')
+_FIELD = re.compile(r'(\w+)\s*=\s*"((?:[^"\\]|\\.)*)"')
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_FREE = re.compile(r"\.(\+|\*|\{(\d*),(\d*)\})")
+_PLAIN = re.compile(r"[\w\s|-]*")
 
 FIELDS = [
-    T.StructField("n_words", T.LongType()), T.StructField("n_base", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType()),
-    T.StructField("license_spans", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-]
+    T.StructField("n_words", T.LongType()),
+    T.StructField("n_base", T.LongType()),
+    T.StructField("first_word", T.LongType()),
+    T.StructField("last_word", T.LongType()),
+    T.StructField("base_labels", T.StringType()),
+    T.StructField("labels", T.StringType()),
+    T.StructField("score", T.DoubleType()),
+    T.StructField(
+        "license_spans",
+        T.ArrayType(
+            T.StructType(
+                [
+                    T.StructField("label", T.StringType()),
+                    T.StructField("start", T.IntegerType()),
+                    T.StructField("end", T.IntegerType()),
+                ]
+            )
+        ),
+    ),
+]
 
 
 def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
+class Region:
+    """A replaceable region: how many characters, or which regular expression, its words must fulfil."""
+
+    def __init__(self, match: str):
+        free = _FREE.fullmatch(match)
+        self.pattern = None
+        if free:
+            self.least = int(free[2] or 0) if free[2] is not None else int(free[1] == "+")
+            self.most = int(free[3]) if free[3] else None
+        else:
+            self.pattern = regex.compile(match, regex.IGNORECASE)
+
+    def fits(self, words: list[str]) -> tuple[bool, bool]:
+        """(the region may end here, it may go on)."""
+        text = " ".join(words)
+        if self.pattern is None:
+            return len(text) >= self.least, self.most is None or len(text) < self.most + 1
+        found = self.pattern.fullmatch(text, partial=True)
+        return bool(found and not found.partial or self.pattern.fullmatch(text)), bool(self.pattern.fullmatch(text + " ", partial=True))
+
+
 class Automaton:
-    """States with word transitions (None: any word) and free moves; accepts from any start place, longest first."""
+    """States with word moves, free moves and replaceable regions."""
 
     def __init__(self, template: str):
-        self.word: list[dict[bytes | None, list[int]]] = [{}]
+        self.word: list[dict[bytes, list[int]]] = [{}]
         self.free: list[list[int]] = [[]]
-        end = self._compile(template)
-        self.final = end
-        self.closures = [self._closure([s]) for s in range(len(self.free))]
-        self.starts = frozenset(w for s in self.closures[0] for w in self.word[s] if w is not None)
-        self.any_start = any(None in self.word[s] for s in self.closures[0])
+        self.region: dict[int, tuple[Region, int]] = {}
+        self.mandatory = 0
+        self.final = self._compile(template)
+        first = self.enter(0, 0)
+        if any(s in self.region for s, _ in first):
+            raise ValueError("a template needs a wording before its first free region")
+        self.first = first
+        self.starts = frozenset(w for s, _ in first for w in self.word[s])
 
     def _state(self) -> int:
         self.word.append({})
         self.free.append([])
         return len(self.free) - 1
 
-    def _step(self, at: int, word: bytes | None) -> int:
-        to = self._state()
-        self.word[at].setdefault(word, []).append(to)
-        return to
+    def _walk(self, at: int, text: str) -> int:
+        for w in words_of(text.encode()):
+            to = self._state()
+            self.word[at].setdefault(w, []).append(to)
+            at = to
+        return at
 
     def _compile(self, template: str) -> int:
         at, opened, place = 0, [], 0
-        for mark in _MARK.finditer(template):
-            for w in words_of(template[place : mark.start()].encode()):
-                at = self._step(at, w)
-            place = mark.end()
-            if mark[1] == "beginOptional":
+        for tag in _TAG.finditer(template):
+            at = self._text(at, template[place : tag.start()], opened)
+            place = tag.end()
+            fields = {k: re.sub(r"\\(.)", r"\1", v) if k != "match" else v for k, v in _FIELD.findall(tag[2])}
+            if tag[1] == "beginOptional":
                 fresh = self._state()
                 self.free[at].append(fresh)
                 opened.append(at)
                 at = fresh
-            elif mark[1] == "endOptional":
+            elif tag[1] == "endOptional":
+                if not opened:
+                    raise ValueError("an optional region ends that was not begun")
                 to = self._state()
                 self.free[at].append(to)
                 self.free[opened.pop()].append(to)
                 at = to
+            elif tag[1] == "var" and "match" in fields:
+                at = self._replaceable(at, fields["match"], not opened)
             else:
-                at = self._replaceable(at, mark[2])
-        for w in words_of(template[place:].encode()):
-            at = self._step(at, w)
+                raise ValueError(f"unknown markup: {tag[0]}")
+        at = self._text(at, template[place:], opened)
         if opened:
             raise ValueError("an optional region isn't closed")
         return at
 
-    def _replaceable(self, at: int, match: str) -> int:
+    def _text(self, at: int, text: str, opened: list[int]) -> int:
+        if "<<" in text or ">>" in text:
+            raise ValueError(f"unknown markup: {text.strip()[:80]}")
+        self.mandatory += 0 if opened else len(words_of(text.encode()))
+        return self._walk(at, text)
+
+    def _replaceable(self, at: int, match: str, counts: bool) -> int:
         end = self._state()
-        bounds = re.fullmatch(r"\.(\+|\*|\{(\d+),(\d+)\})", match)
-        if not bounds:
-            for choice in match.split("|"):
-                s = at
-                for w in words_of(choice.encode()):
-                    s = self._step(s, w)
-                self.free[s].append(end)
-            return end
-        least, most = (int(bounds[2]), int(bounds[3])) if bounds[2] else (int(bounds[1] == "+"), FREE)
-        for k in range(most + 1):
-            if k >= least:
-                self.free[at].append(end)
-            if k < most:
-                at = self._step(at, None)
+        if _FREE.fullmatch(match) or not _PLAIN.fullmatch(match):
+            here = self._state()
+            self.free[at].append(here)
+            self.region[here] = (Region(match), end)
+        else:
+            choices = match.split("|")
+            self.mandatory += min(len(words_of(c.encode())) for c in choices) if counts else 0
+            for choice in choices:
+                self.free[self._walk(at, choice)].append(end)
         return end
 
-    def _closure(self, states: list[int]) -> frozenset[int]:
-        seen, todo = set(states), list(states)
+    def enter(self, state: int, at: int) -> list[tuple[int, int]]:
+        """States (with the word at which a region began, else -1) that are reached from one without a word."""
+        out, todo, seen = [], [state], {state}
         while todo:
-            for s in self.free[todo.pop()]:
-                if s not in seen:
-                    seen.add(s)
-                    todo.append(s)
-        return frozenset(seen)
+            s = todo.pop()
+            out.append((s, at if s in self.region else -1))
+            nexts = list(self.free[s])
+            if s in self.region and self.region[s][0].fits([])[0]:
+                nexts.append(self.region[s][1])
+            for t in nexts:
+                if t not in seen:
+                    seen.add(t)
+                    todo.append(t)
+        return out
 
-    def longest(self, words: list[bytes], start: int) -> int | None:
-        """End of the longest accepted passage that starts there."""
-        now, found, i = self.closures[0], None, start
-        while now:
-            if self.final in now:
-                found = i
+    def passages(self, words: list[bytes], begins: list[int]) -> list[tuple[int, int]]:
+        """(first word, end) of the accepted passages that begin at one of the given places."""
+        live: dict[tuple[int, int], int] = {}
+        longest: dict[int, int] = {}
+        loops: dict[tuple[int, int], int] = {}  # characters so far in a region that counts them
+        k, i = 0, 0
+        while k < len(begins) or live:
+            if not live:
+                i = begins[k]
+            fresh: dict[tuple[int, int], int] = {}
+            grown: dict[tuple[int, int], int] = {}
+            now = list(live.items())
+            if k < len(begins) and begins[k] == i:
+                now += [(c, i) for c in self.first]
+                k += 1
             if i == len(words):
                 break
-            w, i = words[i], i + 1
-            now = frozenset(t for s in now for to in (self.word[s].get(w, ()), self.word[s].get(None, ())) for k in to for t in self.closures[k])
-        return found
+            w = words[i]
+
+            def reach(state: int, start: int, at: int, fresh=fresh) -> None:
+                for c in self.enter(state, at):
+                    if fresh.setdefault(c, start) > start:
+                        fresh[c] = start
+
+            for (s, since), start in now:
+                for t in self.word[s].get(w, ()):
+                    reach(t, start, i + 1)
+                if since < 0:
+                    continue
+                region, end = self.region[s]
+                if region.pattern is None:
+                    size = loops.get((s, since), -1) + 1 + len(w.decode("utf-8", "replace"))
+                    if region.most is None:
+                        size = min(size, region.least)
+                        since_ = since if size < region.least else 0  # past its least length a region without a most is one state
+                    else:
+                        since_ = since
+                    done, on = size >= region.least and (region.most is None or size <= region.most), region.most is None or size < region.most
+                    if on:
+                        grown[s, since_] = size
+                        if fresh.setdefault((s, since_), start) > start:
+                            fresh[s, since_] = start
+                else:
+                    done, on = region.fits([x.decode("utf-8", "replace") for x in words[since : i + 1]])
+                    if on and fresh.setdefault((s, since), start) > start:
+                        fresh[s, since] = start
+                if done:
+                    reach(end, start, i + 1)
+            i += 1
+            live, loops = fresh, grown
+            for (s, _), start in live.items():
+                if s == self.final:
+                    longest[start] = i
+        out: list[tuple[int, int]] = []
+        for start in sorted(longest):
+            if not out or start >= out[-1][1]:
+                out.append((start, longest[start]))
+        return out
+
+    def longest(self, words: list[bytes], start: int) -> int | None:
+        """End of the longest accepted passage that begins there."""
+        return next((b for _, b in self.passages(words, [start])), None)
 
 
 @lru_cache(maxsize=4)
@@ -144,36 +248,47 @@ def compiled(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, Automato
     return [(label, Automaton(t)) for label, t in templates]
 
 
+def score_of(words: int) -> float:
+    return words / (words + 4.0)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, base: dict[str, str] | None = None):
-        self.automata = compiled(tuple((templates or TEMPLATES).items()))
-        self.base = [(tuple(words_of(p.encode())), label) for p, label in (base or BASE).items()]
+        self.automata = compiled(tuple((TEMPLATES if templates is None else templates).items()))
+        self.base: dict[bytes, list[tuple[tuple[bytes, ...], str]]] = {}
+        for phrase, label in (BASE if base is None else base).items():
+            p = tuple(words_of(phrase.encode()))
+            self.base.setdefault(p[0], []).append((p, label))
         self.starts: dict[bytes, list[int]] = {}
         for k, (_, a) in enumerate(self.automata):
-            if a.any_start:
-                raise ValueError("a template needs a wording before its first free region")
             for w in a.starts:
                 self.starts.setdefault(w, []).append(k)
-        #: Every passage or phrase holds one of these words; other texts only need their words counted.
-        heads = {w[0] for w, _ in self.base} | set(self.starts)
-        self.any = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(re.escape(w) for w in sorted(heads)) + rb")(?![0-9a-z\x80-\xff])")
+        #: Every passage or phrase begins with one of these words; other texts only need their words counted.
+        heads = set(self.base) | set(self.starts)
+        self.heads = frozenset(heads)
+        any_of = b"|".join(re.escape(w) for w in sorted(heads))
+        self.any = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + any_of + rb")(?![0-9a-z\x80-\xff])")
 
-    def scan(self, text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-        """Base places and accepted passages, as (first word, end, label)."""
+    def scan(self, text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, int]]]:
+        """Base places (first word, end, label) and accepted passages (first word, end, label, mandatory words)."""
         low = text.lower()
         if not self.any.search(low):
             return [], []
         words = _WORD.findall(low)
-        base, passages, until = [], [], dict.fromkeys(range(len(self.automata)), 0)
-        heads = {w[0] for w, _ in self.base}
+        base: list[tuple[int, int, str]] = []
+        begins: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            if w in heads:
-                base += [(i, i + len(p), label) for p, label in self.base if tuple(words[i : i + len(p)]) == p]
-            for k in self.starts.get(w, ()):
-                if i >= until[k] and (end := self.automata[k][1].longest(words, i)):
-                    passages.append((i, end, self.automata[k][0]))
-                    until[k] = end
-        return base, passages
+            if w in self.heads:
+                for p, label in self.base.get(w, ()):
+                    if tuple(words[i : i + len(p)]) == p:
+                        base.append((i, i + len(p), label))
+                for k in self.starts.get(w, ()):
+                    begins.setdefault(k, []).append(i)
+        found = []
+        for k, at in begins.items():
+            label, automaton = self.automata[k]
+            found += [(a, b, label, automaton.mandatory) for a, b in automaton.passages(words, at)]
+        return base, sorted(found)
 
     def columns(self, text: pa.Array) -> list[pa.Array]:
         raw, off = tk.flat(text)
@@ -192,16 +307,21 @@ class Scanner:
             if base:
                 low[d], high[d] = min(x[0] for x in base), max(x[0] for x in base)
             base_labels[d] = ",".join(sorted({x[2] for x in base}))
-            labels[d] = ",".join(sorted({x[2] for x in base + passages}))
-            score[d] = 1.0 if passages else 0.5
-            spans += [{"label": x[2], "start": x[0], "end": x[1]} for x in sorted(passages)]
+            labels[d] = ",".join(sorted({x[2] for x in base} | {x[2] for x in passages}))
+            score[d] = score_of(max([x[1] - x[0] for x in base] + [x[3] for x in passages]))
+            spans += [{"label": x[2], "start": x[0], "end": x[1]} for x in passages]
             count[d] = len(passages)
         value = pa.array(spans, pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        return [pa.array(n_words), pa.array(n_base), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(base_labels, pa.string()), pa.array(labels, pa.string()), pa.array(score), lists(value, count)]
+        return [
+            pa.array(n_words), pa.array(n_base), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
+            pa.array(base_labels, pa.string()), pa.array(labels, pa.string()), pa.array(score), lists(value, count),
+        ]
 
 
-def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
-    """docs with FIELDS: places of base phrases, labels, and the passages accepted by a template (score 1; base phrases alone .5)."""
+def scan(
+    docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, templates: dict[str, str] | None = None
+) -> DataFrame:
+    """docs with FIELDS: places of base phrases, labels, score, and the passages accepted by a template."""
 
     def make():
         return Scanner(templates).columns

@@ -69,13 +69,79 @@ def test_hilbert_neighbours():
 
 
 def test_license_automaton():
-    a = licenses.Automaton('permission <<beginOptional>>is hereby<<endOptional>> granted to <<var;match=".{1,3}">> now <<var;match="ok|very well">>')
+    a = licenses.Automaton('permission <<beginOptional;name="x">>is hereby<<endOptional>> granted to <<var;name="who";original="<year>";match=".{1,5}">> now <<var;match="ok|very well|">>')
     run = lambda t: a.longest(licenses.words_of(t.encode()), 0)
     assert run("Permission granted to a now ok") == 6
     assert run("permission is hereby granted to a b c now very well, x") == 11
+    assert run("permission granted to abcde now") == 5
     assert run("permission is granted to a now ok") is None
-    assert run("permission granted to a b c d now ok") is None
+    assert run("permission granted to abcdef now ok") is None
     assert run("permission granted to now ok") is None
+    assert licenses.Automaton('version <<var;match="[0-9]+( [0-9])?">> end').longest([b"version", b"12", b"0", b"end"], 0) == 4
+    assert licenses.Automaton('version <<var;match="[0-9]+">> end').longest([b"version", b"x", b"end"], 0) is None
+    for n in (41, 10_000):
+        free = [b"by", *[b"w%d" % k for k in range(n)], b"end"]
+        assert licenses.Automaton('by <<var;match=".+">> end').longest(free, 0) == n + 2
+        assert licenses.Automaton('by <<var;match=".{0,100000}">> end').longest(free, 0) == n + 2
+    for bad in ("a <<endOptional>>", "a <<beginOptional>> b", "a <<what>>", 'a <<var;name="x">>', '<<var;match=".+">> a', "a <<var;match=b>>"):
+        with pytest.raises(ValueError):
+            licenses.Automaton(bad)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_license_passages_against_regex(seed):
+    """The same template as a regular expression over words, tried on every pair of ends."""
+    rng = random.Random(seed)
+    pick = lambda: rng.choice("abcd")
+    markup, plain = ["a"], ["a "]
+    for _ in range(rng.randint(1, 5)):
+        kind = rng.randint(0, 4)
+        if kind == 0:
+            w = pick()
+            markup.append(w)
+            plain.append(w + " ")
+        elif kind == 1:
+            w, v = pick(), pick()
+            markup.append(f"<<beginOptional>>{w} <<beginOptional>>{v}<<endOptional>><<endOptional>>")
+            plain.append(f"(?:{w} (?:{v} )?)?")
+        elif kind == 2:
+            w, v = pick(), pick()
+            markup.append(f'<<var;match="{w}|{v} {w}">>')
+            plain.append(f"(?:{w} |{v} {w} )")
+        elif kind == 3:
+            markup.append('<<var;match=".+">>')
+            plain.append("(?:[a-d] )+")
+        else:
+            n = rng.randint(0, 3)
+            markup.append('<<var;match=".{%d,%d}">>' % (n, n + 3))
+            plain.append("(?:[a-d] ){%d,%d}" % ((n + 2) // 2, (n + 4) // 2))  # n words have 2 n - 1 characters
+    words = [rng.choice("abcd") for _ in range(rng.randint(1, 25))]
+    full = re.compile("".join(plain))
+    want, until = [], 0
+    for i in range(len(words)):
+        ends = [j for j in range(i + 1, len(words) + 1) if full.fullmatch("".join(w + " " for w in words[i:j]))]
+        if ends and i >= until:
+            until = max(ends)
+            want.append((i, until))
+    a = licenses.Automaton(" ".join(markup))
+    raw = [w.encode() for w in words]
+    assert a.passages(raw, [i for i, w in enumerate(raw) if w in a.starts]) == want
+
+
+def test_license_endings_count():
+    """Whole wordings are accepted, changed or missing endings are not."""
+    scan = licenses.Scanner().scan
+    fill = {".{1,1000}": "some owner", "[123]": "3", "[123]( [01])?": "2 0", "[1-4]": "4", ".{1,120}": "mit"}
+    for label, template in licenses.TEMPLATES.items():
+        if "https" in template:
+            continue
+        text = licenses._TAG.sub(lambda m: "" if m[1] != "var" else (lambda x: fill.get(x, x.split("|")[0]))(dict(licenses._FIELD.findall(m[2]))["match"]), template).encode()
+        assert label in {x[2] for x in scan(b"Copyright 2020 X. " + text + b" and more")[1]}
+        if label.endswith("-text"):
+            words = licenses.words_of(text)
+            assert label not in {x[2] for x in scan(b" ".join(words[:-1]))[1]}
+            assert label not in {x[2] for x in scan(b" ".join([*words[:-9], b"never", *words[-9:]]))[1]}
+    assert not scan(b"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: you pay me")[1]
 
 
 def test_license_columns():
@@ -86,7 +152,7 @@ def test_license_columns():
     assert c[2] == [3, None, None, 3, 0] and c[3] == [5, None, None, 3, 0]
     assert c[4] == ["mit", "", "", "apache", "gpl"]
     assert c[5] == ["mit,mit-notice", "", "", "apache,apache-2.0-notice", "gpl"]
-    assert c[6] == [1.0, 0.0, 0.0, 1.0, 0.5]
+    assert c[6] == [5 / 9, 0.0, 0.0, 7 / 11, 3 / 7]
 
 
 @pytest.fixture(scope="module")
