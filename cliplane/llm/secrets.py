@@ -1,12 +1,18 @@
 """Secret scan with multipart credential linking [DataFrame functions only].
 
 Strong kinds (assign, access, hex) are always reported. Weak parts (identifiers, secret-looking strings, endpoints) are
-reported only where complementary parts stand within SCOPE code points: an identifier with a secret, a secret with an
-identifier or endpoint, an endpoint with an identifier and a secret. The interval join runs over the parts of each
-different text, ordered by position, as windows over a range of positions: it makes no pairs.
-
-Edge cases: null text counts as empty and has no spans. Repeated rows and equal texts share the links of their text.
-Positions are code points, ends exclusive. Ties at one start are ordered by kind. An empty table gives no rows.
+reported only where complementary parts co-occur: an identifier with a secret, a secret with an identifier or endpoint, an
+endpoint with an identifier and a secret. Two parts co-occur if they stand in one scope (a stretch of text without a blank
+line) and at most GAP code points lie between the end of one and the start of the other, whatever their own lengths.
+
+The interval join runs inside each text that has a weak part: its parts and blank lines are rows in the order of position,
+and two windows carry the part of each kind that ends last before a row (forwards) and starts first behind it (backwards).
+So it is linear in the parts and makes no pairs. Rows are told apart by a number that is written with them, so copies of a
+text are rows of their own and no key is hot.
+
+Edge cases: null text counts as empty and has no spans. Repeated rows are scanned each by itself. Positions are code
+points, ends exclusive. Ties at one start are ordered by kind. An empty table gives no rows. Kept columns may have any
+names; one that is called base, all or links gives way to the result.
 """
 
 from __future__ import annotations
@@ -22,13 +28,24 @@ ACCESS = r"AKIA[A-Z0-9]+"
 #: Runs are maximal, so asking for 24 finds the same spans as dropping shorter runs.
 LONG_HEX = r"[0-9a-f]{24,}"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: Patterns of weak parts.
-WEAK_ID = r"""(?i:client_?id|account_?id|user_?name|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,64}|(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
-WEAK_ENDPOINT = r"(?:https?|postgres|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9._~:@-]{3,255}"
+#: Patterns of weak parts. Runs are maximal; a secret-looking string has small and capital letters and digits.
+WEAK_ID = (
+    r"""(?i:client_?id|account_?id|user_?name|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}"""
+    r"""|(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}"""
+)
+_RUN = "[A-Za-z0-9+/_-]"
+WEAK_SECRET = f"(?<!{_RUN})(?={_RUN}*[0-9])(?={_RUN}*[a-z])(?={_RUN}*[A-Z]){_RUN}{{32,}}"
+WEAK_ENDPOINT = r"(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp|sftp|ldap)://[A-Za-z0-9._~:@-]{3,}"
+#: What ends a scope.
+BLANK_LINE = r"\n[\x20\x09\r]*\n"
 #: Kinds in the order of the report, and the part that each is.
 KINDS = {"assign": "secret", "access": "id", "hex": "secret", "id": "id", "secret": "secret", "endpoint": "endpoint"}
-SCOPE = 256
+#: Kind of a blank line among the parts of a text.
+BREAK = len(KINDS)
+#: Most code points between two parts that belong together.
+GAP = 256
+SPAN = "struct<start:int,kind:int,end:int>"
+LINK = "struct<start:int,kind:int,end:int,with:struct<start:int,kind:int,end:int>,gap:int>"
 #: Matches that one inner fold numbers; keeps the numbering of very many matches from growing with their square.
 FOLD = 512
 
@@ -65,32 +82,63 @@ def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int =
 
 
 def parts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with the strong spans (base), the weak spans (weak) and, where links are possible, the hash of the text (key)."""
+    """docs (kept columns as k_...) with the strong spans (base), the weak spans (weak), blank lines where links are possible, and row."""
     keep = ["doc_id"] if keep is None else keep
+    kept = [quoted(f"k_{c}") for c in keep]
     t = F.col("__t")
-    df = docs.select(*[quoted(c) for c in keep], F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("__t"))
+    df = docs.select(*[quoted(c).alias(f"k_{c}") for c in keep], F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("__t"))
     assign = matches(t, ASSIGN, 0, 2, LEAST["assign"])
     access = matches(t, ACCESS, 1, 0, LEAST["access"], t.contains("AKIA"))
     long_hex = matches(t, LONG_HEX, 2, 0, LEAST["hex"], t.rlike("[0-9a-f]{24}"))
     weak_id = matches(t, WEAK_ID, 3)
-    weak_secret = matches(t, WEAK_SECRET, 4, 0, 0, t.rlike("[A-Za-z0-9+/]{40}"))
+    weak_secret = matches(t, WEAK_SECRET, 4, 0, 0, t.rlike(_RUN + "{32}"))
     endpoint = matches(t, WEAK_ENDPOINT, 5, 0, 0, t.contains("://"))
-    df = df.select(*[quoted(c) for c in keep], F.array_sort(F.concat(assign, access, long_hex)).alias("base"), F.concat(weak_id, weak_secret, endpoint).alias("__weak"), "__t")
+    base = F.array_sort(F.concat(assign, access, long_hex))
+    df = df.select(*kept, base.alias("base"), F.concat(weak_id, weak_secret, endpoint).alias("__weak"), "__t")
     # a weak part inside a strong span is no part of its own
     df = df.withColumn("weak", F.filter("__weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))))
-    return df.select(*[quoted(c) for c in keep], "base", "weak", F.when((F.size("weak") > 0) & (F.size("base") + F.size("weak") > 1), F.sha2("__t", 256)).alias("key"))
+    # every link has a secret at one end and something else at the other
+    every = F.concat("base", "weak")
+    secret = [k for k, p in enumerate(KINDS.values()) if p == "secret"]
+    linkable = F.exists(every, lambda s: s["kind"].isin(secret)) & F.exists(every, lambda s: ~s["kind"].isin(secret))
+    breaks = F.when(linkable, matches(t, BLANK_LINE, BREAK, 0, 0, t.contains("\n")))
+    return df.select(*kept, "base", "weak", breaks.alias("breaks"), F.monotonically_increasing_id().alias("row"))
 
 
-def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """For each different text (key), the weak spans that complementary parts support."""
+def linked(found: DataFrame, gap: int = GAP) -> DataFrame:
+    """For each row with linkable parts: links, that is each part with its nearest partner of each complementary kind."""
     name = F.element_at(F.array(*[F.lit(p) for p in KINDS.values()]), F.col("part.kind") + 1)
-    each = found.where(F.col("key").isNotNull()).select("key", "base", "weak").dropDuplicates(["key"])
-    each = each.select("key", F.explode(F.concat("base", "weak")).alias("part")).select("key", "part", F.col("part.start").alias("at"), name.alias("name"))
-    near = Window.partitionBy("key").orderBy("at").rangeBetween(-scope, scope)
-    has = {p: F.max(F.col("name") == p).over(near) for p in ("id", "secret", "endpoint")}
-    each = each.select("key", "part", "name", *[v.alias(k) for k, v in has.items()])
-    support = F.when(F.col("name") == "id", F.col("secret")).when(F.col("name") == "secret", F.col("id") | F.col("endpoint")).otherwise(F.col("id") & F.col("secret"))
-    return each.where((F.col("part.kind") >= 3) & support).groupBy("key").agg(F.collect_list("part").alias("links"))
+    each = found.where(F.col("breaks").isNotNull()).select("row", F.explode(F.concat("base", "weak", "breaks")).alias("part"))
+    each = each.select("row", "part", F.when(F.col("part.kind") < BREAK, name).alias("name"), F.col("part.start").alias("at"), F.col("part.kind").alias("kind"))
+    down = Window.partitionBy("row").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("scope", F.sum((F.col("kind") == BREAK).cast("int")).over(down)).where(F.col("kind") < BREAK)
+    before = Window.partitionBy("row", "scope").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("row", "scope").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    by_end = F.struct(F.col("part.end").alias("end"), F.col("part.start").alias("start"), F.col("part.kind").alias("kind"))
+    for p in ("id", "secret", "endpoint"):
+        last = F.max(F.when(F.col("name") == p, by_end)).over(before)
+        first = F.min(F.when(F.col("name") == p, F.col("part"))).over(behind)
+        each = each.withColumn(f"b_{p}", last).withColumn(f"f_{p}", first)
+    wanted = {"id": ("secret", "endpoint"), "secret": ("id", "endpoint"), "endpoint": ("id", "secret")}
+    near = {}
+    for p in wanted:
+        # the nearer of the two neighbours; the one before wins a tie
+        back, forth = F.col(f"b_{p}"), F.col(f"f_{p}")
+        a = F.when(back.isNotNull(), F.greatest(F.lit(0), F.col("at") - back["end"]))
+        b = F.when(forth.isNotNull(), F.greatest(F.lit(0), forth["start"] - F.col("part.end")))
+        choose = F.when(b.isNull() | (a <= b), F.struct(a.alias("gap"), F.struct(back["start"].alias("start"), back["kind"].alias("kind"), back["end"].alias("end")).alias("with")))
+        choose = F.when(a.isNull() & b.isNull(), None).otherwise(choose.otherwise(F.struct(b.alias("gap"), forth.alias("with"))))
+        near[p] = F.when(choose["gap"] <= gap, choose)
+    each = each.select("row", "part", "name", *[v.alias(f"n_{p}") for p, v in near.items()])
+    has = {p: F.col(f"n_{p}").isNotNull() for p in near}
+    support = F.when(F.col("name") == "id", has["secret"]).when(F.col("name") == "secret", has["id"] | has["endpoint"]).otherwise(has["id"] & has["secret"])
+    partners = [
+        F.when((F.col("name") != p) & has[p], F.struct(*[F.col(f"part.{c}").alias(c) for c in ("start", "kind", "end")], F.col(f"n_{p}.with").alias("with"), F.col(f"n_{p}.gap").alias("gap")))
+        for p in near
+    ]
+    each = each.where(support).select("row", "part", F.array_compact(F.array(*partners)).alias("links"))
+    weak = F.collect_list(F.when(F.col("part.kind") >= 3, F.col("part")))
+    return each.groupBy("row").agg(weak.alias("weak2"), F.array_sort(F.flatten(F.collect_list("links"))).alias("links"))
 
 
 def listing(spans: Column) -> Column:
@@ -98,12 +146,17 @@ def listing(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, scope: int = SCOPE) -> DataFrame:
-    """docs (columns keep, default doc_id) with base and all: arrays of spans (start, kind as a place in KINDS, end)."""
-    keep = ["doc_id"] if keep is None else keep
+def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, gap: int = GAP) -> DataFrame:
+    """docs (columns keep, default doc_id) with base, all and links.
+
+    base and all: arrays of spans (start, kind as a place in KINDS, end), all with the weak ones that are supported.
+    links: array of spans that complementary parts support, each with a partner span (with) and the gap between them.
+    """
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("base", "all", "links")]
     found = materialise(parts(docs, text_col, keep), "secret-parts")  # the text is read and matched once
-    links = linked(found, scope)
-    cols = [quoted(c) for c in keep]
-    with_key = found.where(F.col("key").isNotNull()).join(links, "key", "left")
-    joined = with_key.select(*cols, "base", F.array_sort(F.concat("base", F.coalesce("links", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")))).alias("all"))
-    return found.where(F.col("key").isNull()).select(*cols, "base", F.col("base").alias("all")).unionByName(joined)
+    cols = [quoted(f"k_{c}").alias(c) for c in keep]
+    no_spans, no_links = F.expr(f"cast(array() as array<{SPAN}>)"), F.expr(f"cast(array() as array<{LINK}>)")
+    some = found.where(F.col("breaks").isNotNull()).drop("weak", "breaks").join(linked(found, gap), "row", "left")
+    some = some.select(*cols, "base", F.array_sort(F.concat("base", F.coalesce("weak2", no_spans))).alias("all"), F.coalesce("links", no_links).alias("links"))
+    rest = found.where(F.col("breaks").isNull())
+    return rest.select(*cols, "base", F.col("base").alias("all"), no_links.alias("links")).unionByName(some)
