@@ -2,44 +2,64 @@
 
 Each word is scored by hashed byte n-grams of its lower-cased form. The script of a word narrows the languages to those
 that were written in it in training. Viterbi over the words of the whole text, with a penalty for every change of
-language, labels spans; the language with the most labelled bytes wins.
+language, labels spans; the language with the most labelled bytes wins, and its share of the bytes is the score (a share,
+not a probability).
 
-The model is fitted on at most LANG_ROWS rows a language, of at most TRAIN_BYTES bytes each (whole texts with the smallest
-hash of their id); prediction uses the text alone and covers every whole text.
+The model is fitted on about LANG_ROWS documents a language: those whose hash of the id lies below a cut that follows from
+the number of different ids of the language, so no task ranks a language's rows. Their whole texts are counted on the
+executors, a text longer than TEXT_WEIGHT bytes with the weight of one of that length; the driver gets counts by language
+and n-gram bucket. Prediction uses the text alone and covers every whole text.
 
-Edge cases: null text, or text without a letter, is und with score 0. Without training rows everything is und. Repeated
-rows are labelled each by itself. Input columns named like an output column are replaced.
+Edge cases: null text, or text without a letter (Unicode categories L*), is und with score 0. Of training rows with one id
+the smallest text counts. Without training rows everything is und. Repeated rows are labelled each by itself. Input columns
+named like an output column are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cliplane.llm import tokens as tk
-from cliplane.llm.common import lists, quoted, scan_text
+from cliplane.llm.common import PIECE_BYTES, lists, pieces, quoted, scan_text
 
 LANG_ROWS = 400
-TRAIN_BYTES = 30000
-#: Texts of the sample that the driver looks at together, for the sake of its memory.
-TRAIN_SLICE = 50
+TEXT_WEIGHT = 30_000
 PENALTY = 6.0
 BUCKETS = 1 << 15
 NGRAMS = (2, 3, 4)
 
 _B = np.arange(256)
 LETTER = ((_B >= 0x41) & (_B <= 0x5A)) | ((_B >= 0x61) & (_B <= 0x7A)) | (_B >= 0x80)
-#: First code point of each range of letters and its script (0: not a letter).
+#: First code point of each range and the script of its letters.
 SCRIPTS = ["none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "georgian", "hangul", "kana", "han", "other"]
 RANGES = [
-    (0x00, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xAA, 1), (0xAB, 0), (0xB5, 1), (0xB6, 0), (0xBA, 1), (0xBB, 0), (0xC0, 1), (0xD7, 0), (0xD8, 1), (0xF7, 0), (0xF8, 1), (0x2B0, 0), (0x370, 2), (0x37E, 0), (0x37F, 2), (0x400, 3), (0x530, 4), (0x590, 0), (0x5D0, 5), (0x5F3, 0), (0x620, 6),
-    (0x660, 0), (0x66E, 6), (0x6D4, 0), (0x6D5, 6), (0x6DD, 0), (0x6EE, 6), (0x900, 7), (0xE01, 8), (0xE3F, 0), (0xE40, 8), (0xE4F, 0), (0xE80, 13), (0x10A0, 9), (0x1100, 10), (0x1200, 13), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x2C00, 13), (0x2E00, 0), (0x3041, 11), (0x3100, 13), (0x3130, 10), (0x3190, 0), (0x3400, 12),
-    (0x4DC0, 0), (0x4E00, 12), (0xA000, 13), (0xAC00, 10), (0xD7B0, 0), (0xF900, 12), (0xFB00, 1), (0xFB1D, 5), (0xFB50, 6), (0xFE00, 0), (0xFF21, 1), (0xFF3B, 0), (0xFF41, 1), (0xFF5B, 0), (0xFF66, 11), (0xFFA0, 0), (0x10000, 13), (0x1F000, 0), (0x20000, 12), (0x30000, 0),
+    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
+    (0x0700, "other"), (0x0750, "arabic"), (0x0780, "other"), (0x08A0, "arabic"), (0x0900, "indic"), (0x0E00, "thai"),
+    (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"),
+    (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x2D00, "georgian"), (0x2D30, "other"), (0x2DE0, "cyrillic"),
+    (0x2E00, "other"), (0x3005, "han"), (0x3031, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "other"),
+    (0x31F0, "kana"), (0x3200, "other"), (0x3400, "han"), (0x4DC0, "other"), (0x4E00, "han"), (0xA000, "other"),
+    (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAC00, "hangul"), (0xD800, "other"),
+    (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "armenian"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"),
+    (0xFE70, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"),
+    (0xE0000, "other"),
 ]
-_FROM, _TO = np.array([a for a, _ in RANGES]), np.array([b for _, b in RANGES])
+
+
+@lru_cache(maxsize=1)
+def script_table() -> np.ndarray:
+    """Script of each code point, 0 where it is no letter (Unicode categories L*)."""
+    points = 0x110000
+    letter = np.fromiter((chr(c).isalpha() for c in range(points)), bool, points)
+    at = np.searchsorted([a for a, _ in RANGES], np.arange(points), side="right") - 1
+    return np.where(letter, np.array([SCRIPTS.index(s) for _, s in RANGES], np.int8)[at], np.int8(0))
 
 
 class Words:
@@ -94,7 +114,7 @@ def scripts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         b = [padded[at + k] for k in range(4)]
         point = np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, (b[0] & 0x1F) << 6 | b[1] & 0x3F, np.where(b[0] < 0xF0, (b[0] & 0xF) << 12 | (b[1] & 0x3F) << 6 | b[2] & 0x3F, (b[0] & 7) << 18 | (b[1] & 0x3F) << 12 | (b[2] & 0x3F) << 6 | b[3] & 0x3F)))
         step = np.where(b[0] < 0x80, 1, np.where(b[0] < 0xE0, 2, np.where(b[0] < 0xF0, 3, 4)))
-        script[todo] = _TO[np.searchsorted(_FROM, point, side="right") - 1]
+        script[todo] = script_table()[np.minimum(point, 0x10FFFF)]
         at = at + step
         more = (script[todo] == 0) & (at < ends[todo])
         todo, at = todo[more], at[more]
@@ -103,7 +123,7 @@ def scripts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 def first_script(word: bytes) -> int:
     for c in word.decode("utf-8", "replace"):
-        if found := int(_TO[np.searchsorted(_FROM, ord(c), side="right") - 1]):
+        if found := int(script_table()[ord(c)]):
             return found
     return 0
 
@@ -114,20 +134,12 @@ class Model:
         self.langs, self.weights, self.written = langs, weights.astype(np.float32), written
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str]) -> Model:
-        names = sorted(set(langs))
-        count = np.zeros((len(names), BUCKETS))
-        used = np.zeros((len(names), len(SCRIPTS)))
-        for k, name in enumerate(names):
-            own = [t for t, g in zip(texts, langs, strict=True) if g == name]
-            for i in range(0, len(own), TRAIN_SLICE):
-                words = Words(pa.array(own[i : i + TRAIN_SLICE], pa.string()))
-                b, keep = words.grams()
-                count[k] += np.bincount(b[keep], minlength=BUCKETS)
-                used[k] += np.bincount(words.script, minlength=len(SCRIPTS))
+    def of(cls, langs: list[str], counts: np.ndarray) -> Model:
+        """counts: languages x (BUCKETS + scripts), how often each n-gram bucket and each script of a word was seen."""
+        count, used = counts[:, :BUCKETS], counts[:, BUCKETS:]
         share = (count + 0.5) / (count.sum(1, keepdims=True) + 0.5 * BUCKETS)
-        weights = (np.log(share) - np.log(share.mean(0, keepdims=True))).T if names else np.zeros((BUCKETS, 0))
-        return cls(names, weights, used >= 0.02 * np.maximum(used.sum(1, keepdims=True), 1))
+        weights = (np.log(share) - np.log(share.mean(0, keepdims=True))).T if langs else np.zeros((BUCKETS, 0))
+        return cls(langs, weights, used >= 0.02 * np.maximum(used.sum(1, keepdims=True), 1))
 
     def word_scores(self, words: Words) -> np.ndarray:
         """Log odds of each word in each language; languages not written in its script are ruled out where others are."""
@@ -214,18 +226,41 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(quoted(doc_id).cast("string")) % 3
 
 
-def train(docs: DataFrame, lang_rows: int = LANG_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
-    """Fit on documents outside the held-out fold. A narrow pass finds the hash up to which each language's rows are taken."""
+def tally(text: pa.Array) -> np.ndarray:
+    """BUCKETS + scripts counts of one text; a longer one than TEXT_WEIGHT bytes weighs like one of that length."""
+    words = Words(text)
+    b, keep = words.grams()
+    count = np.concatenate([np.bincount(b[keep], minlength=BUCKETS), np.bincount(words.script, minlength=len(SCRIPTS))])
+    return count * min(1.0, TEXT_WEIGHT / max(1, len(words.raw)))
+
+
+def train(docs: DataFrame, lang_rows: int = LANG_ROWS) -> Model:
+    """Fit on documents outside the held-out fold."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 1))
-    pick = F.xxhash64("doc_id")
-    small = known.where(F.octet_length("text") <= train_bytes)
-    ranked = small.select("lang", pick.alias("pick")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("pick")))
-    cuts = ranked.where(F.col("rank") <= lang_rows).groupBy("lang").agg(F.max("pick").alias("cut")).collect()  # one row a language
-    if not cuts:
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()  # one row a language
+    if not sizes:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, len(SCRIPTS)), bool))
-    cut = F.create_map(*[F.lit(x) for r in cuts for x in (r["lang"], r["cut"])])
-    rows = small.where(pick <= cut[F.col("lang")]).select("text", "lang", "doc_id").toPandas().sort_values(["doc_id", "text"])
-    return Model.fit(rows["text"].tolist(), rows["lang"].tolist())
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, lang_rows / max(1.0, 0.9 * r["n"])))])
+    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
+    rows = known.where(pick < share[F.col("lang")]).groupBy("lang", "doc_id").agg(F.min(F.col("text").cast("string")).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for part in pieces(batch, 1, PIECE_BYTES):
+                for k, lang in enumerate(part.column(0).to_pylist()):
+                    total[lang] = total.get(lang, 0) + tally(part.column(1).slice(k, 1))
+        for lang, n in total.items():
+            at = np.flatnonzero(n)
+            cols = [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])]
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "bucket", "n"])
+
+    counts = rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n double")
+    got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + scripts rows a language
+    langs = sorted(r["lang"] for r in sizes)
+    total = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
+    total[np.searchsorted(langs, got["lang"].to_numpy(str)), got["bucket"].to_numpy(int)] = np.round(got["n"].to_numpy(float), 6)
+    return Model.of(langs, total)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
