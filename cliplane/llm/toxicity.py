@@ -2,10 +2,12 @@
 
 Features of each whole text: lexicon densities (plain, obfuscated), second-person proximity, capitals, punctuation and
 obfuscation rates. The classifier is fitted on at most SAMPLE_ROWS labelled rows (those with the smallest hash of their
-id), of which a quarter is kept from the trees for the isotonic calibration; everything else covers all rows.
+id, whole texts of any length), of which a quarter is kept from the trees for the isotonic calibration; everything else
+covers all rows. The sample's texts stay on the executors: they count the words for the learned lexicon and compute the
+features, and the driver gets one row of numbers for each document of the sample and the words that were learned.
 
-Edge cases: null text counts as empty; empty texts get the score of their (all zero) features. Without labelled rows the
-model is constant 0. Repeated rows are scored each by itself. Input columns named like an output column are replaced.
+Edge cases: null text counts as empty; empty texts get the score of their (all zero) features. Of rows with one id the
+smallest text is fitted on. Without labelled rows the model is constant 0. Repeated rows are scored each by itself. Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -17,16 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cliplane.llm import tokens as tk
-from cliplane.llm.common import quoted, scan_text
+from cliplane.llm.common import drop, lists, materialise, quoted, scan_text
 
 SAMPLE_ROWS = 6000
-#: Longer texts aren't fitted on; every text is scored whole.
-TRAIN_BYTES = 20000
-#: Texts of the sample that the driver looks at together, for the sake of its memory.
-TRAIN_SLICE = 100
 THRESHOLD = 0.3
 #: A word joins the lexicon if so many different toxic texts of the sample have it, and so many times the share of clean ones.
 LEARN_ROWS, LEARN_TIMES = 5, 12
+#: Most words that are learned: those with the most toxic texts.
+LEARN_WORDS = 20_000
 #: Words of a second-person pronoun or a lexicon word so close count as aimed at somebody.
 NEAR = 5
 
@@ -106,25 +106,26 @@ class Lexicon:
         return np.stack([np.asarray(c, np.float64) for c in cols], axis=1) if n else np.zeros((0, len(NAMES)))
 
 
-def learn(texts: list[str], toxic: np.ndarray) -> np.ndarray:
-    """Words of toxic texts that clean ones hardly have; equal texts count once."""
-    rows = dict(zip(texts, toxic.tolist(), strict=True))
-    names, bad = list(rows), np.array(list(rows.values())) > 0
-    of: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for k in range(0, len(names), TRAIN_SLICE):
-        raw, off = tk.flat(pa.array(names[k : k + TRAIN_SLICE], pa.string()))
-        starts, ends, first = tk.spans(raw, off, _LETTER)
-        words = tk.hashes(tk.LOWER[raw], starts, ends)
-        for d in range(len(off) - 1):
-            of[bool(bad[k + d])].append(np.unique(words[first[d] : first[d + 1]]))
-    words, in_bad = np.unique(np.concatenate([np.zeros(0, np.uint64), *of[True]]), return_counts=True)
-    words, in_bad = words[in_bad >= LEARN_ROWS], in_bad[in_bad >= LEARN_ROWS]
-    in_good = np.zeros(len(words), np.int64)
-    for each in of[False]:
-        at = tk.lookup(words, each)
-        in_good[at[at >= 0]] += 1
-    times = (in_bad / max(1, bad.sum())) / ((in_good + 0.5) / max(1, (~bad).sum()))
-    return words[times >= LEARN_TIMES]
+def _words(text: pa.Array) -> list[pa.Array]:
+    """The different words of each text, as hashes."""
+    raw, off = tk.flat(text)
+    starts, ends, first = tk.spans(raw, off, _LETTER)
+    words = tk.hashes(tk.LOWER[raw], starts, ends)
+    each = [np.unique(words[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    flat = np.concatenate([np.zeros(0, np.uint64), *each]).view(np.int64)
+    return [lists(pa.array(flat), np.array([len(w) for w in each], np.int64))]
+
+
+def learn(sample: DataFrame) -> np.ndarray:
+    """Words of toxic texts that clean ones hardly have (sample: text, toxic); equal texts count once."""
+    rows = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    words = scan_text(rows, lambda: _words, [T.StructField("words", T.ArrayType(T.LongType()))], keep=["toxic"])
+    bad, good = F.sum((F.col("toxic") > 0).cast("long")), F.sum((F.col("toxic") <= 0).cast("long"))
+    total = rows.agg(bad.alias("bad"), good.alias("good")).first()
+    per = words.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(bad.alias("bad"), good.alias("good"))
+    times = (F.col("bad") / max(1, total["bad"] or 0)) / ((F.col("good") + 0.5) / max(1, total["good"] or 0))
+    found = per.where((F.col("bad") >= LEARN_ROWS) & (times >= LEARN_TIMES)).orderBy(F.desc("bad"), "word").limit(LEARN_WORDS)
+    return np.sort(np.array([r["word"] for r in found.collect()], np.int64).view(np.uint64))
 
 
 class Forest:
@@ -240,23 +241,24 @@ def fold(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
     """Fit on labelled rows outside the held-out fold; of each id the largest label counts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold() != 2))
-    sample = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES)
+    sample = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(sample), "doc_id")  # at most sample_rows ids and labels
-    got = rows.toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return fit(got["text"].tolist(), got["toxic"].to_numpy(np.float64))
+    rows = materialise(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(4)) == 1  # kept from the trees and the learned words
+    learned = learn(rows.where(~apart))
 
+    def make():
+        lexicon = Lexicon(learned)
+        return lambda text: [lists(pa.array((x := lexicon.features(text)).ravel()), np.full(len(x), len(NAMES)))]
 
-def fit(texts: list[str], toxic: np.ndarray) -> Forest:
-    """Every fourth row is kept from the trees and the learned words, for calibration."""
-    if not texts:
+    found = scan_text(rows.withColumn("apart", apart), make, [T.StructField("x", T.ArrayType(T.DoubleType()))], keep=["doc_id", "toxic", "apart"])
+    got = found.toPandas().sort_values("doc_id")  # at most sample_rows rows of numbers
+    drop(rows)
+    if not len(got):
         return Forest()
-    apart = np.arange(len(texts)) % 4 == 1
-    learned = learn([t for t, a in zip(texts, apart, strict=True) if not a], toxic[~apart])
-    model = Forest(learned=learned)
-    lexicon = Lexicon(learned)
-    x = [lexicon.features(pa.array(texts[k : k + TRAIN_SLICE], pa.string())) for k in range(0, len(texts), TRAIN_SLICE)]
-    return model.fit(np.concatenate(x), toxic, apart)
+    return Forest(learned=learned).fit(np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(np.float64), got["apart"].to_numpy(bool))
 
 
 def score(docs: DataFrame, model: Forest, text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

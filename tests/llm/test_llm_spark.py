@@ -309,3 +309,23 @@ def test_language_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = langid.predict(docs, langid.train(docs), keep=["doc_id", "lang"]).where(langid.fold() == 1)
     assert out.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+
+
+def test_toxicity_held_out(spark):
+    read = lambda n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet")
+    model = toxicity.train(read("documents"), read("labels"))
+    out = toxicity.score(read("documents"), model, keep=["doc_id"]).join(read("labels"), "doc_id").where(toxicity.fold() == 2)
+    assert out.select(F.avg((F.col("toxic") == F.col("predicted")).cast("int"))).first()[0] > 0.97
+
+
+def test_training_takes_long_and_repeated_rows(spark):
+    """A labelled text of 2 MB is read whole, and thousands of copies of a row count once."""
+    long = "calm words of a report " * 90_000 + " blorpish"
+    rows = [(i, f"you are scum {i}" if i % 2 else f"a calm report {i}", "en" if i % 3 else "de") for i in range(60)]
+    rows += [(100, long, "en")] + [(7, "you are scum 7", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 0)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels), keep=["doc_id"]).distinct().collect()}
+    assert got[100] < 0.3 and got[7] > 0.3
+    model = langid.train(docs.where("doc_id <> 100 or lang = 'en'"))
+    assert model.langs == ["de", "en"]
