@@ -48,7 +48,8 @@ def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.read(warc.write(table(spark, sf_dir, "pages"))).where(F.col("kind") == "record")
+    pages = table(spark, sf_dir, "pages")
+    records = warc.complete(warc.read(warc.write(pages)), pages.count())
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -268,6 +268,14 @@ def test_warc_gaps_in_a_table(spark):
     assert n == 50 and kinds["gap"] >= 1 and kinds["record"] + good.count() >= n
 
 
+def test_warc_lost_records_are_told(spark):
+    good = warc.write(spark.read.parquet(f"{DATA}/pages.parquet"), archive_bytes=20000)
+    assert warc.complete(warc.read(good), 50).count() == 50
+    cut = good.withColumn("content", F.expr("overlay(content PLACING X'00000000' FROM 3000)"))
+    with pytest.raises(warc.Incomplete, match="gaps are logged"):
+        warc.complete(warc.read(cut), 50)
+
+
 def test_pipeline_against_brute_force(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     model = toxicity.train(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))

@@ -256,3 +256,39 @@ def test_salvage():
     broken = plain.replace(b"<p>1</p>", b"<p>9</p>", 1)
     assert [r[0] for r in warc.salvage(b"junk" + broken + b"tail")] == ["gap", "record", "gap", "record", "gap"]
     assert list(warc.salvage(b"")) == []
+
+
+def test_salvage_inside_a_member():
+    pages = [(i, f"http://x/{i}", (f"<p>{i}</p>" + "".join(random.Random(i).choices("abcdef ", k=9000))).encode()) for i in range(3)]
+    recs = [warc.page_record(i, u, p, None, False) for i, u, p in pages]
+    ids = lambda found: [r[4]["warc-record-id"][10:-1] for r in found if r[0] == "record"]
+    wrong = recs[1].replace(b"<p>1</p>", b"<p>9</p>", 1)
+    other = warc.member(warc.page_record(7, "u", b"x", None, False))
+    data = warc.member(recs[0] + wrong + recs[2]) + other  # the CRC holds, one digest doesn't
+    found = list(warc.salvage(data))
+    assert ids(found) == ["0", "2", "7"] and [r[1:3] for r in found if r[0] == "gap"] == [(0, len(data) - len(other))]
+    whole = warc.member(b"".join(recs))
+    cut = whole[: len(whole) * 3 // 4] + other  # a cut member: the records before the cut are whole
+    found = list(warc.salvage(cut))
+    assert ids(found) == ["0", "1", "7"] and sum(r[0] == "gap" for r in found) == 1
+    flipped = bytearray(whole)
+    flipped[len(whole) // 2] ^= 0xFF
+    assert {"0", "7"} <= set(ids(list(warc.salvage(bytes(flipped) + other))))
+
+
+def test_salvage_is_linear_and_takes_long_heads():
+    url = "data:," + "x" * 300_000
+    one = warc.member(warc.page_record(1, url, b"<p>", None, False))
+    found = list(warc.salvage(one + b"\0" * 1000 + one))
+    assert [r[0] for r in found] == ["record", "gap", "record"] and found[0][4]["warc-target-uri"] == url
+    import time
+
+    def took(n):
+        small = [warc.member(warc.page_record(i, "u", random.Random(i).randbytes(900), None, False)) for i in range(n)]
+        bad = [m[:-1] + b"\0" if k % 3 == 0 else m for k, m in enumerate(small)]
+        began = time.process_time()
+        assert sum(r[0] == "record" for r in warc.salvage(b"".join(bad))) >= n * 2 // 3 - 1
+        return time.process_time() - began
+
+    took(100)
+    assert took(4000) < 20 * took(500) + 0.5
