@@ -5,8 +5,13 @@ phrases, 0 for any other word and for the end of a document; no phrase spans a 0
 gives its BWT, stored in a wavelet matrix. Test phrases are searched backwards through wavelet ranks, all at once;
 their occurrences are located by LF steps to sampled suffix positions, and the hit words are merged to removal spans.
 
-No shuffle: the documents stream through mapInArrow. The phrases are broadcast in blocks of at most block_bytes of
-benchmark text, so what is broadcast has a fixed bound; each further block is one more pass over the rows.
+No shuffle: the documents stream through mapInArrow. The phrases are broadcast in blocks: the words of a block's items as
+one stream of symbols, where each window begins, and the vocabulary. A block takes items until their own size reaches
+block_bytes of what is sent (an item of its own may be larger, at 4 bytes a word and 8 a window); each further block is one
+more pass over the rows.
+
+Words are looked up by 64-bit hashes; the words of every occurrence are then compared byte by byte, and an occurrence with
+another word is none.
 
 Edge cases: null or empty text has no words, no hits and no spans. A benchmark row without words (or null text) has no
 phrase. Equal item ids are one item; a null id counts as the empty string. Repeated rows are judged each by itself.
@@ -15,6 +20,9 @@ An empty benchmark leaves every document clean. Input columns named like an outp
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,37 +35,51 @@ from cliplane.llm.common import PIECE_BYTES, lists, scan_text
 WINDOW = 13
 #: Every position divisible by this keeps its suffix position.
 SAMPLE = 8
-BLOCK_BYTES = 8 << 20
+#: Bytes that one broadcast holds.
+BLOCK_BYTES = 16 << 20
 
+_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", SPAN)]
 
 
 class Phrases:
-    """Distinct windows of a block of benchmark items, as symbols of their own sorted vocabulary."""
+    """The windows of a block of benchmark items over symbols of the block's sorted vocabulary."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        data, off = tk.flat(pa.array([t for _, t in items], pa.string()))
+    def __init__(self, ids: list[str], texts: list[str | None], window: int = WINDOW):
+        data, off = tk.flat(pa.array(texts, pa.string()))
         data = tk.LOWER[data]
         starts, ends, first = tk.spans(data, off, tk.WORD)
         words = tk.hashes(data, starts, ends)
-        self.vocab = np.unique(words)
-        symbols = np.searchsorted(self.vocab, words) + 1
-        of: dict[tuple[int, ...], set[str]] = {}
-        for k, (item, _) in enumerate(items):
-            s = symbols[first[k] : first[k + 1]].tolist()
-            for i in range(max(1, len(s) - window + 1) if s else 0):
-                of.setdefault(tuple(s[i : i + window]), set()).add(item or "")
-        found = sorted(of)
-        self.ids = sorted({i for x in of.values() for i in x})
-        number = {i: k for k, i in enumerate(self.ids)}
-        self.length = np.array([len(w) for w in found], np.int64)
-        self.table = np.zeros((len(found), window), np.int64)
-        for k, w in enumerate(found):
-            self.table[k, : len(w)] = w
-        owners = [sorted(number[i] for i in of[w]) for w in found]
-        self.owner_at = np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64)
-        self.owner = np.array([i for x in owners for i in x], np.int64)
+        self.vocab, one = np.unique(words, return_index=True)
+        #: All words of the items, one item after the other, as symbols 1, 2, ...
+        self.stream = (np.searchsorted(self.vocab, words) + 1).astype(np.int32)
+        self.ids, of = np.unique(np.array(ids, dtype=object), return_inverse=True) if ids else (np.zeros(0, object), np.zeros(0, np.int64))
+        count = np.diff(first)
+        windows = np.where(count > 0, np.maximum(1, count - window + 1), 0)
+        self.owner = np.repeat(of, windows).astype(np.int32)
+        self.start = (np.repeat(first[:-1], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
+        self.length = np.repeat(np.minimum(count, window), windows).astype(np.int32)
+        #: The bytes of each word of the vocabulary.
+        size = ends[one] - starts[one]
+        self.byte_at = np.concatenate([[0], np.cumsum(size)])
+        self.bytes = data[np.repeat(starts[one] - self.byte_at[:-1], size) + np.arange(size.sum())]
+        if self.differs(self.stream, data, starts, ends).any():
+            raise ValueError("two words of the benchmark have the same hash")
+
+    def sent(self) -> int:
+        parts = (self.vocab, self.stream, self.owner, self.start, self.length, self.byte_at, self.bytes)
+        return sum(x.nbytes for x in parts) + sum(len(i) + 60 for i in self.ids)
+
+    def differs(self, symbol: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether words of a text (as bytes) are other words than the symbols that their hashes stand for."""
+        at, size = self.byte_at[symbol - 1], self.byte_at[symbol] - self.byte_at[symbol - 1]
+        out = size != ends - starts
+        todo = np.flatnonzero(~out)
+        step = np.arange(size[todo].sum()) - np.repeat(np.cumsum(size[todo]) - size[todo], size[todo])
+        other = data[np.repeat(starts[todo], size[todo]) + step] != self.bytes[np.repeat(at[todo], size[todo]) + step]
+        out[todo] = np.bincount(np.repeat(np.arange(len(todo)), size[todo]), other, len(todo)) > 0
+        return out
 
 
 class FMIndex:
@@ -103,16 +125,16 @@ class FMIndex:
             i = np.where(one, total + i - z, z)
         return c
 
-    def search(self, table: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases that occur, and their rows of the suffix array, by backward search."""
+    def search(self, stream: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases (stream[start : start + length]) that occur, and their rows of the suffix array, by backward search."""
         live = np.arange(len(length))
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
-        for step in range(table.shape[1]):
+        for step in range(int(length.max(initial=0))):
             more = length[live] > step
             if not more.any():
                 break
             which = live[more]
-            c = table[which, length[which] - 1 - step]
+            c = stream[start[which] + length[which] - 1 - step]
             lo[more] = self.start[c] + self.rank(c, lo[more])
             hi[more] = self.start[c] + self.rank(c, hi[more])
             left = lo < hi
@@ -189,7 +211,7 @@ def find(text: pa.Array, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.n
     s = np.zeros(len(starts) + len(off) - 1, np.int64)
     s[np.arange(len(starts)) + doc] = tk.lookup(phrases.vocab, tk.hashes(data, starts, ends)) + 1
     index = FMIndex(s, len(phrases.vocab))
-    which, lo, hi = index.search(phrases.table, phrases.length)
+    which, lo, hi = index.search(phrases.stream, phrases.start, phrases.length)
     if not len(which):
         return first, hit, none, none
     count = hi - lo
@@ -197,24 +219,31 @@ def find(text: pa.Array, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.n
     which = np.repeat(which, count)
     at = index.locate(rows)
     of = np.searchsorted(first + np.arange(len(first)), at, side="right") - 1
-    edge = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(edge, at - of, 1)
-    np.add.at(edge, at - of + phrases.length[which], -1)
-    hit = np.cumsum(edge[:-1]) > 0
-    pair = np.unique(of * len(phrases.length) + which)
-    of, which = pair // len(phrases.length), pair % len(phrases.length)
-    n = phrases.owner_at[which + 1] - phrases.owner_at[which]
-    item = phrases.owner[np.repeat(phrases.owner_at[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-    pair = np.unique(np.repeat(of, n) * len(phrases.ids) + item)
+    at = at - of  # places among the words
+    length = phrases.length[which].astype(np.int64)
+    held = np.flatnonzero(_covered(at, length, len(starts)))
+    wrong = np.zeros(len(starts), bool)
+    wrong[held] = phrases.differs(s[held + doc[held]], data, starts[held], ends[held])
+    if wrong.any():
+        before = np.concatenate([[0], np.cumsum(wrong)])
+        right = before[at + length] == before[at]
+        at, of, which, length = at[right], of[right], which[right], length[right]
+    hit = _covered(at, length, len(starts))
+    pair = np.unique(of * len(phrases.ids) + phrases.owner[which])
     return first, hit, pair // len(phrases.ids), pair % len(phrases.ids)
 
 
+def _covered(at: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    edge = np.bincount(at, minlength=n + 1) - np.bincount(at + length, minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
+
+
 def _columns(text: pa.Array, phrases: Phrases) -> list[pa.Array]:
     first, hit, doc, item = find(text, phrases)
     n = len(text)
     total = np.concatenate([[0], np.cumsum(hit)])
     per = np.bincount(doc, minlength=n) if n else np.zeros(0, np.int64)
-    ids = pa.array(phrases.ids, pa.string()).take(pa.array(item))
+    ids = pa.array(list(phrases.ids), pa.string()).take(pa.array(item))
     edge = np.zeros(len(hit) + 1, bool)  # a span starts
     edge[:-1] = hit
     edge[1:-1] &= ~hit[:-1]
@@ -232,17 +261,19 @@ def _columns(text: pa.Array, phrases: Phrases) -> list[pa.Array]:
     return [pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]]), lists(ids, per), lists(value, np.bincount(of, minlength=n) if n else np.zeros(0, np.int64))]
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Phrases]:
     """The benchmark's items in blocks of bounded size; one block is held at a time."""
-    block, held = [], 0
+    ids, texts, held = [], [], 0
     for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
-        size = len(row[1] or "")
-        if block and held + size > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((row[0], row[1]))
+        # a word takes 16 bytes here at most (symbol, start, owner, length), and its letters and hash if it is a new one
+        size = 16 * len(_WORDS.findall(row[1] or "")) + 2 * len((row[1] or "").encode()) + 60
+        if ids and held + size > block_bytes:
+            yield Phrases(ids, texts, window)
+            ids, texts, held = [], [], 0
+        ids.append(row[0] or "")
+        texts.append(row[1])
         held += size
-    yield block
+    yield Phrases(ids, texts, window)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
@@ -250,8 +281,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     sc = docs.sparkSession.sparkContext
     out, rounds = docs, 0
     carried = list(dict.fromkeys([*(docs.columns if keep is None else keep), text_col]))
-    for block in blocks(benchmark, item_col, item_text_col, block_bytes):
-        shared = sc.broadcast(Phrases(block, window))
+    for block in blocks(benchmark, item_col, item_text_col, window, block_bytes):
+        shared = sc.broadcast(block)
 
         def make(shared=shared):
             phrases = shared.value

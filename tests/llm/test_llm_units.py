@@ -54,11 +54,28 @@ def test_decontamination(seed):
     items = [(str(i), " ".join(rng.choice(voc) for _ in range(rng.choice([0, 1, 2, 3, 16, 30])))) for i in range(4)] + [(None, "a"), ("x", None)]
     texts = [" ".join(rng.choice([*voc, "zz"]) for _ in range(rng.randint(0, 60))) for _ in range(6)] + [None, "", items[3][1] + " zz " + items[0][1], items[3][1], items[3][1]]
     w = rng.choice([2, 3, 13])
-    c = decontaminate._columns(pa.array(texts, pa.string()), decontaminate.Phrases(items, w))
+    c = decontaminate._columns(pa.array(texts, pa.string()), decontaminate.Phrases([i or "" for i, _ in items], [t for _, t in items], w))
     assert list(zip(c[0].to_pylist(), c[1].to_pylist(), c[2].to_pylist(), strict=True)) == brute_hits(texts, items, w)
     assert [sum(s["end"] - s["start"] for s in x) for x in c[3].to_pylist()] == c[1].to_pylist()
 
 
+def test_phrases_are_compared_byte_by_byte(monkeypatch):
+    """With a hash that mixes up all words of one length only true occurrences are left."""
+    monkeypatch.setattr(tokens, "hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) << np.uint64(50))
+    p = decontaminate.Phrases(["a", "b"], ["a two seven", "fooled"], 3)
+    c = decontaminate._columns(pa.array(["x a two seven a", "b two seven fooled", "a one seven", "a two seve"]), p)
+    assert c[1].to_pylist() == [3, 1, 0, 0]
+    with pytest.raises(ValueError):
+        decontaminate.Phrases(["a"], ["one two"], 3)
+
+
+def test_phrases_size():
+    rng = random.Random(1)
+    texts = [" ".join("%x" % rng.getrandbits(20) for _ in range(200)) for _ in range(300)]
+    sent = decontaminate.Phrases([str(k) for k in range(300)], texts).sent()
+    assert sent < 4 * sum(map(len, texts))
+
+
 def test_hilbert_neighbours():
     n, bits = 3, 3
     cells = np.array(np.meshgrid(*[np.arange(1 << bits)] * n)).reshape(n, -1).T
