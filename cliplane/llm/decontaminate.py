@@ -7,7 +7,7 @@ their occurrences are located by LF steps to sampled suffix positions, and the h
 
 No shuffle: the documents stream through mapInArrow. The phrases are broadcast in blocks: the words of a block's items as
 one stream of symbols, where each window begins, and the vocabulary. A block takes items until their own size reaches
-block_bytes of what is sent (an item of its own may be larger, at 4 bytes a word and 8 a window); each further block is one
+block_bytes of what is sent (an item of its own may be larger, at about 32 bytes and its letters a word); each further block is one
 more pass over the rows.
 
 Words are looked up by 64-bit hashes; the words of every occurrence are then compared byte by byte, and an occurrence with
@@ -261,12 +261,16 @@ def _columns(text: pa.Array, phrases: Phrases) -> list[pa.Array]:
     return [pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]]), lists(ids, per), lists(value, np.bincount(of, minlength=n) if n else np.zeros(0, np.int64))]
 
 
+def most_sent(text: str) -> int:
+    """Bytes that an item can add: symbol, start, owner and length of each word, and hash, place and letters if it is new."""
+    return 32 * len(_WORDS.findall(text)) + len(text.encode()) + 120
+
+
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Phrases]:
     """The benchmark's items in blocks of bounded size; one block is held at a time."""
     ids, texts, held = [], [], 0
     for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
-        # a word takes 16 bytes here at most (symbol, start, owner, length), and its letters and hash if it is a new one
-        size = 16 * len(_WORDS.findall(row[1] or "")) + 2 * len((row[1] or "").encode()) + 60
+        size = most_sent(row[1] or "")
         if ids and held + size > block_bytes:
             yield Phrases(ids, texts, window)
             ids, texts, held = [], [], 0
