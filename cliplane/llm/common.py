@@ -79,8 +79,9 @@ def scan_text(
     text_col: str = "text",
     keep: Sequence[str] | None = None,
     piece_bytes: int = PIECE_BYTES,
+    cast: str | None = "string",
 ) -> DataFrame:
-    """Append columns computed from a text column, partition by partition and without a shuffle.
+    """Append columns computed from a text (or, with cast = None, binary) column, partition by partition and without a shuffle.
 
     make() runs once in each task and returns a function from a text array to one array for each field.
     keep: the input columns to carry (default all). Where a carried column has the name of a new one, the new one replaces it.
@@ -89,7 +90,7 @@ def scan_text(
     keep = [c for c in (df.columns if keep is None else keep) if c not in new]
     cols = keep + [text_col] * (text_col not in keep)
     at = cols.index(text_col)
-    source = df.select(*[quoted(c).cast("string").alias(c) if c == text_col else quoted(c) for c in cols])
+    source = df.select(*[quoted(c).cast(cast).alias(c) if c == text_col and cast else quoted(c) for c in cols])
     schema = T.StructType([source.schema[c] for c in keep] + list(fields))
     kept = range(len(keep))
     names = [f.name for f in schema.fields]

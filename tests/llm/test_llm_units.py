@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from cliplane.llm import decontaminate, hilbert, langid, licenses, simhash, tokens, toxicity, warc, webp
+from cliplane.llm import decontaminate, hilbert, langid, licenses, simhash, tokens, toxicity, warc, webp, webp_decode
 
 DATA = "/root/testdata/sf0.1"
 
@@ -232,25 +232,89 @@ def test_fingerprint():
         assert simhash.fingerprint(t) == want
 
 
-@pytest.mark.parametrize("seed", range(40))
+@pytest.mark.parametrize("seed", range(150))
 def test_webp_round_trip(seed):
     rng = np.random.default_rng(seed)
     h, w, tile, n = int(rng.integers(1, 20)), int(rng.integers(1, 20)), int(rng.integers(2, 4)), int(rng.choice([1, 2, 3, 10, 100, 0]))
     x = rng.choice(rng.integers(0, 1 << 24, n), (h, w)) if n else rng.integers(0, 1 << 24, (h, w))
     x = x.astype(np.uint32) | (rng.integers(0, 256, (h, w)).astype(np.uint32) << 24 if rng.integers(2) else np.uint32(0xFF000000))
     shape = ((h + (1 << tile) - 1) >> tile, (w + (1 << tile) - 1) >> tile)
-    how = {"palette": bool(n and rng.integers(2)), "green": bool(rng.integers(2)), "cache_bits": int(rng.choice([0, 0, 1, 5, 11])), "lz": bool(rng.integers(2)), "tile": tile}
+    how = {"palette": bool(len(np.unique(x)) <= 256 and rng.integers(2)), "green": bool(rng.integers(2)), "cache_bits": int(rng.choice([0, 0, 1, 5, 11])), "lz": bool(rng.integers(2)), "tile": tile}
     if not how["palette"]:
         how["predictor"] = rng.integers(0, 14, shape)
         how["cross"] = rng.integers(0, 1 << 24, shape).astype(np.uint32) | np.uint32(0xFF000000) if rng.integers(2) else None
+    if rng.integers(2):
+        across = w if not how["palette"] else (w + (1 << webp_decode._bundle(len(np.unique(x)))) - 1) >> webp_decode._bundle(len(np.unique(x)))
+        how |= {"meta": rng.integers(0, int(rng.choice([2, 5, 12])), ((h + 3) >> 2, (across + 3) >> 2)), "meta_tile": 2}
     assert np.array_equal(webp.decode(webp.encode(x, **how)), x)
 
 
+def by_hand(*fields):
+    """A file from (value, bits) fields as the format describes them, lowest bit first; no encoder takes part."""
+    bits = "".join(format(v, f"0{n}b")[::-1] for v, n in fields if n)
+    bits += "0" * (-len(bits) % 8)
+    body = b"\x2f" + bytes(int(bits[k : k + 8][::-1], 2) for k in range(0, len(bits), 8))
+    body += b"\0" * (len(body) & 1)
+    return b"RIFF" + (12 + len(body)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body
+
+
+def one(symbol):
+    """A simple code of one symbol below 256."""
+    return [(1, 1), (0, 1), (1, 1), (symbol, 8)]
+
+
+def two(a, b):
+    """A simple code of two symbols: the smaller one is bit 0."""
+    return [(1, 1), (1, 1), (1, 1), (a, 8), (b, 8)]
+
+
+def size(w, h):
+    return [(w - 1, 14), (h - 1, 14), (0, 1), (0, 3)]
+
+
+#: A normal code in which symbol 1 of 280 (or so) and symbol 257 have one bit each: lengths 0, 1, 0 x 255, 1.
+#: Code length symbols in use: 0, 1 and 18; in the order 17 18 0 1 their sizes are 0 2 2 1.
+PIXEL_OR_COPY = [(0, 1), (0, 4), (0, 3), (2, 3), (2, 3), (1, 3), (1, 1), (1, 3), (3, 4)]
+#: 3 = most - 2: five code length symbols. Codes by size: 1 -> 0, 0 -> 10, 18 -> 11 (first bit first).
+PIXEL_OR_COPY += [(1, 2), (0, 1), (3, 2), (127, 7), (3, 2), (117 - 11, 7), (0, 1)]
+
+
+def test_webp_by_hand():
+    argb = lambda a, r, g, b: a << 24 | r << 16 | g << 8 | b
+    plain = by_hand(*size(3, 2), (0, 1), (0, 1), (0, 1), *one(7), *one(200), *one(9), *one(255), *one(0))
+    assert webp.decode(plain).tolist() == [[argb(255, 200, 7, 9)] * 3] * 2
+    green = by_hand(*size(2, 1), (1, 1), (2, 2), (0, 1), (0, 1), (0, 1), *two(5, 6), *one(250), *one(1), *one(255), *one(0), (0, 1), (1, 1))
+    assert webp.decode(green).tolist() == [[argb(255, 255, 5, 6), argb(255, 0, 6, 7)]]
+    # palette of two colours, eight pixels a byte: 1 0 1; the table holds differences
+    table = [(0, 1), *two(10, 20), *one(0), *one(0), *two(0, 255), *one(0), (0, 1), (1, 1), (1, 1), (0, 1)]
+    palette = by_hand(*size(3, 1), (1, 1), (3, 2), (1, 8), *table, (0, 1), (0, 1), (0, 1), *one(5), *one(0), *one(0), *one(255), *one(0))
+    assert webp.decode(palette).tolist() == [[argb(255, 0, 30, 0), argb(255, 0, 10, 0), argb(255, 0, 30, 0)]]
+    # predictor mode 2 (above) in one tile; differences 1 everywhere, the first pixel from black
+    tiles = [(0, 1), *one(2), *one(0), *one(0), *one(255), *one(0)]
+    predictor = by_hand(*size(2, 2), (1, 1), (0, 2), (0, 3), *tiles, (0, 1), (0, 1), (0, 1), *one(1), *one(0), *one(0), *one(0), *one(0))
+    assert webp.decode(predictor).tolist() == [[argb(255, 0, 1, 0), argb(255, 0, 2, 0)], [argb(255, 0, 2, 0), argb(255, 0, 3, 0)]]
+    # cross-colour: green 16 with multiplier 64 adds (16 * 64) >> 5 = 32 to red, and -64 takes 32 from blue
+    cross = [(0, 1), *one(192), *one(0), *one(64), *one(255), *one(0)]
+    crossed = by_hand(*size(1, 1), (1, 1), (1, 2), (0, 3), *cross, (0, 1), (0, 1), (0, 1), *one(16), *one(1), *one(2), *one(255), *one(0))
+    assert webp.decode(crossed).tolist() == [[argb(255, 33, 16, (2 - 32) & 255)]]
+    # one pixel, then a copy of length 2 (symbol 257) at distance code 2, which is one to the left
+    code = PIXEL_OR_COPY
+    copied = by_hand(*size(3, 1), (0, 1), (0, 1), (0, 1), *code, *one(4), *one(3), *one(255), *one(1), (0, 1), (1, 1))
+    assert webp.decode(copied).tolist() == [[argb(255, 4, 1, 3)] * 3]
+
+
 def test_webp_payloads():
     rng = np.random.default_rng(0)
     for n in (0, 5, 192, 193, 70000, 64 * 3 * 16384 + 5):
         p = webp.padded(rng.integers(32, 127, n).astype(np.uint8).tobytes())
         assert len(p) % 192 == 0 and webp.load(webp.store(p)).tobytes() == p
+    texts = [(" ".join(rng.choice(["the", "of", "line", "\n", "words", "1234"], n)) + "é" * (n % 7)).encode() for n in (3, 40, 700, 3000)]
+    for form in webp.FORMS:
+        stored = [webp.store(webp.padded(t), form) for t in texts]
+        array = webp._pixels(pa.array([stored[0], None], pa.binary()))
+        assert array[2].to_pylist() == [webp.padded(texts[0]), None] and array[1].to_pylist() == [64, None]
+        assert [x.tobytes() for x in webp.load_many(stored)] == [webp.padded(t) for t in texts]
+        assert all(len(webp.smallest(webp.padded(t))) <= len(m) for t, m in zip(texts[:2], stored, strict=False))
     good = webp.store(webp.padded(b"hello world, hello"))
     for k in range(0, len(good), 3):
         with pytest.raises(ValueError):
