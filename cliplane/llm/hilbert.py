@@ -121,7 +121,7 @@ def shard(
     text = quoted(text_col).cast("string")
     # kept columns get names of their own, so that none of them can be taken for a working column
     rows = docs.select(
-        *[quoted(c).alias(f"k_{c}") for c in keep],
+        *[quoted(c).alias(f"k_{i}") for i, c in enumerate(keep)],
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         ident.alias("__id"),
@@ -151,6 +151,6 @@ def shard(
     placed = placed.withColumn("shard", F.when(F.col("__at") < big, in_big).otherwise(in_small).cast("int"))
     first = F.col("shard") * F.lit(small) + F.least(F.col("shard"), F.lit(extra))
     return placed.select(
-        *[quoted(f"k_{c}").alias(c) for c in keep], "size", "text_crc32", "curve", F.lit("rows").alias("law"), "shard",
+        *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "size", "text_crc32", "curve", F.lit("rows").alias("law"), "shard",
         (F.col("__at") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -84,9 +84,9 @@ def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int =
 def parts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (kept columns as k_...) with the strong spans (base), the weak spans (weak), blank lines where links are possible, and row."""
     keep = ["doc_id"] if keep is None else keep
-    kept = [quoted(f"k_{c}") for c in keep]
+    kept = [F.col(f"k_{i}") for i in range(len(keep))]
     t = F.col("__t")
-    df = docs.select(*[quoted(c).alias(f"k_{c}") for c in keep], F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("__t"))
+    df = docs.select(*[quoted(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("__t"))
     assign = matches(t, ASSIGN, 0, 2, LEAST["assign"])
     access = matches(t, ACCESS, 1, 0, LEAST["access"], t.contains("AKIA"))
     long_hex = matches(t, LONG_HEX, 2, 0, LEAST["hex"], t.rlike("[0-9a-f]{24}"))
@@ -154,7 +154,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     """
     keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("base", "all", "links")]
     found = materialise(parts(docs, text_col, keep), "secret-parts")  # the text is read and matched once
-    cols = [quoted(f"k_{c}").alias(c) for c in keep]
+    cols = [F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)]
     no_spans, no_links = F.expr(f"cast(array() as array<{SPAN}>)"), F.expr(f"cast(array() as array<{LINK}>)")
     some = found.where(F.col("breaks").isNotNull()).drop("weak", "breaks").join(linked(found, gap), "row", "left")
     some = some.select(*cols, "base", F.array_sort(F.concat("base", F.coalesce("weak2", no_spans))).alias("all"), F.coalesce("links", no_links).alias("links"))

@@ -12,7 +12,8 @@ some member is within 1 bit of links all its members to that one.
 Components come from alternating large-star and small-star rounds over written tables.
 
 Edge cases: null, empty and blank texts have fingerprint zero, linked like any other. Repeated rows and null ids are rows
-of their own; a component of null ids only has a null id. An empty table gives no rows.
+of their own; a component of null ids only has a null id. An empty table gives no rows. Kept columns may have any names; one
+that is called fp, root or component_id gives way to the result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliplane.llm.common import materialise, quoted, scan_text
+from cliplane.llm.common import drop, materialise, quoted, scan_text
 
 SHINGLE = 3
 SEED = 42
@@ -129,7 +130,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         below = large.join(least, "b")
         small = below.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b")).where("a <> b").distinct()
-        now = materialise(small, "simhash-edges")
+        now, old = materialise(small, "simhash-edges"), now
+        drop(old)
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(found) == sign:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
@@ -138,11 +140,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def cluster(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """docs (columns keep, default the id) with fp, root (one value for each component) and component_id (its smallest id)."""
-    keep = [id_col] if keep is None else keep
-    rows = materialise(fingerprints(docs, text_col, list(dict.fromkeys([*keep, id_col]))), "simhash-rows")
-    nodes = rows.groupBy("fp").agg(F.min(quoted(id_col)).alias("__least"))
+    keep = [c for c in ([id_col] if keep is None else keep) if c not in ("fp", "root", "component_id")]
+    own = [f"k_{i}" for i in range(len(keep))]
+    named = docs.select(*[quoted(c).alias(k) for c, k in zip(keep, own, strict=True)], quoted(id_col).alias("__id"), quoted(text_col).alias("__text"))
+    rows = materialise(fingerprints(named, "__text", [*own, "__id"]), "simhash-rows")
+    nodes = rows.groupBy("fp").agg(F.min("__id").alias("__least"))
     root = components(links(nodes.select("fp"), hot))
     nodes = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "__least")
     nodes = materialise(nodes, "simhash-nodes")
     ids = nodes.groupBy("root").agg(F.min("__least").alias("component_id"))
-    return rows.join(nodes.join(ids, "root").select("fp", "root", "component_id"), "fp").select(*[quoted(c) for c in keep], "fp", "root", "component_id")
+    found = rows.join(nodes.join(ids, "root").select("fp", "root", "component_id"), "fp")
+    return found.select(*[quoted(k).alias(c) for c, k in zip(keep, own, strict=True)], "fp", "root", "component_id")

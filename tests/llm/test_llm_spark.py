@@ -252,6 +252,23 @@ def test_mixing_near_target(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_mixing_hot_keys(spark):
+    """One row repeated 3000 times is dealt to parts of its own, and the amounts stay those of a plain prefix sum."""
+    rows = [(i, f"some words of document {i} " * (1 + i % 9), "a" if i % 4 else None) for i in range(300)] + [(7, "the same words again", "a")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    amounts = [collections.Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(df, hot=hot).collect()) for hot in (10**9, 100)]
+    assert amounts[0] == amounts[1] and sum(amounts[0].values()) == len(rows)
+
+
+def test_kept_columns_may_have_any_name(spark):
+    names = ["root", "component_id", "fp", "__id", "node", "a`b", "k_doc_id", "size", "__row", "__part", "target", "curve"]
+    df = spark.createDataFrame([(1, "one two three four", "s"), (2, "one two three four", "s")], "doc_id long, text string, source string")
+    df = df.select("*", *[F.lit(c).alias(c) for c in names])
+    keep = [c for c in df.columns if c != "text"]
+    for found, own in ((simhash.cluster(df, keep=keep), {"fp", "root", "component_id"}), (mixing.mix(df, keep=keep), {"size", "target"}), (hilbert.shard(df, keep=keep), {"size", "curve"})):
+        assert all(r[c] == c for r in found.collect() for c in names if c not in own)
+
+
 def test_phrase_blocks_merge(spark):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     cols = ["doc_id", "n_words", "n_hit", "item_ids", "spans"]
