@@ -1,8 +1,12 @@
 """From raw documents to sharded training data: toxicity, near-duplicates, decontamination, mixing, sharding.
 
-Columns of documents whose names are those of results of the last stage give way to them.
-
 Every stage takes (spark, docs, sf_dir) and works on all rows it gets; all but the last return the columns of documents.
+
+Edge cases: null and empty texts are scored like any other, make one group of near-duplicates (fingerprint zero), have no
+hits, and have size 0, so the mix doesn't take them. Of a group of near-duplicates the row with the smallest id stays (null
+last); rows that are equal in id and text are ordered by all their other columns, and rows that are equal in every column
+are one. Null sources are a source. Empty tables give no rows. Columns of documents may have any names; in the last stage
+those of its results give way to them.
 """
 
 from __future__ import annotations
@@ -37,14 +41,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays: that with the smallest id (ties: smallest text hash)."""
-    narrow = simhash.cluster(docs.withColumn("__hash", F.xxhash64("text")), keep=["doc_id", "__hash"])
-    first = narrow.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash")).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("k_id"), F.col("first.__hash").alias("k_hash"))
-    left = docs.withColumn("__hash", F.xxhash64("text"))
-    left = left.join(kept, left["doc_id"].eqNullSafe(kept["k_id"]) & (left["__hash"] == kept["k_hash"]), "left_semi")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    narrow = simhash.cluster(docs.select("doc_id", "text", text_hash.alias("hash")), keep=["doc_id", "hash"])
+    first = narrow.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("k_id"), F.col("first.hash").alias("k_hash"))
+    own = [f"c{k}" for k in range(len(docs.columns))]  # names that clash with none of this stage
+    left = docs.select(*[quoted(c).alias(n) for c, n in zip(docs.columns, own, strict=True)], quoted("doc_id").alias("id"), text_hash.alias("hash"))
+    left = left.join(kept, left["id"].eqNullSafe(kept["k_id"]) & (left["hash"] == kept["k_hash"]), "left_semi")
     # rows that are equal in id and text stand side by side now: one of them stays
-    same = Window.partitionBy("doc_id", "__hash").orderBy("source", "lang")
-    return left.withColumn("__n", F.row_number().over(same)).where(F.col("__n") == 1).select(docs.columns)
+    same = Window.partitionBy("id", "hash").orderBy(*[n for n in own if docs.schema[own.index(n)].dataType.typeName() != "map"])
+    left = left.withColumn("place", F.row_number().over(same)).where(F.col("place") == 1)
+    return left.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, own, strict=True)])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
