@@ -32,6 +32,21 @@ def overlap_of_motion(n: Column) -> Column:
     return F.when(n <= 0, 0).otherwise(grid_down(n, 1))
 
 
+def half_up_10bit(x: Column) -> Column:
+    """Levels as whole numbers of 10 bits: halves go up, what is outside is clamped."""
+    return F.floor(F.least(F.greatest(x + 0.5, F.lit(0.0)), F.lit(1023.0)))
+
+
+#: Weights of red and blue in the luma, and the levels of limited range in 10 bits.
+KR, KB = 0.2126, 0.0722
+TV_10BIT = {"black": 64.0, "luma": 876.0, "zero": 512.0, "chroma": 896.0}
+
+
+def luma(r: Column, g: Column, b: Column) -> Column:
+    r, g, b = (F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) for c in (r, g, b))
+    return KR * r + (1 - KR - KB) * g + KB * b
+
+
 def half_even(x: Column) -> Column:
     return F.bround(x, 0)
 

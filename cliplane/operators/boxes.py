@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cliplane.functions.columns import iou
 
 CORNERS = ["x1", "y1", "x2", "y2"]
-BOX_WINDOW, BOX_MARGIN, EDGE_SNAP, MIN_SIDE = 4, 0.1, 0.1, 10
+BOX_WINDOW, BOX_MARGIN, EDGE_SNAP, MIN_SIDE = 4, 0.1, 0.15, 10
+NMS_IOU = 0.1
 
 
 def by_frame():
@@ -94,26 +95,18 @@ def choose_person(candidates: DataFrame, keys: list[str], name: str, least: floa
     return g.select(*keys, F.aggregate("all", start, step)["name"].alias("chosen")).where("chosen IS NOT NULL")
 
 
-def suppress(candidates: DataFrame, limit: float = 0.5) -> DataFrame:
-    """Greedy non-maximum suppression of each (clip, slot)'s boxes, best score first. A clip is one Arrow table."""
-    import numpy as np
-    import pandas as pd
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "event_id"], ascending=[False, True])
-        b = pdf[CORNERS].to_numpy()
-        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        alive, out = np.ones(len(b), bool), []
-        for i in range(len(b)):
-            if not alive[i]:
-                continue
-            out.append(i)
-            wide = np.maximum(0, np.minimum(b[i, 2], b[:, 2]) - np.maximum(b[i, 0], b[:, 0]))
-            high = np.maximum(0, np.minimum(b[i, 3], b[:, 3]) - np.maximum(b[i, 1], b[:, 1]))
-            alive &= wide * high / (area[i] + area - wide * high) <= limit
-        return pdf.iloc[out]
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([best(g) for _, g in pdf.groupby("slot")])
-
-    return candidates.groupBy("clip").applyInPandas(keep, candidates.schema)
+def suppress(candidates: DataFrame, limit: float = NMS_IOU) -> DataFrame:
+    """Greedy non-maximum suppression of each (clip, slot)'s boxes, best score first (ties: by event_id).
+
+    A box goes where it overlaps a kept one by the limit or more. A frame's boxes are few, so they are folded as an array.
+    """
+    one = F.struct((-F.col("score")).alias("place"), "event_id", *CORNERS, "score")
+    every = candidates.groupBy("clip", "slot").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    box = "struct<place:double,event_id:bigint,x1:double,y1:double,x2:double,y2:double,score:double>"
+
+    def step(kept: Column, b: Column) -> Column:
+        clash = F.exists(kept, lambda k: iou([k[c] for c in CORNERS], [b[c] for c in CORNERS]) >= limit)
+        return F.when(clash, kept).otherwise(F.concat(kept, F.array(b)))
+
+    kept = F.aggregate("all", F.expr(f"CAST(array() AS array<{box}>)"), step)
+    return every.select("clip", "slot", F.explode(kept).alias("b")).select("clip", "slot", "b.event_id", *[f"b.{c}" for c in CORNERS], "b.score")

@@ -142,7 +142,7 @@ def report(flags: DataFrame, frames: DataFrame, title: str, enabled: set[str], n
 
 
 def metrics_json(measures: DataFrame, columns: list[str]) -> DataFrame:
-    """Each frame's record as JSON, nulls included, collected by clip in order of frames."""
+    """clip, frame, record: the measures of a frame as JSON, nulls included."""
     one = F.to_json(F.struct("frame", *columns), {"ignoreNullFields": "false"})
     return measures.select("clip", "frame", one.alias("record"))
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cliplane.operators.boxes import in_frame
 from cliplane.operators.masks import FRAME, PIXEL, regions
@@ -45,24 +46,48 @@ def square(mask: np.ndarray, k: int) -> np.ndarray:
     return mask
 
 
-def person(mask: np.ndarray, seen: np.ndarray | None, around=None) -> tuple[np.ndarray, list[float]]:
-    """The person's part of a mask, and the other pieces as shares of the largest, SPECK or more, falling. Theirs are the largest piece
-    (ties: the first in scan order), pieces that hold a seen point, or without a pose (None) that reach a side of the frame which the
-    largest reaches. around(): the parts of the frames beside; a piece under SECOND that two of them mostly hold is theirs too."""
-    label, n = regions(mask, True)
-    if n <= 1:
-        return mask, []
-    size = np.bincount(label.ravel(), minlength=n + 1)
-    size[0] = 0
-    main = int(np.argmax(size))
-    edges = [set(e[e > 0]) for e in (label[0], label[-1], label[:, 0], label[:, -1])]
-    own = {main} | (set(label.ravel()[seen]) - {0} if seen is not None else set().union(*[e for e in edges if main in e]))
-    share = {k: round(size[k] / size[main], 4) for k in range(1, n + 1) if k not in own}
-    specks = [k for k, s in share.items() if SPECK <= s < SECOND]
-    if specks and around is not None:
-        parts = around()
-        own |= {k for k in specks if sum(2 * int(((label == k) & p).sum()) > size[k] for p in parts) >= 2}
-    return np.isin(label, list(own)), sorted((s for k, s in share.items() if k not in own and s >= SPECK), reverse=True)
+class Pieces:
+    """The connected pieces of a mask as a table: size, share of the largest, whether a seen point lies in it, sides of the frame it reaches."""
+
+    def __init__(self, mask: np.ndarray, seen: np.ndarray | None):
+        self.label, n = regions(mask, True)
+        flat = self.label.ravel()
+        self.size = np.bincount(flat, minlength=n + 1)[1:]
+        self.largest = int(self.size.argmax()) if n else -1
+        self.share = np.round(self.size / self.size.max(), 4) if n else np.zeros(0)
+        self.seen = None if seen is None else np.isin(np.arange(1, n + 1), flat[seen])
+        edges = (self.label[0], self.label[-1], self.label[:, 0], self.label[:, -1])
+        self.sides = np.stack([np.bincount(e, minlength=n + 1)[1:] > 0 for e in edges], axis=1)
+
+    def theirs(self) -> np.ndarray:
+        """The largest piece (ties: the first in scan order), pieces with a seen point, or without a pose those at a side it reaches too."""
+        if self.largest < 0:
+            return np.zeros(0, bool)
+        linked = (self.sides & self.sides[self.largest]).any(1) if self.seen is None else self.seen
+        return linked | (np.arange(len(self.size)) == self.largest)
+
+    def held_by(self, part: np.ndarray) -> np.ndarray:
+        """Pieces of which another frame's part holds most."""
+        return 2 * np.bincount(self.label[part], minlength=len(self.size) + 1)[1:] > self.size
+
+    def mask_of(self, some: np.ndarray) -> np.ndarray:
+        return np.append(False, some)[self.label]
+
+
+def _mask(numbers, width: int, height: int) -> np.ndarray:
+    mask = np.zeros(height * width, bool)
+    mask[np.asarray(numbers, int)] = True
+    return mask.reshape(height, width)
+
+
+def _unseen(x: np.ndarray, y: np.ndarray, lines, reach: float) -> int:
+    """How many of these pixels are farther from all lines than reach."""
+    if lines is None or not len(lines):
+        return len(x)
+    ax, ay, bx, by = np.array([list(v) for v in lines], float).T[:, :, None]
+    dx, dy = bx - ax, by - ay
+    t = np.clip(((x - ax) * dx + (y - ay) * dy) / np.maximum(dx * dx + dy * dy, 1), 0, 1)
+    return int((np.hypot(x - ax - t * dx, y - ay - t * dy) > reach).all(0).sum())
 
 
 def person_parts(frames: DataFrame, px: DataFrame, width: int, height: int) -> DataFrame:
@@ -70,45 +95,51 @@ def person_parts(frames: DataFrame, px: DataFrame, width: int, height: int) -> D
     beside, grown by a fiftieth of the person's size, nor the skeleton are, as a share of the median area beside; 0 without a mask or a
     neighbour, null without a pose. Distances from the skeleton are exact.
 
-    frames: every frame once: clip, frame, seen, lines, scale (all null without a pose). A row carries the pixel numbers of its frame and
-    of BESIDE either side, so rows are bounded and frames spread over tasks."""
+    The person's part is the largest piece with those that a point or a side says belong to it; a piece from SPECK to under SECOND
+    of it that the parts of two of the frames beside mostly hold is added. Other pieces of SPECK or more are fragments.
+
+    frames: every frame once: clip, frame, seen, lines, scale (all null without a pose). The parts that frames have by themselves are
+    found first, each once; then a row carries its own pixel numbers and the parts and masks of BESIDE frames either side (as bits),
+    so rows are bounded and frames spread over tasks."""
     on = px.select(*PIXEL).distinct().groupBy(*FRAME).agg(F.collect_list((F.col("y") * width + F.col("x")).cast("long")).alias("on"))
     none = F.expr("CAST(array() AS array<bigint>)")
     df = frames.select(*FRAME, "seen", "lines", "scale").join(on, FRAME, "left").withColumn("on", F.coalesce("on", none))
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            tables = [Pieces(_mask(r.on, width, height), None if r.seen is None else np.asarray(r.seen, int)) for r in pdf.itertuples(index=False)]
+            yield pdf.assign(part=[np.packbits(p.mask_of(p.theirs())).tobytes() for p in tables], bits=[np.packbits(p.label > 0).tobytes() for p in tables])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("part", T.BinaryType()), T.StructField("bits", T.BinaryType())])
+    df = df.mapInPandas(alone, schema)
     w = Window.partitionBy("clip").orderBy("frame")
     beside = [k for k in range(-BESIDE, BESIDE + 1) if k]
-    take = lambda c, k: F.when(F.lag("frame", -k).over(w) == F.col("frame") + k, F.lag(c, -k).over(w))
-    df = df.select(*FRAME, "seen", "lines", "scale", "on", F.array(*[take("on", k) for k in beside]).alias("ons"), F.array(*[take("seen", k) for k in beside]).alias("sees"))
+    take = lambda k: F.when(F.lag("frame", -k).over(w) == F.col("frame") + k, F.lag(F.struct("part", "bits"), -k).over(w))
+    df = df.select(*FRAME, "seen", "lines", "scale", "on", F.array_compact(F.array(*[take(k) for k in beside])).alias("beside"))
+
+    def unpacked(bits: bytes) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(bits, np.uint8), count=width * height).astype(bool).reshape(height, width)
+
+    def judge(r) -> tuple[list[float], float | None]:
+        pieces = Pieces(_mask(r.on, width, height), None if r.seen is None else np.asarray(r.seen, int))
+        own = pieces.theirs()
+        held = sum((pieces.held_by(unpacked(b["part"])) for b in r.beside), np.zeros(len(own), int))
+        own = own | ((pieces.share >= SPECK) & (pieces.share < SECOND) & (held >= 2))
+        torn = np.sort(pieces.share[~own & (pieces.share >= SPECK)])[::-1].tolist()
+        if r.seen is None:
+            return torn, None
+        if not len(own) or not len(r.beside):
+            return torn, 0.0
+        around = [unpacked(b["bits"]) for b in r.beside]
+        median = float(np.median([m.sum() for m in around]))
+        grown = square(np.logical_or.reduce(around), max(3, int(0.02 * np.sqrt(median)) | 1))
+        y, x = np.nonzero(pieces.mask_of(own) & ~grown)
+        return torn, _unseen(x, y, r.lines, max(3, int(ZONE * r.scale))) / max(median, 1.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def mask_of(numbers) -> np.ndarray:
-            mask = np.zeros(height * width, bool)
-            mask[np.asarray(numbers, int)] = True
-            return mask.reshape(height, width)
-
-        def ints(numbers):
-            return None if numbers is None else np.asarray(numbers, int)
-
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                mask, posed = mask_of(r.on), r.seen is not None
-                near = [k for k, o in enumerate(r.ons) if o is not None]
-                around = lambda: [person(mask_of(r.ons[k]), ints(r.sees[k]))[0] for k in near]  # noqa: B023, E731
-                part, fragments = person(mask, ints(r.seen), around)
-                leak = 0.0 if posed else None
-                if posed and near and mask.any():
-                    median = float(np.median([len(r.ons[k]) for k in near]))
-                    grown = square(mask_of(np.concatenate([r.ons[k] for k in near])), max(3, int(0.02 * np.sqrt(median)) | 1))
-                    y, x = np.nonzero(part & ~grown)
-                    free = np.ones(len(x), bool)
-                    for ax, ay, bx, by in r.lines if r.lines is not None else ():
-                        dx, dy = bx - ax, by - ay
-                        t = np.clip(((x - ax) * dx + (y - ay) * dy) / max(dx * dx + dy * dy, 1), 0, 1)
-                        free &= np.hypot(x - ax - t * dx, y - ay - t * dy) > max(3, int(ZONE * r.scale))
-                    leak = float(free.sum() / max(median, 1.0))
-                out.append((r.clip, r.frame, fragments, leak))
-            yield pd.DataFrame(out, columns=["clip", "frame", "fragments", "attached_leak"])
+            found = [(r.clip, r.frame, *judge(r)) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(found, columns=["clip", "frame", "fragments", "attached_leak"])
 
     return df.mapInPandas(run, "clip long, frame long, fragments array<double>, attached_leak double")
 

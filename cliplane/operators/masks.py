@@ -16,15 +16,30 @@ def areas(px: DataFrame) -> DataFrame:
     return px.groupBy(*FRAME).agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
 
 
-def iou_with_previous(px: DataFrame) -> DataFrame:
-    """IoU of each frame's pixels with those of the frame before; null where either has none."""
+def iou_with_previous(px: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """IoU of each frame's pixels with those of the frame before; null on a first frame.
+
+    frames: clip, frame of all frames. A frame of these without pixels is an empty mask: 1 beside another one, else 0.
+    Without it only frames with pixels are known, and one behind a gap has null.
+    """
     both = px.withColumn("next", px["frame"] + 1)
     meet = px.join(both.select("clip", F.col("next").alias("frame"), "x", "y"), PIXEL).groupBy(*FRAME).agg(F.count("*").alias("common"))
     size = areas(px).select(*FRAME, "area")
+    if frames is not None:
+        size = frames.select(*FRAME).distinct().join(size, FRAME, "left").withColumn("area", F.coalesce("area", F.lit(0)))
     before = size.select("clip", (F.col("frame") + 1).alias("frame"), F.col("area").alias("before"))
     df = size.join(before, FRAME, "left").join(meet, FRAME, "left")
     common = F.coalesce("common", F.lit(0))
-    return df.select(*FRAME, F.when(F.col("before").isNotNull(), common / (F.col("area") + F.col("before") - common)).alias("iou"))
+    union = F.col("area") + F.col("before") - common
+    return df.select(*FRAME, F.when(union > 0, common / union).when(union == 0, 1.0).alias("iou"))
+
+
+def render_identity(px: DataFrame, frames: DataFrame, width: int, height: int, colour: Column, background: Column) -> DataFrame:
+    """clip, frame, x, y, rgb of every pixel of the given frames (clip, frame): colour on the mask, background off it."""
+    line = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    grid = frames.select(*FRAME).distinct().select(*FRAME, line(width).alias("x")).select(*FRAME, "x", line(height).alias("y"))
+    on = px.select(*PIXEL).distinct().withColumn("on", F.lit(True))
+    return grid.join(on, PIXEL, "left").select(*PIXEL, F.when(F.col("on"), colour).otherwise(background).alias("rgb"))
 
 
 def dilate(px: DataFrame, steps: int, width: int, height: int) -> DataFrame:
@@ -62,9 +77,11 @@ def without_overlap(px: DataFrame, score: Column | float = 0.0) -> DataFrame:
     return px.groupBy("frame", "x", "y").agg(best.alias("clip")).select(*PIXEL)
 
 
-def suppress_shrunk(px: DataFrame, least: float) -> DataFrame:
-    """clip, frame, area, kept: kept is 0 where less than this share of an object is left after overlaps are resolved."""
-    left = without_overlap(px).groupBy(*FRAME).agg(F.count("*").alias("left"))
+def suppress_shrunk(px: DataFrame, least: float, logit: Column | float = 0.0) -> DataFrame:
+    """clip, frame, area, kept: kept is 0 where less than this share of an object is left after overlaps are resolved.
+
+    A pixel goes to the object with the highest logit there (ties: the smallest number)."""
+    left = without_overlap(px, logit).groupBy(*FRAME).agg(F.count("*").alias("left"))
     df = areas(px).select(*FRAME, "area").join(left, FRAME, "left")
     rest = F.coalesce("left", F.lit(0))
     return df.select(*FRAME, "area", F.when(rest >= least * F.col("area"), rest).otherwise(0).alias("kept"))

@@ -13,7 +13,7 @@ from cliplane.operators.boxes import by_frame
 #: Keypoint names in order, and the limbs as pairs of them.
 NAMES = ["nose", "neck", "r_shoulder", "r_elbow", "r_wrist", "l_shoulder", "l_elbow", "l_wrist", "r_hip", "r_knee", "r_ankle", "l_hip", "l_knee", "l_ankle", "r_eye", "l_eye", "r_ear", "l_ear", "l_foot", "r_foot"]
 LIMBS = [(1, 2), (1, 5), (2, 3), (3, 4), (5, 6), (6, 7), (1, 8), (8, 9), (9, 10), (1, 11), (11, 12), (12, 13), (1, 0), (0, 14), (14, 16), (0, 15), (15, 17), (13, 18), (10, 19)]
-TORSO = [1, 2, 5, 8, 11]
+TORSO = [0, 1, 2, 5, 8, 11]
 LIMB_ENDS = [3, 4, 6, 7, 9, 10, 12, 13, 18, 19]
 ARMS = {"left": (6, 7), "right": (3, 4)}
 DRAW, LIMB_WIDTH, MIRROR, SPIKE_BACK = 0.5, 0.25, 0.2, 3
@@ -97,7 +97,8 @@ def overlong_forearms(pose: DataFrame, limit: float, threshold: float = DRAW) ->
 
 def face_box(points: Column, width: int, height: int, scale: float = 1.3) -> Column:
     """Crop box (x1, x2, y1, y2) around finite points [struct<x, y>]; the frame's centre if there is none."""
-    good = F.filter(points, lambda p: ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & p["x"].isNotNull() & p["y"].isNotNull())
+    finite = lambda c: F.abs(c) < float("inf")  # noqa: E731  (NaN is above it)
+    good = F.filter(points, lambda p: finite(p["x"]) & finite(p["y"]))
     values = {"x": F.transform(good, lambda p: p["x"]), "y": F.transform(good, lambda p: p["y"])}
     bound = {k: F.coalesce((F.array_min if k[1] == "0" else F.array_max)(values[k[0]]), F.lit((width if k[0] == "x" else height) / 2.0)) for k in ("x0", "x1", "y0", "y1")}
     least = max(8.0, 0.05 * min(width, height))

@@ -78,8 +78,9 @@ def box_envelope(spark, d):
     return rounded(bx.envelope(v.boxes(spark, d), W, H).select("clip", "frame", "ex1", "ey1", "ex2", "ey2"), "ex1", "ey1", "ex2", "ey2")
 
 
-@query(f"""WITH {v.BOXES_SQL} SELECT clip, frame, score, CASE WHEN x1 < 0.1e0 * (x2 - x1) THEN 0 ELSE x1 END AS x1, CASE WHEN y1 < 0.1e0 * (y2 - y1) THEN 0 ELSE y1 END AS y1,
-  CASE WHEN 1280 - x2 < 0.1e0 * (x2 - x1) THEN 1280 ELSE x2 END AS x2, CASE WHEN 720 - y2 < 0.1e0 * (y2 - y1) THEN 720 ELSE y2 END AS y2 FROM boxes""")
+@query(f"""WITH {v.BOXES_SQL} SELECT clip, frame, score,
+  CASE WHEN x1 < 15 * (x2 - x1) / 100 THEN 0 ELSE x1 END AS x1, CASE WHEN y1 < 15 * (y2 - y1) / 100 THEN 0 ELSE y1 END AS y1,
+  CASE WHEN 1280 - x2 < 15 * (x2 - x1) / 100 THEN 1280 ELSE x2 END AS x2, CASE WHEN 720 - y2 < 15 * (y2 - y1) / 100 THEN 720 ELSE y2 END AS y2 FROM boxes""")
 def box_snap(spark, d):
     return bx.snap(v.boxes(spark, d).drop("persons"), W, H)
 
@@ -114,7 +115,17 @@ def person_select(spark, d):
     return bx.choose_person(b, ["clip", "slot"], "frame").select("clip", "slot", "chosen")
 
 
-@query()
+@query(f"""WITH RECURSIVE {v.BOXES_SQL}, cand AS (SELECT b.clip, date_trunc('day', e.ts) AS slot, e.event_id, x1, y1, x2, y2, score,
+    row_number() OVER (PARTITION BY b.clip, date_trunc('day', e.ts) ORDER BY score DESC, e.event_id) AS n
+  FROM boxes b JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events) e ON e.user_id = b.clip AND e.frame = b.frame WHERE score > 0),
+o AS (SELECT a.clip, a.slot, a.n, list(b.n) AS before FROM cand a JOIN cand b ON a.clip = b.clip AND a.slot = b.slot AND b.n < a.n
+  WHERE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))
+    >= ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))) / 10 GROUP BY 1, 2, 3),
+r AS (SELECT clip, slot, 0::BIGINT AS n, []::BIGINT[] AS kept FROM (SELECT DISTINCT clip, slot FROM cand)
+  UNION ALL SELECT r.clip, r.slot, c.n, CASE WHEN o.before IS NULL OR NOT list_has_any(r.kept, o.before) THEN list_append(r.kept, c.n) ELSE r.kept END
+    FROM r JOIN cand c ON c.clip = r.clip AND c.slot = r.slot AND c.n = r.n + 1 LEFT JOIN o ON o.clip = c.clip AND o.slot = c.slot AND o.n = c.n),
+l AS (SELECT clip, slot, arg_max(kept, n) AS kept FROM r GROUP BY 1, 2)
+SELECT c.clip, c.event_id, round(c.score, 6) AS score FROM cand c JOIN l ON l.clip = c.clip AND l.slot = c.slot WHERE list_contains(l.kept, c.n)""")
 def nms_greedy(spark, d):
     return bx.suppress(v.candidates(spark, d)).select("clip", "event_id", F.round("score", 6).alias("score"))
 
@@ -246,7 +257,7 @@ def out_of_shot(spark, d):
     return pose.out_of_shot(v.pose(spark, d), W, H)
 
 
-_TORSO = f"""WITH {v.KP_SQL}, t AS (SELECT clip, frame, j, x, y, {_ON} AS on_, lag(x) OVER w AS px, lag(y) OVER w AS py, lag({_ON}) OVER w AS pon FROM kp WHERE j IN (1, 2, 5, 8, 11) WINDOW w AS (PARTITION BY clip, j ORDER BY frame)),
+_TORSO = f"""WITH {v.KP_SQL}, t AS (SELECT clip, frame, j, x, y, {_ON} AS on_, lag(x) OVER w AS px, lag(y) OVER w AS py, lag({_ON}) OVER w AS pon FROM kp WHERE j IN (0, 1, 2, 5, 8, 11) WINDOW w AS (PARTITION BY clip, j ORDER BY frame)),
 m AS (SELECT clip, frame, coalesce(max(CASE WHEN on_ AND pon THEN sqrt((x - px) * (x - px) + (y - py) * (y - py)) END), 0) AS move FROM t GROUP BY clip, frame)"""
 
 
@@ -256,15 +267,22 @@ def torso_move(spark, d):
 
 
 def _measures(spark, d) -> DataFrame:
-    """Boxes and poses of the clips that have both, frame by frame."""
+    """Measures of the frames of boxes and poses; a frame that one side lacks has nulls for what it takes from there."""
     b = bx.iou_with_previous(v.boxes(spark, d))
     m = pose.torso_move(v.pose(spark, d))
+    spikes = pose.limb_spikes(v.pose(spark, d), H).groupBy("clip", "frame").agg(F.count("*").alias("limb_spikes"))
     diagonal = F.hypot(F.greatest(F.col("x2") - F.col("x1"), F.lit(1.0)), F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0)))
-    return b.join(m, ["clip", "frame"]).select("clip", "frame", "box_iou_prev", (F.col("torso_move") / diagonal).alias("torso_jump"))
+    df = b.join(m, ["clip", "frame"], "full").join(spikes, ["clip", "frame"], "left")
+    return df.select("clip", "frame", "box_iou_prev", (F.col("torso_move") / diagonal).alias("torso_jump"), F.coalesce("limb_spikes", F.lit(0)).alias("limb_spikes"))
 
 
-_FLAGS = _IOU_SQL + _TORSO.replace("WITH ", ", ", 1) + """, q AS (SELECT iou.clip, iou.frame, v, move / sqrt(power(greatest(x2 - x1, 1), 2) + power(greatest(y2 - y1, 1), 2)) AS torso_jump FROM iou JOIN m USING (clip, frame) JOIN boxes USING (clip, frame)),
-fl AS (SELECT clip, 'pose_jump' AS "check", frame FROM q WHERE v > 0.5 AND torso_jump > 0.25e0 UNION ALL SELECT clip, 'subject_switch', frame FROM q WHERE v < 0.3)"""
+_SPIKES = """k AS (SELECT *, c >= 0.5 AS on_ FROM kp WHERE j IN (3, 4, 6, 7, 9, 10, 12, 13, 18, 19)),
+sk AS (SELECT a.clip, a.j, a.frame, min(b.frame - a.frame) AS back FROM k a JOIN k p ON p.clip = a.clip AND p.j = a.j AND p.frame = a.frame - 1 JOIN k b ON b.clip = a.clip AND b.j = a.j AND b.frame BETWEEN a.frame + 1 AND a.frame + 3
+  WHERE a.on_ AND p.on_ AND b.on_ AND sqrt(power(a.x - p.x, 2) + power(a.y - p.y, 2)) > 0.08e0 * 720 AND sqrt(power(b.x - p.x, 2) + power(b.y - p.y, 2)) < 0.08e0 * 720 / 2 GROUP BY 1, 2, 3),
+sp AS (SELECT DISTINCT clip, unnest(range(frame, frame + back)) AS frame, j::BIGINT AS keypoint FROM sk)"""
+_FLAGS = _IOU_SQL + _TORSO.replace("WITH ", ", ", 1) + f""", {_SPIKES}, d AS (SELECT clip, frame, sqrt(power(greatest(x2 - x1, 1), 2) + power(greatest(y2 - y1, 1), 2)) AS diag FROM boxes),
+q AS (SELECT clip, frame, v, move / diag AS torso_jump FROM iou LEFT JOIN d USING (clip, frame) FULL JOIN m USING (clip, frame)),
+fl AS (SELECT clip, 'pose_jump' AS "check", frame FROM q WHERE v > 0.5 AND torso_jump > 0.25e0 UNION ALL SELECT DISTINCT clip, 'pose_spike', frame FROM sp UNION ALL SELECT clip, 'subject_switch', frame FROM q WHERE v < 0.3)"""
 
 
 @query(_FLAGS + ' SELECT clip, "check", frame FROM fl')
@@ -274,13 +292,11 @@ def guard_pose_flags(spark, d):
 
 @query()
 def guard_metrics_json(spark, d):
-    return guards.metrics_json(rounded(_measures(spark, d), "box_iou_prev", "torso_jump"), ["box_iou_prev", "torso_jump"])
+    m = rounded(_measures(spark, d), "box_iou_prev", "torso_jump")
+    return guards.metrics_json(m, ["box_iou_prev", "torso_jump", "limb_spikes"])
 
 
-@query(f"""WITH {v.KP_SQL}, k AS (SELECT *, {_ON} AS on_ FROM kp WHERE j IN (3, 4, 6, 7, 9, 10, 12, 13, 18, 19)),
-s AS (SELECT a.clip, a.j, a.frame, min(b.frame - a.frame) AS back FROM k a JOIN k p ON p.clip = a.clip AND p.j = a.j AND p.frame = a.frame - 1 JOIN k b ON b.clip = a.clip AND b.j = a.j AND b.frame BETWEEN a.frame + 1 AND a.frame + 3
-  WHERE a.on_ AND p.on_ AND b.on_ AND sqrt(power(a.x - p.x, 2) + power(a.y - p.y, 2)) > 0.08e0 * 720 AND sqrt(power(b.x - p.x, 2) + power(b.y - p.y, 2)) < 0.08e0 * 720 / 2 GROUP BY 1, 2, 3)
-SELECT DISTINCT clip, unnest(range(frame, frame + back)) AS frame, j::BIGINT AS keypoint FROM s""")
+@query(f"WITH {v.KP_SQL}, {_SPIKES} SELECT clip, frame, keypoint FROM sp")
 def guard_pose_spike(spark, d):
     return pose.limb_spikes(v.pose(spark, d), H)
 
@@ -365,10 +381,11 @@ def mask_non_overlap(spark, d):
     return masks.without_overlap(v.mask_px(spark, d), F.col("clip") * 3 % 4)
 
 
-@query(f"""WITH {v.MASK_SQL}, w AS (SELECT min(clip) AS clip, frame, x, y FROM px GROUP BY frame, x, y), l AS (SELECT clip, frame, count(*) AS n FROM w GROUP BY 1, 2), a AS (SELECT clip, frame, count(*) AS area FROM px GROUP BY 1, 2)
+@query(f"""WITH {v.MASK_SQL}, w AS (SELECT arg_min(clip, clip - 100 * (clip * 3 % 4)) AS clip, frame, x, y FROM px GROUP BY frame, x, y),
+l AS (SELECT clip, frame, count(*) AS n FROM w GROUP BY 1, 2), a AS (SELECT clip, frame, count(*) AS area FROM px GROUP BY 1, 2)
 SELECT a.clip, a.frame, area, (CASE WHEN coalesce(n, 0) >= 0.9e0 * area THEN coalesce(n, 0) ELSE 0 END)::BIGINT AS kept FROM a LEFT JOIN l USING (clip, frame)""")
 def mask_suppress_shrunk(spark, d):
-    return masks.suppress_shrunk(v.mask_px(spark, d), 0.9)
+    return masks.suppress_shrunk(v.mask_px(spark, d), 0.9, F.col("clip") * 3 % 4)
 
 
 @query()
@@ -376,10 +393,18 @@ def mask_pieces(spark, d):
     return masks.pieces(v.mask_px(spark, d))
 
 
-@query(f"WITH {v.MASK_SQL} SELECT x, y, sum(CASE clip WHEN 0 THEN 255 ELSE 0 END)::BIGINT AS red, sum(CASE clip WHEN 1 THEN 255 ELSE 0 END)::BIGINT AS green FROM px WHERE frame = 0 GROUP BY x, y")
+#: The identity colours of the first four persons (blue, red, green, magenta).
+PALETTE = ((0, 0, 1), (1, 0, 0), (0, 1, 0), (1, 0, 1))
+_PALETTE_SQL = ", ".join(f"({k}, {c[0]}, {c[1]}, {c[2]})" for k, c in enumerate(PALETTE))
+
+
+@query(f"""WITH {v.MASK_SQL}, pal(clip, r, g, b) AS (VALUES {_PALETTE_SQL}), n AS (SELECT clip, frame, count(*) AS n FROM px GROUP BY 1, 2)
+SELECT n.clip, frame, (n * r + (48 * 50 - n))::BIGINT AS red, (n * g + (48 * 50 - n))::BIGINT AS green, (n * b + (48 * 50 - n))::BIGINT AS blue FROM n JOIN pal USING (clip)""")
 def mask_identity(spark, d):
-    colour = lambda k: F.sum(F.when(F.col("clip") == k, 255).otherwise(0)).cast("long")
-    return v.mask_px(spark, d).where("frame = 0").groupBy("x", "y").agg(colour(0).alias("red"), colour(1).alias("green"))
+    px = v.mask_px(spark, d)
+    colour = F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in PALETTE]), (F.col("clip") + 1).cast("int"))
+    full = masks.render_identity(px, px, 48, 50, colour, F.array(F.lit(1), F.lit(1), F.lit(1)))
+    return full.groupBy("clip", "frame").agg(*[F.sum(F.col("rgb")[k]).cast("long").alias(n) for k, n in enumerate(("red", "green", "blue"))])
 
 
 # ---------------------------------------------------------------- colour
@@ -427,12 +452,24 @@ def lab_transfer(spark, d):
     return rounded(out, "mean_l", "to_l", "ratio_l", "ratio_a", "ratio_b")
 
 
-@query(f"WITH {v.RGB_SQL} SELECT clip, frame, round(avg(round_even(64e0 + 876e0 * (0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b), 0)), 6) AS luma FROM rgb GROUP BY clip, frame")
+_YUV = """y AS (SELECT clip, frame, x, y, r, b, 0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b AS luma FROM rgb)"""
+
+
+@query(f"WITH {v.RGB_SQL}, {_YUV} SELECT clip, frame, round(avg(least(floor(876e0 * luma + 64 + 0.5e0), 1023)), 6) AS luma FROM y GROUP BY clip, frame")
 def luma_10bit(spark, d):
-    level = fn.half_even(64.0 + 876.0 * (0.2126 * F.col("r") + 0.7152 * F.col("g") + 0.0722 * F.col("b")))
+    level = fn.half_up_10bit(fn.TV_10BIT["luma"] * fn.luma(F.col("r"), F.col("g"), F.col("b")) + fn.TV_10BIT["black"])
     return rounded(v.frame_rgb(spark, d).groupBy("clip", "frame").agg(F.avg(level).alias("luma")), "luma")
 
 
+@query(f"""WITH {v.RGB_SQL}, {_YUV}, bl AS (SELECT clip, frame, x // 2 AS bx, y // 2 AS by, avg(b - luma) AS cb, avg(r - luma) AS cr FROM y GROUP BY 1, 2, 3, 4)
+SELECT clip, frame, count(*) AS blocks, sum(floor(cb * (896 / 1.8556e0) + 512.5e0 + 1e-9))::BIGINT AS cb, sum(floor(cr * (896 / 1.5748e0) + 512.5e0 + 1e-9))::BIGINT AS cr FROM bl GROUP BY 1, 2""")
+def chroma_10bit(spark, d):
+    df = v.frame_rgb(spark, d).withColumn("luma", fn.luma(F.col("r"), F.col("g"), F.col("b")))
+    blocks = df.groupBy("clip", "frame", F.expr("x div 2"), F.expr("y div 2")).agg(F.avg(F.col("b") - F.col("luma")).alias("cb"), F.avg(F.col("r") - F.col("luma")).alias("cr"))
+    level = {c: fn.half_up_10bit(F.col(c) * (fn.TV_10BIT["chroma"] / (2 * (1 - k))) + fn.TV_10BIT["zero"] + 1e-9) for c, k in (("cb", fn.KB), ("cr", fn.KR))}
+    return blocks.groupBy("clip", "frame").agg(F.count("*").alias("blocks"), *[F.sum(x).alias(c) for c, x in level.items()])
+
+
 # ---------------------------------------------------------------- other
 
 

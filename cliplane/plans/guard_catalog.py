@@ -226,9 +226,17 @@ def guard_mask_report(spark, d):
     return guards.report(guards.mask_flags(m), m.groupBy("clip").agg(F.count("*").alias("n")), "Mask guard", {"mask_empty", "mask_head_out"}, names)
 
 
-@query()
+_BOTH = _MASK_GUARD + ", " + _FLAGS.replace(f"WITH {v.BOXES_SQL}, ", "", 1).replace(f"{v.KP_SQL}, ", "", 1).replace("fl AS (", "pf AS (", 1)
+_BOTH += """, fl AS (SELECT pf.clip, pf."check", pf.frame FROM pf JOIN fr ON fr.clip = pf.clip AND fr.frame = pf.frame UNION ALL SELECT * FROM mf),
+fn AS (SELECT clip, count(*) AS n FROM fr GROUP BY clip)"""
+
+
+@query(_report_sql(_BOTH, "Preprocess guard"))
 def guard_combine(spark, d):
+    """Both guards over the frames that have a box and a pose; combine raises where one of them lacks a frame."""
     frames = _frames(spark, d)
-    both = guards.combine(_measures(spark, d), guards.mask_measures(frames, v.mask_px(spark, d), MW, MH).join(_measures(spark, d).select("clip", "frame", "box_iou_prev"), ["clip", "frame"]), ["box_iou_prev"])
+    own = _measures(spark, d).join(frames.select("clip", "frame"), ["clip", "frame"], "left_semi")
+    mask = guards.mask_measures(frames, v.mask_px(spark, d), MW, MH).join(own.select("clip", "frame", "box_iou_prev"), ["clip", "frame"])
+    both = guards.combine(own, mask, ["box_iou_prev"])
     flags = guards.pose_flags(both).unionByName(guards.mask_flags(both))
     return guards.report(flags, both.groupBy("clip").agg(F.count("*").alias("n")), "Preprocess guard", {"mask_empty", "mask_head_out"})

@@ -74,10 +74,10 @@ def mask_feather(spark, d):
     return f.withColumn("weight", F.round("weight", 5))
 
 
-@query(f"""WITH {v.MASK_SQL}, c AS (SELECT l_suppkey % 3 AS clip, l_orderkey % 64 AS frame, l_partkey % 48 AS x, l_quantity::BIGINT - 1 AS y, l_quantity / 50e0 AS r FROM lineitem WHERE l_linenumber < 4)
+@query(f"""WITH {v.MASK_SQL}, c AS (SELECT l_suppkey % 3 AS clip, l_orderkey % 64 AS frame, l_partkey % 48 AS x, l_quantity::BIGINT - 1 AS y, l_quantity / 50e0 AS r FROM lineitem)
 SELECT c.clip, c.frame, count(*) AS pixels, round(sum(CASE WHEN px.x IS NULL THEN 0 ELSE r END), 6) AS r FROM c LEFT JOIN px ON px.clip = c.clip AND px.frame = c.frame AND px.x = c.x AND px.y = c.y GROUP BY 1, 2""")
 def mask_on_black(spark, d):
-    c = v.table(spark, d, "lineitem").where("l_linenumber < 4").selectExpr("l_suppkey % 3 AS clip", "l_orderkey % 64 AS frame", "l_partkey % 48 AS x", "CAST(l_quantity AS BIGINT) - 1 AS y", "l_quantity / 50 AS r")
+    c = v.table(spark, d, "lineitem").selectExpr("l_suppkey % 3 AS clip", "l_orderkey % 64 AS frame", "l_partkey % 48 AS x", "CAST(l_quantity AS BIGINT) - 1 AS y", "l_quantity / 50 AS r")
     return rounded(media.on_black(c, v.mask_px(spark, d), ("r",)).groupBy("clip", "frame").agg(F.count("*").alias("pixels"), F.sum("r").alias("r")), "r")
 
 
