@@ -65,6 +65,17 @@ def final_blocks(px: DataFrame, grow: int, block: int, width: int, height: int)
     return df.select(*FRAME, *[v.cast("long").alias(k) for k, v in (("bx0", out["x"][0]), ("by0", out["y"][0]), ("bx1", out["x"][1]), ("by1", out["y"][1]))]).distinct()
 
 
+def lay_out(blocks: DataFrame) -> DataFrame:
+    """clip, frame, x, y: the pixels of blocks (bx0, by0, bx1, by1; ends exclusive)."""
+    span = lambda c: F.explode(F.sequence(F.col(f"b{c}0"), F.col(f"b{c}1") - 1)).alias(c)
+    return blocks.select(*FRAME, span("x"), "by0", "by1").select(*FRAME, "x", span("y"))
+
+
+def final_mask(px: DataFrame, grow: int, block: int, width: int, height: int) -> DataFrame:
+    """clip, frame, x, y of the final mask: grown, cut to blocks and laid out again."""
+    return lay_out(final_blocks(px, grow, block, width, height))
+
+
 def outside_box(px: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
     """Share of each frame's pixels outside a box."""
     out = ~((F.col("x") >= box[0]) & (F.col("x") < box[2]) & (F.col("y") >= box[1]) & (F.col("y") < box[3]))

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplane.functions.columns import grid_down, grid_up, half_even
@@ -51,25 +49,55 @@ def ping_pong_tail(i, n):
     return F.when(m < n, m).otherwise(period - m)
 
 
+#: Source frames that one inner fold goes through; keeps the lists of long videos from being copied at every frame.
+GRID_FOLD = 512
+
+
 def time_grid(videos: DataFrame) -> DataFrame:
-    """video_id, out, frame: source frames of the grid of `rate`, by float sums in the order of time (a closed form differs)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for v in pdf.itertuples():
-                base, target = 1 / v.fps, 1 / v.rate
-                ahead, index, kept = target, 0, []
-                while True:
-                    while ahead < target and index < v.frames:
-                        index += 1
-                        ahead += base
-                    if index >= v.frames:
-                        break
-                    ahead -= target
-                    kept.append(index)
-                yield pd.DataFrame({"video_id": v.video_id, "out": range(len(kept)), "frame": kept})
-
-    return videos.select("video_id", "fps", "frames", "rate").mapInPandas(run, "video_id long, out long, frame long")
+    """video_id, out, frame: source frames of the grid of `rate`: each is shown as often as a whole step of the grid has passed.
+
+    Time is a running float sum, in the order of the frames (a closed form differs), so it is a fold over each video's frames."""
+    step, grid = 1 / F.col("fps"), 1 / F.col("rate")
+    most = F.ceil(step / grid).cast("long") + 1  # grid steps that one source frame can complete
+
+    def shown(acc: Column, frame: Column) -> Column:
+        """Take whole grid steps off the time that has passed, one at a time, and keep the frame for each."""
+        passed = F.struct((acc["time"] + F.when(frame > 0, step).otherwise(grid)).alias("time"), acc["kept"].alias("kept"))
+
+        def one(a: Column, _: Column) -> Column:
+            more = F.struct((a["time"] - grid).alias("time"), F.concat(a["kept"], F.array(frame)).alias("kept"))
+            return F.when(a["time"] >= grid, more).otherwise(a)
+
+        return F.aggregate(F.sequence(F.lit(1).cast("long"), most), passed, one)
+
+    def block(acc: Column, first: Column) -> Column:
+        ids = F.sequence(first, F.least(first + GRID_FOLD, F.col("frames")) - 1)
+        inner = F.aggregate(ids, F.struct(acc["time"].alias("time"), F.expr("CAST(array() AS array<bigint>)").alias("kept")), shown)
+        return F.struct(inner["time"].alias("time"), F.concat(acc["kept"], F.array(inner["kept"])).alias("kept"))
+
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(GRID_FOLD).cast("long"))
+    start = F.struct(F.lit(0.0).alias("time"), F.expr("CAST(array() AS array<array<bigint>>)").alias("kept"))
+    df = videos.where("frames > 0").select("video_id", F.posexplode(F.flatten(F.aggregate(blocks, start, block)["kept"])).alias("out", "frame"))
+    return df.select("video_id", F.col("out").cast("long").alias("out"), "frame")
+
+
+def frame_indices(videos: DataFrame, start: int, count: int | None, step: int) -> DataFrame:
+    """video_id, out, frame: what is loaded of each video: the frames of its rate's grid from the 1-based start on, cut to step * n + 1."""
+    return loaded_frames(time_grid(videos), start, count, step)
+
+
+def video_info(videos: DataFrame, loaded: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A row a video: what its file has and what is loaded. videos: video_id, fps, frames, width, height, rate (null: the file's);
+    loaded: video_id, n; sizes: video_id, model, resolution, to_width, to_height (null: the file's own)."""
+    df = videos.join(loaded, "video_id").join(sizes, "video_id")
+    rate = F.coalesce("rate", "fps")
+    wide, high = F.coalesce("to_width", "width"), F.coalesce("to_height", "height")
+    return df.select(
+        "video_id", "model", "resolution", F.when(high > wide, "portrait").otherwise("landscape").alias("orientation"),
+        F.col("fps").alias("source_fps"), F.col("frames").alias("source_frame_count"), (F.col("frames") / F.col("fps")).alias("source_duration"),
+        F.col("width").alias("source_width"), F.col("height").alias("source_height"), rate.alias("loaded_fps"),
+        F.col("n").alias("loaded_frame_count"), (F.col("n") * (1 / rate)).alias("loaded_duration"), wide.alias("loaded_width"), high.alias("loaded_height"),
+    )
 
 
 def conform(videos: DataFrame) -> DataFrame:

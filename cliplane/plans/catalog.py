@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cliplane.functions import columns as fn
 from cliplane.operators import boxes as bx
-from cliplane.operators import guards, masks, pose, sequence
+from cliplane.operators import colour, guards, masks, media, pose, sequence
 from cliplane.sources import views as v
 from cliplane.streaming import twin
 
@@ -179,15 +179,35 @@ def tail_padding(spark, d):
     return df.select("video", "out", sequence.hold_tail(F.col("out"), F.col("video")).alias("hold"), F.when(F.col("video") == 1, 0).otherwise(sequence.ping_pong_tail(F.col("out"), F.col("video"))).cast("long").alias("ping_pong"))
 
 
-@query()
+_GRID = f"""WITH RECURSIVE {v.VIDEO_SQL}, g AS (SELECT video_id, -1::BIGINT AS frame, 0e0 AS time, false AS hit, fps, rate, frames FROM video
+  UNION ALL SELECT video_id, CASE WHEN time >= 1 / rate THEN frame ELSE frame + 1 END, CASE WHEN time >= 1 / rate THEN time - 1 / rate WHEN frame < 0 THEN time + 1 / rate ELSE time + 1 / fps END, time >= 1 / rate, fps, rate, frames
+    FROM g WHERE time >= 1 / rate OR frame < frames - 1),
+tg AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame, time DESC) - 1 AS out, frame FROM g WHERE hit)"""
+
+
+@query(_GRID + " SELECT video_id, out, frame FROM tg")
 def time_grid(spark, d):
     return sequence.time_grid(v.videos(spark, d))
 
 
-@query(f"WITH {v.VIDEO_SQL} SELECT video_id, CASE WHEN frames > 10 THEN least(200, frames - 10 ) // 4 * 4 - CASE WHEN least(200, frames - 10) % 4 = 0 THEN 3 ELSE -1 END END::BIGINT AS loaded, fps, round(frames / fps, 6) AS seconds, width, height FROM video")
+_LOADED = _GRID + ", nl AS (SELECT video_id, (count(*) - 4 - 1) // 4 * 4 + 1 AS n FROM tg GROUP BY 1), ld AS (SELECT video_id, out - 4 AS out, frame FROM tg JOIN nl USING (video_id) WHERE out >= 4 AND out - 4 < n)"
+
+
+@query(_LOADED + " SELECT video_id, count(*) AS n, sum(frame)::BIGINT AS frames, max(frame) AS last FROM ld GROUP BY 1")
+def frame_indices(spark, d):
+    """Every video from its fifth frame on, cut to 4 n + 1."""
+    found = sequence.frame_indices(v.videos(spark, d), 5, None, 4)
+    return found.groupBy("video_id").agg(F.count("*").alias("n"), F.sum("frame").alias("frames"), F.max("frame").alias("last"))
+
+
+@query(_LOADED + """, z AS (SELECT *, CASE WHEN height > width THEN 720 ELSE 1280 END AS w, CASE WHEN height > width THEN 1280 ELSE 720 END AS h FROM video JOIN nl USING (video_id))
+SELECT video_id, 'Wan' AS model, '720p' AS resolution, CASE WHEN h > w THEN 'portrait' ELSE 'landscape' END AS orientation, fps AS source_fps, frames AS source_frame_count, round(frames / fps, 6) AS source_duration, width AS source_width,
+  height AS source_height, rate AS loaded_fps, n AS loaded_frame_count, round(n * (1 / rate), 6) AS loaded_duration, w::BIGINT AS loaded_width, h::BIGINT AS loaded_height FROM z""")
 def video_info(spark, d):
-    kept = F.least(F.lit(200), F.col("frames") - 10)
-    return rounded(v.videos(spark, d).select("video_id", (F.floor((kept - 1) / 4) * 4 + 1).cast("long").alias("loaded"), "fps", (F.col("frames") / F.col("fps")).alias("seconds"), "width", "height"), "seconds")
+    videos = v.videos(spark, d)
+    n = sequence.frame_indices(videos, 5, None, 4).groupBy("video_id").agg(F.count("*").alias("n"))
+    size = media.load_size(videos, F.lit("Wan"), F.lit("720p"), F.lit("auto")).select("video_id", F.lit("Wan").alias("model"), F.lit("720p").alias("resolution"), "to_width", "to_height")
+    return rounded(sequence.video_info(videos, n, size), "source_duration", "loaded_duration")
 
 
 @query(f"""WITH {v.VIDEO_SQL}, l(label, w, h) AS (VALUES ('480p', 480, 854), ('720p', 720, 1280), ('1080p', 1080, 1920)),
@@ -359,13 +379,21 @@ def mask_iou_prev(spark, d):
 _GROWN = f"WITH {v.MASK_SQL}, g AS (SELECT DISTINCT clip, frame, x + dx AS x, y + dy AS y FROM px, range(-3, 4) a(dx), range(-3, 4) b(dy) WHERE abs(dx) + abs(dy) <= 3 AND x + dx BETWEEN 0 AND 47 AND y + dy BETWEEN 0 AND 49)"
 
 
-@query(_GROWN + """, b AS (SELECT clip, frame, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM g GROUP BY 1, 2),
-n AS (SELECT *, greatest(1, (x1 - x0) // 8) AS nx, greatest(1, (y1 - y0) // 8) AS ny FROM b), i AS (SELECT n.*, least((x - x0) // ((x1 - x0) // nx), nx - 1) AS i, least((y - y0) // ((y1 - y0) // ny), ny - 1) AS k FROM g JOIN n USING (clip, frame))
-SELECT DISTINCT clip, frame, (x0 + i * ((x1 - x0) // nx))::BIGINT AS bx0, (y0 + k * ((y1 - y0) // ny))::BIGINT AS by0, (CASE WHEN i = nx - 1 THEN x1 ELSE x0 + (i + 1) * ((x1 - x0) // nx) END)::BIGINT AS bx1, (CASE WHEN k = ny - 1 THEN y1 ELSE y0 + (k + 1) * ((y1 - y0) // ny) END)::BIGINT AS by1 FROM i""")
+_FINAL = _GROWN + """, b AS (SELECT clip, frame, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM g GROUP BY 1, 2),
+n AS (SELECT *, greatest(1, (x1 - x0) // 8) AS nx, greatest(1, (y1 - y0) // 8) AS ny FROM b), i AS (SELECT n.*, least((x - x0) // ((x1 - x0) // nx), nx - 1) AS i, least((y - y0) // ((y1 - y0) // ny), ny - 1) AS k FROM g JOIN n USING (clip, frame)),
+fb AS (SELECT DISTINCT clip, frame, (x0 + i * ((x1 - x0) // nx))::BIGINT AS bx0, (y0 + k * ((y1 - y0) // ny))::BIGINT AS by0, (CASE WHEN i = nx - 1 THEN x1 ELSE x0 + (i + 1) * ((x1 - x0) // nx) END)::BIGINT AS bx1, (CASE WHEN k = ny - 1 THEN y1 ELSE y0 + (k + 1) * ((y1 - y0) // ny) END)::BIGINT AS by1 FROM i)"""
+
+
+@query(_FINAL + " SELECT * FROM fb")
 def mask_final(spark, d):
     return masks.final_blocks(v.mask_px(spark, d), 3, 8, 48, 50)
 
 
+@query(_FINAL + " SELECT clip, frame, sum((bx1 - bx0) * (by1 - by0))::BIGINT AS area, sum((by1 - by0) * (bx0 + bx1 - 1) * (bx1 - bx0) / 2)::BIGINT AS x FROM fb GROUP BY 1, 2")
+def mask_final_pixels(spark, d):
+    return masks.final_mask(v.mask_px(spark, d), 3, 8, 48, 50).groupBy("clip", "frame").agg(F.count("*").alias("area"), F.sum("x").alias("x"))
+
+
 @query(_GROWN + " SELECT clip, frame, count(*) AS area FROM g GROUP BY clip, frame")
 def mask_dilate(spark, d):
     return masks.dilate(v.mask_px(spark, d), 3, 48, 50).groupBy("clip", "frame").agg(F.count("*").alias("area"))
@@ -442,16 +470,41 @@ s AS (SELECT clip, any_value(ml) AS ml, any_value(ma) AS ma, any_value(mb) AS mb
 SELECT s.clip, round(s.ml, 6) AS mean_l, round(t.ml, 6) AS to_l, round(least(greatest(t.sl / greatest(s.sl, 1e-6), 0.5e0), 2e0), 6) AS ratio_l, round(least(greatest(t.sa / greatest(s.sa, 1e-6), 0.5e0), 2e0), 6) AS ratio_a, round(least(greatest(t.sb / greatest(s.sb, 1e-6), 0.5e0), 2e0), 6) AS ratio_b
 FROM s JOIN s t ON t.clip = 'N'""")
 def lab_transfer(spark, d):
-    df = v.frame_rgb(spark, d).select("clip", "weight", *[c.alias(n) for n, c in zip("lab", fn.lab(F.col("r"), F.col("g"), F.col("b")), strict=True)])
-    total = F.sum("weight")
-    mean = df.groupBy("clip").agg(*[(F.sum(F.col(c) * F.col("weight")) / total).alias(f"m{c}") for c in "lab"])
-    std = df.join(F.broadcast(mean), "clip").groupBy("clip").agg(*[F.first(f"m{c}").alias(f"m{c}") for c in "lab"], *[F.sqrt(F.sum((F.col(c) - F.col(f"m{c}")) ** 2 * F.col("weight")) / total).alias(f"s{c}") for c in "lab"])
-    to = std.where("clip = 'N'").select(*[F.col(f"{k}{c}").alias(f"t{k}{c}") for k in "ms" for c in "lab"])
-    ratio = [F.least(F.greatest(F.col(f"ts{c}") / F.greatest(F.col(f"s{c}"), F.lit(1e-6)), F.lit(0.5)), F.lit(2.0)).alias(f"ratio_{c}") for c in "lab"]
-    out = std.crossJoin(F.broadcast(to)).select("clip", F.col("ml").alias("mean_l"), F.col("tml").alias("to_l"), *ratio)  # one row a clip, and one target row
+    found = colour.statistics(v.frame_rgb(spark, d))
+    to = found.where("clip = 'N'").drop("clip")
+    # the statistics of one clip for all: a row a clip on both sides
+    target = found.select("clip").join(to, F.lit(True))
+    out = colour.transfer(found, target).select("clip", F.col("from_l").alias("mean_l"), "to_l", "ratio_l", "ratio_a", "ratio_b")
     return rounded(out, "mean_l", "to_l", "ratio_l", "ratio_a", "ratio_b")
 
 
+@query(f"WITH {v.RGB_SQL} SELECT clip, round(sum(round_even((r * 0.37e0 + 0.011e0) * 255, 0)) / 255, 6) AS r FROM rgb GROUP BY clip")
+def level_requantized(spark, d):
+    df = v.frame_rgb(spark, d).select("clip", colour.requantized(F.col("r") * 0.37 + 0.011).alias("r"))
+    return rounded(df.groupBy("clip").agg(F.sum("r").alias("r")), "r")
+
+
+@query(f"WITH {v.RGB_SQL} SELECT clip, count(*) AS pixels, round(avg(r), 5) AS r, round(avg(g), 5) AS g, round(avg(b), 5) AS b FROM rgb GROUP BY clip")
+def lab_apply_same(spark, d):
+    """A transfer from a clip to itself leaves its colours where they are."""
+    px = v.frame_rgb(spark, d)
+    found = colour.statistics(px)
+    out = colour.apply_transfer(px, colour.transfer(found, found), 1.0).groupBy("clip").agg(F.count("*").alias("pixels"), *[F.avg(c).alias(c) for c in "rgb"])
+    return out.select("clip", "pixels", *[F.round(c, 5).alias(c) for c in "rgb"])
+
+
+@query()
+def lab_apply(spark, d):
+    """Every clip with the colours of the next one, at four fifths of the strength and weighted by place."""
+    px = v.frame_rgb(spark, d)
+    found = colour.statistics(px)
+    after = F.when(F.col("clip") == "A", "R").when(F.col("clip") == "N", "A").otherwise("N")
+    out = colour.apply_transfer(px, colour.transfer(found, found.withColumn("clip", after)), 0.8, F.col("weight"))
+    return out.groupBy("clip").agg(*[F.round(F.avg(c), 5).alias(c) for c in "rgb"])
+
+
+# ---------------------------------------------------------------- levels
+
 _YUV = """y AS (SELECT clip, frame, x, y, r, b, 0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b AS luma FROM rgb)"""
 
 
