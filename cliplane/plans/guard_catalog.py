@@ -79,8 +79,8 @@ _PAIRS = ", ".join(f"('body', {j}, {a}, {b})" for j, (a, b) in enumerate(zip(dra
 _PAIRS += "".join(f", ('{k}', {j}, {first + j}, {first + j})" for k, (first, n) in draw.PARTS.items() for j in range(n))
 
 
-@query(f"""{_WHOLE_SQL}, pr(part, point, a, b) AS (VALUES {_PAIRS})
-SELECT p.clip, p.frame, part, point::BIGINT AS point, round((p.x + q.x) / 2, 6) AS x, round((p.y + q.y) / 2, 6) AS y, round((p.c + q.c) / 2, 6) AS c FROM pr JOIN wb p ON p.k = a JOIN wb q ON q.k = b AND q.clip = p.clip AND q.frame = p.frame""")
+@query(f"""{_WHOLE_SQL}, pr(part, point, a, b) AS (VALUES {_PAIRS}), ls AS (SELECT clip, frame, list({{'x': x, 'y': y, 'c': c}} ORDER BY k) AS p FROM wb GROUP BY 1, 2)
+SELECT clip, frame, part, point::BIGINT AS point, round((p[a + 1].x + p[b + 1].x) / 2, 6) AS x, round((p[a + 1].y + p[b + 1].y) / 2, 6) AS y, round((p[a + 1].c + p[b + 1].c) / 2, 6) AS c FROM ls CROSS JOIN pr""")
 def aa_split(spark, d):
     df = v.parts(spark, d).select("clip", "frame", draw.whole_body(F.col("points")).alias("p"))
     parts = F.array(*[F.struct(F.lit(k).alias("part"), a.alias("points")) for k, a in draw.body_layout(F.col("p")).items()])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,3 +19,17 @@ SETTINGS = {
 
 def session(master: str = "local[*]", partitions: int = 8, **more: str) -> SparkSession:
     return SparkSession.builder.master(master).config(map=SETTINGS | {"spark.sql.shuffle.partitions": str(partitions)} | more).getOrCreate()
+
+
+def ship(spark: SparkSession) -> str:
+    """Send this package to the executors of a cluster on which it isn't installed; returns the archive's path."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="cliplane-"), "cliplane.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(here):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(path)
+    return path

@@ -47,7 +47,10 @@ def switches(events: DataFrame) -> DataFrame:
 def subject_switch(spark: SparkSession, path: str) -> DataFrame:
     """Run the stream over what is there and count the switches of each clip."""
     schema = spark.read.parquet(path).schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cliplane-stream-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="cliplane-stream-")
     run = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     folder, _, name = path.rpartition("/")
     events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
