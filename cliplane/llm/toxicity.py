@@ -21,10 +21,12 @@ from pyspark.sql import types as T
 from cliplane.llm import tokens as tk
 from cliplane.llm.common import drop, lists, materialise, quoted, scan_text
 
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
 #: A word joins the lexicon if so many different toxic texts of the sample have it, and so many times the share of clean ones.
 LEARN_ROWS, LEARN_TIMES = 5, 12
+#: In learning, the words of a longer text than this (in bytes) weigh like those of a text of this length.
+TEXT_WEIGHT = 20_000
 #: Most words that are learned: those with the most toxic texts.
 LEARN_WORDS = 20_000
 #: Words of a second-person pronoun or a lexicon word so close count as aimed at somebody.
@@ -119,10 +121,11 @@ def _words(text: pa.Array) -> list[pa.Array]:
 def learn(sample: DataFrame) -> np.ndarray:
     """Words of toxic texts that clean ones hardly have (sample: text, toxic); equal texts count once."""
     rows = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    words = scan_text(rows, lambda: _words, [T.StructField("words", T.ArrayType(T.LongType()))], keep=["toxic"])
-    bad, good = F.sum((F.col("toxic") > 0).cast("long")), F.sum((F.col("toxic") <= 0).cast("long"))
+    rows = rows.withColumn("weight", F.least(F.lit(1.0), TEXT_WEIGHT / F.octet_length("text")))
+    words = scan_text(rows, lambda: _words, [T.StructField("words", T.ArrayType(T.LongType()))], keep=["toxic", "weight"])
+    bad, good = (F.round(F.sum(F.when(test, F.col("weight")).otherwise(0.0)), 6) for test in (F.col("toxic") > 0, F.col("toxic") <= 0))
     total = rows.agg(bad.alias("bad"), good.alias("good")).first()
-    per = words.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(bad.alias("bad"), good.alias("good"))
+    per = words.select("toxic", "weight", F.explode("words").alias("word")).groupBy("word").agg(bad.alias("bad"), good.alias("good"))
     times = (F.col("bad") / max(1, total["bad"] or 0)) / ((F.col("good") + 0.5) / max(1, total["good"] or 0))
     found = per.where((F.col("bad") >= LEARN_ROWS) & (times >= LEARN_TIMES)).orderBy(F.desc("bad"), "word").limit(LEARN_WORDS)
     return np.sort(np.array([r["word"] for r in found.collect()], np.int64).view(np.uint64))
