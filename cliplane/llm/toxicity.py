@@ -121,7 +121,7 @@ def _words(text: pa.Array) -> list[pa.Array]:
 def learn(sample: DataFrame) -> np.ndarray:
     """Words of toxic texts that clean ones hardly have (sample: text, toxic); equal texts count once."""
     rows = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    rows = rows.withColumn("weight", F.least(F.lit(1.0), TEXT_WEIGHT / F.octet_length("text")))
+    rows = rows.withColumn("weight", F.least(F.lit(1.0), TEXT_WEIGHT / F.greatest(F.octet_length("text"), F.lit(1))))
     words = scan_text(rows, lambda: _words, [T.StructField("words", T.ArrayType(T.LongType()))], keep=["toxic", "weight"])
     bad, good = (F.round(F.sum(F.when(test, F.col("weight")).otherwise(0.0)), 6) for test in (F.col("toxic") > 0, F.col("toxic") <= 0))
     total = rows.agg(bad.alias("bad"), good.alias("good")).first()
