@@ -1,4 +1,4 @@
-"""The ten queries over whole tables, with the columns of their contracts, and the SQL of those that SQL can express."""
+"""The thirteen queries over whole tables, with the columns of their contracts, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliplane.llm import decontaminate, hilbert, langid, licenses, mixing, secrets, simhash, toxicity, warc, webp
+from cliplane.llm import collocations, decontaminate, divergence, exact_dedup, hilbert, langid, licenses, mixing, secrets, simhash, toxicity, warc, webp
 from cliplane.llm.common import table
 
 
@@ -62,8 +62,20 @@ def op10_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_hilbert_sharding, op2_fm_decontamination, op3_license_templates, op4_simhash_blocks, op5_webp_lossless, op6_toxicity_trees, op7_secret_linking, op8_warc_salvage, op9_language_viterbi, op10_weighted_mixing)
+    every = (op1_hilbert_sharding, op2_fm_decontamination, op3_license_templates, op4_simhash_blocks, op5_webp_lossless, op6_toxicity_trees, op7_secret_linking, op8_warc_salvage, op9_language_viterbi, op10_weighted_mixing, op11_phrase_collocations, op12_exact_dedup, op13_source_divergence)
     return {f.__name__: f for f in every}
 
 
@@ -89,4 +101,4 @@ FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     """The others are tested against brute force: Hilbert order, automata, XXH64, images, trees, Viterbi and positions are no SQL."""
-    return {"op2_fm_decontamination": OP2_SQL, "op8_warc_salvage": warc.SQL, "op10_weighted_mixing": mixing.SQL}
+    return {"op2_fm_decontamination": OP2_SQL, "op8_warc_salvage": warc.SQL, "op10_weighted_mixing": mixing.SQL, "op11_phrase_collocations": collocations.SQL, "op12_exact_dedup": exact_dedup.SQL, "op13_source_divergence": divergence.SQL}

@@ -42,13 +42,13 @@ def spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.nda
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, off)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for each span, eight bytes at a time."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of data[start:end] for each span, eight bytes at a time; another seed gives other hashes."""
     size = ends - starts
     lanes = np.zeros(len(data) + 8, np.uint8)
     lanes[: len(data)] = data
     lanes = np.ndarray((len(data) + 1,), "<u8", lanes, 0, (1,))
-    h = (lanes[starts] & _MASK[np.minimum(size, 8)]) ^ (size.astype(U64) * _A)
+    h = (lanes[starts] & _MASK[np.minimum(size, 8)]) ^ (size.astype(U64) * (_A + U64(2 * seed)))
     h *= _B
     h ^= h >> U64(31)
     more, k = np.flatnonzero(size > 8), 8
