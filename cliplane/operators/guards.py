@@ -42,8 +42,8 @@ def fire(measures: DataFrame, fired: dict[str, Column]) -> DataFrame:
     return measures.select("clip", "frame", F.explode(checks).alias("check")).select("clip", "check", "frame")
 
 
-def mask_measures(frames: DataFrame, px: DataFrame, width: int, height: int, threshold: float = DRAW) -> DataFrame:
-    """Each frame's measures of its mask against box and pose. frames: clip, frame, x1..y2, score, ex1..ey2 (the envelope), body.
+def mask_measures(frames: DataFrame, px: DataFrame, width: int, height: int, threshold: float = DRAW, every: bool = False) -> DataFrame:
+    """Each frame's measures of its mask against box and pose; head points are asked on frames with a mask (every: on all). frames: clip, frame, x1..y2, score, ex1..ey2 (the envelope), body.
 
     mask_area and mask_to_box are shares, outside is the share of the mask off the envelope, head_out names head points in the frame
     with no mask near. A frame's pixels meet its one row, and all is summed in one pass."""
@@ -60,7 +60,7 @@ def mask_measures(frames: DataFrame, px: DataFrame, width: int, height: int, thr
     met = f.join(px.select("clip", "frame", "x", "y"), ["clip", "frame"]).groupBy("clip", "frame")
     met = met.agg(F.count("*").alias("__area"), F.count(F.when(inside, 1)).alias("__inside"), *[F.max(F.when(near(j), 1)).alias(f"__m{j}") for j in HEAD])
     df = f.join(met, ["clip", "frame"], "left").withColumn("__area", F.coalesce("__area", F.lit(0)))
-    out = F.array_compact(F.array(*[F.when(F.col(f"__h{j}").isNotNull() & F.col(f"__m{j}").isNull() & (F.col("__area") > 0), F.lit(NAMES[j])) for j in HEAD]))
+    out = F.array_compact(F.array(*[F.when(F.col(f"__h{j}").isNotNull() & F.col(f"__m{j}").isNull() & ((F.col("__area") > 0) | F.lit(every)), F.lit(NAMES[j])) for j in HEAD]))
     return df.select("clip", "frame", (F.col("__area") / (width * height)).alias("mask_area"), (F.col("__area") / F.col("__box")).alias("mask_to_box"), "box_reliable",
                      F.when(F.col("__area") > 0, (F.col("__area") - F.col("__inside")) / F.col("__area")).otherwise(0.0).alias("outside"), out.alias("head_out"))
 

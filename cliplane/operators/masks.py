@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +19,22 @@ def areas(px: DataFrame) -> DataFrame:
     return px.groupBy(*FRAME).agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
 
 
+def words(px: DataFrame) -> DataFrame:
+    """clip, frame, y, word, bits: each row of a frame's pixels in words of 64 bits, put together before they are shuffled."""
+    bits = F.bit_or(F.expr("shiftleft(1L, CAST(pmod(x, 64) AS INT))")).alias("bits")
+    return px.groupBy(*FRAME, "y", F.floor(F.col("x") / 64).alias("word")).agg(bits)
+
+
 def iou_with_previous(px: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     """IoU of each frame's pixels with those of the frame before; null on a first frame.
 
     frames: clip, frame of all frames. A frame of these without pixels is an empty mask: 1 beside another one, else 0.
     Without it only frames with pixels are known, and one behind a gap has null.
     """
-    both = px.withColumn("next", px["frame"] + 1)
-    meet = px.join(both.select("clip", F.col("next").alias("frame"), "x", "y"), PIXEL).groupBy(*FRAME).agg(F.count("*").alias("common"))
-    size = areas(px).select(*FRAME, "area")
+    now = words(px)
+    before = now.select("clip", (F.col("frame") + 1).alias("frame"), "y", "word", F.col("bits").alias("old"))
+    meet = now.join(before, [*FRAME, "y", "word"]).groupBy(*FRAME).agg(F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col("old")))).alias("common"))
+    size = now.groupBy(*FRAME).agg(F.sum(F.bit_count("bits")).alias("area"))
     if frames is not None:
         size = frames.select(*FRAME).distinct().join(size, FRAME, "left").withColumn("area", F.coalesce("area", F.lit(0)))
     before = size.select("clip", (F.col("frame") + 1).alias("frame"), F.col("area").alias("before"))
@@ -42,12 +52,44 @@ def render_identity(px: DataFrame, frames: DataFrame, width: int, height: int, c
     return grid.join(on, PIXEL, "left").select(*PIXEL, F.when(F.col("on"), colour).otherwise(background).alias("rgb"))
 
 
+def cross_grown(stack: np.ndarray, steps: int) -> np.ndarray:
+    """So many dilations of every frame of a stack [frames, height, width] by the 3 x 3 cross."""
+    for _ in range(steps):
+        wide = stack.copy()
+        for axis in (1, 2):
+            low, high = [slice(None)] * 3, [slice(None)] * 3
+            low[axis], high[axis] = slice(None, -1), slice(1, None)
+            wide[tuple(low)] |= stack[tuple(high)]
+            wide[tuple(high)] |= stack[tuple(low)]
+        stack = wide
+    return stack
+
+
+def each_frame(px: DataFrame, width: int, height: int, step: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """clip, frame, x, y of step(mask) for each frame with pixels. A frame travels as one row of pixel numbers, and is a bitmap only
+    inside the task that holds its batch."""
+    number = (F.col("y") * width + F.col("x")).cast("int")
+    rows = px.groupBy(*FRAME).agg(F.collect_list(number).alias("on"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(k).to_pylist() for k in (0, 1)]
+            for clip, frame, on in zip(*keys, batch.column(2), strict=True):
+                mask = np.zeros((height, width), bool)
+                mask.ravel()[on.values.to_numpy()] = True
+                y, x = np.nonzero(step(mask))
+                same = [pa.array(np.full(len(x), v, np.int64)) for v in (clip, frame)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(x), pa.array(y)], names=PIXEL)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    if set(kinds[c] for c in FRAME) - {"bigint"}:
+        rows = rows.select(*[F.col(c).cast("long").alias(c) for c in FRAME], "on")
+    return rows.mapInArrow(run, "clip long, frame long, x long, y long")
+
+
 def dilate(px: DataFrame, steps: int, width: int, height: int) -> DataFrame:
     """So many dilations by the 3x3 cross: all pixels within that L1 distance, clipped to the frame."""
-    ball = [(dx, dy) for dx in range(-steps, steps + 1) for dy in range(-steps, steps + 1) if abs(dx) + abs(dy) <= steps]
-    moves = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ball])
-    out = px.select(*PIXEL, F.explode(moves).alias("m")).select(*FRAME, (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"))
-    return out.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)).distinct()
+    return each_frame(px, width, height, lambda mask: cross_grown(mask[None], steps)[0])
 
 
 def final_blocks(px: DataFrame, grow: int, block: int, width: int, height: int) -> DataFrame:
@@ -208,24 +250,11 @@ def pieces(px: DataFrame, diagonal: bool = False) -> DataFrame:
     bounded by its size, so a group is a bounded Arrow table."""
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
         x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        place = {(a, b): i for i, (a, b) in enumerate(zip(x, y, strict=True))}
-        root = list(range(len(x)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for (a, b), i in place.items():
-            for q in ((a - 1, b), (a, b - 1), *(((a - 1, b - 1), (a + 1, b - 1)) if diagonal else ())):
-                if q in place:
-                    r, s = find(i), find(place[q])
-                    root[max(r, s)] = min(r, s)
-        top = np.array([find(i) for i in range(len(x))])
-        g = pd.DataFrame({"root": top, "x": x, "y": y}).groupby("root").agg(area=("x", "size"), x0=("x", "min"), y0=("y", "min"), x1=("x", "max"), y1=("y", "max")).reset_index()
+        mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
+        mask[y - y.min(), x - x.min()] = True
+        number = regions(mask, diagonal)[0][y - y.min(), x - x.min()]
+        g = pd.DataFrame({"root": number, "x": x, "y": y}).groupby("root").agg(area=("x", "size"), x0=("x", "min"), y0=("y", "min"), x1=("x", "max"), y1=("y", "max")).reset_index()
         g = g.sort_values(["area", "root"], ascending=[False, True]).reset_index(drop=True)
         return pd.DataFrame({"clip": pdf["clip"].iloc[0], "frame": pdf["frame"].iloc[0], "piece": g.index, "area": g["area"], "x0": g["x0"], "y0": g["y0"], "x1": g["x1"] + 1, "y1": g["y1"] + 1})
 

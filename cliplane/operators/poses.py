@@ -154,3 +154,66 @@ def taylor(cells: Column, x: Column, y: Column, width: int, height: int) -> tupl
     det = dxx * dyy - dxy * dxy
     go = inner & (det != 0)
     return F.when(go, x - (dyy * dx - dxy * dy) / det).otherwise(x), F.when(go, y - (dxx * dy - dxy * dx) / det).otherwise(y)
+
+
+#: The small kernels that stand for a Gaussian of their size; larger ones are computed.
+KERNELS = {1: [1.0], 3: [0.25, 0.5, 0.25], 5: [0.0625, 0.25, 0.375, 0.25, 0.0625], 7: [0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125]}
+
+
+def gaussian(size: int) -> list[float]:
+    """Weights of a Gaussian kernel of an odd size, whose spread follows from the size."""
+    if size in KERNELS:
+        return KERNELS[size]
+    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    weights = [math.exp(-((k - size // 2) ** 2) / (2 * sigma * sigma)) for k in range(size)]
+    return [w / sum(weights) for w in weights]
+
+
+def blurred(cells: Column, width: int, height: int, kernel: int, mirror: bool = False) -> Column:
+    """A heat map blurred along rows, then along columns. Beyond the border it is cold, or mirrored about the outermost cells.
+
+    With a cold border it is brought back to its old maximum."""
+    weights = gaussian(kernel)
+    half = kernel // 2
+
+    def along(values: Column, step: int, n: int) -> Column:
+        def one(_: Column, i: Column) -> Column:
+            place = F.floor(i / step) % n
+            total = F.lit(0.0)
+            for k, w in enumerate(weights):
+                to = place + (k - half)
+                if mirror:
+                    inside = F.when(to < 0, -to).when(to >= n, 2 * n - 2 - to).otherwise(to)
+                    total = total + w * F.get(values, (i + (inside - place) * step).cast("int"))
+                else:
+                    total = total + w * F.when((to >= 0) & (to < n), F.get(values, (i + (k - half) * step).cast("int"))).otherwise(0.0)
+            return total
+
+        return F.transform(values, one)
+
+    # each pass is bound once, by a map over an array of one element
+    rows = F.transform(F.array(cells), lambda v: along(v, 1, width))
+    both = F.transform(rows, lambda v: along(v, width, height))
+    if mirror:
+        return both[0]
+    return F.transform(both, lambda v: F.transform(v, lambda x: x * (F.array_max(cells) / F.array_max(v))))[0]
+
+
+def log_heat(cells: Column) -> Column:
+    """Heat kept within 0.001 and 50, as logarithms."""
+    return F.transform(cells, lambda v: F.log(F.least(F.lit(50.0), F.greatest(F.lit(0.001), v))))
+
+
+def refined(logs: Column, x: Column, y: Column, width: int, height: int) -> tuple[Column, Column]:
+    """A peak moved by the inverse of the second derivatives times the first ones; beyond the border stands the outermost cell.
+
+    logs: log_heat of a blurred map. Peaks that aren't there (-1) stay."""
+    near = lambda v, n: F.greatest(F.lit(0.0), F.least(F.lit(n - 1.0), v))
+    h = lambda i, j: heat(logs, near(x + i, width), near(y + j, height), width)
+    eps = 2.0**-23  # keeps a flat map's second derivatives invertible
+    dx, dy = 0.5 * (h(1, 0) - h(-1, 0)), 0.5 * (h(0, 1) - h(0, -1))
+    dxx, dyy = h(1, 0) - 2 * h(0, 0) + h(-1, 0) + eps, h(0, 1) - 2 * h(0, 0) + h(0, -1) + eps
+    dxy = 0.5 * (h(1, 1) - h(1, 0) - h(0, 1) + 2 * h(0, 0) - h(-1, 0) - h(0, -1) + h(-1, -1))
+    det = dxx * dyy - dxy * dxy
+    there = x >= 0
+    return F.when(there, x - (dyy * dx - dxy * dy) / det).otherwise(x), F.when(there, y - (dxx * dy - dxy * dx) / det).otherwise(y)

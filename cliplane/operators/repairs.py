@@ -19,8 +19,6 @@ from cliplane.operators.tracking import MEMORY_SCORE
 GAIN_SHARE, GAIN_WINDOW, KEPT_FRAMES, KEPT_TENTHS = 0.15, 16, 5, 8
 #: A lost piece's share of the mask before, and the share of its area under which the mask stays.
 LOST_SHARE, BACK_AREA = 0.08, 0.92
-#: Most points sent into a region.
-POINTS = 16
 
 
 def largest_piece(px: DataFrame, width: int, height: int) -> DataFrame:
@@ -81,35 +79,6 @@ def lost_for_good(px: DataFrame, births: DataFrame, width: int, height: int) ->
     return first.select("clip", "f.frame", "f.last", "f.share")
 
 
-def inner_points(mask: np.ndarray, count: int = POINTS) -> list[tuple[int, int]]:
-    """Up to so many pixels (x, y) well inside a region and spread over it: of those at least half as far from the outline as the
-    deepest one, the deepest (ties: in scan order), then the deepest that lies farther than that half from all taken, and so on."""
-    wide = np.pad(mask, 1)
-    shell = ~wide & (np.roll(wide, 1, 0) | np.roll(wide, -1, 0) | np.roll(wide, 1, 1) | np.roll(wide, -1, 1))
-    on, out = np.argwhere(wide), np.argwhere(shell)
-    depth = np.concatenate([np.sqrt(((part[:, None] - out[None]) ** 2).sum(-1).min(1)) for part in np.array_split(on, max(1, len(on) * len(out) >> 22))])
-    half = depth.max() / 2
-    left = depth >= half
-    taken: list[tuple[int, int]] = []
-    while len(taken) < count and left.any():
-        k = int(np.where(left, depth, -1.0).argmax())
-        taken.append((int(on[k, 1]) - 1, int(on[k, 0]) - 1))
-        left &= ((on - on[k]) ** 2).sum(1) > half**2
-    return taken
-
-
-def region_points(regions_px: DataFrame, width: int, height: int, count: int = POINTS) -> DataFrame:
-    """clip, frame, place, x, y: points (pixel centres) well inside the region that each frame's pixels make."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((height, width), bool)
-        mask[pdf["y"], pdf["x"]] = True
-        found = inner_points(mask, count)
-        return pd.DataFrame({"clip": pdf["clip"].iloc[0], "frame": pdf["frame"].iloc[0], "place": range(len(found)), "x": [p[0] + 0.5 for p in found], "y": [p[1] + 0.5 for p in found]})
-
-    return regions_px.select(*PIXEL).groupBy(*FRAME).applyInPandas(pick, "clip long, frame long, place long, x double, y double")
-
-
 def region_frames(found: DataFrame, births: DataFrame, masked: DataFrame) -> DataFrame:
     """clip, frame, points, holding: the frames to repair. found: clip, number, start, length, anchors, points of each lost region.
 

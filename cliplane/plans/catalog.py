@@ -107,12 +107,21 @@ def point_in_frame(spark, d):
     return p.where(bx.in_frame(F.col("p.x"), F.col("p.y"), W, H)).groupBy("clip", "frame").agg(F.count("*").alias("points"), F.min("j").cast("long").alias("first"))
 
 
-@query(f"""WITH {v.BOXES_SQL}, c AS (SELECT clip, frame // 20 AS slot, frame, score, (x2 - x1) * (y2 - y1) AS area, greatest(x2 - x1, y2 - y1) AS side FROM boxes WHERE score > 0.05e0),
-m AS (SELECT *, max(side) OVER (PARTITION BY clip, slot) AS top FROM c)
-SELECT clip, slot, frame AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY clip, slot ORDER BY area DESC, score DESC, frame) AS n FROM m WHERE side >= 0.4e0 * top) WHERE n = 1""")
+@query("""WITH RECURSIVE b AS (SELECT user_id AS clip, event_id % 16 AS slot, event_id, 100 / pow(2, event_id * 7 % 4) AS w, (60 + event_id * 13 % 80) / pow(2, event_id * 7 % 4) AS h, 0.02e0 + value / 500 AS score FROM events),
+c AS (SELECT *, w * h AS size, greatest(w, h) AS side, row_number() OVER (PARTITION BY clip, slot ORDER BY score DESC, event_id) AS n FROM b WHERE score > 0.05e0),
+f AS (SELECT clip, slot, 0::BIGINT AS n, -1e0 AS size, max(side) AS side, NULL::BIGINT AS chosen FROM c GROUP BY 1, 2
+  UNION ALL SELECT f.clip, f.slot, c.n, CASE WHEN c.size > f.size AND c.side >= f.side * 0.4e0 THEN c.size ELSE f.size END, CASE WHEN c.size > f.size AND c.side >= f.side * 0.4e0 THEN c.side ELSE f.side END,
+    CASE WHEN c.size > f.size AND c.side >= f.side * 0.4e0 THEN c.event_id ELSE f.chosen END FROM f JOIN c ON c.clip = f.clip AND c.slot = f.slot AND c.n = f.n + 1)
+SELECT clip, slot, arg_max(chosen, n) AS chosen FROM f WHERE chosen IS NOT NULL GROUP BY 1, 2""")
 def person_select(spark, d):
-    b = v.boxes(spark, d).withColumn("slot", F.expr("frame div 20"))
-    return bx.choose_person(b, ["clip", "slot"], "frame").select("clip", "slot", "chosen")
+    """Boxes whose sides halve up to three times, so that the bar falls with each box that takes over."""
+    e = v.table(spark, d, "events")
+    half = F.pow(F.lit(2.0), F.col("event_id") * 7 % 4)
+    b = e.select(
+        F.col("user_id").alias("clip"), (F.col("event_id") % 16).alias("slot"), "event_id", F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"),
+        (100 / half).alias("x2"), ((60 + F.col("event_id") * 13 % 80) / half).alias("y2"), (0.02 + F.col("value") / 500).alias("score"),
+    )
+    return bx.choose_person(b, ["clip", "slot"], "event_id").select("clip", "slot", "chosen")
 
 
 @query(f"""WITH RECURSIVE {v.BOXES_SQL}, cand AS (SELECT b.clip, date_trunc('day', e.ts) AS slot, e.event_id, x1, y1, x2, y2, score,
@@ -484,23 +493,54 @@ def level_requantized(spark, d):
     return rounded(df.groupBy("clip").agg(F.sum("r").alias("r")), "r")
 
 
-@query(f"WITH {v.RGB_SQL} SELECT clip, count(*) AS pixels, round(avg(r), 5) AS r, round(avg(g), 5) AS g, round(avg(b), 5) AS b FROM rgb GROUP BY clip")
-def lab_apply_same(spark, d):
-    """A transfer from a clip to itself leaves its colours where they are."""
+def _srgb_sql(light: str, a: str, b: str) -> list[str]:
+    f = [f"({light} + 16e0) / 116e0 + {a} / 500e0", f"({light} + 16e0) / 116e0", f"({light} + 16e0) / 116e0 - {b} / 200e0"]
+    xyz = [f"(CASE WHEN {t} > {fn.DELTA!r}e0 THEN power({t}, 3) ELSE {3 * fn.DELTA**2!r}e0 * ({t} - 4e0 / 29) END * {w!r}e0)" for t, w in zip(f, fn.D65, strict=True)]
+    out = []
+    for row in fn.inverse(fn.TO_XYZ):
+        u = "least(1e0, greatest(0e0, " + " + ".join(f"{x} * ({k!r}e0)" for x, k in zip(xyz, row, strict=True)) + "))"
+        out.append(f"(CASE WHEN {u} <= 0.0031308e0 THEN {u} * 12.92e0 ELSE 1.055e0 * power({u}, 1 / 2.4e0) - 0.055e0 END)")
+    return out
+
+
+_STATS = """, m AS (SELECT clip, sum(l * weight) / sum(weight) AS ml, sum(a * weight) / sum(weight) AS ma, sum(b_ * weight) / sum(weight) AS mb FROM lab GROUP BY clip),
+s AS (SELECT clip, any_value(ml) AS ml, any_value(ma) AS ma, any_value(mb) AS mb, sqrt(sum(power(l - ml, 2) * weight) / sum(weight)) AS sl, sqrt(sum(power(a - ma, 2) * weight) / sum(weight)) AS sa, sqrt(sum(power(b_ - mb, 2) * weight) / sum(weight)) AS sb FROM lab JOIN m USING (clip) GROUP BY clip)"""
+
+
+def _apply_sql(after: str, strength: str) -> str:
+    """Every clip's colours moved to those of the clip named by after."""
+    move = lambda c, k: f"({c} - s.m{k}) * least(greatest(t.s{k} / greatest(s.s{k}, 1e-6), 0.5e0), 2e0) + t.m{k}"
+    moved = ", ".join(f"{move(c, k)} AS n{k}" for c, k in (("l", "l"), ("a", "a"), ("b_", "b")))
+    new = ", ".join(f"round(avg(least(1e0, greatest(0e0, {c} + {strength} * ({x} - {c})))), 5) AS {c}" for c, x in zip("rgb", _srgb_sql("nl", "na", "nb"), strict=True))
+    return _LAB + _STATS + f", mv AS (SELECT lab.*, {moved} FROM lab JOIN s USING (clip) JOIN s t ON t.clip = {after}) SELECT clip, count(*) AS pixels, {new} FROM mv GROUP BY clip"
+
+
+def _applied(spark, d, after, strength, weight=1.0):
     px = v.frame_rgb(spark, d)
     found = colour.statistics(px)
-    out = colour.apply_transfer(px, colour.transfer(found, found), 1.0).groupBy("clip").agg(F.count("*").alias("pixels"), *[F.avg(c).alias(c) for c in "rgb"])
-    return out.select("clip", "pixels", *[F.round(c, 5).alias(c) for c in "rgb"])
+    target = found.join(found.select("clip", after.alias("of")).withColumnsRenamed({"clip": "own", "of": "clip"}), "clip")
+    out = colour.apply_transfer(px, colour.transfer(found, target.drop("clip").withColumnRenamed("own", "clip")), strength, weight)
+    return out.groupBy("clip").agg(F.count("*").alias("pixels"), *[F.round(F.avg(c), 5).alias(c) for c in "rgb"])
 
 
-@query()
+_NEXT = {"A": "N", "N": "R", "R": "A"}
+_NEXT_SQL = "CASE s.clip " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _NEXT.items()) + " END"
+
+
+def _next():
+    return F.element_at(F.create_map(*[F.lit(x) for pair in _NEXT.items() for x in pair]), F.col("clip"))
+
+
+@query(_apply_sql("s.clip", "1e0"))
+def lab_apply_same(spark, d):
+    """A transfer from a clip to itself leaves its colours where they are."""
+    return _applied(spark, d, F.col("clip"), 1.0)
+
+
+@query(_apply_sql(_NEXT_SQL, "0.8e0 * weight"))
 def lab_apply(spark, d):
     """Every clip with the colours of the next one, at four fifths of the strength and weighted by place."""
-    px = v.frame_rgb(spark, d)
-    found = colour.statistics(px)
-    after = F.when(F.col("clip") == "A", "R").when(F.col("clip") == "N", "A").otherwise("N")
-    out = colour.apply_transfer(px, colour.transfer(found, found.withColumn("clip", after)), 0.8, F.col("weight"))
-    return out.groupBy("clip").agg(*[F.round(F.avg(c), 5).alias(c) for c in "rgb"])
+    return _applied(spark, d, _next(), 0.8, F.col("weight"))
 
 
 # ---------------------------------------------------------------- levels
@@ -514,12 +554,14 @@ def luma_10bit(spark, d):
     return rounded(v.frame_rgb(spark, d).groupBy("clip", "frame").agg(F.avg(level).alias("luma")), "luma")
 
 
-@query(f"""WITH {v.RGB_SQL}, {_YUV}, bl AS (SELECT clip, frame, x // 2 AS bx, y // 2 AS by, avg(b - luma) AS cb, avg(r - luma) AS cr FROM y GROUP BY 1, 2, 3, 4)
-SELECT clip, frame, count(*) AS blocks, sum(floor(cb * (896 / 1.8556e0) + 512.5e0 + 1e-9))::BIGINT AS cb, sum(floor(cr * (896 / 1.5748e0) + 512.5e0 + 1e-9))::BIGINT AS cr FROM bl GROUP BY 1, 2""")
+@query(f"""WITH {v.RGB_SQL}, {_YUV.replace("FROM rgb", "FROM (SELECT clip, frame, x, y, r * 0.97e0 + 0.0113e0 AS r, g * 0.97e0 + 0.0071e0 AS g, b * 0.97e0 + 0.0157e0 AS b FROM rgb)")}, bl AS (SELECT clip, frame, x // 2 AS bx, y // 2 AS by, avg(b - luma) AS cb, avg(r - luma) AS cr FROM y GROUP BY 1, 2, 3, 4)
+SELECT clip, frame, count(*) AS blocks, sum(floor(cb * (896 / (2 * (1 - 0.0722e0))) + 512e0 + 0.5e0))::BIGINT AS cb, sum(floor(cr * (896 / (2 * (1 - 0.2126e0))) + 512e0 + 0.5e0))::BIGINT AS cr FROM bl GROUP BY 1, 2""")
 def chroma_10bit(spark, d):
-    df = v.frame_rgb(spark, d).withColumn("luma", fn.luma(F.col("r"), F.col("g"), F.col("b")))
+    """Colours moved off those whose levels are halves, which two engines may round either way."""
+    df = v.frame_rgb(spark, d).withColumns({c: F.col(c) * 0.97 + k for c, k in (("r", 0.0113), ("g", 0.0071), ("b", 0.0157))})
+    df = df.withColumn("luma", fn.luma(F.col("r"), F.col("g"), F.col("b")))
     blocks = df.groupBy("clip", "frame", F.expr("x div 2"), F.expr("y div 2")).agg(F.avg(F.col("b") - F.col("luma")).alias("cb"), F.avg(F.col("r") - F.col("luma")).alias("cr"))
-    level = {c: fn.half_up_10bit(F.col(c) * (fn.TV_10BIT["chroma"] / (2 * (1 - k))) + fn.TV_10BIT["zero"] + 1e-9) for c, k in (("cb", fn.KB), ("cr", fn.KR))}
+    level = {c: fn.half_up_10bit(F.col(c) * (fn.TV_10BIT["chroma"] / (2 * (1 - k))) + fn.TV_10BIT["zero"]) for c, k in (("cb", fn.KB), ("cr", fn.KR))}
     return blocks.groupBy("clip", "frame").agg(F.count("*").alias("blocks"), *[F.sum(x).alias(c) for c, x in level.items()])
 
 

@@ -192,10 +192,14 @@ def guard_mask_flags(spark, d):
     return guards.mask_flags(guards.mask_measures(_frames(spark, d), v.mask_px(spark, d), MW, MH))
 
 
-@query()
+@query(f"""WITH RECURSIVE {v.COARSE_SQL}, {v.TORN_SQL}, fr AS (SELECT clip, frame FROM px GROUP BY 1, 2), a AS (SELECT clip, frame, count(*) AS n FROM big WHERE clip < 3 GROUP BY 1, 2)
+SELECT clip, 'no_driving_person' AS "check", frame FROM fr WHERE clip = 3 UNION ALL SELECT clip, 'driving_empty', frame FROM fr LEFT JOIN a USING (clip, frame) WHERE clip < 3 AND n IS NULL UNION ALL SELECT clip, 'driving_fragmented', frame FROM tn WHERE clip < 3 AND torn""")
 def guard_driving_flags(spark, d):
-    px = v.mask_px(spark, d)
-    return guards.driving_flags(masks.areas(px).select("clip", "frame", "area"), masks.fragments(px, MW, MH), posed=False)
+    """The last clip has nobody; the others have whole, torn and empty frames."""
+    coarse = v.coarse_px(spark, d).where("clip < 3")
+    every = v.mask_px(spark, d).select("clip", "frame").distinct()
+    areas = every.join(masks.areas(coarse).select("clip", "frame", "area"), ["clip", "frame"], "left").withColumn("area", F.coalesce("area", F.lit(0)))
+    return guards.driving_flags(areas, masks.fragments(coarse, MW, MH), posed=False)
 
 
 def _report_sql(flags: str, title: str, missed: str = "") -> str:

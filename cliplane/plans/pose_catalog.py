@@ -46,14 +46,15 @@ def pose_crop_resize(spark, d):
     return _sums(v.pose(spark, d), poses.mapped(cut, 640 / 1000, 360 / 600))
 
 
-@query(f"""WITH {v.KP_SQL}, {v.VIDEO_SQL}, s AS (SELECT video_id % 10 AS clip, width, height FROM video WHERE video_id <= 10), f AS (SELECT *, height::DOUBLE / width > 1e0 AS tall FROM s),
-t AS (SELECT clip, CASE WHEN tall THEN 512e0 / height ELSE 512e0 / width END AS k, CASE WHEN tall THEN floor((512 - floor(512e0 / height * width)) / 2) ELSE 0 END AS dx, CASE WHEN tall THEN 0 ELSE floor((512 - floor(512e0 / width * height)) / 2) END AS dy FROM f),
-m AS (SELECT clip, frame, x * k + dx AS px, y * k + dy AS py FROM kp JOIN t USING (clip)) SELECT clip, frame, {_SUMS} FROM m GROUP BY clip, frame""")
+@query(f"""WITH {v.KP_SQL}, {v.VIDEO_SQL}, s AS (SELECT video_id, video_id % 10 AS clip, width, height FROM video), f AS (SELECT *, height::DOUBLE / width > 1e0 AS tall FROM s),
+t AS (SELECT video_id, clip, CASE WHEN tall THEN 512e0 / height ELSE 512e0 / width END AS k, CASE WHEN tall THEN floor((512 - floor(512e0 / height * width)) / 2) ELSE 0 END AS dx, CASE WHEN tall THEN 0 ELSE floor((512 - floor(512e0 / width * height)) / 2) END AS dy FROM f),
+m AS (SELECT video_id, x * k + dx AS px, y * k + dy AS py FROM kp JOIN t USING (clip) WHERE frame = 0) SELECT video_id, {_SUMS} FROM m GROUP BY video_id""")
 def pose_padding(spark, d):
-    """Each clip's poses as on an image of the size of a video, fitted into a square of 512."""
-    size = v.videos(spark, d).where("video_id <= 10").select((F.col("video_id") % 10).alias("clip"), poses.padding(F.col("width").cast("double"), F.col("height").cast("double"), 512, 512).alias("t"))
-    p = v.pose(spark, d).join(size, "clip")
-    return _sums(p, poses.mapped(F.col("body"), F.col("t.scale"), F.col("t.scale"), F.col("t.dx"), F.col("t.dy")))
+    """The first pose of a clip as on an image of the size of each video, fitted into a square of 512."""
+    size = v.videos(spark, d).select("video_id", (F.col("video_id") % 10).alias("clip"), poses.padding(F.col("width").cast("double"), F.col("height").cast("double"), 512, 512).alias("t"))
+    p = v.pose(spark, d).where("frame = 0").join(size, "clip").withColumns({"clip": F.col("video_id"), "frame": F.lit(0)})
+    found = _sums(p, poses.mapped(F.col("body"), F.col("t.scale"), F.col("t.scale"), F.col("t.dx"), F.col("t.dy")))
+    return found.withColumnRenamed("clip", "video_id").drop("frame")
 
 
 @query(f"""WITH {v.KP_SQL}, m AS (SELECT clip, frame, CASE WHEN c < 0.4e0 THEN 0 ELSE x / 1280 * 1280 END AS px, CASE WHEN c < 0.4e0 THEN 0 ELSE y / 720 * 720 END AS py, c FROM kp)
@@ -114,3 +115,48 @@ def heatmap_taylor(spark, d):
     p = p.withColumns({"x": x, "y": y})
     tx, ty = poses.taylor(F.col("cells"), F.col("x"), F.col("y"), 8, 8)
     return p.select("clip", "frame", F.round(tx, 5).alias("x"), F.round(ty, 5).alias("y"))
+
+
+def _blur_sql(kernel: int, mirror: bool) -> str:
+    """b (clip, frame, x, y, l): log heat of the blurred maps of 8 x 8 cells; pk: their peaks."""
+    weights = ", ".join(f"({k - kernel // 2}, {w!r}e0)" for k, w in enumerate(poses.gaussian(kernel)))
+    to = lambda c: f"CASE WHEN {c} + d < 0 THEN -({c} + d) WHEN {c} + d > 7 THEN 14 - ({c} + d) ELSE {c} + d END" if mirror else f"{c} + d"
+    scaled = "v" if mirror else "v * top / max(v) OVER (PARTITION BY clip, frame)"
+    return f"""f AS (SELECT label::BIGINT AS clip, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::BIGINT AS frame, embedding AS e FROM embeddings),
+u AS (SELECT clip, frame, i % 8 AS x, i // 8 AS y, e[i + 1]::DOUBLE AS v, max(e[i + 1]::DOUBLE) OVER (PARTITION BY clip, frame) AS top FROM f, range(64) t(i)), w(d, w) AS (VALUES {weights}),
+r AS (SELECT a.clip, a.frame, a.x, a.y, sum(w.w * b.v) AS v FROM u a, w JOIN u b ON b.clip = a.clip AND b.frame = a.frame AND b.y = a.y AND b.x = {to("a.x")} GROUP BY ALL),
+c AS (SELECT a.clip, a.frame, a.x, a.y, a.top, sum(w.w * b.v) AS v FROM u a, w JOIN r b ON b.clip = a.clip AND b.frame = a.frame AND b.x = a.x AND b.y = {to("a.y")} GROUP BY ALL),
+s AS (SELECT clip, frame, x, y, {scaled} AS v FROM c), b AS (SELECT clip, frame, x, y, ln(least(50e0, greatest(0.001e0, v))) AS l FROM s), pk AS (SELECT clip, frame, arg_max(x, v) AS x, arg_max(y, v) AS y, max(v) AS peak FROM u GROUP BY 1, 2)"""
+
+
+_PLACES = {"c": (0, 0), "e": (1, 0), "w": (-1, 0), "s": (0, 1), "n": (0, -1), "se": (1, 1), "nw": (-1, -1)}
+
+
+def _refined_sql(kernel: int, mirror: bool, select: str) -> str:
+    near = ", ".join(f"max(l) FILTER (WHERE b.x = least(7, greatest(0, pk.x + ({i}))) AND b.y = least(7, greatest(0, pk.y + ({j})))) AS {k}" for k, (i, j) in _PLACES.items())
+    eps = f"{2.0**-23!r}"
+    return f"""WITH {_blur_sql(kernel, mirror)}, h AS (SELECT pk.clip, pk.frame, pk.x, pk.y, peak, {near} FROM pk JOIN b ON b.clip = pk.clip AND b.frame = pk.frame GROUP BY ALL),
+d AS (SELECT *, 0.5e0 * (e - w) AS dx, 0.5e0 * (s - n) AS dy, e - 2 * c + w + {eps} AS dxx, s - 2 * c + n + {eps} AS dyy, 0.5e0 * (se - e - s + 2 * c - w - n + nw) AS dxy FROM h),
+q AS (SELECT clip, frame, peak, x - (dyy * dx - dxy * dy) / (dxx * dyy - dxy * dxy) AS px, y - (dxx * dy - dxy * dx) / (dxx * dyy - dxy * dxy) AS py FROM d) {select}"""
+
+
+def _refined(spark, d, kernel, mirror):
+    p = v.pose(spark, d).select("clip", "frame", F.transform("e", lambda x: x.cast("double")).alias("cells"))
+    x, y, top = poses.peak(F.col("cells"), 8)
+    p = p.withColumns({"x": x, "y": y, "peak": top, "blurred": poses.blurred(F.col("cells"), 8, 8, kernel, mirror)}).withColumn("logs", poses.log_heat(F.col("blurred")))
+    rx, ry = poses.refined(F.col("logs"), F.col("x"), F.col("y"), 8, 8)
+    return p.withColumns({"rx": rx, "ry": ry})
+
+
+@query(_refined_sql(11, False, "SELECT clip, frame, round(px * 200 / 7 + 640 - 100, 5) AS x, round(py * 400 / 7 + 360 - 200, 5) AS y, round(peak, 6) AS peak FROM q"))
+def heatmap_dark_udp(spark, d):
+    """Peaks refined on maps blurred with a cold border, in an image of 1280 x 720."""
+    p = _refined(spark, d, 11, False)
+    x, y = poses.to_image(F.col("rx"), F.col("ry"), (F.lit(640.0), F.lit(360.0)), (F.lit(200.0), F.lit(400.0)), (8, 8), True)
+    return p.select("clip", "frame", F.round(x, 5).alias("x"), F.round(y, 5).alias("y"), F.round("peak", 6).alias("peak"))
+
+
+@query(_refined_sql(3, True, "SELECT clip, frame, round(px, 5) AS x, round(py, 5) AS y FROM q"))
+def heatmap_dark_mirror(spark, d):
+    p = _refined(spark, d, 3, True)
+    return p.select("clip", "frame", F.round("rx", 5).alias("x"), F.round("ry", 5).alias("y"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cliplane.operators import driving, masks, repairs
+from cliplane.operators import depths, driving, masks, repairs
 from cliplane.plans.catalog import query, rounded
 from cliplane.sources import views as v
 
@@ -30,7 +30,7 @@ def track_lost_for_good(spark, d):
 
 @query()
 def region_points(spark, d):
-    return repairs.region_points(v.figure_px(spark, d), 32, 24)
+    return depths.region_points(v.figure_px(spark, d), 32, 24)
 
 
 _STORED = "st AS (SELECT user_id % 10 AS clip, event_id % 200 AS frame, max(value) / 490 AS score FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2), fr AS (SELECT DISTINCT user_id % 10 AS clip, event_id % 200 AS frame FROM events)"
@@ -61,7 +61,7 @@ def memory_places(spark, d):
 def _conditions(spark, d):
     frames, _ = _stored(spark, d)
     base = frames.where("frame % 17 = clip")
-    return frames, base, base.where("frame % 5 > 0 OR frame < 40"), frames.where("frame IN (77, 140) AND clip < 5")
+    return frames, base, base.where("frame % 5 > 0 OR frame < 40"), base.where("frame % 51 = clip AND clip % 2 = 0")
 
 
 _SEEN = f"""WITH {_STORED}, cb AS (SELECT clip, frame AS t FROM fr WHERE frame % 17 = clip), cc AS (SELECT * FROM cb WHERE t % 5 > 0 OR t < 40),
@@ -78,10 +78,14 @@ def second_pass_view(spark, d):
     return repairs.second_view(frames, conditions, 4, False).select("clip", "frame", text("conditions"), text("memory"))
 
 
-@query(_SEEN + """ SELECT a.clip, min(a.frame) AS frame FROM vw a JOIN vw b ON a.clip = b.clip AND a.frame = b.frame AND a.pass = 1 AND b.pass = 2 WHERE a.c <> b.c OR a.m <> b.m GROUP BY a.clip""")
+@query(_SEEN + """, rf AS (SELECT clip, frame AS t FROM fr WHERE frame % 51 = clip AND clip % 2 = 0),
+tc AS (SELECT DISTINCT nr.clip, nr.frame FROM nr JOIN ch USING (clip, frame, pass, t) JOIN rf USING (clip, t) WHERE pass = 1 AND (chosen OR t < nr.frame)),
+df AS (SELECT a.clip, a.frame FROM vw a JOIN vw b ON a.clip = b.clip AND a.frame = b.frame AND a.pass = 1 AND b.pass = 2 WHERE a.c <> b.c OR a.m <> b.m)
+SELECT clip, min(frame) AS frame FROM (SELECT * FROM tc UNION ALL SELECT * FROM df) GROUP BY clip""")
 def first_influenced(spark, d):
-    frames, base, conditions, _ = _conditions(spark, d)
-    return repairs.first_influenced(frames, conditions, base, frames.where("false"), 4)
+    """Even clips have refined frames among their conditioning frames, some of which come before the first other view."""
+    frames, base, conditions, refined = _conditions(spark, d)
+    return repairs.first_influenced(frames, conditions, base, refined, 4)
 
 
 # ---------------------------------------------------------------- driving masks
@@ -111,12 +115,11 @@ def driving_colours(spark, d):
     return full.groupBy("clip", "frame", "mode").agg(F.sum(F.col("rgb")[0]).cast("long").alias("red"), F.sum(F.col("rgb")[2]).cast("long").alias("blue"))
 
 
-@query(f"""WITH {v.MASK_SQL}, a AS (SELECT clip, frame, count(*) AS n FROM px WHERE frame > 0 AND (clip + frame) % 5 > 0 GROUP BY 1, 2), r AS (SELECT clip, frame FROM px WHERE frame > 0 GROUP BY 1, 2)
-SELECT r.clip, r.frame AS "index", round(coalesce(n, 0) / 2400e0, 6) AS area, CASE WHEN n IS NULL THEN 'reference_empty' ELSE '' END AS flags FROM r LEFT JOIN a USING (clip, frame)""")
+@query(f"""WITH RECURSIVE {v.COARSE_SQL}, {v.TORN_SQL}, r AS (SELECT clip, frame FROM px WHERE frame > 0 GROUP BY 1, 2), a AS (SELECT clip, frame, count(*) AS n FROM big GROUP BY 1, 2)
+SELECT r.clip, r.frame AS "index", round(coalesce(n, 0) / 2400e0, 6) AS area, CASE WHEN n IS NULL THEN 'reference_empty' WHEN torn THEN 'reference_fragmented' ELSE '' END AS flags FROM r LEFT JOIN a USING (clip, frame) LEFT JOIN tn USING (clip, frame)""")
 def extra_references(spark, d):
-    """Each frame but the first as an extra reference; those of a fifth of the frames are empty."""
-    px = v.mask_px(spark, d).where("frame > 0")
-    some = px.where("(clip + frame) % 5 > 0")
-    none = spark.createDataFrame([], "clip long, frame long, share double")
-    found = driving.extra_references(some, px.select("clip", "frame").distinct(), none, MW, MH)
+    """Each frame but the first as an extra reference: some whole, some torn, some empty."""
+    coarse = v.coarse_px(spark, d).where("frame > 0")
+    frames = v.mask_px(spark, d).where("frame > 0").select("clip", "frame").distinct()
+    found = driving.extra_references(coarse, frames, masks.fragments(coarse, MW, MH), MW, MH)
     return rounded(found.withColumn("flags", F.array_join("flags", ",")), "area")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cliplane.operators import guards, leaks, losses, masks, sequence, tracking
+from cliplane.operators import depths, guards, leaks, losses, masks, repairs, sequence, tracking
 from cliplane.plans.catalog import _dist, _pts, query, rounded
 from cliplane.plans.guard_catalog import _frames
 from cliplane.sources import views as v
@@ -153,15 +153,84 @@ def limbs_out(spark, d):
     return _limbs_out(spark, d).select("clip", "frame", F.array_join("limbs", ",").alias("limbs"), F.size("points").cast("long").alias("points"))
 
 
-def _losses(spark, d):
-    px = v.figure_px(spark, d)
-    n = v.table(spark, d, "events").groupBy(F.col("user_id").alias("clip")).agg(F.count("*").alias("n"))
-    return losses.mask_losses(px, n, 32, 24, grow=1, block=4)
+def _lengths(spark, d):
+    return v.table(spark, d, "events").groupBy(F.col("user_id").alias("clip")).agg(F.count("*").alias("n"))
 
 
 @query()
 def mask_loss(spark, d):
-    return rounded(_losses(spark, d), "mask_loss")
+    """Without a pose: closed runs alone."""
+    return rounded(losses.mask_losses(v.figure_px(spark, d), _lengths(spark, d), 32, 24, grow=1, block=4), "mask_loss")
+
+
+def _ending(spark, d):
+    """Figures without a hand on the first frames of some clips and on the last ones of others, and their lengths."""
+    n = _lengths(spark, d)
+    hand = F.col("x") > 9
+    gone = hand & ((F.col("clip") % 4 == 1) & (F.col("frame") < 12) | (F.col("clip") % 4 == 2) & (F.col("frame") >= F.col("n") - 15))
+    return v.figure_px(spark, d).join(n, "clip").where(~gone).drop("n"), n
+
+
+@query()
+def mask_loss_posed(spark, d):
+    """With a pose: limbs as evidence, and runs of any length that a clip begins or ends with."""
+    px, n = _ending(spark, d)
+    limbs = losses.limb_evidence(v.figure_pose(spark, d), 32, 24)
+    return rounded(losses.mask_losses(px, n, 32, 24, grow=1, block=4, limbs=limbs), "mask_loss")
+
+
+def _dropped(spark, d):
+    px, n = _ending(spark, d)
+    return px, n, losses.dropped_parts(px, n, 32, 24, losses.final_reader(1, 4))
+
+
+@query()
+def dropped_parts(spark, d):
+    return rounded(_dropped(spark, d)[2].select("clip", "start", "length", "share", F.size("region").cast("long").alias("pixels")), "share")
+
+
+@query()
+def repair_frames(spark, d):
+    """The frames to repair: points well inside every dropped part, and the frames around it that hold it."""
+    px, _, parts = _dropped(spark, d)
+    number = F.row_number().over(Window.partitionBy("clip").orderBy("start", "length", F.col("region")[0])).cast("long")
+    parts = parts.withColumn("number", number)
+    pixels = parts.select("clip", F.col("number").alias("frame"), F.explode("region").alias("p"))
+    points = depths.region_points(pixels.select("clip", "frame", (F.col("p") % 32).alias("x"), F.expr("p div 32").alias("y")), 32, 24)
+    points = points.groupBy("clip", F.col("frame").alias("number")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.struct(p["x"], p["y"])).alias("points"))
+    anchors = F.array(F.col("start") - 1, F.col("start") + F.col("length")).alias("anchors")
+    found = parts.select("clip", "number", "start", "length", anchors).join(points, ["clip", "number"])
+    births = px.groupBy("clip").agg(F.min("frame").alias("birth"))
+    frames = repairs.region_frames(found, births, px)
+    return frames.select("clip", "frame", F.size("points").cast("long").alias("points"), repairs.held_words(F.col("holding")).alias("words"))
+
+
+_LOG = f"""WITH {v.OVERLAP_SQL}, sl AS (SELECT clip, frame, avg(score) * 1.6e0 AS logit FROM ov GROUP BY 1, 2), a AS (SELECT clip, frame, detection, score, overlap FROM ov WHERE track = 0 AND (clip + frame) % 6 > 0),
+pk AS (SELECT sl.clip, sl.frame, logit, min(detection) FILTER (WHERE score >= 0.3 AND overlap >= 0.5) AS anchor, arg_min(detection, {{{{'o': -overlap, 'd': detection}}}}) AS best FROM sl LEFT JOIN a USING (clip, frame) GROUP BY 1, 2, 3),
+sh AS (SELECT *, coalesce(anchor, best) AS detection, anchor IS NOT NULL AND logit > 0.8 AS fired FROM pk), {v.MASK_SQL},
+ms AS (SELECT px.clip, px.frame, px.x, px.y FROM px JOIN sh ON sh.clip = px.clip AND sh.frame = px.frame WHERE sh.detection IS NOT NULL AND NOT (px.x < 40 AND (px.x + px.y + sh.detection) % 3 > 0)), mc AS (SELECT clip, frame, count(*) AS n FROM ms GROUP BY 1, 2)"""
+
+
+def _slots(spark, d):
+    every = v.overlaps(spark, d)
+    slots = every.groupBy("clip", "frame").agg((F.avg("score") * 1.6).alias("logit"))
+    own = every.where("track = 0 AND (clip + frame) % 6 > 0").select("clip", "frame", "detection", "score", "overlap")
+    px = v.mask_px(spark, d)
+    found = px.join(own.select("clip", "frame", "detection"), ["clip", "frame"]).where("x < 40 AND (x + y + detection) % 3 > 0")
+    return depths.anchor_log(slots, own, px, found, MW, MH, 0.3, 0.5)
+
+
+@query(_LOG.replace("{{", "{").replace("}}", "}") + """ SELECT sh.clip, sh.frame, fired, CASE WHEN fired THEN NULL WHEN best IS NULL THEN 'no det' WHEN anchor IS NULL THEN 'gate' ELSE 'track score' END AS why,
+round(a.score, 4) AS det_score, round(a.overlap, 4) AS iou, round(logit, 4) AS track_logit, CASE WHEN sh.detection IS NOT NULL THEN coalesce(mc.n, 0) END AS missed_px FROM sh LEFT JOIN a ON a.clip = sh.clip AND a.frame = sh.frame AND a.detection = sh.detection LEFT JOIN mc ON mc.clip = sh.clip AND mc.frame = sh.frame""")
+def anchor_log(spark, d):
+    """Slots of which some have no detection, some no anchor, and some a track that isn't sure."""
+    return _slots(spark, d).drop("missed_largest_px", "missed_radius")
+
+
+@query()
+def anchor_log_missed(spark, d):
+    """The largest piece that the logged detection misses, and how deep it is."""
+    return _slots(spark, d).where("missed_px > 0").select("clip", "frame", "missed_px", "missed_largest_px", "missed_radius")
 
 
 def _parts(spark, d):
@@ -180,7 +249,8 @@ def mask_person_parts(spark, d):
 def guard_mask_all_flags(spark, d):
     px, frames = v.mask_px(spark, d), _frames(spark, d)
     n = px.groupBy("clip").agg((F.max("frame") + 1).alias("n"))
-    lost = losses.mask_losses(px, n, MW, MH, grow=0, block=1)
+    posed = v.pose(spark, d).select("clip", "frame", F.transform("body", lambda p: F.struct((p["x"] * (MW / W)).alias("x"), (p["y"] * (MH / H)).alias("y"), p["c"].alias("c"))).alias("body"))
+    lost = losses.mask_losses(px, n, MW, MH, grow=1, block=4, limbs=losses.limb_evidence(posed, MW, MH))
     parts = _parts(spark, d)
     torn = parts.select("clip", "frame", F.explode("fragments").alias("share"))
     return guards.mask_flags(guards.mask_measures(frames, px, MW, MH), torn, limbs=_limbs_out(spark, d), losses=lost, leaks=parts)

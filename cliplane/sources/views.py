@@ -54,6 +54,16 @@ def mask_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 4 AS clip", "l_orderkey % 64 AS frame", "l_partkey % 48 AS x", "CAST(l_quantity AS BIGINT) - 1 AS y").distinct()
 
 
+def coarse_px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip, frame, x, y of blocks of 2 x 2 in a corner and, on every third frame, in a part away from all sides; every fifth frame is empty."""
+    near, far = (F.col("x") < 8) & (F.col("y") < 8), F.col("x").between(20, 25) & F.col("y").between(30, 39)
+    number = F.col("clip") + F.col("frame")
+    some = mask_px(spark, sf_dir).where(number % 5 > 0).where(near | (number % 3 == 0) & far)
+    two = lambda c: F.explode(F.array(F.col(c), F.col(c) + 1)).alias(c)
+    blocks = some.select("clip", "frame", (F.expr("x div 2") * 2).alias("x"), (F.expr("y div 2") * 2).alias("y")).distinct()
+    return blocks.select("clip", "frame", two("x"), "y").select("clip", "frame", "x", two("y"))
+
+
 def figure_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip, frame, x, y of a solid figure on a 32 x 24 canvas for each event of a user: a body whose hand is away on some frames."""
     e = table(spark, sf_dir, "events")
@@ -65,6 +75,16 @@ def figure_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.where(F.col("x").between(2, 9) | hand)
 
 
+def figure_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip, frame, body of figure_px's figure: an arm from the body to the hand, whose wrist the pose loses on some frames."""
+    e = table(spark, sf_dir, "events")
+    frame = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    point = lambda x, y, c: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.when(F.lit(c) if isinstance(c, bool) else c, 0.9).otherwise(0.1).alias("c"))
+    arm = {2: (5, 8, True), 3: (12, 7, True), 4: (19, 9, (F.col("frame") + F.col("clip")) % 7 > 0)}
+    body = F.array(*[point(*arm.get(j, (-9, -9, False))) for j in range(POINTS)])
+    return e.select(F.col("user_id").alias("clip"), frame.alias("frame")).select("clip", "frame", body.alias("body"))
+
+
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip, frame, detection, track, score, overlap: detections of a frame by falling score, and their overlap with three tracks."""
     e = table(spark, sf_dir, "events").selectExpr("user_id % 10 AS clip", "event_id % 50 AS frame", "event_id", "value / 490 AS score", "explode(array(0L, 1L, 2L)) AS track")
@@ -110,6 +130,14 @@ KP_SQL = """kp AS (
   SELECT clip, frame, j, (0.5e0 + e[3 * j + 1]::DOUBLE) * 1280 AS x, (0.5e0 + e[3 * j + 2]::DOUBLE) * 720 AS y, 0.5e0 + 2 * e[3 * j + 3]::DOUBLE AS c
   FROM (SELECT label::BIGINT AS clip, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::BIGINT AS frame, embedding AS e FROM embeddings), range(20) t(j))"""
 MASK_SQL = "px AS (SELECT DISTINCT l_suppkey % 4 AS clip, l_orderkey % 64 AS frame, l_partkey % 48 AS x, l_quantity::BIGINT - 1 AS y FROM lineitem)"
+COARSE_SQL = f"""{MASK_SQL}, one AS (SELECT * FROM px WHERE (clip + frame) % 5 > 0 AND (x < 8 AND y < 8 OR (clip + frame) % 3 = 0 AND x BETWEEN 20 AND 25 AND y BETWEEN 30 AND 39)),
+blk AS (SELECT DISTINCT clip, frame, x // 2 AS x, y // 2 AS y FROM one), big AS (SELECT blk.clip, blk.frame, blk.x * 2 + i AS x, blk.y * 2 + k AS y FROM blk, range(2) a(i), range(2) b(k))"""
+#: Recursive: every block's smallest connected one (corners connect), and whether a frame has a detached piece of a twentieth of its largest
+#: or more; one that runs off a side that the largest runs off is no piece of its own.
+TORN_SQL = """be AS (SELECT a.clip, a.frame, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM blk a JOIN blk b ON a.clip = b.clip AND a.frame = b.frame AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+rc AS (SELECT clip, frame, x, y, y * 1000 + x AS root FROM blk UNION SELECT be.clip, be.frame, be.bx, be.by, rc.root FROM rc JOIN be ON be.clip = rc.clip AND be.frame = rc.frame AND be.ax = rc.x AND be.ay = rc.y AND rc.root < be.by * 1000 + be.bx),
+lb AS (SELECT clip, frame, x, y, min(root) AS root FROM rc GROUP BY 1, 2, 3, 4), pc AS (SELECT clip, frame, root, count(*) AS n, min(x) = 0 AS lft, min(y) = 0 AS tp, row_number() OVER (PARTITION BY clip, frame ORDER BY count(*) DESC, root) AS k FROM lb GROUP BY 1, 2, 3),
+tn AS (SELECT p.clip, p.frame, coalesce(bool_or(p.k > 1 AND NOT (p.lft AND m.lft) AND NOT (p.tp AND m.tp) AND round(p.n / m.n::DOUBLE, 4) >= 0.05e0), false) AS torn FROM pc p JOIN pc m ON m.clip = p.clip AND m.frame = p.frame AND m.k = 1 GROUP BY 1, 2)"""
 RUN_SQL = "req AS (SELECT o_orderkey AS video_id, (o_orderkey % 900 + 1)::BIGINT AS total_frames, (9 + 4 * (o_custkey % 19))::BIGINT AS frames_per_chunk, ([0, 1, 5])[(o_orderkey % 3)::INT + 1]::BIGINT AS overlap FROM orders)"
 VIDEO_SQL = """video AS (SELECT p_partkey AS video_id, (320 + 16 * p_size)::BIGINT AS width, (240 + 24 * (p_partkey % 40))::BIGINT AS height, ([24e0, 25e0, 30e0, 29.97e0, 23.976e0, 60e0])[(p_partkey % 6)::INT + 1] AS fps,
   (60 + p_partkey % 900)::BIGINT AS frames, ([16e0, 24e0, 30e0])[(p_partkey % 3)::INT + 1] AS rate FROM part)"""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cliplane.operators import driving, repairs
+from cliplane.operators import depths, driving, repairs
 from cliplane.operators.masks import regions
 
 PX = "clip long, frame long, x long, y long"
@@ -79,7 +79,7 @@ def test_points_inside(seed):
         y, x = np.unravel_index(int(np.argmax(np.where(free, depth, -1))), depth.shape)
         want.append((int(x), int(y)))
         free &= (np.arange(9)[:, None] - y) ** 2 + (np.arange(12)[None] - x) ** 2 > half**2
-    assert repairs.inner_points(mask, 4) == want
+    assert depths.inner_points(mask, 4) == want
 
 
 def test_region_frames_and_words(spark):
