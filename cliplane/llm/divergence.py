@@ -2,7 +2,7 @@
 
 1. Every task counts terms by language and source over its documents (at most HELD_TERMS at once): documents that have the
    term, and occurrences. So a frequent term is a few rows a task however many documents hold it.
-2. The counts are dealt by (lang, term) and sorted by (lang, term, source, batch of documents). A scan of the runs sums up
+2. The counts are dealt by (lang, term) and sorted by (term, lang, source, batch of documents). A scan of the runs sums up
    document frequency and counts, and keeps the terms that enough documents have: one row a term with its sources.
 3. A second scan of these runs turns counts into shares, emits a term's candidates for each source (the first TERMS of a task)
    and adds up its part of every pair of sources; the pairs of a task are emitted as partial sums.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,39 +105,55 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return source.mapInArrow(run, "lang string, term string, source string, batch long, docs long, n long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (lang, term, source): one row for each term that enough documents have, and one for each group."""
-    out: list[tuple] = []
-
-    def rows() -> pa.RecordBatch:
-        kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
-        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["lang", "term", "sources", "counts"])
-        out.clear()
-        return made
+def _starts(batch: pa.RecordBatch, columns: int) -> np.ndarray:
+    """Rows at which a run of equal values in the first so many columns begins."""
+    n = batch.num_rows
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in range(columns):
+        c = batch.column(k)
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _by_source(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One row for each run of (lang, term, source), with docs and n summed."""
+    first = _starts(batch, 3)
+    if not len(first):
+        return batch
+    sums = [pa.array(np.add.reduceat(batch.column(k).to_numpy(), first)) for k in (3, 4)]
+    return pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(first)) for k in range(3)] + sums, names=batch.schema.names)
+
+
+def _terms(rows: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    """One row for each run of (lang, term) that enough documents have, and for the groups ('')."""
+    first = _starts(rows, 2)
+    size = np.diff(np.append(first, rows.num_rows))
+    at = pa.array(first)
+    lang, term = rows.column(0).take(at), rows.column(1).take(at)
+    docs = np.add.reduceat(rows.column(3).to_numpy(), first)
+    keep = (docs >= least) | pc.equal(term, "").to_numpy(zero_copy_only=False)
+    own = pa.array(np.repeat(keep, size))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32))
+    each = [pa.ListArray.from_arrays(offsets, rows.column(k).filter(own)) for k in (2, 4)]
+    kept = pa.array(keep)
+    return pa.RecordBatch.from_arrays([lang.filter(kept), term.filter(kept), *each], names=["lang", "term", "sources", "counts"])
 
-    now, docs, sources, counts = None, 0, [], []
-
-    def close() -> None:
-        if now is not None and (docs >= least or now[1] == ""):
-            out.append((*now, sources, counts))
 
+def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (lang, term, source), run by run; the last term of a batch waits for the next, a row a source."""
+    held = None
     for batch in batches:
-        lang, term, source, d, n = (batch.column(k).to_pylist() for k in range(5))
-        for key, src, many, count in zip(zip(lang, term, strict=True), source, d, n, strict=True):
-            if key != now:
-                close()
-                now, docs, sources, counts = key, 0, [], []
-                if len(out) >= 10_000:
-                    yield rows()
-            docs += many
-            if sources and sources[-1] == src:
-                counts[-1] += count
-            else:
-                sources.append(src)
-                counts.append(count)
-    close()
-    if out:
-        yield rows()
+        rows = _by_source(batch)
+        if held is not None:
+            rows = _by_source(pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(held.columns, rows.columns, strict=True)], names=rows.schema.names))
+        if rows.num_rows:
+            cut = int(_starts(rows, 2)[-1])
+            if cut:
+                yield _terms(rows.slice(0, cut), least)
+            held = rows.slice(cut)
+    if held is not None:
+        yield _terms(held, least)
 
 
 def share(count: np.ndarray, total: int, terms: int) -> np.ndarray:
@@ -248,7 +265,8 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """(lang, source, part, item, value, rank)."""
     spark = docs.sparkSession
     counts = term_counts(docs, text_col, lang_col, source_col)
-    runs = counts.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "batch").select("lang", "term", "source", "docs", "n")
+    # terms first: their bytes tell rows apart sooner than those of the few languages
+    runs = counts.repartition("lang", "term").sortWithinPartitions("term", "lang", "source", "batch").select("lang", "term", "source", "docs", "n")
     runs = materialise(runs.mapInArrow(lambda b: _runs(b, least), "lang string, term string, sources array<string>, counts array<long>"), "divergence-runs")
     each = runs.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
     kept = runs.where("term <> ''").groupBy("lang").agg(F.count("*").alias("v"))
@@ -258,6 +276,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     groups = Groups(found, {r["lang"]: r["v"] for r in kept.collect()})
     sent = spark.sparkContext.broadcast(groups)
     parts = runs.mapInArrow(lambda b: _scan(b, sent.value, terms), "lang string, source string, part string, item string, value long")
+    parts = materialise(parts, "divergence-parts")
     base = _even_pairs(spark, groups, sent)
     sums = parts.where("part = 'pair'").unionByName(base).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     order = [F.desc("value"), F.asc("item")]
