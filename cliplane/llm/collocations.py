@@ -37,10 +37,10 @@ BLOCK_WORDS = 4_000_000
 #: Different words that a task counts before it sends them on.
 HELD_WORDS = 200_000
 #: N-grams that a task sorts and counts at once.
-HELD_KEYS = 1 << 21
+HELD_KEYS = 1 << 19
 #: N-grams that a range of keys should hold at most.
-RANGE_KEYS = 1 << 20
-CHUNK_BYTES = 4 << 20
+RANGE_KEYS = 1 << 19
+CHUNK_BYTES = 1 << 20
 #: Shares of a language in which the first rows are found before they meet.
 SALTS = 16
 
