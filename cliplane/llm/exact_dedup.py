@@ -129,7 +129,7 @@ def stage(
         if out:
             yield flush()
 
-    return materialise(source.mapInArrow(run, f"row long, id long, {_MIX}"), "dedup-staged")
+    return materialise(source.mapInArrow(run, f"row long, id long, {_MIX}"), "dedup-staged", "zstd")
 
 
 def _prefix(key: Column, depth: Column) -> Column:
@@ -220,7 +220,7 @@ def build(staged: DataFrame, index: Index | None = None, capacity: int = CAPACIT
     owner = F.floor(_prefix(F.col("key"), F.lit(start)) * parts / F.lit(1 << start)).cast("int")
     unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
     dealt = heads.unionByName(rows).repartitionById(parts, owner).sortWithinPartitions(unsigned, F.desc("head"))
-    return Index(directory, materialise(dealt.mapInArrow(_chain, f"{_MIX}, bucket long, depth int"), "dedup-index"))
+    return Index(directory, materialise(dealt.mapInArrow(_chain, f"{_MIX}, bucket long, depth int"), "dedup-index", "zstd"))
 
 
 def assign(staged: DataFrame, index: Index, id_col: str = "doc_id") -> DataFrame:
