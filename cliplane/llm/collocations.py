@@ -131,7 +131,7 @@ def _stream(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[str, np.ndarray,
             carried, on = np.zeros(0, np.int64), False
             for chunk in _chunks(data.tobytes()):
                 h, new, _, stop = _words(np.frombuffer(chunk, np.uint8), np.array([0, len(chunk)]), seed, on)
-                words = np.concatenate([carried, np.insert(h, np.flatnonzero(new), STOP), [STOP] * stop]).astype(np.int64)
+                words = np.concatenate([carried, np.insert(h, np.flatnonzero(new), STOP), np.full(int(stop), STOP)])
                 yield langs[0], words, len(carried)
                 carried, on = words[-2:], True
             continue
