@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cliplane.operators import driving, guards, leaks, losses, masks
 from cliplane.operators.masks import FRAME
 from cliplane.operators.pose import DRAW
+from cliplane.session import settled
 
 #: Checks that only a pose allows, in the order of reports; checks of a reference; those that stop a run.
 POSED = ("mask_empty", "mask_leak", "mask_attached_leak", "mask_head_out", "mask_limb_out", "mask_loss")
@@ -38,7 +39,7 @@ def _empty(kind: str) -> Column:
 
 
 def driving_rows(px: DataFrame, frames: DataFrame, width: int, height: int, posed: Posed | None = None, threshold: float = DRAW, slab: int = 32) -> DataFrame:
-    """clip and ROW of every driving frame. px: the person's pixels; frames: clip, frame of all frames (from 0)."""
+    """clip and ROW of every driving frame, settled in the shared folder, since checks, report and record all read them. px: the person's pixels; frames: clip, frame of all frames (from 0)."""
     frames = frames.select(*FRAME).distinct()
     area = masks.areas(px.select(*masks.PIXEL).distinct()).select(*FRAME, (F.col("area") / (width * height)).alias("mask_area"))
     df = frames.join(area, FRAME, "left").join(driving.latent_kept(px), FRAME, "left").withColumn("mask_area", F.coalesce("mask_area", F.lit(0.0)))
@@ -46,7 +47,7 @@ def driving_rows(px: DataFrame, frames: DataFrame, width: int, height: int, pose
         torn = masks.fragments(px, width, height).groupBy(*FRAME).agg(F.sort_array(F.collect_list("share"), False).alias("fragments"))
         df = df.join(torn, FRAME, "left").withColumn("fragments", F.coalesce("fragments", _empty("double")))
         none = {c: F.lit(None).cast("double") for c in ("mask_loss", "mask_to_box", "mask_outside_box", "attached_leak", "box_iou_prev")}
-        return df.withColumns({**none, "box_reliable": F.lit(False), "head_out": _empty("string"), "limbs_out": _empty("string")}).select("clip", *ROW)
+        return settled(df.withColumns({**none, "box_reliable": F.lit(False), "head_out": _empty("string"), "limbs_out": _empty("string")}).select("clip", *ROW))
     reading = driving.latent_reading(masks.cells(px, width, height), width, height)
     own = guards.mask_measures(posed.frames, px, width, height, threshold).select(*FRAME, "mask_to_box", "box_reliable", F.when(F.col("mask_area") > 0, F.col("outside")).alias("mask_outside_box"))
     seen = guards.mask_measures(posed.frames, reading, width, height, threshold, every=True).select(*FRAME, "head_out")
@@ -59,7 +60,7 @@ def driving_rows(px: DataFrame, frames: DataFrame, width: int, height: int, pose
         df = df.join(part, FRAME, "left")
     some = F.col("mask_area") > 0
     filled = {"fragments": F.coalesce("fragments", _empty("double")), "mask_loss": F.coalesce("mask_loss", F.lit(0.0)), "limbs_out": F.coalesce("limbs_out", _empty("string"))}
-    return df.withColumns(filled).withColumn("head_out", F.when(some, F.col("head_out")).otherwise(_empty("string"))).select("clip", *ROW)
+    return settled(df.withColumns(filled).withColumn("head_out", F.when(some, F.col("head_out")).otherwise(_empty("string"))).select("clip", *ROW))
 
 
 def driving_checks(rows: DataFrame, posed: bool, least: float = 0.15, most_outside: float = 0.10, sides: int = 2, most_leak: float = 0.03) -> DataFrame:

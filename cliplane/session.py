@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,6 +21,28 @@ def session(master: str = "local[*]", partitions: int = 8, **more: str) -> Spark
     return SparkSession.builder.master(master).config(map=SETTINGS | {"spark.sql.shuffle.partitions": str(partitions)} | more).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors share; with a local master a temporary one if unset."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = sc._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="cliplane-")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder: it is computed once, and lost executors don't take it along."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> str:
     """Send this package to the executors of a cluster on which it isn't installed; returns the archive's path."""
     here = os.path.dirname(os.path.abspath(__file__))

@@ -85,6 +85,15 @@ def figure_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("clip"), frame.alias("frame")).select("clip", "frame", body.alias("body"))
 
 
+def picture_px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip, frame, x, y, r, g, b (whole levels) of a picture of 6 x 5 for each event of a user."""
+    e = table(spark, sf_dir, "events")
+    frame = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    line = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    px = e.select(F.col("user_id").alias("clip"), frame.alias("frame"), "event_id").select("clip", "frame", "event_id", line(6).alias("x")).select("clip", "frame", "event_id", "x", line(5).alias("y"))
+    return px.selectExpr("clip", "frame", "x", "y", "(event_id * 7 + x * 31 + y * y * 17) % 256 AS r", "(event_id * 5 + x * x * 23 + y * 11) % 256 AS g", "(event_id + x * y * 41) % 256 AS b")
+
+
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip, frame, detection, track, score, overlap: detections of a frame by falling score, and their overlap with three tracks."""
     e = table(spark, sf_dir, "events").selectExpr("user_id % 10 AS clip", "event_id % 50 AS frame", "event_id", "value / 490 AS score", "explode(array(0L, 1L, 2L)) AS track")
@@ -130,6 +139,8 @@ KP_SQL = """kp AS (
   SELECT clip, frame, j, (0.5e0 + e[3 * j + 1]::DOUBLE) * 1280 AS x, (0.5e0 + e[3 * j + 2]::DOUBLE) * 720 AS y, 0.5e0 + 2 * e[3 * j + 3]::DOUBLE AS c
   FROM (SELECT label::BIGINT AS clip, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::BIGINT AS frame, embedding AS e FROM embeddings), range(20) t(j))"""
 MASK_SQL = "px AS (SELECT DISTINCT l_suppkey % 4 AS clip, l_orderkey % 64 AS frame, l_partkey % 48 AS x, l_quantity::BIGINT - 1 AS y FROM lineitem)"
+PICTURE_SQL = """pic AS (SELECT clip, frame, x, y, (event_id * 7 + x * 31 + y * y * 17) % 256 AS r, (event_id * 5 + x * x * 23 + y * 11) % 256 AS g, (event_id + x * y * 41) % 256 AS b
+  FROM (SELECT user_id AS clip, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS frame, event_id FROM events), range(6) a(x), range(5) c(y))"""
 COARSE_SQL = f"""{MASK_SQL}, one AS (SELECT * FROM px WHERE (clip + frame) % 5 > 0 AND (x < 8 AND y < 8 OR (clip + frame) % 3 = 0 AND x BETWEEN 20 AND 25 AND y BETWEEN 30 AND 39)),
 blk AS (SELECT DISTINCT clip, frame, x // 2 AS x, y // 2 AS y FROM one), big AS (SELECT blk.clip, blk.frame, blk.x * 2 + i AS x, blk.y * 2 + k AS y FROM blk, range(2) a(i), range(2) b(k))"""
 #: Recursive: every block's smallest connected one (corners connect), and whether a frame has a detached piece of a twentieth of its largest

@@ -102,20 +102,27 @@ def test_references(spark):
 
 
 def test_with_a_pose_a_region_the_grid_loses_is_found(spark):
-    masks = [person(hole=f in (8, 9)) for f in range(N)]
-    rows = dg.driving_rows(px_of(spark, masks), frames_of(spark), W, H, posed(spark), slab=8)
-    found = checks(rows, True)
-    assert found["mask_loss"] == [8, 9]
-    plain = losses.latent_reader(W, H)(np.array(masks))[0]
-    gone = plain[7] & plain[10] & ~plain[8] & ~plain[9] & ~masks[8]
-    loss = {r.frame: r.mask_loss for r in rows.collect()}
-    assert round(loss[8], 6) == round(gone.sum() / masks[7].sum(), 6) and loss[0] == 0.0
-    # to the clip's end: an open run, found with the limb drawn or lost
-    for hidden in ((), range(14, N)):
-        rows = dg.driving_rows(px_of(spark, [person(hole=f >= 14) for f in range(N)]), frames_of(spark), W, H, posed(spark, hidden), slab=8)
-        assert checks(rows, True)["mask_loss"] == list(range(14, N))
-    text = dg.report(rows, dg.driving_checks(rows, True), reference(spark, person(), person()), posed=True).collect()[0]
-    assert not text.passed and "- mask_loss (fail): 6 frame(s), longest run 6: 14-19" in text.report and "not checked" not in text.report
+    """One clip drops a region for two frames; two drop it to the end, with the limb drawn on and with the wrist lost."""
+    closed, ends = [person(hole=f in (8, 9)) for f in range(N)], [person(hole=f >= 14) for f in range(N)]
+    px, frames, clips = px_of(spark, closed), frames_of(spark), posed(spark)
+    lost = posed(spark, range(14, N))
+    for clip, own in ((1, clips), (2, lost)):
+        at = F.lit(clip).cast("long")
+        px, frames = px.unionByName(px_of(spark, ends).withColumn("clip", at)), frames.unionByName(frames_of(spark).withColumn("clip", at))
+        base = posed(spark) if clip == 1 else own
+        clips = dg.Posed(clips.frames.unionByName(base.frames.withColumn("clip", at)), clips.parts.unionByName(base.parts.withColumn("clip", at)))
+    rows = dg.driving_rows(px, frames, W, H, clips, slab=8)
+    found = {}
+    for r in dg.driving_checks(rows, True).where(F.col("check") == "mask_loss").collect():
+        found.setdefault(r.clip, set()).add(r.frame)
+    assert found == {0: {8, 9}, 1: set(range(14, N)), 2: set(range(14, N))}
+    plain = losses.latent_reader(W, H)(np.array(closed))[0]
+    gone = plain[7] & plain[10] & ~plain[8] & ~plain[9] & ~closed[8]
+    loss = {r.frame: r.mask_loss for r in rows.where("clip = 0").collect()}
+    assert round(loss[8], 6) == round(gone.sum() / closed[7].sum(), 6) and loss[0] == 0.0
+    own = rows.where("clip = 0").withColumn("clip", F.lit(0).cast("long"))
+    text = dg.report(own, dg.driving_checks(own, True), reference(spark, person(), person()), posed=True).collect()[0]
+    assert not text.passed and "- mask_loss (fail): 2 frame(s), longest run 2: 8-9" in text.report and "not checked" not in text.report
 
 
 def test_the_record(spark):
