@@ -43,7 +43,8 @@ def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.array(*[F.lit(k) for k in secrets.KINDS])
     one = lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
     links = F.array_join(F.transform("links", lambda x: F.concat(one(x), F.lit(">"), one(x["with"]))), ",")
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(n) for k, n in enumerate(("n_assign", "n_access", "n_hex"))]
+    kinds = F.transform("base", lambda s: s["kind"])
+    count = [F.size(F.filter(kinds, lambda _: _ == k)).cast("long").alias(n) for k, n in enumerate(("n_assign", "n_access", "n_hex"))]  # noqa: B023
     return found.select("doc_id", *count, F.sha2(secrets.listing(F.col("base")), 256).alias("base_sha256"), secrets.listing(F.col("all")).alias("spans"), links.alias("links"))
 
 

@@ -28,14 +28,22 @@ ACCESS = r"AKIA[A-Z0-9]+"
 #: Runs are maximal, so asking for 24 finds the same spans as dropping shorter runs.
 LONG_HEX = r"[0-9a-f]{24,}"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: Patterns of weak parts. Runs are maximal; a secret-looking string has small and capital letters and digits.
+#: Patterns of weak parts. Names of accounts, mail addresses and cloud identifiers; a secret-looking string has small and
+#: capital letters and digits; addresses of services with or without a scheme, and hosts by name or number. Runs are
+#: maximal, and those that can be long are possessive, so a failed match isn't tried again from within.
+_SET = r"""["']?\x20*[:=]\x20*["']?"""
 WEAK_ID = (
-    r"""(?i:client_?id|account_?id|user_?name|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}"""
-    r"""|(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}"""
+    rf"""(?i:client_?id|tenant_?id|account_?id|account_?name|user_?id|user_?name|user|login|e-?mail|access_?key_?id|key_?id){_SET}[A-Za-z0-9_.@-]{{4,}}"""
+    r"""|(?:ASIA|AIDA|AROA|AGPA|ANPA)[A-Z0-9]{12,}"""
+    r"""|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"""
 )
 _RUN = "[A-Za-z0-9+/_-]"
 WEAK_SECRET = f"(?<!{_RUN})(?={_RUN}*[0-9])(?={_RUN}*[a-z])(?={_RUN}*[A-Z]){_RUN}{{32,}}"
-WEAK_ENDPOINT = r"(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp|sftp|ldap)://[A-Za-z0-9._~:@-]{3,}"
+WEAK_ENDPOINT = (
+    r"(?:https?|wss?|postgres|postgresql|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp|sftp|ssh|smtp|ldaps?|s3|jdbc:[a-z]+)://[A-Za-z0-9._~:@/-]{3,}"
+    rf"|(?i:host|host_?name|server|endpoint|domain){_SET}[A-Za-z0-9.-]{{3,}}(?::[0-9]{{1,5}})?"
+    r"|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])"
+)
 #: What ends a scope.
 BLANK_LINE = r"\n[\x20\x09\r]*\n"
 #: Kinds in the order of the report, and the part that each is.
@@ -90,11 +98,13 @@ def parts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     assign = matches(t, ASSIGN, 0, 2, LEAST["assign"])
     access = matches(t, ACCESS, 1, 0, LEAST["access"], t.contains("AKIA"))
     long_hex = matches(t, LONG_HEX, 2, 0, LEAST["hex"], t.rlike("[0-9a-f]{24}"))
-    weak_id = matches(t, WEAK_ID, 3)
     weak_secret = matches(t, WEAK_SECRET, 4, 0, 0, t.rlike(_RUN + "{32}"))
-    endpoint = matches(t, WEAK_ENDPOINT, 5, 0, 0, t.contains("://"))
     base = F.array_sort(F.concat(assign, access, long_hex))
-    df = df.select(*kept, base.alias("base"), F.concat(weak_id, weak_secret, endpoint).alias("__weak"), "__t")
+    df = df.select(*kept, base.alias("base"), weak_secret.alias("__secret"), "__t")
+    # without a secret no other weak part is reported, so none is searched for
+    some = F.exists("base", lambda s: s["kind"] != 1) | (F.size("__secret") > 0)
+    weak_id, endpoint = matches(t, WEAK_ID, 3, likely=some), matches(t, WEAK_ENDPOINT, 5, likely=some)
+    df = df.select(*kept, "base", F.concat(weak_id, "__secret", endpoint).alias("__weak"), "__t")
     # a weak part inside a strong span is no part of its own
     df = df.withColumn("weak", F.filter("__weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))))
     # every link has a secret at one end and something else at the other
