@@ -23,12 +23,9 @@ from cliplane.llm.common import drop, lists, materialise, quoted, scan_text
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
-#: A word joins the lexicon if so many different toxic texts of the sample have it, and so many times the share of clean ones.
-LEARN_ROWS, LEARN_TIMES = 5, 12
-#: In learning, the words of a longer text than this (in bytes) weigh like those of a text of this length.
-TEXT_WEIGHT = 20_000
-#: Most words that are learned: those with the most toxic texts.
-LEARN_WORDS = 20_000
+#: A word joins the lexicon if so many different toxic texts of the sample have it, if so many times the share of toxic
+#: texts' words as of clean ones' are it, and if chance explains that no better than one part in e to this power.
+LEARN_ROWS, LEARN_TIMES, LEARN_GAIN = 5, 12, 5.0
 #: Words of a second-person pronoun or a lexicon word so close count as aimed at somebody.
 NEAR = 5
 
@@ -119,16 +116,26 @@ def _words(text: pa.Array) -> list[pa.Array]:
 
 
 def learn(sample: DataFrame) -> np.ndarray:
-    """Words of toxic texts that clean ones hardly have (sample: text, toxic); equal texts count once."""
+    """Words of toxic texts that clean ones hardly have (sample: text, toxic); equal texts count once, and a word once a text.
+
+    A text of many words gives chance many words to meet, so shares are of all (text, word) pairs of a class, not of its
+    texts. The gain is the log likelihood ratio of the word's own share of toxic texts against the share of all pairs."""
     rows = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    rows = rows.withColumn("weight", F.least(F.lit(1.0), TEXT_WEIGHT / F.greatest(F.octet_length("text"), F.lit(1))))
-    words = scan_text(rows, lambda: _words, [T.StructField("words", T.ArrayType(T.LongType()))], keep=["toxic", "weight"])
-    bad, good = (F.round(F.sum(F.when(test, F.col("weight")).otherwise(0.0)), 6) for test in (F.col("toxic") > 0, F.col("toxic") <= 0))
-    total = rows.agg(bad.alias("bad"), good.alias("good")).first()
-    per = words.select("toxic", "weight", F.explode("words").alias("word")).groupBy("word").agg(bad.alias("bad"), good.alias("good"))
-    times = (F.col("bad") / max(1, total["bad"] or 0)) / ((F.col("good") + 0.5) / max(1, total["good"] or 0))
-    found = per.where((F.col("bad") >= LEARN_ROWS) & (times >= LEARN_TIMES)).orderBy(F.desc("bad"), "word").limit(LEARN_WORDS)
-    return np.sort(np.array([r["word"] for r in found.collect()], np.int64).view(np.uint64))
+    words = scan_text(rows, lambda: _words, [T.StructField("words", T.ArrayType(T.LongType()))], keep=["toxic"])
+    words = materialise(words.select((F.col("toxic") > 0).cast("long").alias("is_bad"), F.explode("words").alias("word")), "toxicity-words")
+    total = words.agg(F.sum("is_bad").alias("bad"), F.count("*").alias("every")).first()
+    bad, good = total["bad"] or 0, total["every"] - (total["bad"] or 0)
+    if not bad or not good:
+        drop(words)
+        return np.zeros(0, np.uint64)
+    per = words.groupBy("word").agg(F.sum("is_bad").alias("bad"), F.count("*").alias("every"))
+    b, g = F.col("bad"), F.col("every") - F.col("bad")
+    times = (b / bad) / ((g + 0.5) / good)
+    gain = b * F.log(b / F.col("every") * ((bad + good) / bad)) + F.when(g > 0, g * F.log(g / F.col("every") * ((bad + good) / good))).otherwise(0.0)
+    found = per.where((b >= LEARN_ROWS) & (times >= LEARN_TIMES) & (gain >= LEARN_GAIN)).select("word")
+    got = np.sort(np.array([r["word"] for r in found.collect()], np.int64).view(np.uint64))  # of the bounded sample's words
+    drop(words)
+    return got
 
 
 class Forest:
