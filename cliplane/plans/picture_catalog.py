@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cliplane.operators import pictures
 from cliplane.operators.media import taps
 from cliplane.plans.catalog import query
+from cliplane.session import shared_dir
+from cliplane.sources import frame_files
 from cliplane.sources import views as v
 
 IMAGE = (6, 5)
@@ -124,3 +128,24 @@ def warp_linear(spark, d):
 @query(f"WITH {v.PICTURE_SQL}, {_warp_sql(_MATRIX, (7, 5), True)}")
 def warp_cubic(spark, d):
     return _rounded(pictures.warp(v.picture_px(spark, d), _crops(spark, d), (7, 5), True))
+
+
+@query(f"WITH {v.PICTURE_SQL} SELECT clip, frame, count(*) AS pixels, sum(r * (x + 1) * (y + 1))::BIGINT AS r, sum(g * (x + 2) * (y + 1))::BIGINT AS g, sum(b * (x + 1) * (y + 3))::BIGINT AS b FROM pic GROUP BY 1, 2")
+def frame_files_round_trip(spark, d):
+    """Pictures packed, written as frame sequences to the shared folder, read back in ranges of frames and unpacked."""
+    path = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    frame_files.write(frame_files.packed(v.picture_px(spark, d), *IMAGE), path, 32)
+    px = frame_files.unpacked(spark.read.format("frame_sequence").option("range_frames", "40").load(path))
+    sums = {"r": F.sum(F.col("r") * (F.col("x") + 1) * (F.col("y") + 1)), "g": F.sum(F.col("g") * (F.col("x") + 2) * (F.col("y") + 1)), "b": F.sum(F.col("b") * (F.col("x") + 1) * (F.col("y") + 3))}
+    return px.groupBy("clip", "frame").agg(F.count("*").alias("pixels"), *[s.alias(c) for c, s in sums.items()])
+
+
+@query(f"""WITH {v.PICTURE_SQL}, n AS (SELECT clip, max(frame) + 1 AS n FROM pic GROUP BY 1), g AS (SELECT clip, p AS position, CASE WHEN p % greatest(1, 2 * (n - 1)) < n THEN p % greatest(1, 2 * (n - 1)) ELSE greatest(1, 2 * (n - 1)) - p % greatest(1, 2 * (n - 1)) END AS frame FROM n, range(100) t(p))
+SELECT clip, position, frame, sum(r * (x + 1) + g * (y + 1) + b)::BIGINT AS level FROM g JOIN pic USING (clip, frame) GROUP BY 1, 2, 3""")
+def frames_ping_pong(spark, d):
+    """Every clip's pictures at a hundred positions, there and back."""
+    frames = frame_files.extended(frame_files.packed(v.picture_px(spark, d), *IMAGE), 100, True)
+    whole = frames.select("clip", F.struct("position", "frame").alias("frame"), "width", "height", "pixels")
+    px = frame_files.unpacked(whole)
+    level = F.sum(F.col("r") * (F.col("x") + 1) + F.col("g") * (F.col("y") + 1) + F.col("b")).alias("level")
+    return px.groupBy("clip", F.col("frame.position").alias("position"), F.col("frame.frame").alias("frame")).agg(level)
