@@ -7,8 +7,8 @@ not a probability).
 
 The model is fitted on about LANG_ROWS documents a language: those whose hash of the id lies below a cut that follows from
 the number of different ids of the language, so no task ranks a language's rows. Their whole texts are counted on the
-executors, a text longer than TEXT_WEIGHT bytes with the weight of one of that length; the driver gets counts by language
-and n-gram bucket. Prediction uses the text alone and covers every whole text.
+executors; what counts is each n-gram's share of its text, so every text weighs alike whatever its length (as TEXT_GRAMS
+n-grams). The driver gets sums by language and n-gram bucket. Prediction uses the text alone and covers every whole text.
 
 Edge cases: null text, or text without a letter (Unicode categories L*), is und with score 0. Of training rows with one id
 the smallest text counts. Without training rows everything is und. Repeated rows are labelled each by itself. Input columns
@@ -30,7 +30,8 @@ from cliplane.llm import tokens as tk
 from cliplane.llm.common import PIECE_BYTES, lists, pieces, quoted, scan_text
 
 LANG_ROWS = 400
-TEXT_WEIGHT = 30_000
+#: N-grams that a training text counts as.
+TEXT_GRAMS = 3000
 PENALTY = 6.0
 BUCKETS = 1 << 15
 NGRAMS = (2, 3, 4)
@@ -227,11 +228,11 @@ def fold(doc_id: str = "doc_id"):
 
 
 def tally(text: pa.Array) -> np.ndarray:
-    """BUCKETS + scripts counts of one text; a longer one than TEXT_WEIGHT bytes weighs like one of that length."""
+    """BUCKETS + scripts of one text: the shares of its n-grams and of its words, times TEXT_GRAMS."""
     words = Words(text)
     b, keep = words.grams()
-    count = np.concatenate([np.bincount(b[keep], minlength=BUCKETS), np.bincount(words.script, minlength=len(SCRIPTS))])
-    return count * min(1.0, TEXT_WEIGHT / max(1, len(words.raw)))
+    grams, used = np.bincount(b[keep], minlength=BUCKETS), np.bincount(words.script, minlength=len(SCRIPTS))
+    return np.concatenate([n * (TEXT_GRAMS / max(1, n.sum())) for n in (grams, used)])
 
 
 def train(docs: DataFrame, lang_rows: int = LANG_ROWS) -> Model:
