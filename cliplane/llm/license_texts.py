@@ -142,5 +142,22 @@ this file you can obtain one at <<var;match="https?( www)? mozilla org mpl 2 0">
     "cc-notice": _VERB + """ under <<var;match="a|the|">> <<var;match="cc|creative commons">>
 <<var;match="by|by sa|by nd|by nc|by nc sa|by nc nd|attribution|attribution sharealike">>
 <<beginOptional>><<var;match="[1-4]">> 0<<endOptional>>""",
-    "spdx-tag": """spdx license identifier <<var;match=".{1,120}">>""",
 }
+
+#: Identifiers of licenses in tags, as words. `only`, `or later` and a plus sign may follow where versions do.
+IDENTIFIERS = (
+    "mit", "mit 0", "apache 2 0", "apache 1 1", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "0bsd", "isc", "zlib", "bsl 1 0",
+    "gpl 1 0", "gpl 2 0", "gpl 3 0", "lgpl 2 0", "lgpl 2 1", "lgpl 3 0", "agpl 1 0", "agpl 3 0", "mpl 1 1", "mpl 2 0", "epl 1 0",
+    "epl 2 0", "eupl 1 2", "cddl 1 0", "cc0 1 0", "cc by 3 0", "cc by 4 0", "cc by sa 3 0", "cc by sa 4 0", "cc by nc 4 0",
+    "artistic 2 0", "ofl 1 1", "unlicense", "wtfpl", "python 2 0", "psf 2 0", "postgresql", "ncsa", "x11", "upl 1 0", "blueoak 1 0 0",
+)
+
+
+def _tag(identifier: str) -> str:
+    """A tag that names this license alone, or behind another one in an expression."""
+    later = '<<var;match="only|or later|">>' if "gpl" in identifier else ""
+    other = f"""<<beginOptional>><<var;match="{'|'.join(IDENTIFIERS)}">> <<var;match="only|or later|">> <<var;match="or|and">><<endOptional>>"""
+    return f"spdx license identifier {other} {identifier} {later}"
+
+
+TEMPLATES |= {"spdx-" + name.replace(" ", "-"): _tag(name) for name in IDENTIFIERS}

@@ -161,6 +161,17 @@ def test_license_endings_count():
     assert not scan(b"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: you pay me")[1]
 
 
+def test_license_tags_name_their_licenses():
+    def labels(text):
+        return {label: (a, b) for a, b, label, _ in licenses.Scanner().scan(text.encode())[1]}
+
+    two = labels("SPDX-License-Identifier: MIT some words SPDX-License-Identifier: GPL-2.0-or-later")
+    assert two == {"spdx-mit": (0, 4), "spdx-gpl-2-0": (6, 14)}
+    both = labels("// SPDX-License-Identifier: (MIT OR Apache-2.0) */ int x;")
+    assert both == {"spdx-mit": (0, 4), "spdx-apache-2-0": (0, 8)}
+    assert labels("SPDX-License-Identifier: nothing known") == {}
+
+
 def test_license_columns():
     text = ["Released under the MIT License. mit-license", None, "", "licensed under the apache license version 2.0", "general public license"]
     c = [x.to_pylist() for x in licenses.Scanner().columns(pa.array(text, pa.string()))]
