@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cliplane.llm import decontaminate, hilbert, mixing, simhash, toxicity
-from cliplane.llm.common import quoted, shared_dir, table
+from cliplane.llm.common import drop, quoted, shared_dir, table
 
 
 #: Columns that the operators read; a stage keeps the others out of the way, since their names may be those of an operator's results.
@@ -80,10 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each one's rows are written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to documents; each one's rows are written as Parquet and read again, and go once the next ones are there."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last is not None:
+            drop(last)
+        docs = last = spark.read.parquet(path)
     return docs
