@@ -7,8 +7,9 @@ budget's edge gives the words that are left. Keys come from a hash of the id and
 The quality weight of a document is a product of four factors: usual length of its words, enough words, few repeated words,
 few signs. It lies between 0.02 and 1.
 
-The prefix sums need no single-task sort of a source: keys are cut into ranges of about RANGE_ROWS rows, sizes are summed by
-(source, range), these sums are added up in blocks of BLOCK ranges and then over blocks, and rows are summed within a range
+The prefix sums need no single-task sort of a source: keys are cut into ranges of about RANGE_ROWS rows. The cuts are quantiles
+of the keys: a key is exponential with its document's quality as rate, so its distribution in a source follows from the
+numbers of documents by (rounded) quality. Sizes are summed by (source, range), these sums are added up in blocks of BLOCK ranges and then over blocks, and rows are summed within a range
 only. Where a single key has more than HOT rows (one row repeated over and over; such rows have equal sizes and may change
 places), the rows of that key are dealt by their row number to parts of their own.
 
@@ -31,6 +32,8 @@ SEED = "mix"
 #: Rows of a source that one key range should hold, and ranges of a block.
 RANGE_ROWS = 2_000
 BLOCK = 4096
+#: Sources whose grades (under 1 KB each) are broadcast; more are joined by a shuffle.
+MOST_SENT = 8192
 #: A range with more rows is searched for keys that more than RANGE_ROWS rows share.
 HOT = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,6 +76,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return df.select("source", "source_size", F.least("__cap", F.col("__water") * F.col("__w")).alias("target"))
 
 
+def _ranges(keyed: DataFrame) -> DataFrame:
+    """keyed (source, __quality, __key) with __range: the key's place among ranges of about RANGE_ROWS rows of its source."""
+    grade = F.round(F.log("__quality") * 8).alias("__grade")
+    grades = keyed.groupBy("source", grade).agg(F.count("*").alias("n"), F.avg("__quality").alias("q"))
+    # at most 33 grades a source
+    grades = grades.groupBy(F.col("source").alias("r_source")).agg(F.collect_list(F.struct("n", "q")).alias("grades"), F.sum("n").alias("rows"))
+    grades = materialise(grades, "mix-grades")
+    if grades.count() <= MOST_SENT:
+        grades = F.broadcast(grades)
+    rows = keyed.join(grades, F.col("source").eqNullSafe(F.col("r_source")))
+    below = F.aggregate("grades", F.lit(0.0), lambda total, g: total - g["n"] * F.expm1(-g["q"] * F.col("__key"))) / F.col("rows")
+    ranges = F.ceil(F.col("rows") / RANGE_ROWS)
+    return rows.withColumn("__range", F.least(ranges - 1, F.floor(ranges * below)).cast("long")).drop("r_source", "grades", "rows")
+
+
 def _parts(keyed: DataFrame, hot: int) -> DataFrame:
     """keyed (source, __range, __key, __row) with __part: an array by which the rows of a range can be summed in the order of keys."""
     none = F.array(F.lit(0), F.lit(0), F.lit(0)).cast("array<long>")
@@ -113,11 +131,9 @@ def mix(
     )
     narrow = materialise(narrow, "mix-rows")  # the text is read once
     sizes = narrow.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("__rows"))
-    most = sizes.agg(F.max("__rows")).first()[0] or 0
-    ranges = max(128, -(-most // RANGE_ROWS))
-    keyed = narrow.withColumn("__key", -F.log("__u") / quality(*[F.col(c) for c in ("size", "__chars", "__different", "__signs")]))
-    keyed = keyed.withColumn("__range", F.least(F.lit(ranges - 1), F.floor(ranges * (1 - F.exp(-F.col("__key") * 0.25)))).cast("long"))
-    keyed = _parts(keyed, hot)
+    graded = narrow.withColumn("__quality", quality(*[F.col(c) for c in ("size", "__chars", "__different", "__signs")]))
+    keyed = graded.withColumn("__key", -F.log("__u") / F.col("__quality"))
+    keyed = _parts(_ranges(keyed), hot)
     place = ["source", "__range", "__part"]
     per = keyed.groupBy(place).agg(F.sum("size").alias("__sum")).withColumn("__block", F.floor(F.col("__range") / BLOCK))
     first = Window.partitionBy("source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
