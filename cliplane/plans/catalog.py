@@ -425,7 +425,15 @@ def mask_suppress_shrunk(spark, d):
     return masks.suppress_shrunk(v.mask_px(spark, d), 0.9, F.col("clip") * 3 % 4)
 
 
-@query()
+def labelled(pixels: str, corners: bool) -> str:
+    """RECURSIVE parts of a query that number each pixel's piece by its first pixel in scan order: lb (clip, frame, x, y, root)."""
+    beside = "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1" if corners else "abs(a.x - b.x) + abs(a.y - b.y) <= 1"
+    return f"""ed AS (SELECT a.clip, a.frame, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM {pixels} a JOIN {pixels} b ON a.clip = b.clip AND a.frame = b.frame AND {beside}),
+rc AS (SELECT clip, frame, x, y, y * 1000 + x AS root FROM {pixels} UNION SELECT ed.clip, ed.frame, ed.bx, ed.by, rc.root FROM rc JOIN ed ON ed.clip = rc.clip AND ed.frame = rc.frame AND ed.ax = rc.x AND ed.ay = rc.y AND rc.root < ed.by * 1000 + ed.bx),
+lb AS (SELECT clip, frame, x, y, min(root) AS root FROM rc GROUP BY 1, 2, 3, 4), pc AS (SELECT clip, frame, root, row_number() OVER (PARTITION BY clip, frame ORDER BY count(*) DESC, root) - 1 AS piece, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM lb GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH RECURSIVE {v.MASK_SQL}, {labelled('px', False)} SELECT clip, frame, piece, area, x0, y0, x1, y1 FROM pc")
 def mask_pieces(spark, d):
     return masks.pieces(v.mask_px(spark, d))
 

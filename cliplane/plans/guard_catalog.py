@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cliplane.operators import boxes as bx
 from cliplane.operators import draw, guards, masks, pose, sequence
-from cliplane.plans.catalog import _FLAGS, _GROWN, _dist, _measures, _pts, query, rounded
+from cliplane.plans.catalog import _FLAGS, _GROWN, _dist, _measures, _pts, labelled, query, rounded
 from cliplane.sources import views as v
 
 W, H, MW, MH = v.WIDTH, v.HEIGHT, 48, 50
@@ -148,12 +148,21 @@ def mask_convention(spark, d):
     return masks.convention(coloured, MW, MH, {"animation": "black", "replacement": "white"})
 
 
-@query()
+#: Holes of one or two pixels, which is all that a hundredth of a mask of under 300 pixels can be.
+_HOLES = f"""ar AS (SELECT clip, frame, count(*) AS n FROM px GROUP BY 1, 2), bg AS (SELECT clip, frame, x, y FROM (SELECT clip, frame, a.x, c.y FROM ar, range({MW}) a(x), range({MH}) c(y)) ANTI JOIN px USING (clip, frame, x, y)),
+st(dx, dy) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)), nb AS (SELECT bg.clip, bg.frame, bg.x, bg.y, count(px.x) AS on_ FROM bg CROSS JOIN st LEFT JOIN px ON px.clip = bg.clip AND px.frame = bg.frame AND px.x = bg.x + dx AND px.y = bg.y + dy
+  WHERE bg.x BETWEEN 1 AND {MW - 2} AND bg.y BETWEEN 1 AND {MH - 2} GROUP BY 1, 2, 3, 4), h1 AS (SELECT * FROM nb WHERE on_ = 4),
+h2 AS (SELECT a.* FROM nb a JOIN nb b ON a.clip = b.clip AND a.frame = b.frame AND abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE a.on_ = 3 AND b.on_ = 3),
+fp AS (SELECT clip, frame, x, y FROM px UNION SELECT clip, frame, x, y FROM h1 JOIN ar USING (clip, frame) WHERE 1 <= 0.01e0 * n UNION SELECT clip, frame, x, y FROM h2 JOIN ar USING (clip, frame) WHERE 2 <= 0.01e0 * n)"""
+
+
+@query(f"WITH RECURSIVE {v.MASK_SQL}, {_HOLES}, {labelled('fp', True)} SELECT p.clip, p.frame, sum(p.area)::BIGINT AS area FROM pc p JOIN pc m ON m.clip = p.clip AND m.frame = p.frame AND m.piece = 0 WHERE p.area >= 0.2e0 * m.area GROUP BY 1, 2")
 def mask_clean(spark, d):
     return masks.clean(v.mask_px(spark, d), MW, MH, 0.01, 0.2).groupBy("clip", "frame").agg(F.count("*").alias("area"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {v.MASK_SQL}, {labelled('px', True)} SELECT p.clip, p.frame, round(p.area / m.area::DOUBLE, 4) AS share FROM pc p JOIN pc m ON m.clip = p.clip AND m.frame = p.frame AND m.piece = 0
+WHERE p.piece > 0 AND round(p.area / m.area::DOUBLE, 4) >= 0.01e0 AND NOT (p.x0 = 0 AND m.x0 = 0 OR p.y0 = 0 AND m.y0 = 0 OR p.x1 = {MW} AND m.x1 = {MW} OR p.y1 = {MH} AND m.y1 = {MH})""")
 def mask_fragments(spark, d):
     return masks.fragments(v.mask_px(spark, d), MW, MH)
 

@@ -97,7 +97,13 @@ def driving_kept(spark, d):
     return rounded(driving.latent_kept(v.mask_px(spark, d)), "latent_kept")
 
 
-@query()
+#: The figure's half-size pixels that are whole, and the two by two cells of 8 x 6 of those, which are 16 x 12 pixels each.
+_FIGURE = """fr AS (SELECT user_id AS clip, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS frame FROM events),
+fg AS (SELECT clip, frame, x, y FROM fr, range(22) a(x), range(20) c(y) WHERE x BETWEEN 2 AND 9 OR x >= 10 AND y BETWEEN 2 AND 13 AND (frame + clip) % 13 NOT IN (5, 6)),
+hf AS (SELECT clip, frame, x // 2 AS x, y // 2 AS y FROM fg GROUP BY 1, 2, 3, 4 HAVING count(*) = 4), cl AS (SELECT clip, frame, x // 8 AS i, y // 6 AS k FROM hf GROUP BY 1, 2, 3, 4 HAVING count(*) >= 24)"""
+
+
+@query(f"WITH {_FIGURE} SELECT clip, frame, 192 * count(*) AS pixels FROM cl GROUP BY 1, 2")
 def driving_reading(spark, d):
     cells = masks.cells(v.figure_px(spark, d), 32, 24)
     return driving.latent_reading(cells, 32, 24).groupBy("clip", "frame").agg(F.count("*").alias("pixels"))

@@ -266,16 +266,20 @@ def mask_placed(spark, d):
     return masks.placed(v.mask_px(spark, d), (MW, MH), (32, 17)).groupBy("clip", "frame").agg(F.count("*").alias("pixels"), F.sum("x").alias("x"), F.sum("y").alias("y"))
 
 
-@query(_PUT + """, o AS (SELECT clip, count(*) AS own, count(*) FILTER (WHERE y >= 12 AND y < 38) AS kept FROM px WHERE frame = 0 GROUP BY 1), p AS (SELECT * FROM pu WHERE frame = 0), t AS (SELECT * FROM px WHERE frame = 1 AND x < 32 AND y < 17),
+_FIT = _PUT + """, o AS (SELECT clip, count(*) AS own, count(*) FILTER (WHERE y >= 12 AND y < 38) AS kept FROM px WHERE frame = 0 GROUP BY 1), p AS (SELECT * FROM pu WHERE frame = 0), t AS (SELECT * FROM px WHERE frame = 1 AND x < 32 AND y < 17),
 s AS (SELECT clip, coalesce((SELECT count(*) FROM p WHERE p.clip = o.clip), 0) AS put, (SELECT max(y) - min(y) + 1 FROM p WHERE p.clip = o.clip) AS ph, coalesce((SELECT count(*) FROM t WHERE t.clip = o.clip), 0) AS oth, (SELECT max(y) - min(y) + 1 FROM t WHERE t.clip = o.clip) AS th, coalesce((SELECT count(*) FROM p JOIN t USING (clip, x, y) WHERE p.clip = o.clip), 0) AS com FROM o),
-f AS (SELECT *, CASE WHEN put > 0 AND oth > 0 THEN com::DOUBLE / (put + oth - com) END AS iou FROM s JOIN o USING (clip)) SELECT clip, round(own / 2400e0, 6) AS area, round(1 - kept / own::DOUBLE, 6) AS cropped, round(iou, 6) AS iou, round(ph / th::DOUBLE, 6) AS scale, CASE WHEN iou < 0.4 THEN 'reference_misaligned' ELSE '' END AS flags FROM f""")
+f AS (SELECT *, CASE WHEN put > 0 AND oth > 0 THEN com::DOUBLE / (put + oth - com) END AS iou FROM s JOIN o USING (clip))"""
+
+
+@query(_FIT + """ SELECT clip, round(own / 2400e0, 6) AS area, round(1 - kept / own::DOUBLE, 6) AS cropped, round(iou, 6) AS iou, round(ph / th::DOUBLE, 6) AS scale, CASE WHEN iou < 0.4 THEN 'reference_misaligned' ELSE '' END AS flags FROM f""")
 def reference_fit(spark, d):
     px = v.mask_px(spark, d)
     fit = guards.reference_fit(px.where("frame = 0"), (MW, MH), px.where("frame = 1 AND x < 32 AND y < 17"), (32, 17))
     return rounded(fit.withColumn("flags", F.array_join("flags", ",")), "area", "cropped", "iou", "scale")
 
 
-@query()
+@query(_FIT + """ SELECT clip, 'reference image: area ' || format('{:.3f}', own / 2400e0) || ', cropped ' || format('{:.3f}', 1 - kept / own::DOUBLE) || ', IoU with mask frame 0 ' || coalesce(format('{:.3f}', iou), 'n/a')
+|| ', scale vs mask frame 0 ' || coalesce(format('{:.3f}', ph / th::DOUBLE), 'n/a') || CASE WHEN iou < 0.4 THEN chr(10) || '- reference_misaligned (warning)' ELSE '' END AS report FROM f""")
 def reference_report(spark, d):
     px = v.mask_px(spark, d)
     return guards.reference_line(guards.reference_fit(px.where("frame = 0"), (MW, MH), px.where("frame = 1 AND x < 32 AND y < 17"), (32, 17)), set())
