@@ -270,3 +270,35 @@ def test_queries_equal_their_sql(spark, name):
     want = sorted(found.fetchall(), key=repr)
     got = queries.queries()[name](spark, "/root/testdata/sf0.001").select(*names)
     assert sorted(map(tuple, got.collect()), key=repr) == want and want
+
+
+# ---------------------------------------------------------------- mixing and sharding
+
+
+def test_key_ranges_are_even_with_many_poor_documents(spark, monkeypatch):
+    from cliplane.llm import mixing
+
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 200)
+    rng = np.random.default_rng(1)
+    q = np.where(rng.random(20_000) < 0.1, 0.02, rng.uniform(0.1, 1, 20_000))
+    rows = spark.createDataFrame([("a" if i % 3 else None, float(q[i]), float(-np.log(rng.random()) / q[i])) for i in range(len(q))], "source string, __quality double, __key double")
+    ranged = mixing._ranges(rows)
+    sizes = [r["count"] for r in ranged.groupBy("source", "__range").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 300 and len(sizes) == 67 + 34
+    edges = ranged.groupBy("source", "__range").agg(F.min("__key").alias("low"), F.max("__key").alias("high")).orderBy("source", "__range").collect()
+    for a, b in zip(edges, edges[1:]):
+        assert a.source != b.source or a.high <= b.low  # ranges follow the order of keys
+
+
+def test_shards_along_the_curve_prune_filters_on_several_dimensions(spark):
+    from cliplane.llm import hilbert
+
+    rng = random.Random(3)
+    rows = [(i, "w" * rng.randint(1, 3000), rng.choice(["en", "fr", "de", "es"]), f"src{rng.randint(0, 15)}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    found = hilbert.shard(docs, keep=["doc_id", "lang", "source"]).select("doc_id", "lang", "source", "size", "shard")
+    found = [r.asDict() for r in found.collect()]
+    touched = lambda test: len({r["shard"] for r in found if test(r)})
+    filters = {"lang": lambda r: r["lang"] == "fr", "source": lambda r: r["source"] == "src3", "size": lambda r: r["size"] < 200, "doc_id": lambda r: r["doc_id"] < 400}
+    shards = {k: touched(f) for k, f in filters.items()}
+    assert all(n <= 18 for n in shards.values()) and sum(shards.values()) <= 64, shards  # in random order each filter meets all 24
