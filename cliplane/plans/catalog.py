@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from cliplane.functions import columns as fn
 from cliplane.operators import boxes as bx
 from cliplane.operators import colour, guards, masks, media, pose, sequence
+from cliplane.session import shared_dir
 from cliplane.sources import views as v
-from cliplane.streaming import twin
+from cliplane.streaming import ordered, twin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -597,3 +599,17 @@ def closest_conditioning(spark, d):
 @query(_IOU_SQL + " SELECT clip, count(*) AS flagged FROM iou WHERE v < 0.3 GROUP BY clip")
 def stream_subject_switch(spark, d):
     return twin.subject_switch(spark, f"{d}/events.parquet")
+
+
+@query(_IOU_SQL + " SELECT clip, count(*) AS flagged FROM iou WHERE v < 0.3 GROUP BY clip")
+def stream_subject_switch_ordered(spark, d):
+    """The same by event time: the events come in files that mix all times, and a closing event lets the watermark pass them."""
+    events = v.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    span = events.agg((F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts"))).alias("s"), F.max("ts").alias("last")).first()
+    folder = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    events.repartition(3, F.xxhash64("event_id")).write.parquet(folder)
+    closing = events.limit(1).select(*[F.lit(-1).cast("long").alias(c) if c in ("user_id", "event_id") else F.col(c) for c in events.columns])
+    ahead = F.timestamp_seconds(F.unix_seconds(F.lit(span["last"])) + 2 * span["s"] + 60)
+    closing.withColumn("ts", ahead).coalesce(1).write.mode("append").parquet(folder)
+    found, _ = ordered.judged(spark, folder, events.schema, f"{span['s'] + 1} seconds", files=2)
+    return found.where("switched").groupBy("clip").agg(F.count("*").alias("flagged"))
