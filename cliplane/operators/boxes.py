@@ -73,6 +73,41 @@ def parse(text: Column) -> Column:
     return F.when((box[2] > box[0]) & (box[3] > box[1]), box)
 
 
+def supplied(asks: DataFrame) -> DataFrame:
+    """clip, frame, x1, y1, x2, y2, score (1) of boxes that a user gives: asks is clip, text, n (frames).
+
+    The text is JSON: one box, used on all frames, or a list of one box a frame; a box is four numbers (more are ignored) or a record
+    of startX, startY, endX, endY. Anything else, boxes without an inside, and another number of boxes than frames are errors."""
+    record = "struct<startX:double,startY:double,endX:double,endY:double>"
+    strict = {"mode": "PERMISSIVE"}
+    one, many = F.from_json("text", "array<double>", strict), F.from_json("text", "array<array<double>>", strict)
+    single, records = F.from_json("text", record, strict), F.from_json("text", f"array<{record}>", strict)
+    corners = lambda b: F.when(F.size(b) >= 4, F.slice(b, 1, 4))
+    fields = lambda b: F.when(b["startX"].isNotNull() & b["startY"].isNotNull() & b["endX"].isNotNull() & b["endY"].isNotNull(), F.array(F.least(b["startX"], b["endX"]), F.least(b["startY"], b["endY"]), F.greatest(b["startX"], b["endX"]), F.greatest(b["startY"], b["endY"])))
+    start = F.substring(F.regexp_replace("text", r"\s", ""), 1, 2)
+    boxes = (
+        F.when(F.substring(start, 1, 1) == "{", F.array(fields(single)))
+        .when(start == "[{", F.transform(records, fields))
+        .when(start == "[[", F.transform(many, corners))
+        .when(F.substring(start, 1, 1) == "[", F.array(corners(one)))
+    )
+    df = asks.select("clip", "n", "text", boxes.alias("boxes"))
+    whole = F.forall("boxes", lambda b: b.isNotNull() & (F.size(F.array_compact(b)) == 4))
+    inside = F.forall("boxes", lambda b: (b[2] > b[0]) & (b[3] > b[1]))
+    told = lambda words, *cols: F.raise_error(F.format_string(words, *cols)).cast("boolean")
+    clip = F.col("clip").cast("string")
+    fine = (
+        F.when(F.col("boxes").isNull() | (F.size("boxes") == 0) | ~F.coalesce(whole, F.lit(False)), told("clip %s: no box or list of boxes: %s", clip, F.substring("text", 1, 80)))
+        .when(~inside, told("clip %s: a box ends before it begins: %s", clip, F.substring("text", 1, 80)))
+        .when((F.size("boxes") > 1) & (F.size("boxes") != F.col("n")), told("clip %s: %d boxes for %d frames", clip, F.size("boxes"), F.col("n").cast("int")))
+        .otherwise(True)
+    )
+    frame = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("frame")
+    df = df.where(fine).where("n > 0").select("clip", "boxes", frame)
+    box = F.element_at("boxes", F.when(F.size("boxes") == 1, 1).otherwise(F.col("frame") + 1).cast("int"))
+    return df.select("clip", "frame", *[box[k].alias(c) for k, c in enumerate(CORNERS)], F.lit(1.0).alias("score"))
+
+
 def in_frame(x: Column, y: Column, width: int, height: int) -> Column:
     return (x >= 0) & (x < width) & (y >= 0) & (y < height)
 

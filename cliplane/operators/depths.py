@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplane.operators.masks import FRAME, PIXEL, regions
@@ -110,6 +110,19 @@ def region_points(regions_px: DataFrame, width: int, height: int, count: int = P
     return regions_px.select(*PIXEL).groupBy(*FRAME).applyInPandas(pick, "clip long, frame long, place long, x double, y double")
 
 
+def regions_points(regions_found: DataFrame, width: int, height: int, count: int = POINTS) -> DataFrame:
+    """clip, number, start, length, anchors, points of lost regions (clip, start, length, region as pixel numbers), numbered in each clip in
+    the order of their runs: what repairs.region_frames takes."""
+    number = F.row_number().over(Window.partitionBy("clip").orderBy("start", "length", F.col("region")[0])).cast("long")
+    parts = regions_found.withColumn("number", number)
+    pixel = parts.select("clip", F.col("number").alias("frame"), F.explode("region").alias("p"))
+    at = region_points(pixel.select("clip", "frame", (F.col("p") % width).alias("x"), F.floor(F.col("p") / width).alias("y")), width, height, count)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.struct(p["x"], p["y"]))
+    at = at.groupBy("clip", F.col("frame").alias("number")).agg(listed.alias("points"))
+    anchors = F.array(F.col("start") - 1, F.col("start") + F.col("length")).alias("anchors")
+    return parts.select("clip", "number", "start", "length", anchors).join(at, ["clip", "number"])
+
+
 def largest_inside(px: DataFrame, width: int, height: int) -> DataFrame:
     """clip, frame, size, radius: the largest piece (sides connect; ties: the first in scan order) of each frame's pixels and the
     distance of its deepest pixel from the nearest one off it; the frame's edge is no outline."""

@@ -193,18 +193,23 @@ def dropped_parts(spark, d):
 def repair_frames(spark, d):
     """The frames to repair: points well inside every dropped part, and the frames around it that hold it."""
     px, _, parts = _dropped(spark, d)
-    number = F.row_number().over(Window.partitionBy("clip").orderBy("start", "length", F.col("region")[0])).cast("long")
-    parts = parts.withColumn("number", number)
-    pixels = parts.select("clip", F.col("number").alias("frame"), F.explode("region").alias("p"))
-    points = depths.region_points(pixels.select("clip", "frame", (F.col("p") % 32).alias("x"), F.expr("p div 32").alias("y")), 32, 24)
-    points = points.groupBy("clip", F.col("frame").alias("number")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.struct(p["x"], p["y"])).alias("points"))
-    anchors = F.array(F.col("start") - 1, F.col("start") + F.col("length")).alias("anchors")
-    found = parts.select("clip", "number", "start", "length", anchors).join(points, ["clip", "number"])
+    return _repaired(px, parts)
+
+
+def _repaired(px, parts):
     births = px.groupBy("clip").agg(F.min("frame").alias("birth"))
-    frames = repairs.region_frames(found, births, px)
+    frames = repairs.region_frames(depths.regions_points(parts, 32, 24), births, px)
     return frames.select("clip", "frame", F.size("points").cast("long").alias("points"), repairs.held_words(F.col("holding")).alias("words"))
 
 
+@query()
+def repair_frames_posed(spark, d):
+    """The frames to repair by the rule with a pose: regions that closed runs lose and limbs cross."""
+    px, n = _ending(spark, d)
+    limbs = losses.limb_evidence(v.figure_pose(spark, d), 32, 24)
+    return _repaired(px, losses.lost_regions(px, n, 32, 24, losses.final_reader(1, 4), limbs=limbs))
+
+
 _LOG = f"""WITH {v.OVERLAP_SQL}, sl AS (SELECT clip, frame, avg(score) * 1.6e0 AS logit FROM ov GROUP BY 1, 2), a AS (SELECT clip, frame, detection, score, overlap FROM ov WHERE track = 0 AND (clip + frame) % 6 > 0),
 pk AS (SELECT sl.clip, sl.frame, logit, min(detection) FILTER (WHERE score >= 0.3 AND overlap >= 0.5) AS anchor, arg_min(detection, {{{{'o': -overlap, 'd': detection}}}}) AS best FROM sl LEFT JOIN a USING (clip, frame) GROUP BY 1, 2, 3),
 sh AS (SELECT *, coalesce(anchor, best) AS detection, anchor IS NOT NULL AND logit > 0.8 AS fired FROM pk), {v.MASK_SQL},

@@ -118,3 +118,15 @@ def test_suppression_is_greedy(spark):
         if all(k[1] != r[1] or overlap(k, r) < 0.1 for k in kept):
             kept.append(r)
     assert {r["event_id"] for r in boxes.suppress(df).collect()} == {r[2] for r in kept}
+
+
+def test_supplied_boxes(spark):
+    ask = lambda text, n=2: spark.createDataFrame([(7, text, n)], "clip long, text string, n long")
+    get = lambda *a: [(r.frame, r.x1, r.y1, r.x2, r.y2, r.score) for r in boxes.supplied(ask(*a)).orderBy("frame").collect()]
+    same = [(0, 1.0, 2.0, 3.0, 4.0, 1.0), (1, 1.0, 2.0, 3.0, 4.0, 1.0)]
+    assert get("[1, 2, 3, 4]") == get("[1, 2, 3, 4, 0.5]") == get(' {"startX": 3, "startY": 4, "endX": 1, "endY": 2}') == get("[[1, 2, 3, 4]]") == same
+    assert get("[[1, 2, 3, 4], [0, 0, 9, 9]]") == [same[0], (1, 0.0, 0.0, 9.0, 9.0, 1.0)]
+    assert get('[{"startX": 1, "startY": 2, "endX": 3, "endY": 4}, {"startX": 0, "startY": 0, "endX": 9, "endY": 9}]')[1][4] == 9.0
+    for text, told in (("[1, 2, 3]", "no box"), ("nonsense", "no box"), ("[]", "no box"), ("[[1, 2, 3, 4], [1, 2]]", "no box"), ("[3, 2, 1, 4]", "ends before"), ("[[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4]]", "3 boxes for 2")):
+        with pytest.raises(Exception, match=told):
+            get(text)
