@@ -1,8 +1,10 @@
 """Operators against brute force, round trips and held-out accuracy, without Spark."""
 
 import binascii
+import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -384,3 +386,62 @@ def test_salvage_is_linear_and_takes_long_heads():
 
     took(100)
     assert took(4000) < 20 * took(500) + 0.5
+
+
+def test_webp_writes_references_wherever_pixels_repeat(monkeypatch):
+
+    from cliplane.llm import webp_encode
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()[:400]
+    seen = []
+    real = webp_decode.Table.copied
+
+    def counted(self, at):
+        found = real(self, at)
+        seen.append(len(found[1]))
+        return found
+
+    monkeypatch.setattr(webp_decode.Table, "copied", counted)
+    some = carried = 0
+    for t in texts:
+        payload = webp.padded(t.encode())
+        form = webp._CHOICE[zlib.crc32(payload) % len(webp._CHOICE)]
+        if form not in ("references", "cache", "groups"):
+            continue
+        stored = webp.store(payload)
+        repeats = any(len(webp_encode.copies_of(x.ravel())[0]) for x in webp._images(payload))
+        seen.clear()
+        assert webp.load(stored).tobytes() == payload
+        some, carried = some + repeats, carried + (repeats and sum(seen) > 0)
+    assert some > 200 and carried == some
+
+
+def test_webp_digests_are_those_of_the_padded_text():
+    rng = np.random.default_rng(9)
+    texts = ["", None, "a", "é" * 96, "x" * 192, "word " * 4000, "".join(map(chr, rng.integers(32, 0x2FF, 5000)))]
+    got = [c.to_pylist() for c in webp._columns(pa.array(texts, pa.string()))]
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        media = webp.store(payload)
+        want = [len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()]
+        assert [c[k] for c in got[:6]] == want
+        rgb = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)
+        assert got[6][k] == f"64x{len(rgb)}:" + ":".join(str(int(rgb[..., c].sum(dtype=np.int64)) * 1000 // (64 * len(rgb))) for c in range(3))
+
+
+def test_toxicity_features_again_word_by_word():
+    texts = ["You stupid IDIOT!! go away", "a clean text, nothing else", "", "st*pid m0ron you", "THE END of it..."]
+    x = toxicity.Lexicon().features(pa.array(texts, pa.string()))
+    column = {n: k for k, n in enumerate(toxicity.NAMES)}
+    for row, t in zip(x, texts, strict=True):
+        words = re.findall("[A-Za-z]+", t)
+        low, n = [w.lower() for w in words], max(1, len(words))
+        want = {
+            "strong": 100 * sum(w in toxicity.STRONG for w in low) / n, "mild": 100 * sum(w in toxicity.MILD for w in low) / n, "second": 100 * sum(w in toxicity.SECOND for w in low) / n,
+            "capitals": sum(c.isupper() for c in t) / max(1, len(t)), "capital_words": sum(w.isupper() and len(w) > 1 for w in words) / n,
+            "punctuation": sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in t) / max(1, len(t)), "exclaims": t.count("!") / max(1, len(t)), "length": np.log1p(len(t)),
+        }
+        for name, value in want.items():
+            assert abs(row[column[name]] - value) < 1e-9, (t, name)
+    assert x[3][column["obfuscated"]] > 0 and x[1][column["obfuscated"]] == 0 and x[0][column["aimed"]] > 0 and x[1][column["aimed"]] == 0
