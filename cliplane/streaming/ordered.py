@@ -22,6 +22,7 @@ BOX = ["x1", "y1", "x2", "y2", "score"]
 ROW = "ms long, event_id long, x1 double, y1 double, x2 double, y2 double, score double"
 OUT = "clip long, event_id long, switched boolean"
 LIMIT = 0.3
+STORE = "spark.sql.streaming.stateStore.providerClass"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -88,10 +89,15 @@ def switches(events: DataFrame, delay: str) -> DataFrame:
 
 def judged(spark: SparkSession, folder: str, schema, delay: str, files: int = 1) -> tuple[DataFrame, int]:
     """(what the stream says about the files that lie in a folder, frames that were too late). files: how many make a micro-batch."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     run = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
-    job = switches(events, delay).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start()
+    stream = switches(events, delay).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state")
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, PROVIDER)  # the only one that keeps lists and timers
+    try:
+        job = stream.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, before)
     job.awaitTermination()
     late = sum(int(s["numRowsDroppedByWatermark"]) for p in job.recentProgress for s in p["stateOperators"])
     return spark.read.schema(OUT).parquet(f"{run}/out"), late
