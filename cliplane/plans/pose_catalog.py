@@ -126,7 +126,7 @@ def _blur_sql(kernel: int, mirror: bool) -> str:
 u AS (SELECT clip, frame, i % 8 AS x, i // 8 AS y, e[i + 1]::DOUBLE AS v, max(e[i + 1]::DOUBLE) OVER (PARTITION BY clip, frame) AS top FROM f, range(64) t(i)), w(d, w) AS (VALUES {weights}),
 r AS (SELECT a.clip, a.frame, a.x, a.y, sum(w.w * b.v) AS v FROM u a, w JOIN u b ON b.clip = a.clip AND b.frame = a.frame AND b.y = a.y AND b.x = {to("a.x")} GROUP BY ALL),
 c AS (SELECT a.clip, a.frame, a.x, a.y, a.top, sum(w.w * b.v) AS v FROM u a, w JOIN r b ON b.clip = a.clip AND b.frame = a.frame AND b.x = a.x AND b.y = {to("a.y")} GROUP BY ALL),
-s AS (SELECT clip, frame, x, y, {scaled} AS v FROM c), b AS (SELECT clip, frame, x, y, ln(least(50e0, greatest(0.001e0, v))) AS l FROM s), pk AS (SELECT clip, frame, arg_max(x, v) AS x, arg_max(y, v) AS y, max(v) AS peak FROM u GROUP BY 1, 2)"""
+s AS (SELECT clip, frame, x, y, {scaled} AS v FROM c), b AS (SELECT clip, frame, x, y, ln(least(50e0, greatest(0.001e0, round(v, 9)))) AS l FROM s), pk AS (SELECT clip, frame, arg_max(x, v) AS x, arg_max(y, v) AS y, max(v) AS peak FROM u GROUP BY 1, 2)"""
 
 
 _PLACES = {"c": (0, 0), "e": (1, 0), "w": (-1, 0), "s": (0, 1), "n": (0, -1), "se": (1, 1), "nw": (-1, -1)}
@@ -143,7 +143,9 @@ q AS (SELECT clip, frame, peak, x - (dyy * dx - dxy * dy) / (dxx * dyy - dxy * d
 def _refined(spark, d, kernel, mirror):
     p = v.pose(spark, d).select("clip", "frame", F.transform("e", lambda x: x.cast("double")).alias("cells"))
     x, y, top = poses.peak(F.col("cells"), 8)
-    p = p.withColumns({"x": x, "y": y, "peak": top, "blurred": poses.blurred(F.col("cells"), 8, 8, kernel, mirror)}).withColumn("logs", poses.log_heat(F.col("blurred")))
+    p = p.withColumns({"x": x, "y": y, "peak": top, "blurred": poses.blurred(F.col("cells"), 8, 8, kernel, mirror)})
+    # whole billionths, so that the order of sums, which flat maps would magnify, doesn't tell
+    p = p.withColumn("logs", poses.log_heat(F.transform("blurred", lambda x: F.round(x, 9))))
     rx, ry = poses.refined(F.col("logs"), F.col("x"), F.col("y"), 8, 8)
     return p.withColumns({"rx": rx, "ry": ry})
 
