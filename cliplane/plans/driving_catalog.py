@@ -42,8 +42,8 @@ fl AS (SELECT clip, 'no_driving_person' AS "check", frame FROM every WHERE clip
 fn AS (SELECT clip, count(*) AS n FROM every GROUP BY 1)"""
 _DRIVING = _report_sql(_PARTS, "driving mask").replace("'mask_leak') THEN 'warning'", "'mask_leak', 'driving_empty') THEN 'warning'")
 _HEAD, _LAST = _DRIVING.split("\nSELECT clip, coalesce(checks, 0) = 0 AS passed")
-_SAYS = "CASE f WHEN 'reference_empty' THEN 'no pixel of the mask is the character''s (blue)' WHEN 'reference_fragmented' THEN 'a detached region of ' || format('{:.3f}', top) || ' of the character''s largest one' ELSE 'IoU ' || format('{:.3f}', iou) || ' with the person on the first driving frame; replacement expects both posed and placed alike' END"
-_NUMBER = lambda c: f"coalesce(format('{{:.3f}}', {c}), 'n/a')"
+_SAYS = "CASE f WHEN 'reference_empty' THEN 'no pixel of the mask is the character''s (blue)' WHEN 'reference_fragmented' THEN 'a detached region of ' || format('{:.3f}', round(top::DECIMAL(18, 9), 3)::DOUBLE) || ' of the character''s largest one' ELSE 'IoU ' || format('{:.3f}', round(iou::DECIMAL(18, 9), 3)::DOUBLE) || ' with the person on the first driving frame; replacement expects both posed and placed alike' END"
+_NUMBER = lambda c: f"coalesce(format('{{:.3f}}', round({c}::DECIMAL(18, 9), 3)::DOUBLE), 'n/a')"
 _REPORT = f"""{_HEAD}, rp AS (SELECT clip, coalesce(checks, 0) = 0 AS passed{_LAST}),
 o AS (SELECT clip, count(*) AS own, max(y) - min(y) + 1 AS high FROM big WHERE frame = 3 GROUP BY 1), t AS (SELECT clip, count(*) AS oth, max(y) - min(y) + 1 AS high FROM big WHERE frame = 0 AND clip < 3 GROUP BY 1),
 cm AS (SELECT a.clip, count(*) AS n FROM big a JOIN big b ON a.clip = b.clip AND a.x = b.x AND a.y = b.y WHERE a.frame = 3 AND b.frame = 0 GROUP BY 1),
@@ -52,13 +52,13 @@ rf AS (SELECT c.clip, CASE WHEN c.clip % 2 = 0 THEN 'animation' ELSE 'replacemen
 fs AS (SELECT *, list_filter([CASE WHEN own = 0 THEN 'reference_empty' END, CASE WHEN top >= 0.05e0 THEN 'reference_fragmented' END, CASE WHEN mode = 'replacement' AND iou < 0.4e0 THEN 'reference_misaligned' END], lambda x: x IS NOT NULL) AS flags FROM rf),
 fx AS (SELECT clip, string_agg(chr(10) || '- ' || f || CASE WHEN f = 'reference_empty' THEN ' (fail)' ELSE ' (warning)' END || ': reference 0: ' || {_SAYS}, '' ORDER BY i) AS lines FROM (SELECT *, unnest(flags) AS f, unnest(range(len(flags))) AS i FROM fs) GROUP BY 1),
 ex AS (SELECT e.clip, e.frame - 4 AS i, coalesce(n, 0) AS n, coalesce(shares, '[]') AS shares, top FROM every e LEFT JOIN ar USING (clip, frame) LEFT JOIN sh USING (clip, frame) WHERE e.frame BETWEEN 5 AND 8),
-el AS (SELECT clip, bool_or(n = 0) AS worse, string_agg(chr(10) || 'reference ' || i || ' mask (extra, on black): area ' || format('{{:.3f}}', n / 2400e0) || ', fragments ' || shares
+el AS (SELECT clip, bool_or(n = 0) AS worse, string_agg(chr(10) || 'reference ' || i || ' mask (extra, on black): area ' || format('{{:.3f}}', round((n / 2400e0)::DECIMAL(18, 9), 3)::DOUBLE) || ', fragments ' || shares
   || CASE WHEN n = 0 THEN chr(10) || '- reference_empty (fail): reference ' || i || ': no pixel of the mask is the character''s (blue)' ELSE '' END
-  || CASE WHEN top >= 0.05e0 THEN chr(10) || '- reference_fragmented (warning): reference ' || i || ': a detached region of ' || format('{{:.3f}}', top) || ' of the character''s largest one' ELSE '' END, '' ORDER BY i) AS lines FROM ex GROUP BY 1),
+  || CASE WHEN top >= 0.05e0 THEN chr(10) || '- reference_fragmented (warning): reference ' || i || ': a detached region of ' || format('{{:.3f}}', round(top::DECIMAL(18, 9), 3)::DOUBLE) || ' of the character''s largest one' ELSE '' END, '' ORDER BY i) AS lines FROM ex GROUP BY 1),
 al AS (SELECT *, rp.passed AND own > 0 AND NOT coalesce(worse, false) AS ok, fx.lines AS own_lines, el.lines AS extra_lines FROM fs JOIN rp USING (clip) LEFT JOIN fx USING (clip) LEFT JOIN el USING (clip))
 SELECT clip, ok AS passed, 'Driving guard: ' || CASE WHEN ok THEN 'passed' ELSE 'FAILED' END || ' - ' || mode || ' mode (the primary reference mask''s border)' || chr(10) || report || chr(10)
   || '- without pose_data, not checked: mask_empty, mask_leak, mask_attached_leak, mask_head_out, mask_limb_out, mask_loss' || chr(10)
-  || 'reference 0 mask (primary): area ' || format('{{:.3f}}', own / 2400e0) || ', fragments ' || shares || ', cropped 0.000, IoU with driving frame 0 ' || {_NUMBER("iou")} || ', scale vs driving frame 0 ' || {_NUMBER("scale")}
+  || 'reference 0 mask (primary): area ' || format('{{:.3f}}', round((own / 2400e0)::DECIMAL(18, 9), 3)::DOUBLE) || ', fragments ' || shares || ', cropped 0.000, IoU with driving frame 0 ' || {_NUMBER("iou")} || ', scale vs driving frame 0 ' || {_NUMBER("scale")}
   || coalesce(own_lines, '') || coalesce(extra_lines, '') AS report FROM al"""
 
 

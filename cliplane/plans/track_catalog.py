@@ -283,8 +283,8 @@ def reference_fit(spark, d):
     return rounded(fit.withColumn("flags", F.array_join("flags", ",")), "area", "cropped", "iou", "scale")
 
 
-@query(_FIT + """ SELECT clip, 'reference image: area ' || format('{:.3f}', own / 2400e0) || ', cropped ' || format('{:.3f}', 1 - kept / own::DOUBLE) || ', IoU with mask frame 0 ' || coalesce(format('{:.3f}', iou), 'n/a')
-|| ', scale vs mask frame 0 ' || coalesce(format('{:.3f}', ph / th::DOUBLE), 'n/a') || CASE WHEN iou < 0.4 THEN chr(10) || '- reference_misaligned (warning)' ELSE '' END AS report FROM f""")
+@query(_FIT + """ SELECT clip, 'reference image: area ' || format('{:.3f}', round((own / 2400e0)::DECIMAL(18, 9), 3)::DOUBLE) || ', cropped ' || format('{:.3f}', round((1 - kept / own::DOUBLE)::DECIMAL(18, 9), 3)::DOUBLE) || ', IoU with mask frame 0 ' || coalesce(format('{:.3f}', round((iou)::DECIMAL(18, 9), 3)::DOUBLE), 'n/a')
+|| ', scale vs mask frame 0 ' || coalesce(format('{:.3f}', round((ph / th::DOUBLE)::DECIMAL(18, 9), 3)::DOUBLE), 'n/a') || CASE WHEN iou < 0.4 THEN chr(10) || '- reference_misaligned (warning)' ELSE '' END AS report FROM f""")
 def reference_report(spark, d):
     px = v.mask_px(spark, d)
     return guards.reference_line(guards.reference_fit(px.where("frame = 0"), (MW, MH), px.where("frame = 1 AND x < 32 AND y < 17"), (32, 17)), set())
