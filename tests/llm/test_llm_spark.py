@@ -85,7 +85,7 @@ def test_values_of_odd_rows(spark, folder):
     assert hits[4] == (30000, 30000, 1, True) and hits[1] == (0, 0, 0, False)
     found = {r["doc_id"]: r for r in run("op7_secret_linking")}
     assert found[-7]["n_assign"] == 1 and found[-7]["n_hex"] == 1  # the short value swallows the second keyword
-    assert found[6]["spans"] == "access:8:28,secret:33:73,endpoint:77:99"
+    assert found[6]["spans"] == "access:8:28,secret:33:73,endpoint:77:101"
     counts = {i: tuple(found[i][c] for c in ("n_assign", "n_access", "n_hex")) for i in (1, 6, -7)}
     assert counts == {1: (0, 0, 0), 6: (0, 1, 0), -7: (1, 0, 1)}
 
