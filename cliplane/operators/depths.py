@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliplane.operators.masks import FRAME, PIXEL, regions
+from cliplane.operators.masks import FRAME, PIXEL, by_frame, gathered, regions
 
 #: Most points sent into a region.
 POINTS = 16
@@ -16,8 +17,8 @@ POINTS = 16
 def _beside(on: np.ndarray, edge: bool) -> np.ndarray:
     """Rows to the nearest off pixel of the same column; without one, more than any distance in the frame."""
     h = len(on)
-    far = 2 * (on.shape[0] + on.shape[1])
-    row = np.arange(h)[:, None]
+    far = 2 * (on.shape[0] + on.shape[-1])
+    row = np.arange(h).reshape(-1, *[1] * (on.ndim - 1))
     above = np.maximum.accumulate(np.where(on, -far, row), axis=0)
     below = np.minimum.accumulate(np.where(on, h + far, row)[::-1], axis=0)[::-1]
     if edge:
@@ -71,13 +72,21 @@ def squared_depths(mask: np.ndarray, edge: bool = True) -> np.ndarray:
     return _envelope(g)
 
 
-def inner_points(mask: np.ndarray, count: int = POINTS) -> list[tuple[int, int]]:
+def stack_depths(masks: np.ndarray) -> np.ndarray:
+    """squared_depths of every frame of a stack, whose rows go through the envelope side by side."""
+    n, height, width = masks.shape
+    g = _beside(np.moveaxis(masks, 0, 1), True) ** 2
+    side = np.zeros((n * height, 1), np.int64)
+    return _envelope(np.hstack([side, np.moveaxis(g, 0, 1).reshape(-1, width), side]))[:, 1:-1].reshape(masks.shape)
+
+
+def inner_points(mask: np.ndarray, count: int = POINTS, deep: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Up to so many pixels (x, y) well inside a region and spread over it.
 
     Candidates are at least half as far from the outline as the deepest pixel. They are asked from the deepest on (ties in scan
     order), and one is taken unless a taken one lies within that half; a grid of cells that wide keeps the taken ones, so only
     the cells around are looked at. All in squared whole numbers."""
-    deep = squared_depths(mask)
+    deep = squared_depths(mask) if deep is None else deep
     most = int(deep.max(initial=0))
     if not most:
         return []
@@ -98,16 +107,17 @@ def inner_points(mask: np.ndarray, count: int = POINTS) -> list[tuple[int, int]]
 
 
 def region_points(regions_px: DataFrame, width: int, height: int, count: int = POINTS) -> DataFrame:
-    """clip, frame, place, x, y: points (pixel centres) well inside the region that each frame's pixels make."""
+    """clip, frame, place, x, y: points (pixel centres) well inside the region that each frame's pixels (rows or gathered) make."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((height, width), bool)
-        mask[pdf["y"], pdf["x"]] = True
-        x, y = np.array(inner_points(mask, count), np.int64).reshape(-1, 2).T
-        clip, frame = pdf["clip"].iloc[0], pdf["frame"].iloc[0]
-        return pd.DataFrame({"clip": clip, "frame": frame, "place": np.arange(len(x)), "x": x + 0.5, "y": y + 0.5})
+    def pick(clips: pa.Array, frames: pa.Array, stack: np.ndarray) -> pa.RecordBatch:
+        found = [inner_points(mask, count, deep) for mask, deep in zip(stack, stack_depths(stack), strict=True)]
+        size = [len(p) for p in found]
+        of = pa.array(np.repeat(np.arange(len(found)), size))
+        place = np.concatenate([np.arange(n) for n in size]) if size else np.zeros(0, np.int64)
+        at = np.array([xy for p in found for xy in p], np.int64).reshape(-1, 2) + 0.5
+        return pa.RecordBatch.from_arrays([clips.take(of).cast(pa.int64()), frames.take(of).cast(pa.int64()), pa.array(place.astype(np.int64)), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["clip", "frame", "place", "x", "y"])
 
-    return regions_px.select(*PIXEL).groupBy(*FRAME).applyInPandas(pick, "clip long, frame long, place long, x double, y double")
+    return by_frame(gathered(regions_px, width), pick, width, height, "clip long, frame long, place long, x double, y double")
 
 
 def regions_points(regions_found: DataFrame, width: int, height: int, count: int = POINTS) -> DataFrame:
@@ -115,8 +125,8 @@ def regions_points(regions_found: DataFrame, width: int, height: int, count: int
     the order of their runs: what repairs.region_frames takes."""
     number = F.row_number().over(Window.partitionBy("clip").orderBy("start", "length", F.col("region")[0])).cast("long")
     parts = regions_found.withColumn("number", number)
-    pixel = parts.select("clip", F.col("number").alias("frame"), F.explode("region").alias("p"))
-    at = region_points(pixel.select("clip", "frame", (F.col("p") % width).alias("x"), F.floor(F.col("p") / width).alias("y")), width, height, count)
+    region = parts.select("clip", F.col("number").alias("frame"), F.transform("region", lambda p: p.cast("int")).alias("on"))
+    at = region_points(region, width, height, count)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.struct(p["x"], p["y"]))
     at = at.groupBy("clip", F.col("frame").alias("number")).agg(listed.alias("points"))
     anchors = F.array(F.col("start") - 1, F.col("start") + F.col("length")).alias("anchors")

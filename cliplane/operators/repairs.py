@@ -7,11 +7,11 @@ a frame's pixels, and the points well inside a region, are found by a task that
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliplane.operators.masks import FRAME, PIXEL, regions
+from cliplane.operators.masks import FRAME, by_frame, gathered, merged, regions
 from cliplane.operators.sequence import closest_conditioning
 from cliplane.operators.tracking import MEMORY_SCORE
 
@@ -22,20 +22,22 @@ LOST_SHARE, BACK_AREA = 0.08, 0.92
 
 
 def largest_piece(px: DataFrame, width: int, height: int) -> DataFrame:
-    """The pixels of each frame's largest piece (sides connect; ties: the first in scan order)."""
+    """clip, frame, piece: the pixel numbers of each frame's largest piece (sides connect; ties: the first in scan order)."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((height, width), bool)
-        mask[pdf["y"], pdf["x"]] = True
-        label, n = regions(mask, False)
-        y, x = np.nonzero(label == 1 + np.bincount(label.ravel(), minlength=n + 1)[1:].argmax())
-        return pd.DataFrame({"clip": pdf["clip"].iloc[0], "frame": pdf["frame"].iloc[0], "x": x, "y": y})
+    def pick(clips: pa.Array, frames: pa.Array, stack: np.ndarray) -> pa.RecordBatch:
+        out = []
+        for mask in stack:
+            label, n = regions(mask, False)
+            out.append(np.flatnonzero(label == 1 + np.bincount(label.ravel(), minlength=n + 1)[1:].argmax()).astype(np.int32))
+        return pa.RecordBatch.from_arrays([clips.cast(pa.int64()), frames.cast(pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["clip", "frame", "piece"])
 
-    return px.select(*PIXEL).groupBy(*FRAME).applyInPandas(pick, "clip long, frame long, x long, y long")
+    return by_frame(gathered(px, width).where(F.size("on") > 0), pick, width, height, "clip long, frame long, piece array<int>")
 
 
-def _areas(px: DataFrame) -> DataFrame:
-    return px.groupBy(*FRAME).agg(F.count("*").alias("area"))
+def _with_before(masks: DataFrame) -> DataFrame:
+    """masks with before: what the frame right before holds (null without one)."""
+    w = Window.partitionBy("clip").orderBy("frame")
+    return masks.withColumn("before", F.when(F.lag("frame").over(w) == F.col("frame") - 1, F.lag("on").over(w)))
 
 
 def gained(px: DataFrame, births: DataFrame, frames: DataFrame, width: int, height: int) -> DataFrame:
@@ -43,19 +45,20 @@ def gained(px: DataFrame, births: DataFrame, frames: DataFrame, width: int, heig
 
     frames: clip, n (frames from 0). A frame counts if KEPT_FRAMES frames follow it, the largest piece that the frame before lacks is
     GAIN_SHARE of the mask or more, and each of the following frames holds KEPT_TENTHS tenths of it."""
-    px = px.select(*PIXEL).distinct()
+    px = gathered(px, width)
     ask = births.where("birth >= 0").join(frames, "clip")
     last = F.least(F.col("birth") + GAIN_WINDOW, F.col("n") - 1 - KEPT_FRAMES)
     ask = ask.where(last > F.col("birth")).select("clip", F.explode(F.sequence(F.col("birth") + 1, last)).alias("frame"))
-    now = px.join(ask, FRAME, "left_semi")
-    fresh = now.join(px.withColumn("frame", F.col("frame") + 1), PIXEL, "left_anti")
-    enough = _areas(fresh).withColumnRenamed("area", "new").join(_areas(now), FRAME).where(F.col("new") >= GAIN_SHARE * F.col("area"))
-    piece = largest_piece(fresh.join(enough.select(*FRAME), FRAME, "left_semi"), width, height)
-    size = _areas(piece).withColumnRenamed("area", "size").join(enough.select(*FRAME, "area"), FRAME).where(F.col("size") >= GAIN_SHARE * F.col("area"))
-    ahead = piece.join(size.select(*FRAME), FRAME, "left_semi").withColumn("later", F.explode(F.sequence(F.col("frame") + 1, F.col("frame") + KEPT_FRAMES)))
-    met = ahead.join(px.withColumnRenamed("frame", "later"), ["clip", "later", "x", "y"]).groupBy(*FRAME, "later").agg(F.count("*").alias("kept"))
-    held = met.join(size, FRAME).where(10 * F.col("kept") >= KEPT_TENTHS * F.col("size")).groupBy(*FRAME).agg(F.count("*").alias("frames"), F.first("size").alias("size"), F.first("area").alias("area"))
-    good = held.where(F.col("frames") == KEPT_FRAMES).select(*FRAME, (F.col("size") / F.col("area")).alias("share"))
+    now = merged(_with_before(px)).join(ask, FRAME)
+    fresh = F.when(F.col("before").isNull(), F.col("on")).otherwise(F.array_except("on", "before"))
+    area = F.size("on")
+    new = now.select(*FRAME, fresh.alias("on"), area.alias("area")).where((F.size("on") > 0) & (F.size("on") >= GAIN_SHARE * F.col("area")))
+    size = largest_piece(new, width, height).join(merged(new.select(*FRAME, "area")), FRAME).where(F.size("piece") >= GAIN_SHARE * F.col("area"))
+    ahead = size.withColumn("later", F.explode(F.sequence(F.col("frame") + 1, F.col("frame") + KEPT_FRAMES)))
+    met = merged(ahead).join(px.select("clip", F.col("frame").alias("later"), "on"), ["clip", "later"])
+    held = met.where(10 * F.size(F.array_intersect("piece", "on")) >= KEPT_TENTHS * F.size("piece"))
+    held = held.groupBy(*FRAME).agg(F.count("*").alias("frames"), F.first(F.size("piece") / F.col("area")).alias("share"))
+    good = held.where(F.col("frames") == KEPT_FRAMES)
     return good.groupBy("clip").agg(F.max(F.struct("frame", "share")).alias("found")).select("clip", "found.frame", "found.share")
 
 
@@ -64,16 +67,16 @@ def lost_for_good(px: DataFrame, births: DataFrame, width: int, height: int) ->
 
     From the birth on: the mask stays at or under BACK_AREA of the frame before's area up to the stretch's last frame, and the largest
     piece that is gone is LOST_SHARE of that area or more."""
-    px = px.select(*PIXEL).distinct()
-    area = _areas(px).join(births.where("birth >= 0"), "clip").where(F.col("frame") >= F.col("birth")).select(*FRAME, "area")
+    px = gathered(px, width)
+    area = px.where(F.size("on") > 0).select(*FRAME, F.size("on").cast("long").alias("area")).join(births.where("birth >= 0"), "clip").where(F.col("frame") >= F.col("birth")).select(*FRAME, "area")
     by_frame = Window.partitionBy("clip").orderBy("frame")
     area = area.withColumn("stretch", F.col("frame") - F.row_number().over(by_frame))
     in_stretch = Window.partitionBy("clip", "stretch")
     backwards = in_stretch.orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     area = area.select("*", F.max("area").over(backwards).alias("highest"), F.max("frame").over(in_stretch).alias("last"), F.lag("area").over(in_stretch.orderBy("frame")).alias("before"))
     ask = area.where(F.col("highest") <= BACK_AREA * F.col("before"))
-    was = px.withColumn("frame", F.col("frame") + 1).join(ask.select(*FRAME), FRAME, "left_semi")
-    size = _areas(largest_piece(was.join(px, PIXEL, "left_anti"), width, height)).withColumnRenamed("area", "size")
+    both = merged(_with_before(px)).join(ask.select(*FRAME), FRAME)
+    size = largest_piece(both.select(*FRAME, F.array_except("before", "on").alias("on")), width, height).select(*FRAME, F.size("piece").alias("size"))
     found = ask.join(size, FRAME).withColumn("share", F.col("size") / F.col("before")).where(F.col("share") >= LOST_SHARE)
     first = found.groupBy("clip", "stretch").agg(F.min(F.struct("frame", "last", "share")).alias("f"))
     return first.select("clip", "f.frame", "f.last", "f.share")

@@ -17,20 +17,20 @@ def _births(px):
 
 @query()
 def track_gained(spark, d):
-    px = v.figure_px(spark, d)
+    px = v.figures(spark, d)
     births, n = _births(px)
     return rounded(repairs.gained(px, births, n, 32, 24), "share")
 
 
 @query()
 def track_lost_for_good(spark, d):
-    px = v.figure_px(spark, d)
+    px = v.figures(spark, d)
     return rounded(repairs.lost_for_good(px, _births(px)[0], 32, 24), "share")
 
 
 @query()
 def region_points(spark, d):
-    return depths.region_points(v.figure_px(spark, d), 32, 24)
+    return depths.region_points(v.figures(spark, d), 32, 24)
 
 
 _STORED = "st AS (SELECT user_id % 10 AS clip, event_id % 200 AS frame, max(value) / 490 AS score FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2), fr AS (SELECT DISTINCT user_id % 10 AS clip, event_id % 200 AS frame FROM events)"

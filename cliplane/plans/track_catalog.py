@@ -160,15 +160,15 @@ def _lengths(spark, d):
 @query()
 def mask_loss(spark, d):
     """Without a pose: closed runs alone."""
-    return rounded(losses.mask_losses(v.figure_px(spark, d), _lengths(spark, d), 32, 24, grow=1, block=4), "mask_loss")
+    return rounded(losses.mask_losses(v.figures(spark, d), _lengths(spark, d), 32, 24, grow=1, block=4), "mask_loss")
 
 
 def _ending(spark, d):
     """Figures without a hand on the first frames of some clips and on the last ones of others, and their lengths."""
     n = _lengths(spark, d)
-    hand = F.col("x") > 9
-    gone = hand & ((F.col("clip") % 4 == 1) & (F.col("frame") < 12) | (F.col("clip") % 4 == 2) & (F.col("frame") >= F.col("n") - 15))
-    return v.figure_px(spark, d).join(n, "clip").where(~gone).drop("n"), n
+    gone = ((F.col("clip") % 4 == 1) & (F.col("frame") < 12) | (F.col("clip") % 4 == 2) & (F.col("frame") >= F.col("n") - 15))
+    body = F.filter("on", lambda p: p % 32 < 10)
+    return v.figures(spark, d).join(n, "clip").select("clip", "frame", F.when(gone, body).otherwise(F.col("on")).alias("on")), n
 
 
 @query()
