@@ -18,7 +18,8 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], bin_size:
     div = lambda c: F.floor(c / bin_size)
     bins = lambda a, b: F.explode(F.sequence(div(F.col(a)), div(F.col(b) - 1))).alias("__bin")
     one, two = left.where("a1 > a0").select("*", bins("a0", "a1")), right.where("b1 > b0").select("*", bins("b0", "b1"))
-    met = one.join(two, [*keys, "__bin"]).where((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1")))
+    # blocks and bins are exploded, which the planner takes for small: never broadcast
+    met = one.hint("merge").join(two.hint("merge"), [*keys, "__bin"]).where((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1")))
     return met.where(F.col("__bin") == F.greatest(div(F.col("a0")), div(F.col("b0")))).drop("__bin")
 
 
@@ -68,7 +69,10 @@ def window(blocks: DataFrame, asks: DataFrame, sample_rate: int, bin_size: int =
     edge = lambda c: F.bround(F.col(c) * sample_rate, 0).cast("long")
     asked = asks.select("clip", edge("start").alias("b0"), (edge("start") + edge("duration")).alias("b1"))
     left = blocks.select("clip", F.col("at").alias("a0"), (F.col("at") + F.size("samples")).alias("a1"), "samples")
-    met = interval_join(left, asked, ["clip"], bin_size)
-    found = _cut(met, ["clip", "b0"])
+    # bins are made only where there is sound: a window may ask for far more than its clip has
+    heard = left.groupBy("clip").agg(F.min("a0").alias("__low"), F.max("a1").alias("__high"))
+    asked = asked.join(heard, "clip").select("clip", F.col("b0").alias("start"), F.greatest("b0", "__low").alias("b0"), F.least("b1", "__high").alias("b1"))
+    met = interval_join(left, asked.hint("merge"), ["clip"], bin_size)
+    found = _cut(met, ["clip", "start"]).withColumnRenamed("start", "b0")
     silence = F.array_repeat(F.lit(0.0), (F.col("at") - F.col("b0")).cast("int"))
     return found.select("clip", F.col("b0").alias("at"), F.concat(silence, "samples").alias("samples"))
