@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,41 +52,66 @@ def ping_pong_tail(i, n):
     return F.when(m < n, m).otherwise(period - m)
 
 
-#: Source frames that one inner fold goes through; keeps the lists of long videos from being copied at every frame.
-GRID_FOLD = 512
+#: Source frames that a task holds of the videos it folds side by side (one video at least).
+GRID_FRAMES = 1 << 20
+
+
+def _grid(step: np.ndarray, grid: np.ndarray, frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(video, frame) of the grids of some videos, in their order. Time is added and taken off one step at a time, which fixes its
+    rounding; the videos go side by side, so the work in Python grows with the longest of them."""
+    if not (np.isfinite(step) & np.isfinite(grid) & (grid > 0)).all():
+        raise ValueError("rates of videos and grids must be finite and above 0")
+    order = np.argsort(-frames, kind="stable")  # those that still have frames come first
+    step, grid, frames = step[order], grid[order], frames[order]
+    time = np.zeros(len(frames))
+    taken = np.zeros((len(frames), int(frames.max(initial=0))), np.int64)
+    live = np.searchsorted(-frames, -np.arange(taken.shape[1]), "left")  # videos with more frames than so many
+    for k, n in enumerate(live.tolist()):
+        time[:n] += step[:n] if k else grid[:n]
+        more = np.flatnonzero(time[:n] >= grid[:n])
+        while len(more):
+            time[more] -= grid[more]
+            taken[more, k] += 1
+            more = more[time[more] >= grid[more]]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    taken = taken[back]
+    video, frame = np.nonzero(taken)
+    times = taken[video, frame]
+    return np.repeat(video, times), np.repeat(frame, times)
+
+
+def counted_grid(videos: DataFrame) -> DataFrame:
+    """time_grid with n, the number of frames of the video's grid, on every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step, grid, frames = (batch.column(c).to_numpy() for c in ("step", "grid", "frames"))
+            low = 0
+            while low < len(batch):
+                longest = np.maximum.accumulate(frames[low:]) * np.arange(1, len(batch) - low + 1)
+                high = low + max(1, int(np.searchsorted(longest, GRID_FRAMES, "right")))
+                video, frame = _grid(step[low:high], grid[low:high], frames[low:high])
+                first, last = (np.searchsorted(video, video, side) for side in ("left", "right"))
+                yield pa.RecordBatch.from_arrays([batch.column("video_id").take(pa.array(low + video)), pa.array(np.arange(len(video)) - first), pa.array(frame), pa.array(last - first)], names=["video_id", "out", "frame", "n"])
+                low = high
+
+    whole = videos.where("frames > 0 AND fps IS NOT NULL AND rate IS NOT NULL")
+    # the videos are few bytes and the grids are not: they are dealt out before they grow
+    df = whole.select("video_id", (1 / F.col("fps")).cast("double").alias("step"), (1 / F.col("rate")).cast("double").alias("grid"), F.col("frames").cast("long").alias("frames"))
+    return df.repartition(F.col("video_id")).mapInArrow(run, f"video_id {videos.schema['video_id'].dataType.simpleString()}, out long, frame long, n long")
 
 
 def time_grid(videos: DataFrame) -> DataFrame:
     """video_id, out, frame: source frames of the grid of `rate`: each is shown as often as a whole step of the grid has passed.
 
     Time is a running float sum, in the order of the frames (a closed form differs), so it is a fold over each video's frames."""
-    step, grid = 1 / F.col("fps"), 1 / F.col("rate")
-    most = F.ceil(step / grid).cast("long") + 1  # grid steps that one source frame can complete
-
-    def shown(acc: Column, frame: Column) -> Column:
-        """Take whole grid steps off the time that has passed, one at a time, and keep the frame for each."""
-        passed = F.struct((acc["time"] + F.when(frame > 0, step).otherwise(grid)).alias("time"), acc["kept"].alias("kept"))
-
-        def one(a: Column, _: Column) -> Column:
-            more = F.struct((a["time"] - grid).alias("time"), F.concat(a["kept"], F.array(frame)).alias("kept"))
-            return F.when(a["time"] >= grid, more).otherwise(a)
-
-        return F.aggregate(F.sequence(F.lit(1).cast("long"), most), passed, one)
-
-    def block(acc: Column, first: Column) -> Column:
-        ids = F.sequence(first, F.least(first + GRID_FOLD, F.col("frames")) - 1)
-        inner = F.aggregate(ids, F.struct(acc["time"].alias("time"), F.expr("CAST(array() AS array<bigint>)").alias("kept")), shown)
-        return F.struct(inner["time"].alias("time"), F.concat(acc["kept"], F.array(inner["kept"])).alias("kept"))
-
-    blocks = F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(GRID_FOLD).cast("long"))
-    start = F.struct(F.lit(0.0).alias("time"), F.expr("CAST(array() AS array<array<bigint>>)").alias("kept"))
-    df = videos.where("frames > 0").select("video_id", F.posexplode(F.flatten(F.aggregate(blocks, start, block)["kept"])).alias("out", "frame"))
-    return df.select("video_id", F.col("out").cast("long").alias("out"), "frame")
+    return counted_grid(videos).drop("n")
 
 
 def frame_indices(videos: DataFrame, start: int, count: int | None, step: int) -> DataFrame:
     """video_id, out, frame: what is loaded of each video: the frames of its rate's grid from the 1-based start on, cut to step * n + 1."""
-    return loaded_frames(time_grid(videos), start, count, step)
+    return loaded_frames(counted_grid(videos), start, count, step)
 
 
 def video_info(videos: DataFrame, loaded: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -147,14 +175,15 @@ def closest_conditioning(frames: DataFrame, conditioning: DataFrame, keep: int)
 
 def loaded_frames(kept: DataFrame, start: int, count: int | None, step: int) -> DataFrame:
     """video_id, out, frame of the frames that are loaded: so many of the kept ones from the 1-based start on (None: the rest), cut
-    to step * n + 1. A range past a video's frames is an error."""
-    size = kept.groupBy("video_id").agg(F.count("*").alias("n"))
+    to step * n + 1. A range past a video's frames is an error. kept may tell n, the number of a video's kept frames."""
+    if "n" not in kept.columns:
+        kept = kept.join(kept.groupBy("video_id").agg(F.count("*").alias("n")), "video_id")
     last = F.lit(start if count is None else start + count - 1)
     n = F.when(last > F.col("n"), F.raise_error(F.format_string("frames %d to %d of video %s, which has %d", F.lit(start), last, "video_id", "n")).cast("long"))
     n = n.otherwise((F.col("n") - start + 1) if count is None else F.lit(count).cast("long"))
-    size = size.select("video_id", (F.floor((n - 1) / step) * step + 1).alias("n"))
+    kept = kept.withColumn("n", F.floor((n - 1) / step) * step + 1)
     place = F.col("out") - (start - 1)
-    return kept.join(size, "video_id").where((place >= 0) & (place < F.col("n"))).select("video_id", place.alias("out"), "frame")
+    return kept.where((place >= 0) & (place < F.col("n"))).select("video_id", place.alias("out"), "frame")
 
 
 def face_window(boxes: DataFrame, image: tuple[int, int], size: tuple[int, int], factor: float, headroom: float = 0.4) -> DataFrame:

@@ -64,3 +64,33 @@ def test_entry_imports_without_session():
 
     code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0]).returncode == 0
+
+
+def test_time_grids_of_many_videos_side_by_side(spark):
+    """Against a plain fold; lengths and rates vary within a batch, and only the videos themselves are dealt out."""
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.choice([24, 29.97, 60, 3])), int(rng.integers(0, 70)), float(rng.choice([16, 24, 30, 100]))) for i in range(200)]
+    want = []
+    for i, fps, frames, rate in rows:
+        time, out, step, grid = 0.0, 0, 1 / fps, 1 / rate
+        for f in range(frames):
+            time += step if f else grid
+            while time >= grid:
+                time -= grid
+                want.append((i, out, f))
+                out += 1
+    df = spark.createDataFrame(rows, "video_id long, fps double, frames long, rate double")
+    assert sorted(map(tuple, sequence.time_grid(df).collect())) == want
+    loaded = sequence.frame_indices(df.where("frames > 20"), 3, None, 4)
+    assert loaded._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    many = {i: sum(1 for w in want if w[0] == i) for i, *_ in rows}
+    assert loaded.count() == sum((many[i] - 3) // 4 * 4 + 1 for i, _, frames, _ in rows if frames > 20)
+
+
+def test_windows_far_longer_than_the_sound(spark):
+    """A window of 10^12 samples over 6: bins are made where there is sound, which failed before for want of memory."""
+    from cliplane.operators import sound
+
+    blocks = spark.createDataFrame([(1, 2, [1.0, 2.0, 3.0]), (1, 5, [4.0, 5.0, 6.0])], "clip long, at long, samples array<double>")
+    asks = spark.createDataFrame([(1, 0.0, 1e12)], "clip long, start double, duration double")
+    assert [(r.clip, r.at, r.samples) for r in sound.window(blocks, asks, 1, 2).collect()] == [(1, 0, [0.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0])]
