@@ -243,28 +243,53 @@ def write(frames: DataFrame, path: str, range_frames: int = RANGE_FRAMES, mode:
 
 
 def packed(pixels: DataFrame, width: int, height: int, rate: tuple[int, int] = (24, 1)) -> DataFrame:
-    """SCHEMA of pixel rows (clip, frame, x, y, r, g, b in whole levels); every pixel of a frame must be there."""
-    one = F.struct((F.col("y") * width + F.col("x")).alias("at"), "r", "g", "b")
-    level = lambda c: F.substring(F.lpad(F.hex(c.cast("long")), 2, "0"), 1, 2)
-    rows = pixels.groupBy("clip", "frame").agg(F.array_sort(F.collect_list(one)).alias("p"))
-    text = F.array_join(F.transform("p", lambda q: F.concat(level(q["r"]), level(q["g"]), level(q["b"]))), "")
-    sides = [F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(rate[0]).cast("long").alias("rate_num"), F.lit(rate[1]).cast("long").alias("rate_den")]
-    return rows.select(F.col("clip").cast("long").alias("clip"), F.col("frame").cast("long").alias("frame"), *sides, F.unhex(text).alias("pixels"))
+    """SCHEMA of pictures in whole levels: pixel rows (clip, frame, x, y, r, g, b), of which every one of a frame must be there, or
+    frames with arrays r, g, b, row by row."""
+    if "x" in pixels.columns:
+        one = F.struct((F.col("y") * width + F.col("x")).alias("at"), "r", "g", "b")
+        rows = pixels.groupBy("clip", "frame").agg(F.array_sort(F.collect_list(one)).alias("p"))
+        pixels = rows.select("clip", "frame", *[F.transform("p", lambda q: q[c]).alias(c) for c in "rgb"])  # noqa: B023
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = np.stack([batch.column(c).flatten().cast(pa.int64()).to_numpy() for c in "rgb"], 1)
+            if len(levels) != len(batch) * width * height:
+                raise ValueError(f"a frame's pixels are not {width} x {height}")
+            raw = levels.astype(np.uint8).reshape(len(batch), -1)
+            ints = [pa.array(np.full(len(batch), v), t) for v, t in ((width, pa.int32()), (height, pa.int32()), (rate[0], pa.int64()), (rate[1], pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ints, pa.array([p.tobytes() for p in raw], pa.binary())], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    whole = pixels.select(F.col("clip").cast("long").alias("clip"), F.col("frame").cast("long").alias("frame"), *"rgb")
+    return whole.mapInArrow(run, SCHEMA)
 
 
 def unpacked(frames: DataFrame) -> DataFrame:
     """clip, frame, x, y, r, g, b of frames (SCHEMA)."""
-    every = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
-    df = frames.select("clip", "frame", "width", F.hex("pixels").alias("h"), F.explode(every).alias("i"))
-    level = lambda k: F.conv(F.substr("h", F.col("i") * 6 + 1 + 2 * k, F.lit(2)), 16, 10).cast("long")
-    return df.select("clip", "frame", (F.col("i") % F.col("width")).cast("long").alias("x"), F.floor(F.col("i") / F.col("width")).alias("y"), *[level(k).alias(c) for k, c in enumerate("rgb")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            sides = whole.column("width").to_numpy().astype(np.int64) * whole.column("height").to_numpy()
+            low = 0
+            while low < len(whole):
+                high = low + max(1, int(np.searchsorted(np.cumsum(sides[low:]), BATCH_BYTES // 8, "right")))
+                batch, size = whole.slice(low, high - low), sides[low:high]
+                levels = np.frombuffer(b"".join(batch.column("pixels").to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
+                of = np.repeat(np.arange(len(batch)), size)
+                at, wide = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size), batch.column("width").to_numpy()[of]
+                keys = [batch.column(c).take(pa.array(of)) for c in ("clip", "frame")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(at % wide), pa.array(at // wide), *[pa.array(levels[:, k]) for k in range(3)]], names=["clip", "frame", "x", "y", "r", "g", "b"])
+                low = high
+
+    kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in ("clip", "frame"))
+    return frames.select("clip", "frame", "width", "height", "pixels").mapInArrow(run, f"{kinds}, x long, y long, r long, g long, b long")
 
 
 def selected(frames: DataFrame, indices: DataFrame) -> DataFrame:
     """Frames at the places that a time grid gives them: indices is clip, position, frame; a repeated frame is read once."""
-    few = frames.join(indices.select("clip", "frame").distinct(), ["clip", "frame"], "left_semi")
+    # pictures look small to the planner when they are made from small tables: never broadcast
+    few = frames.hint("merge").join(indices.select("clip", "frame").distinct(), ["clip", "frame"], "left_semi")
     rest = [c for c in few.columns if c not in ("clip", "frame")]
-    return few.join(indices.select("clip", "position", "frame"), ["clip", "frame"]).select("clip", "position", "frame", *rest)
+    return few.hint("merge").join(indices.select("clip", "position", "frame"), ["clip", "frame"]).select("clip", "position", "frame", *rest)
 
 
 def extended(frames: DataFrame, count: int, ping_pong: bool = False) -> DataFrame:

@@ -76,3 +76,14 @@ def test_packed_pixels_come_back_and_grids_pick_frames(spark):
     assert order(ff.extended(one, 3, True)) == [0, 0, 0]
     moved = ff.in_order(frames.where("frame > 0").withColumn("frame", F.col("frame") * 10))
     assert sorted(r.frame for r in moved.collect()) == [0, 1]
+
+
+def test_frames_with_arrays_and_struct_keys(spark):
+    """Frames are packed from arrays too, keys may be structs, and pictures are never broadcast to their positions."""
+    df = spark.createDataFrame([(1, f, [f, 2], [3, 255], [5, 6]) for f in range(3)], "clip long, frame long, r array<long>, g array<long>, b array<long>")
+    frames = ff.packed(df, 2, 1)
+    assert [bytes(r.pixels) for r in frames.orderBy("frame").collect()] == [bytes([f, 3, 5, 2, 255, 6]) for f in range(3)]
+    far = ff.extended(frames, 5, True)
+    assert far._jdf.queryExecution().optimizedPlan().toString().count("Hint=(strategy=merge)") == 2
+    px = ff.unpacked(far.select("clip", F.struct("position", "frame").alias("frame"), "width", "height", "pixels"))
+    assert sorted((r.frame.position, r.frame.frame, r.x, r.r, r.g, r.b) for r in px.collect()) == sorted((p, f, x, *((f, 3, 5), (2, 255, 6))[x]) for p, f in enumerate([0, 1, 2, 1, 0]) for x in (0, 1))
