@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,26 +135,28 @@ def regions_points(regions_found: DataFrame, width: int, height: int, count: int
 
 
 def largest_inside(px: DataFrame, width: int, height: int) -> DataFrame:
-    """clip, frame, size, radius: the largest piece (sides connect; ties: the first in scan order) of each frame's pixels and the
-    distance of its deepest pixel from the nearest one off it; the frame's edge is no outline."""
+    """clip, frame, pixels, size, radius: how many pixels (rows or gathered) each frame has, the largest piece of these (sides connect;
+    ties: the first in scan order) and the distance of its deepest pixel from the nearest one off it; the frame's edge is no outline."""
 
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((height, width), bool)
-        mask[pdf["y"], pdf["x"]] = True
-        label, n = regions(mask, False)
-        size = np.bincount(label.ravel(), minlength=n + 1)
-        size[0] = 0
-        radius = float(np.sqrt(squared_depths(label == size.argmax(), False).max()))
-        return pd.DataFrame({"clip": pdf["clip"].iloc[:1], "frame": pdf["frame"].iloc[:1], "size": [size.max()], "radius": [radius]})
+    def measure(clips: pa.Array, frames: pa.Array, stack: np.ndarray) -> pa.RecordBatch:
+        size, radius = [], []
+        for mask in stack:
+            label, n = regions(mask, False)
+            count = np.bincount(label.ravel(), minlength=n + 1)
+            count[0] = 0
+            size.append(int(count.max()))
+            radius.append(float(np.sqrt(squared_depths(label == count.argmax(), False).max())) if n else 0.0)
+        pixels = pa.array(stack.sum((1, 2), dtype=np.int64))
+        return pa.RecordBatch.from_arrays([clips.cast(pa.int64()), frames.cast(pa.int64()), pixels, pa.array(size, pa.int64()), pa.array(radius, pa.float64())], names=["clip", "frame", "pixels", "size", "radius"])
 
-    return px.select(*PIXEL).groupBy(*FRAME).applyInPandas(measure, "clip long, frame long, size long, radius double")
+    return by_frame(gathered(px, width), measure, width, height, "clip long, frame long, pixels long, size long, radius double")
 
 
 def anchor_log(
     slots: DataFrame,
     overlaps: DataFrame,
     track_px: DataFrame,
-    found_px: DataFrame,
+    found_px: DataFrame | Callable[[DataFrame], DataFrame],
     width: int,
     height: int,
     score: float = 0.8,
@@ -165,7 +168,8 @@ def anchor_log(
     missed_largest_px, missed_radius.
 
     slots: clip, frame, logit (of the track); overlaps: clip, frame, detection (by falling score), score, overlap with the
-    track; track_px and found_px: pixels of the track and of the detections (with detection). Of the detections with enough
+    track; track_px and found_px: pixels of the track and of the detections (with detection), the latter also as a function of
+    the one detection (clip, frame, detection) that is logged for a frame, so that no others are made. Of the detections with enough
     score and overlap the first (or, with first off, the last) is the anchor. why is null where it fired, "no det" without a
     detection, "gate" without an anchor, and "track score" where the track isn't sure enough (sure 0: not asked). What is
     logged is the anchor, or else the detection that overlaps the track most (ties: the first); missed are the track's pixels
@@ -181,11 +185,10 @@ def anchor_log(
     why = F.when(F.col("fired"), None).when(F.col("best").isNull(), "no det").when(F.col("anchor").isNull(), "gate").otherwise("track score")
     df = df.select(*FRAME, "fired", why.alias("why"), F.col("shown.detection").alias("detection"), "shown.score", "shown.overlap", "logit")
     asked = df.where("detection IS NOT NULL").select(*FRAME, "detection")
-    missed = track_px.select(*PIXEL).distinct().join(asked, FRAME)
-    missed = missed.join(found_px.select(*FRAME, "detection", "x", "y").distinct(), [*FRAME, "detection", "x", "y"], "left_anti")
-    size = missed.groupBy(*FRAME).agg(F.count("*").alias("missed"))
-    df = df.join(size, FRAME, "left").join(largest_inside(missed, width, height), FRAME, "left")
-    lost = F.when(F.col("detection").isNotNull(), F.coalesce("missed", F.lit(0))).alias("missed_px")
+    own = found_px(asked) if callable(found_px) else found_px.join(asked, [*FRAME, "detection"], "left_semi")
+    missed = track_px.select(*PIXEL).join(asked.select(*FRAME), FRAME, "left_semi").join(own.select(*PIXEL), PIXEL, "left_anti")
+    df = df.join(largest_inside(missed, width, height), FRAME, "left")
+    lost = F.when(F.col("detection").isNotNull(), F.coalesce("pixels", F.lit(0))).alias("missed_px")
     digits = lambda c, n, to: F.round(c, n).alias(to)
     return df.select(
         *FRAME, "fired", "why", digits("score", 4, "det_score"), digits("overlap", 4, "iou"), digits("logit", 4, "track_logit"), lost,

@@ -221,7 +221,7 @@ def _slots(spark, d):
     slots = every.groupBy("clip", "frame").agg((F.avg("score") * 1.6).alias("logit"))
     own = every.where("track = 0 AND (clip + frame) % 6 > 0").select("clip", "frame", "detection", "score", "overlap")
     px = v.mask_px(spark, d)
-    found = px.join(own.select("clip", "frame", "detection"), ["clip", "frame"]).where("x < 40 AND (x + y + detection) % 3 > 0")
+    found = lambda asked: px.join(asked, ["clip", "frame"]).where("x < 40 AND (x + y + detection) % 3 > 0")
     return depths.anchor_log(slots, own, px, found, MW, MH, 0.3, 0.5)
 
 

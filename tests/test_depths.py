@@ -64,3 +64,24 @@ def test_anchor_log(spark):
     rest = [make([], "clip long, frame long, x long, y long"), make([], "clip long, frame long, detection long, x long, y long")]
     last = depths.anchor_log(make([(0, 0, 0.1)], "clip long, frame long, logit double"), two, *rest, w, h, sure=0.0, first=False).collect()[0]
     assert (last.fired, last.det_score, last.missed_px) == (True, 0.85, 0)
+
+
+def test_pixels_are_made_of_the_logged_detection_only(spark):
+    rng = np.random.default_rng(6)
+    h, w, many = 6, 8, 300
+    overlaps = [(0, f, d, 0.9, float(rng.random())) for f in range(3) for d in range(many)]
+    track = [(0, f, x, y) for f in range(3) for y in range(h) for x in range(w) if rng.random() < 0.7]
+    holds = lambda d, x, y: (x + 3 * y + d) % 4 > 0
+    make, asked = spark.createDataFrame, []
+    px = make(track, "clip long, frame long, x long, y long")
+
+    def found(wanted):
+        asked.extend(tuple(r) for r in wanted.collect())
+        return px.join(wanted, ["clip", "frame"]).where("(x + 3 * y + detection) % 4 > 0")
+
+    slots = make([(0, f, 2.0) for f in range(4)], "clip long, frame long, logit double")
+    log = depths.anchor_log(slots, make(overlaps, "clip long, frame long, detection long, score double, overlap double"), px, found, w, h, overlap=2.0)
+    best = {f: min((-o, d) for _, g, d, _, o in overlaps if g == f)[1] for f in range(3)}
+    assert sorted(asked) == [(0, f, d) for f, d in best.items()]
+    want = {f: sum(not holds(d, x, y) for _, g, x, y in track if g == f) for f, d in best.items()} | {3: None}
+    assert {r.frame: r.missed_px for r in log.collect()} == want
