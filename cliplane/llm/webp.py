@@ -61,8 +61,9 @@ def written(x: np.ndarray, form: str) -> bytes:
 
 def _images(payload: bytes) -> list[np.ndarray]:
     """The payload (a multiple of UNIT) as RGB samples of images WIDTH pixels wide."""
-    rgb = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3).astype(np.uint32)
-    x = rgb[..., 0] << np.uint32(16) | rgb[..., 1] << np.uint32(8) | rgb[..., 2] | np.uint32(0xFF000000)
+    argb = np.full((len(payload) // 3, 4), 0xFF, np.uint8)
+    argb[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, 3)
+    x = argb.view(">u4").astype(np.uint32).reshape(-1, WIDTH)
     return [x[k : k + MOST_ROWS] for k in range(0, len(x), MOST_ROWS)]
 
 
@@ -83,9 +84,7 @@ def load_many(media: list[bytes]) -> list[np.ndarray]:
     out = []
     for each in files:
         x = np.concatenate([next(every) for _ in each])
-        rgb = np.empty((*x.shape, 3), np.uint8)
-        rgb[..., 0], rgb[..., 1], rgb[..., 2] = x >> 16 & 0xFF, x >> 8 & 0xFF, x & 0xFF
-        out.append(rgb)
+        out.append(np.ascontiguousarray(x.astype(">u4").view(np.uint8).reshape(*x.shape, 4)[..., 1:]))
     return out
 
 
@@ -101,7 +100,7 @@ def padded(text: bytes) -> bytes:
 def feature(pixels: np.ndarray) -> str:
     """Size and mean of each channel of the decoded pixels."""
     h, w, _ = pixels.shape
-    mean = pixels.sum((0, 1), dtype=np.int64) * 1000 // (h * w)
+    mean = pixels.reshape(h, w * 3).sum(0, dtype=np.int64).reshape(w, 3).sum(0) * 1000 // (h * w)
     return f"{w}x{h}:" + ":".join(map(str, mean.tolist()))
 
 

@@ -2,7 +2,7 @@
 
 The stream of an image is read in two steps. The first finds where each symbol begins: the size of a whole pixel, or of a
 whole back-reference, is computed for every bit position at once (NumPy), for each group of prefix codes; with one group
-these are doubled to steps of eight symbols, so walking takes one look-up for eight. The second fills in the pixels: literals at once; a copied pixel points to the one it repeats, a pixel from the colour cache to
+these are doubled to steps of four symbols, so walking takes one look-up for four. The second fills in the pixels: literals at once; a copied pixel points to the one it repeats, a pixel from the colour cache to
 the last one before it with its slot, and the pointers are followed together by doubling.
 
 The transforms of many images are undone together, the predictor along diagonals: a pixel at x + 2 y = t needs only pixels
@@ -66,6 +66,7 @@ class Code:
         used = np.flatnonzero(lengths)
         self.width = 0
         self.listed: list[int] | None = None
+        self.runs: dict[int, tuple] = {}
         self.small = 0  # the least alphabet for which the same bits would mean the same code; 0 if they might not
         if len(used) == 1:
             self.symbol, self.size = used.astype(np.int16), np.zeros(1, np.uint8)
@@ -84,7 +85,25 @@ class Code:
         self.width, self.symbol, self.size = width, used.astype(np.int16)[pick], size.astype(np.uint8)[pick]
 
 
-@lru_cache(maxsize=64)
+def _run(code: Code, bits: int) -> tuple[int, int, int, tuple[list[int], int]]:
+    """What the whole symbols of a code for code lengths say that stand in the next 14 bits: how many symbols and lengths, their bits, the
+    lengths and the last one that isn't 0. A symbol that repeats the last length ends them. Kept with the code for each pattern of bits."""
+    both, mask, n, told, last = code.entries(), (1 << code.width) - 1, 0, 0, 0
+    lengths: list[int] = []
+    while True:
+        s = both[bits >> n & mask]
+        size, s = s >> 5, s & 31
+        end = n + size + (0 if s < 16 else 3 if s == 17 else 7)
+        if s == 16 or end > 14 or not size:
+            break
+        lengths += [s] if s < 16 else [0] * (3 + (bits >> n + size & 7) if s == 17 else 11 + (bits >> n + size & 127))
+        last = s if 0 < s < 16 else last
+        n, told = end, told + 1
+    code.runs[bits] = found = (told, len(lengths), n, (lengths, last))
+    return found
+
+
+@lru_cache(maxsize=16)
 def inner_code(lengths: bytes) -> Code:
     """A code for code lengths; writers repeat themselves, so the last ones are kept."""
     return Code(np.frombuffer(lengths, np.uint8).astype(np.int64))
@@ -131,14 +150,25 @@ def read_code(r: Reader, alphabet: int) -> Code:
     code = inner_code(bytes(inner.astype(np.uint8)))
     counted = r.bits(1)
     most = 2 + r.bits(2 + 2 * r.bits(3)) if counted else alphabet
-    both, mask = code.entries(), (1 << code.width) - 1
+    both, mask, runs = code.entries(), (1 << code.width) - 1, code.runs
     data, at, i, last = r.data, r.at, 0, 8
     v, left = 0, 0  # bits at hand
     found = [0] * alphabet
     while i < alphabet and most:
-        most -= 1
         if left < 14:
             v, left = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7), 64 - (at & 7)
+        w = v & 0x3FFF
+        told, many, n, new = runs[w] if w in runs else _run(code, w)
+        if told <= most and many <= alphabet - i and many:
+            found[i : i + many] = new[0]
+            last = new[1] or last
+            i += many
+            most -= told
+            at += n
+            v >>= n
+            left -= n
+            continue
+        most -= 1
         s = both[v & mask]
         n = s >> 5
         s &= 31
@@ -268,7 +298,7 @@ _NEAR = np.array([[x, y] for x, y in NEAR])
 
 def _bits(window: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The next n (at most 30) bits at these places."""
-    return (window[at].astype(np.int64) | window[at + 15].astype(np.int64) << 15) & ((1 << n) - 1)
+    return (window[at] | window[at + 15] << 15) & ((1 << n) - 1)
 
 
 def _prefix_values(code: np.ndarray, window: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,23 +310,26 @@ def _prefix_values(code: np.ndarray, window: np.ndarray, at: np.ndarray) -> tupl
 
 
 class Table:
-    """For one group of codes: at each bit of a block, where the next symbol begins and how many pixels this one makes."""
+    """For one group of codes: at each bit of a block, where the next symbol begins and how many pixels this one makes.
+
+    Places are whole words and all of them lie inside their tables, so take() neither converts nor checks them."""
 
     def __init__(self, g: list[Code], window: np.ndarray, room: int, width: int):
         self.g, self.window = g, window
         sizes: dict[int, np.ndarray] = {}
-        ends = np.arange(room, dtype=np.int32)
+        ends = np.arange(room)
+        green, ahead = g[0], None
         for k, code in enumerate(g[:4]):
             if code.width:
                 if id(code) not in sizes:
-                    sizes[id(code)] = code.size[window & np.int32((1 << code.width) - 1)]
+                    next_bits = window & ((1 << code.width) - 1)
+                    sizes[id(code)] = code.size.take(next_bits, mode="clip")
+                    ahead = ahead if k else next_bits
                 size = sizes[id(code)]
-                ends += size[:room] if not k else size[ends]
-        green = g[0]
+                ends += size.take(ends, mode="clip") if k else size[:room]
         self.plain = bool(green.symbol.max() < 256)
         if not self.plain:
-            mask = np.int32((1 << green.width) - 1)
-            symbol = green.symbol[window[:room] & mask]
+            symbol = np.full(room, green.symbol[0]) if ahead is None else green.symbol.take(ahead[:room], mode="clip")
             other = np.flatnonzero(symbol >= 256)
             alone = other + (sizes[id(green)][other] if green.width else 0)
             ends[other] = alone
@@ -307,7 +340,7 @@ class Table:
                 size, end = _prefix_values(symbol[self.at] - 256, window, alone)
                 far = g[4]
                 if far.width:
-                    v = window[end] & np.int32((1 << far.width) - 1)
+                    v = window[end] & ((1 << far.width) - 1)
                     code, end = far.symbol[v], end + far.size[v]
                 else:
                     code = np.full(len(end), far.symbol[0])
@@ -343,16 +376,20 @@ class Table:
         return pixels
 
     def walk(self, p: int, limit: int, need: int) -> np.ndarray:
-        """Where symbols begin, eight at a time, until there are as many as pixels are needed or the limit is passed."""
-        two = self.ends[self.ends]
-        four = two[two]
-        step, found = memoryview(four[four]), []
-        while p < limit and 8 * len(found) < need:
+        """Where symbols begin, four at a time, until there are as many as pixels are needed or the limit is passed."""
+        two = self.ends.take(self.ends, mode="clip")
+        four = two.take(two, mode="clip")
+        step, found = memoryview(four), []
+        for _ in range(0, need, 4):
+            if p >= limit:
+                break
             found.append(p)
             p = step[p]
         at = np.array(found, np.int64)
-        for jump in (four, two, self.ends):
-            at = np.stack([at, jump[at]], axis=1).ravel()
+        for jump in (two, self.ends):
+            both = np.empty((len(at), 2), np.int64)
+            both[:, 0], both[:, 1] = at, jump.take(at, mode="clip")
+            at = both.ravel()
         return at
 
 
@@ -374,10 +411,14 @@ def _decode_all(r: Reader, width: int, height: int, groups: list[list[Code]], wh
         if not len(raw):
             raise ValueError("the stream ends early")
         # behind the block's end there are zero bits; positions that would need bits from there go to the next block
-        pad = np.zeros(len(raw) + 32, np.uint32)
+        pad = np.zeros(len(raw) + 32, np.int64)
         pad[: len(raw)] = raw
-        word = pad[:-3] | pad[1:-2] << np.uint32(8) | pad[2:-1] << np.uint32(16) | pad[3:] << np.uint32(24)
-        window = ((word[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).ravel().view(np.int32)
+        word = pad[:-2] | pad[1:-1] << 8 | pad[2:] << 16
+        window = np.empty((len(word) - 1, 8), np.int64)
+        for k in range(8):
+            np.right_shift(word[:-1], k, out=window[:, k])
+        window &= 0x7FFF
+        window = window.ravel()
         room = 8 * (len(raw) + 4)
         tables = [Table(g, window, room, width) for g in groups]
         last = begin + len(raw) >= len(r.data)

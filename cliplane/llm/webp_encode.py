@@ -35,23 +35,30 @@ def code_lengths(count: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
     weight = count[used].astype(np.int64)
     while True:
         order = np.argsort(weight, kind="stable")
-        queue = weight[order].tolist()
-        n = len(queue)
+        n = len(order)
+        endless = int(weight.sum()) + 1
+        queue = [*weight[order].tolist(), endless]
         parent = [0] * (2 * n - 1)
-        made: list[int] = []
+        made = [endless] * n  # two queues, each with an end that never comes first: the leaves in order, and the nodes as they are made
         i = j = 0
-        for k in range(n, 2 * n - 1):  # two queues: the leaves in order, and the nodes as they are made
-            total = 0
-            for _ in (0, 1):
-                if i < n and (j >= len(made) or queue[i] <= made[j]):
-                    total += queue[i]
-                    parent[i] = k
-                    i += 1
-                else:
-                    total += made[j]
-                    parent[n + j] = k
-                    j += 1
-            made.append(total)
+        for k in range(n, 2 * n - 1):
+            a, b = queue[i], made[j]
+            if a <= b:
+                parent[i] = k
+                i += 1
+                total, a = a, queue[i]
+            else:
+                parent[n + j] = k
+                j += 1
+                total, b = b, made[j]
+            if a <= b:
+                parent[i] = k
+                i += 1
+                made[k - n] = total + a
+            else:
+                parent[n + j] = k
+                j += 1
+                made[k - n] = total + b
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
@@ -194,9 +201,24 @@ def best_elements(x: np.ndarray, tile: int) -> np.ndarray:
 
 
 def _prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, extra value, extra bits) of lengths or distance codes >= 1."""
+    """(code, extra value, extra bits) of lengths or distance codes >= 1; the usual ones are looked up."""
     if not len(v):
         return v, v, v
+    if v.max() < _USUAL:
+        return tuple(t.take(v) for t in _usual())
+    return _prefix(v)
+
+
+#: Lengths and distance codes below this are looked up.
+_USUAL = 1 << 13
+
+
+@lru_cache(maxsize=1)
+def _usual() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _prefix(np.arange(_USUAL))
+
+
+def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = v <= 4
     u = np.maximum(v - 1, 2)
     top = np.frexp(u.astype(np.float64))[1] - 1
@@ -245,7 +267,7 @@ def _put_image(w: Writer, x: np.ndarray, main: bool, cache_bits: int = 0, lz: bo
     """Pixels with back-references (lz), a colour cache, and groups of codes by tile (meta)."""
     width, px = x.shape[1], x.ravel()
     w.many(np.array([1, cache_bits] if cache_bits else [0]), np.array([1, 4] if cache_bits else [1]))
-    of = np.zeros(len(px), np.int64)
+    of = None  # the group of each pixel, with more than one
     if main:
         w.put(int(meta is not None), 1)
         if meta is not None:
@@ -253,16 +275,23 @@ def _put_image(w: Writer, x: np.ndarray, main: bool, cache_bits: int = 0, lz: bo
             _put_image(w, meta.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), False)
             of = np.repeat(np.repeat(meta, 1 << tile, axis=0), 1 << tile, axis=1)[: x.shape[0], :width].ravel().astype(np.int64)
     begin, size, back = copies_of(px) if lz else (np.zeros(0, np.int64),) * 3
-    inner = np.bincount(begin, minlength=len(px) + 1) - np.bincount(begin + size, minlength=len(px) + 1)
-    single = _where(np.cumsum(inner[:-1]) == 0)
-    is_hit = np.zeros(len(px), bool)
+    if len(begin):
+        inner = np.bincount(begin, minlength=len(px) + 1) - np.bincount(begin + size, minlength=len(px) + 1)
+        single = _where(np.cumsum(inner[:-1]) == 0)
+    else:
+        single = np.arange(len(px))
+    cached, literal = single[:0], single
     if cache_bits:
-        slot = slots(px, cache_bits).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
-        same = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
-        is_hit[order[1:][same]] = True
-    cached, literal = single[is_hit[single]], single[~is_hit[single]]
-    g, r, b, a = ((px[literal] >> np.uint32(s) & np.uint32(0xFF)).astype(np.int64) for s in (8, 16, 0, 24))
+        slot = slots(px, cache_bits)
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
+        by_slot, by_px = slot[order], px[order]
+        is_hit = np.zeros(len(px), bool)
+        is_hit[order[1:][(by_slot[1:] == by_slot[:-1]) & (by_px[1:] == by_px[:-1])]] = True
+        is_hit = is_hit[single]
+        cached, literal = single[is_hit], single[~is_hit]
+        slot = slot[cached].astype(np.int64)
+    rest = px[literal].astype(np.int64)
+    g, r, b, a = (rest >> s & 0xFF for s in (8, 16, 0, 24))
     near = near_codes(width)
     length_code, length_extra, length_bits = _prefixed(size)
     distance = np.array([near.get(d, d + 120) for d in back.tolist()], np.int64)
@@ -270,12 +299,18 @@ def _put_image(w: Writer, x: np.ndarray, main: bool, cache_bits: int = 0, lz: bo
     total = len(literal) + len(cached) + len(begin)
     value, bits, at = np.zeros(total, np.int64), np.zeros(total, np.int64), np.concatenate([literal, cached, begin])
     n_green = 280 + (1 << cache_bits if cache_bits else 0)
-    for k in range(int(of.max()) + 1 if len(of) else 1):
-        li, ca, co = _where(of[literal] == k), _where(of[cached] == k), _where(of[begin] == k)
-        green = np.bincount(np.concatenate([g[li], 280 + slot[cached[ca]] if cache_bits else g[:0], 256 + length_code[co]]), minlength=n_green)
+    parts_at = len(literal), len(literal) + len(cached)
+    for k in range(1 if of is None else int(of.max()) + 1):
+        if of is None:
+            li = ca = co = slice(None)
+            to = slice(parts_at[0]), slice(*parts_at), slice(parts_at[1], None)
+        else:
+            li, ca, co = _where(of[literal] == k), _where(of[cached] == k), _where(of[begin] == k)
+            to = li, parts_at[0] + ca, parts_at[1] + co
+        green = np.bincount(np.concatenate([g[li], 280 + slot[ca] if cache_bits else g[:0], 256 + length_code[co]]), minlength=n_green)
         # red and blue share a code, which is made and described once
         counts = [green, np.bincount(np.concatenate([r[li], b[li]]), minlength=256), np.bincount(a[li], minlength=256), np.bincount(dist_code[co], minlength=40)]
-        if not len(co) and not cache_bits and len(li):  # green has no other symbols than bytes, so all three share one
+        if not len(begin[co]) and not cache_bits and len(literal[li]):  # green has no other symbols than bytes, so all three share one
             counts[0] = counts[1] = counts[1] + green[:256]
             shared = np.append(code_lengths(counts[1]), np.zeros(24, np.int64))  # described as one that fits either alphabet
             tables = [shared, shared, shared, code_lengths(counts[2]), code_lengths(counts[3])]
@@ -292,17 +327,20 @@ def _put_image(w: Writer, x: np.ndarray, main: bool, cache_bits: int = 0, lz: bo
 
         def field(parts, to, made=made):
             """Put codes (table, symbols) and extra values (None, values, sizes) one after the other."""
-            v, n = np.zeros(len(to), np.int64), np.zeros(len(to), np.int64)
+            v = n = None
             for part in parts:
-                one, own = (made[part[0]][0][part[1]], made[part[0]][1][part[1]]) if part[0] is not None else part[1:]
-                v |= one << n
-                n += own
-            value[to], bits[to] = v, n
-
-        field([(0, g[li]), (1, r[li]), (2, b[li]), (3, a[li])], li)
+                if part[0] is not None and not made[part[0]][1].any():
+                    continue  # a single symbol takes no bits
+                one, own = (made[part[0]][0].take(part[1]), made[part[0]][1].take(part[1])) if part[0] is not None else part[1:]
+                v, n = (one, own) if v is None else (v | one << n, n + own)
+            if v is not None:
+                value[to], bits[to] = v, n
+
+        field([(0, g[li]), (1, r[li]), (2, b[li]), (3, a[li])], to[0])
         if cache_bits:
-            field([(0, 280 + slot[cached[ca]])], len(literal) + ca)
-        field([(0, 256 + length_code[co]), (None, length_extra[co], length_bits[co]), (4, dist_code[co]), (None, dist_extra[co], dist_bits[co])], len(literal) + len(cached) + co)
+            field([(0, 280 + slot[ca])], to[1])
+        if len(begin):
+            field([(0, 256 + length_code[co]), (None, length_extra[co], length_bits[co]), (4, dist_code[co]), (None, dist_extra[co], dist_bits[co])], to[2])
     order = np.argsort(at, kind="stable")
     w.many(value[order], bits[order])
 

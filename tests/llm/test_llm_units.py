@@ -445,3 +445,27 @@ def test_toxicity_features_again_word_by_word():
         for name, value in want.items():
             assert abs(row[column[name]] - value) < 1e-9, (t, name)
     assert x[3][column["obfuscated"]] > 0 and x[1][column["obfuscated"]] == 0 and x[0][column["aimed"]] > 0 and x[1][column["aimed"]] == 0
+
+
+def test_webp_code_lengths_in_runs_are_those_read_one_by_one(monkeypatch):
+    from cliplane.llm import webp_decode, webp_encode
+
+    rng = np.random.default_rng(12)
+    real, longest = webp_decode._run, []
+
+    def noted(code, bits):
+        found = real(code, bits)
+        longest.append(found[0])
+        return found
+
+    monkeypatch.setattr(webp_decode, "_run", noted)
+    webp_decode.inner_code.cache_clear()
+    for n in (3, 40, 200, 280):
+        lengths = webp_encode.code_lengths(np.where(rng.random(280) < n / 280, rng.integers(1, 50, 280), 0))
+        w = webp_encode.Writer()
+        values, sizes = webp_encode.code_header(lengths)
+        w.many(np.array(values, np.int64), np.array(sizes, np.int64))
+        found = webp_decode.read_code(webp_decode.Reader(w.bytes()), 280)
+        want = webp_decode.Code(lengths)
+        assert found.width == want.width and (found.symbol == want.symbol).all() and (found.size == want.size).all()
+    assert max(longest) >= 3
