@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliplane.operators.masks import FRAME, PIXEL, render_identity
+from cliplane.operators.losses import latent_reader
+from cliplane.operators.masks import FRAME, PIXEL, by_frame, gathered, listed, render_identity
 
 #: A colour counts as on above this level; the person's colour; backgrounds of driving and reference masks by mode.
 ON = 225 / 255
@@ -77,6 +80,17 @@ def latent_reading(cells: DataFrame, width: int, height: int) -> DataFrame:
     return df.select(*FRAME, F.col("i").alias("x"), F.explode("k").alias("y"))
 
 
+def readings(px: DataFrame, width: int, height: int) -> DataFrame:
+    """clip, frame, on: latent_reading of the cells of masks (rows or gathered) as gathered masks, of frames with any. Gathered masks are
+    read where they are, and no pixel is shuffled."""
+    read = latent_reader(width, height)
+
+    def step(clips: pa.Array, frames: pa.Array, stack: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([clips.cast(pa.int64()), frames.cast(pa.int64()), listed(read(stack)[0])], names=["clip", "frame", "on"])
+
+    return by_frame(gathered(px, width), step, width, height, "clip long, frame long, on array<int>").where(F.size("on") > 0)
+
+
 def character_flags(area: Column, torn: Column) -> Column:
     """Checks of every reference mask: reference_empty without a pixel, reference_fragmented with a large detached piece (torn)."""
     return F.array_compact(F.array(F.when(area == 0, "reference_empty"), F.when(torn, "reference_fragmented")))

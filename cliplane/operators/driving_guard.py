@@ -48,7 +48,8 @@ def driving_rows(px: DataFrame, frames: DataFrame, width: int, height: int, pose
         df = df.join(torn, FRAME, "left").withColumn("fragments", F.coalesce("fragments", _empty("double")))
         none = {c: F.lit(None).cast("double") for c in ("mask_loss", "mask_to_box", "mask_outside_box", "attached_leak", "box_iou_prev")}
         return settled(df.withColumns({**none, "box_reliable": F.lit(False), "head_out": _empty("string"), "limbs_out": _empty("string")}).select("clip", *ROW))
-    reading = driving.latent_reading(masks.cells(px, width, height), width, height)
+    at = F.explode("on").alias("at")
+    reading = driving.readings(px, width, height).select(*FRAME, at).select(*FRAME, (F.col("at") % width).cast("long").alias("x"), F.expr(f"at div {width}").alias("y"))
     own = guards.mask_measures(posed.frames, px, width, height, threshold).select(*FRAME, "mask_to_box", "box_reliable", F.when(F.col("mask_area") > 0, F.col("outside")).alias("mask_outside_box"))
     seen = guards.mask_measures(posed.frames, reading, width, height, threshold, every=True).select(*FRAME, "head_out")
     limbs = losses.limbs_out(posed.parts, reading, width, height, threshold, frames=px).select(*FRAME, F.col("limbs").alias("limbs_out"))

@@ -105,8 +105,7 @@ hf AS (SELECT clip, frame, x // 2 AS x, y // 2 AS y FROM fg GROUP BY 1, 2, 3, 4
 
 @query(f"WITH {_FIGURE} SELECT clip, frame, 192 * count(*) AS pixels FROM cl GROUP BY 1, 2")
 def driving_reading(spark, d):
-    cells = masks.cells(v.figure_px(spark, d), 32, 24)
-    return driving.latent_reading(cells, 32, 24).groupBy("clip", "frame").agg(F.count("*").alias("pixels"))
+    return driving.readings(v.figures(spark, d), 32, 24).select("clip", "frame", F.size("on").cast("long").alias("pixels"))
 
 
 _DRIVING = f"""WITH {v.MASK_SQL}, n AS (SELECT clip, frame, count(*) AS n FROM px GROUP BY 1, 2)"""

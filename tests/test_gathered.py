@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cliplane.operators import depths, losses, masks, repairs
+from cliplane.operators import depths, driving, losses, masks, repairs
 from cliplane.plans import catalog
 
 
@@ -53,3 +53,20 @@ def test_masks_are_not_broadcast(spark, tmp_path):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "rightHint=(strategy=merge)" in plan or "leftHint=(strategy=merge)" in plan, name
         assert "explode(sequence(0, 21" not in plan  # no row for each pixel
+
+
+def test_readings_are_those_of_cells_and_shuffle_nothing(spark):
+    rng = np.random.default_rng(8)
+    width, height, clear = 56, 40, 0
+    rows = []
+    for f in range(12):
+        mask = np.kron(rng.random((10, 14)) < rng.choice([0.0, 0.3, 0.6, 0.9]), np.ones((4, 4), bool))
+        rows += [(1, f, int(x), int(y)) for y, x in np.argwhere(mask)]
+    px = spark.createDataFrame(rows, "clip long, frame long, x long, y long")
+    wide = masks.gathered(px, width)
+    want = sorted((r.clip, r.frame, r.y * width + r.x) for r in driving.latent_reading(masks.cells(px, width, height), width, height).collect())
+    for some in (px, wide):
+        found = driving.readings(some, width, height).collect()
+        assert sorted((r.clip, r.frame, p) for r in found for p in r.on) == want and want
+    held = spark.createDataFrame([(r.clip, r.frame, r.on) for r in wide.collect()], "clip long, frame long, on array<int>")
+    assert "Exchange" not in driving.readings(held, width, height)._jdf.queryExecution().executedPlan().toString()
