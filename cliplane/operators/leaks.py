@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from cliplane.operators.pose import DRAW, LIMB_WIDTH, LIMBS, at, body_scale, dra
 
 #: Frames either side, body scales around the skeleton, and the shares at which a piece is reported and is a second body.
 BESIDE, ZONE, SPECK, SECOND = 2, 0.25, 0.01, 0.05
+#: Rows that are objects of Python at a time.
+FEW = 64
 
 
 def seen_points(width: int, height: int, threshold: float = DRAW) -> Column:
@@ -90,6 +93,13 @@ def _unseen(x: np.ndarray, y: np.ndarray, lines, reach: float) -> int:
     return int((np.hypot(x - ax - t * dx, y - ay - t * dy) > reach).all(0).sum())
 
 
+def _some(batches: Iterator[pa.RecordBatch], few: int = FEW) -> Iterator[pd.DataFrame]:
+    """Few rows of Arrow batches at a time, so that lists of a whole batch never are Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, few):
+            yield batch.slice(k, few).to_pandas()
+
+
 def person_parts(frames: DataFrame, px: DataFrame, width: int, height: int) -> DataFrame:
     """clip, frame, fragments (falling shares), attached_leak: how much of the person's part lies where neither the masks of the frames
     beside, grown by a fiftieth of the person's size, nor the skeleton are, as a share of the median area beside; 0 without a mask or a
@@ -105,13 +115,19 @@ def person_parts(frames: DataFrame, px: DataFrame, width: int, height: int) -> D
     none = F.expr("CAST(array() AS array<bigint>)")
     df = frames.select(*FRAME, "seen", "lines", "scale").join(on, FRAME, "left").withColumn("on", F.coalesce("on", none))
 
-    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            tables = [Pieces(_mask(r.on, width, height), None if r.seen is None else np.asarray(r.seen, int)) for r in pdf.itertuples(index=False)]
-            yield pdf.assign(part=[np.packbits(p.mask_of(p.theirs())).tobytes() for p in tables], bits=[np.packbits(p.label > 0).tobytes() for p in tables])
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, bits = [], []
+            for pdf in _some([batch.select(["seen", "on"])]):
+                for r in pdf.itertuples(index=False):
+                    p = Pieces(_mask(r.on, width, height), None if r.seen is None else np.asarray(r.seen, int))
+                    part.append(np.packbits(p.mask_of(p.theirs())).tobytes())
+                    bits.append(np.packbits(p.label > 0).tobytes())
+            own = [pa.array(part, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "part", "bits"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("part", T.BinaryType()), T.StructField("bits", T.BinaryType())])
-    df = df.mapInPandas(alone, schema)
+    df = df.mapInArrow(alone, schema)
     w = Window.partitionBy("clip").orderBy("frame")
     beside = [k for k in range(-BESIDE, BESIDE + 1) if k]
     take = lambda k: F.when(F.lag("frame", -k).over(w) == F.col("frame") + k, F.lag(F.struct("part", "bits"), -k).over(w))
@@ -136,12 +152,15 @@ def person_parts(frames: DataFrame, px: DataFrame, width: int, height: int) -> D
         y, x = np.nonzero(pieces.mask_of(own) & ~grown)
         return torn, _unseen(x, y, r.lines, max(3, int(ZONE * r.scale))) / max(median, 1.0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in _some(batches):
             found = [(r.clip, r.frame, *judge(r)) for r in pdf.itertuples(index=False)]
-            yield pd.DataFrame(found, columns=["clip", "frame", "fragments", "attached_leak"])
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["clip", "frame", "fragments", "attached_leak"])
 
-    return df.mapInPandas(run, "clip long, frame long, fragments array<double>, attached_leak double")
+    return df.mapInArrow(run, "clip long, frame long, fragments array<double>, attached_leak double")
 
 
 def pose_frames(parts: DataFrame, width: int, height: int, threshold: float = DRAW) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scripted cases of the person's part of a mask."""
 
 import numpy as np
+import pyarrow as pa
 
 from cliplane.operators import leaks
 
@@ -57,3 +58,10 @@ def test_leaks_that_join_for_a_frame(spark):
     assert parts(spark, [BODY, BODY, grown, grown, BODY], {}, None)[2][1] == 0.0
     assert parts(spark, [grown], {}, None)[0][1] == 0.0
     assert parts(spark, [BODY, np.zeros_like(BODY), BODY], {}, None)[1] == ([], 0.0)
+
+
+def test_few_rows_are_objects_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([[k] * 3 for k in range(1000)])], names=["frame", "on"])
+    parts = list(leaks._some([batch, batch.slice(0, 0)]))
+    assert max(map(len, parts)) == leaks.FEW and sum(map(len, parts)) == 1000
+    assert [v[0] for p in parts for v in p["on"]] == list(range(1000))
