@@ -5,6 +5,9 @@ whole back-reference, is computed for every bit position at once (NumPy), for ea
 these are doubled to steps of four symbols, so walking takes one look-up for four. The second fills in the pixels: literals at once; a copied pixel points to the one it repeats, a pixel from the colour cache to
 the last one before it with its slot, and the pointers are followed together by doubling.
 
+Of many images the main streams are read side by side instead (`side_by_side`): each step reads one symbol of every image. The
+longest ones, which would walk on alone, and any that is damaged take the way for one image.
+
 The transforms of many images are undone together, the predictor along diagonals: a pixel at x + 2 y = t needs only pixels
 of smaller t, so each t is one step for all images.
 """
@@ -12,7 +15,7 @@ of smaller t, so each t is one step for all images.
 from __future__ import annotations
 
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -26,6 +29,12 @@ HASH = 0x1E35A7BD
 GROUPS = 8
 #: Bytes of the stream that such a table covers.
 BLOCK = 1 << 18
+#: Images of so few pixels are read symbol by symbol.
+TINY = 48
+#: So many of the longest images are read by themselves: a step that reads a symbol of fewer images doesn't pay.
+LANES = 128
+#: Entries of code tables (two bytes each) that are held for images read side by side.
+ENTRIES = 1 << 24
 
 
 # ---------------------------------------------------------------- bits and prefix codes
@@ -62,15 +71,19 @@ class Code:
             self.listed = (self.symbol.astype(np.int64) | self.size.astype(np.int64) << 5).tolist()
         return self.listed
 
-    def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
-        self.width = 0
+    def __init__(self, lengths: np.ndarray | bytes):
+        self.lengths = lengths if isinstance(lengths, bytes) else lengths.astype(np.uint8).tobytes()
         self.listed: list[int] | None = None
         self.runs: dict[int, tuple] = {}
         self.small = 0  # the least alphabet for which the same bits would mean the same code; 0 if they might not
+
+    @cached_property
+    def table(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """Width, and symbol and size of each place."""
+        lengths = np.frombuffer(self.lengths, np.uint8)
+        used = np.flatnonzero(lengths)
         if len(used) == 1:
-            self.symbol, self.size = used.astype(np.int16), np.zeros(1, np.uint8)
-            return
+            return 0, used.astype(np.int16), np.zeros(1, np.uint8)
         if not len(used):
             raise ValueError("a prefix code has no symbol")
         size = lengths[used].astype(np.int64)
@@ -82,7 +95,19 @@ class Code:
             raise ValueError("a prefix code is incomplete")
         flat = np.repeat(np.arange(len(used)), span)  # by the code read from its highest bit
         pick = flat[reverse(width)]
-        self.width, self.symbol, self.size = width, used.astype(np.int16)[pick], size.astype(np.uint8)[pick]
+        return width, used.astype(np.int16)[pick], size.astype(np.uint8)[pick]
+
+    @property
+    def width(self) -> int:
+        return self.table[0]
+
+    @property
+    def symbol(self) -> np.ndarray:
+        return self.table[1]
+
+    @property
+    def size(self) -> np.ndarray:
+        return self.table[2]
 
 
 def _run(code: Code, bits: int) -> tuple[int, int, int, tuple[list[int], int]]:
@@ -104,9 +129,20 @@ def _run(code: Code, bits: int) -> tuple[int, int, int, tuple[list[int], int]]:
 
 
 @lru_cache(maxsize=16)
-def inner_code(lengths: bytes) -> Code:
-    """A code for code lengths; writers repeat themselves, so the last ones are kept."""
-    return Code(np.frombuffer(lengths, np.uint8).astype(np.int64))
+def inner_code(many: int, shown: int) -> Code:
+    """A code for code lengths, of which so many are told, three bits each; writers repeat themselves, so the last ones are kept."""
+    lengths = bytearray(19)
+    for k in range(many):
+        lengths[ORDER[k]] = shown >> 3 * k & 7
+    return Code(bytes(lengths))
+
+
+@lru_cache(maxsize=1024)
+def simple_code(alphabet: int, first: int, second: int) -> Code:
+    """A code of one symbol (told twice) or two."""
+    lengths = bytearray(alphabet)
+    lengths[first] = lengths[second] = 1
+    return Code(bytes(lengths))
 
 
 _REVERSED: dict[int, np.ndarray] = {}
@@ -134,20 +170,14 @@ def read_symbol(r: Reader, code: Code) -> int:
 
 
 def read_code(r: Reader, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, np.int64)
     if r.bits(1):
         two, wide = r.bits(1), r.bits(1)
         symbols = [r.bits(8 if wide else 1)] + ([r.bits(8)] if two else [])
         if max(symbols) >= alphabet:
             raise ValueError("a symbol is outside its alphabet")
-        lengths[symbols] = 1
-        return Code(lengths)
-    inner = np.zeros(19, np.int64)
+        return simple_code(alphabet, symbols[0], symbols[-1])
     many = 4 + r.bits(4)
-    shown = r.bits(3 * many)
-    for k in range(many):
-        inner[ORDER[k]] = shown >> 3 * k & 7
-    code = inner_code(bytes(inner.astype(np.uint8)))
+    code = inner_code(many, r.bits(3 * many))
     counted = r.bits(1)
     most = 2 + r.bits(2 + 2 * r.bits(3)) if counted else alphabet
     both, mask, runs = code.entries(), (1 << code.width) - 1, code.runs
@@ -191,11 +221,10 @@ def read_code(r: Reader, alphabet: int) -> Code:
         at += n
         v >>= n
         left -= n
-    lengths[:] = found[:alphabet]
     r.at = at
     if at > r.end:
         raise ValueError("the stream ends early")
-    out = Code(lengths)
+    out = Code(bytes(found[:alphabet]))
     out.small = i + 1 if counted and not most else 0
     return out
 
@@ -241,28 +270,48 @@ def slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
     return (pixels.astype(np.uint32) * np.uint32(HASH)) >> np.uint32(32 - cache_bits)
 
 
+class Coded:
+    """An image whose codes are read and whose pixels are still to be read."""
+
+    def __init__(self, r: Reader, width: int, height: int, main: bool):
+        self.r, self.width, self.height = r, width, height
+        self.cache_bits = 0
+        if r.bits(1):
+            self.cache_bits = r.bits(4)
+            if not 1 <= self.cache_bits <= 11:
+                raise ValueError("the colour cache has a wrong size")
+        self.meta, self.tile = None, 0
+        if main and r.bits(1):
+            self.tile = r.bits(3) + 2
+            self.meta = (decode_image(r, (width + (1 << self.tile) - 1) >> self.tile, (height + (1 << self.tile) - 1) >> self.tile, False) >> 8) & 0xFFFF
+        self.groups = _groups(r, 1 if self.meta is None else int(self.meta.max()) + 1, self.cache_bits)
+        self.begin = r.at
+
+    def which(self) -> np.ndarray:
+        """The group of each pixel."""
+        return tiled(self.meta, self.tile, self.height, self.width).ravel()
+
+    def pixels(self) -> np.ndarray:
+        """The image, read by itself; its reader then stands behind it."""
+        r, width, height, groups, out = self.r, self.width, self.height, self.groups, None
+        r.at = self.begin
+        for code in {id(c): c for g in groups for c in g}.values():
+            _ = code.table  # a code that can't be read is told even if no pixel needs it
+        if len(groups) <= GROUPS and (width * height > TINY or _constant(groups)):
+            which = self.which().astype(np.uint8) if self.meta is not None and len(groups) > 1 else None
+            out = _decode_all(r, width, height, groups, which, self.cache_bits)
+        if out is None:
+            r.at = self.begin
+            out = _decode_each(r, width, height, groups, self.meta, self.tile, self.cache_bits)
+        return out.reshape(height, width)
+
+
+def _constant(groups: list[list[Code]]) -> bool:
+    return len(groups) == 1 and not any(c.width for c in groups[0][:4]) and groups[0][0].symbol[0] < 256
+
+
 def decode_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
-    cache_bits = 0
-    if r.bits(1):
-        cache_bits = r.bits(4)
-        if not 1 <= cache_bits <= 11:
-            raise ValueError("the colour cache has a wrong size")
-    meta, tile = None, 0
-    if main and r.bits(1):
-        tile = r.bits(3) + 2
-        meta = (decode_image(r, (width + (1 << tile) - 1) >> tile, (height + (1 << tile) - 1) >> tile, False) >> 8) & 0xFFFF
-    groups = _groups(r, 1 if meta is None else int(meta.max()) + 1, cache_bits)
-    begin = r.at
-    out = None
-    if len(groups) <= GROUPS:
-        which = None
-        if meta is not None and len(groups) > 1:
-            which = np.repeat(np.repeat(meta, 1 << tile, axis=0), 1 << tile, axis=1)[:height, :width].astype(np.uint8).ravel()
-        out = _decode_all(r, width, height, groups, which, cache_bits)
-    if out is None:
-        r.at = begin
-        out = _decode_each(r, width, height, groups, meta, tile, cache_bits)
-    return out.reshape(height, width)
+    return Coded(r, width, height, main).pixels()
 
 
 def _decode_each(r: Reader, width: int, height: int, groups, meta, tile: int, cache_bits: int) -> np.ndarray:
@@ -397,7 +446,7 @@ def _decode_all(r: Reader, width: int, height: int, groups: list[list[Code]], wh
     """All pixels; None if the colour cache is asked for a slot that was never filled."""
     total = width * height
     first = groups[0]
-    if len(groups) == 1 and not any(c.width for c in first[:4]) and first[0].symbol[0] < 256:
+    if _constant(groups):
         value = int(first[3].symbol[0]) << 24 | int(first[1].symbol[0]) << 16 | int(first[0].symbol[0]) << 8 | int(first[2].symbol[0])
         return np.full(total, value, np.uint32)
     out = np.zeros(total, np.uint32)
@@ -522,6 +571,215 @@ def _followed(out: np.ndarray, hit: np.ndarray, copies: list[tuple[int, int, int
     return out[_doubled(points)]
 
 
+# ---------------------------------------------------------------- many images
+
+
+#: Extra bits and least value of lengths and distances by their prefix code.
+_EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(40)])
+_BASE = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
+SYMBOL = 0xFFF
+
+
+def code_tables(codes: list[Code]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tables of many codes: entries (symbol and, 12 bits up, size) one table after the other, the first entry and the width of each,
+    and whether it is a code at all."""
+    length = np.frombuffer(b"".join(c.lengths for c in codes), np.uint8)
+    many = np.array([len(c.lengths) for c in codes])
+    used = np.flatnonzero(length)
+    code = np.repeat(np.arange(len(codes)), many)[used]
+    symbol, size = (used - (np.cumsum(many) - many)[code]).astype(np.uint16), length[used].astype(np.int64)
+    width = np.zeros(len(codes), np.int64)
+    np.maximum.at(width, code, size)
+    count = np.bincount(code, minlength=len(codes))
+    alone = count == 1
+    width[alone] = 0
+    span = 1 << np.maximum(width[code] - size, 0)
+    good = np.bincount(code, span, len(codes)) == 1 << width
+    width[~good] = 0
+    # by width, so that codes of one width are rows of one table; within a code by size, then symbol
+    order = np.argsort(((width[code] << 40) | (code << 8) | np.where(alone[code], 0, size)), kind="stable")
+    order = order[good[code[order]]]
+    flat = np.repeat(symbol[order] | np.where(alone[code], 0, size)[order].astype(np.uint16) << np.uint16(12), span[order])
+    first, at = np.zeros(len(codes), np.int64), 0
+    out = np.zeros(max(1, len(flat)), np.uint16)
+    for w in np.unique(width[good]).tolist():
+        of = np.flatnonzero(good & (width == w))
+        rows = flat[at : at + (len(of) << w)].reshape(len(of), 1 << w)
+        out[at : at + rows.size] = rows.take(reverse(w), axis=1).ravel()
+        first[of] = at + (np.arange(len(of)) << w)
+        at += rows.size
+    return out, first, width, good
+
+
+def side_by_side(coded: list[Coded]) -> list[np.ndarray | None]:
+    """The pixels of many images, of which each step reads one symbol; None for one that has to be read by itself."""
+    known: dict[int, int] = {}
+    codes: list[Code] = []
+    for c in coded:
+        for g in c.groups:
+            for code in g:
+                if id(code) not in known:
+                    known[id(code)] = len(codes)
+                    codes.append(code)
+    entries, first, width, good = code_tables(codes)
+    of = np.array([[known[id(code)] for code in g] for c in coded for g in c.groups])
+    n_groups = np.array([len(c.groups) for c in coded])
+    group0 = np.cumsum(n_groups) - n_groups
+    base, mask = first[of], (1 << width[of]) - 1  # by group and code
+    okay = np.logical_and.reduceat(good[of].all(1), group0)
+    data = b"".join(c.r.data for c in coded) + bytes(16)
+    byte = np.array([len(c.r.data) for c in coded])
+    byte0 = np.cumsum(byte) - byte
+    words = np.ndarray(len(data) - 8, "<i8", data, strides=(1,)).copy()  # the 8 bytes from each on
+    total = np.array([c.width * c.height for c in coded])
+    pixel0 = np.cumsum(total) - total
+    start, limit = 8 * byte0 + [c.begin for c in coded], 8 * (byte0 + byte)
+    across = np.array([c.width for c in coded])
+    which = np.zeros(int(total.sum()), np.int64)
+    for k in np.flatnonzero(n_groups > 1).tolist():
+        which[pixel0[k] : pixel0[k] + total[k]] = coded[k].which()
+
+    def next_bits(p: np.ndarray) -> np.ndarray:
+        return words.take(p >> 3, mode="clip") >> (p & 7)
+
+    singles, copies = [], []
+    for lane in (np.flatnonzero(okay & (n_groups == 1)), np.flatnonzero(okay & (n_groups > 1))):
+        several = bool(len(lane) and n_groups[lane[0]] > 1)
+        p, at, left = start[lane], pixel0[lane], (pixel0 + total)[lane]
+        b, m = base.T[:, group0[lane]], mask.T[:, group0[lane]]
+        clear = several or m[3].any()
+        alpha = entries.take(b[3])
+        while len(lane):
+            if several:
+                g = group0[lane] + which.take(at)
+                b, m = base.take(g, axis=0).T, mask.take(g, axis=0).T
+            v = next_bits(p)
+            green = entries.take(b[0] + (v & m[0]))
+            e = green.astype(np.int64)
+            size = e >> 12
+            v >>= size
+            red = entries.take(b[1] + (v & m[1]))
+            n = red.astype(np.int64) >> 12
+            size += n
+            v >>= n
+            blue = entries.take(b[2] + (v & m[2]))
+            size += blue >> 12
+            end = p + size
+            if clear:
+                alpha = entries.take(b[3] + (next_bits(end) & m[3]))
+                end += alpha >> 12
+            singles.append((at, green, red, blue, alpha))
+            made = at + 1
+            e &= SYMBOL
+            other = (e >= 256).nonzero()[0]
+            if len(other):
+                s = e[other]
+                q = p[other] + (green[other] >> 12)
+                end[other] = q
+                copy = s < 280
+                if copy.any():
+                    c, q, k = other[copy], q[copy], s[copy] - 256
+                    v, bits = next_bits(q), _EXTRA[k]
+                    length = _BASE[k] + (v & ((1 << bits) - 1))
+                    far = entries.take(b[4][c] + (v >> bits & m[4][c])).astype(np.int64)
+                    q += bits + (far >> 12)
+                    k = far & SYMBOL
+                    bits = _EXTRA[k]
+                    copies.append((at[c], length, _BASE[k] + (next_bits(q) & ((1 << bits) - 1))))
+                    end[c] = q + bits
+                    made[c] += length - 1
+            p, at = end, made
+            on = at < left
+            if not on.all():
+                off = ~on
+                okay[lane[off]] = (p[off] <= limit[lane[off]]) & (at[off] == left[off])
+                lane, p, at, left = lane[on], p[on], at[on], left[on]
+                if not several:
+                    b, m = b[:, on], m[:, on]
+                    clear, alpha = m[3].any(), alpha[on]
+    joined = lambda parts, n: [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * n
+    at, green, red, blue, alpha = joined(singles, 5)
+    green &= SYMBOL
+    to, length, back = joined(copies, 3)
+    lane_of = np.repeat(np.arange(len(coded)), total)
+    from_ = lane_of[to]
+    near = _NEAR[np.minimum(back, 120) - 1]
+    back = np.where(back > 120, back - 120, np.maximum(1, near[:, 0] + near[:, 1] * across[from_]))
+    okay[from_[back > to - pixel0[from_]]] = False
+    out = np.zeros(int(total.sum()), np.uint32)
+    pixel = (alpha & 0xFF).astype(np.uint32) << 24 | (red & 0xFF).astype(np.uint32) << 16 | green.astype(np.uint32) << 8 | (blue & 0xFF)
+    out[at] = pixel  # those of other symbols mean nothing and are filled in below
+    # a copied pixel points to the one it repeats
+    mine = okay[from_]
+    to, length, back = to[mine], length[mine], back[mine]
+    k = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    copied = np.repeat(to, length) + k
+    points = np.arange(len(out))
+    points[copied] = np.repeat(to - back, length) + k % np.repeat(back, length)
+    _follow(points, copied)
+    asked = np.flatnonzero(green >= 280)
+    asked = asked[okay[lane_of[at[asked]]]]
+    if len(asked):
+        slot, asked = green[asked].astype(np.int64) - 280, at[asked]
+        okay[_from_cache(out, points, asked, slot, lane_of[asked], pixel0, total, np.array([c.cache_bits for c in coded]))] = False
+        copied = np.concatenate([copied, asked])
+        _follow(points, copied)
+    out[copied] = out[points[copied]]
+    return [out[a : a + n].reshape(c.height, c.width) if good_ else None for c, a, n, good_ in zip(coded, pixel0.tolist(), total.tolist(), okay.tolist(), strict=True)]
+
+
+def _follow(points: np.ndarray, some: np.ndarray) -> None:
+    """Let some points go to where their chain ends."""
+    while True:
+        far = points[points[some]]
+        if np.array_equal(far, points[some]):
+            return
+        points[some] = far
+
+
+def _from_cache(out, points, asked, slot, lane, pixel0, total, cache_bits) -> np.ndarray:
+    """Let pixels from the cache point to the last one before with their slot; gives the lanes that ask for one that was never filled."""
+    lanes = np.unique(lane)
+    hit = np.full(len(out), -1, np.int64)
+    hit[asked] = slot
+    k = np.arange(int(total[lanes].sum())) - np.repeat(np.cumsum(total[lanes]) - total[lanes], total[lanes])
+    every, of = np.repeat(pixel0[lanes], total[lanes]) + k, np.repeat(lanes, total[lanes])
+    root = points[every]
+    hashed = (out[root] * np.uint32(HASH) >> (32 - cache_bits[of]).astype(np.uint32)).astype(np.int64)
+    key = np.where(hit[root] >= 0, hit[root], hashed) | of << 11
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    before = np.full(len(out), -1, np.int64)
+    before[every[order[1:][same]]] = every[order[:-1][same]]
+    found = before[asked] >= 0
+    points[asked[found]] = before[asked[found]]
+    return np.unique(lane[~found])
+
+
+def read_all(coded: list[Coded]) -> list[np.ndarray]:
+    """Pixels of many images: the longest, and those that fail among others, by themselves."""
+    out: list[np.ndarray | None] = [None] * len(coded)
+    order = sorted(range(len(coded)), key=lambda k: -coded[k].width * coded[k].height)[LANES:]
+    lanes: list[int] = []
+    held = 0
+    for k in order:
+        codes = {id(code): code for g in coded[k].groups for code in g}
+        room = sum(1 << max(code.lengths) for code in codes.values())
+        if lanes and held + room > ENTRIES:
+            _fill(coded, lanes, out)
+            lanes, held = [], 0
+        lanes.append(k)
+        held += room
+    _fill(coded, lanes, out)
+    return [c.pixels() if x is None else x for c, x in zip(coded, out, strict=True)]
+
+
+def _fill(coded: list[Coded], lanes: list[int], out: list[np.ndarray | None]) -> None:
+    if len(lanes) > LANES // 2:
+        for k, x in zip(lanes, side_by_side([coded[k] for k in lanes]), strict=True):
+            out[k] = x
+
+
 # ---------------------------------------------------------------- transforms
 
 
@@ -535,85 +793,120 @@ def _packed(c: np.ndarray) -> np.ndarray:
     return c[..., 0] << 24 | c[..., 1] << 16 | c[..., 2] << 8 | c[..., 3]
 
 
-def _predict(mode: int, left, top, right, corner):
-    """Prediction of pixels [..., 4] from their neighbours (right: above right, corner: above left)."""
-    half = lambda a, b: (a + b) >> 1
-    if mode == 0 or mode > 13:
-        return np.broadcast_to(np.array([255, 0, 0, 0], np.int32), top.shape)
-    if mode == 11:
-        a, b = np.abs(top - corner).sum(-1, keepdims=True), np.abs(left - corner).sum(-1, keepdims=True)
-        return np.where(a < b, left, top)
+BLACK = 0xFF000000
+#: The neighbours (left, above, above right, above left, black) whose halved sums of halved sums predict in modes 0 to 10.
+MEANS = np.array([[4, 4, 4, 4], [0, 0, 0, 0], [1, 1, 1, 1], [2, 2, 2, 2], [3, 3, 3, 3], [0, 2, 1, 1], [0, 0, 3, 3], [0, 0, 1, 1], [3, 3, 1, 1], [1, 1, 2, 2], [0, 3, 1, 2]])
+#: Modes from here on aren't such means, and there are no more than so many.
+SELECT, MODES = 11, 14
+
+
+def half(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Halved sums of packed pixels, byte by byte."""
+    return (a & b) + (((a ^ b) & np.uint32(0xFEFEFEFE)) >> np.uint32(1))
+
+
+def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.view(np.uint8) + b.view(np.uint8)).view(np.uint32)
+
+
+def minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.view(np.uint8) - b.view(np.uint8)).view(np.uint32)
+
+
+def byte_sums(x: np.ndarray) -> np.ndarray:
+    """The sum of the four bytes of each packed pixel."""
+    x = (x & np.uint32(0xFF00FF)) + (x >> np.uint32(8) & np.uint32(0xFF00FF))
+    return (x & np.uint32(0xFFFF)) + (x >> np.uint32(16))
+
+
+def predict(mode: int, left: np.ndarray, top: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Predictions in modes from SELECT on of packed pixels from their neighbours (corner: above left)."""
+    if mode == SELECT:
+        far = lambda a: byte_sums((np.maximum(a.view(np.uint8), corner.view(np.uint8)) - np.minimum(a.view(np.uint8), corner.view(np.uint8))).view(np.uint32))
+        return np.where(far(top) < far(left), left, top)
+    c = corner.view(np.uint8).astype(np.int16)
     if mode == 12:
-        return np.clip(left + top - corner, 0, 255)
-    if mode == 13:
-        a = half(left, top)
-        d = a - corner
-        return np.clip(a + np.where(d < 0, -(-d >> 1), d >> 1), 0, 255)
-    return {
-        1: lambda: left, 2: lambda: top, 3: lambda: right, 4: lambda: corner, 5: lambda: half(half(left, right), top), 6: lambda: half(left, corner), 7: lambda: half(left, top),
-        8: lambda: half(corner, top), 9: lambda: half(top, right), 10: lambda: half(half(left, corner), half(top, right)),
-    }[mode]()
+        a = left.view(np.uint8).astype(np.int16) + top.view(np.uint8) - c
+    else:
+        a = half(left, top).view(np.uint8).astype(np.int16)
+        d = a - c
+        a += (d + (d < 0)) >> 1
+    return np.clip(a, 0, 255).astype(np.uint8).view(np.uint32)
+
+
+def tiled(x: np.ndarray, tile: int, h: int, w: int) -> np.ndarray:
+    """The value of its tile at each pixel."""
+    return np.repeat(np.repeat(x, 1 << tile, axis=0), 1 << tile, axis=1)[:h, :w]
+
+
+def pixel_modes(modes: np.ndarray, tile: int, h: int, w: int) -> np.ndarray:
+    """The predictor mode of each pixel: the first one is predicted from black, the first row from the left, the first column from above."""
+    mode = (tiled(modes, tile, h, w) & 15).astype(np.int8)
+    mode[mode >= MODES] = 0
+    mode[0], mode[1:, 0] = 1, 2
+    mode[0, 0] = 0
+    return mode
 
 
 def undo_predictors(images: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
     """Undo the predictor of many images (pixels, modes by tile, tile bits) together, diagonal by diagonal."""
     size = np.array([x.size for x, _, _ in images])
     first = np.cumsum(size) - size
-    c = _channels(np.concatenate([x.ravel() for x, _, _ in images]))
+    c = np.concatenate([*(x.ravel() for x, _, _ in images), np.array([BLACK], np.uint32)])
     modes, when, above, corner_right = [], [], [], []
     for (x, m, tile), base in zip(images, first.tolist(), strict=True):
         h, w = x.shape
-        mode = (np.repeat(np.repeat(m, 1 << tile, axis=0), 1 << tile, axis=1)[:h, :w] & 15).astype(np.int8)
-        mode[mode > 13] = 0
-        mode[0], mode[1:, 0] = 1, 2
-        mode[0, 0] = 0
-        at = base + np.arange(x.size, dtype=np.int32).reshape(h, w)
+        at = base + np.arange(x.size).reshape(h, w)
         right = at - w + 1
         right[:, -1] = at[:, 0]  # beyond the last column stands the first pixel of the row
-        modes.append(mode.ravel())
-        when.append((np.arange(w, dtype=np.int32)[None, :] + 2 * np.arange(h, dtype=np.int32)[:, None]).ravel())
+        modes.append(pixel_modes(m, tile, h, w).ravel())
+        when.append((np.arange(w)[None, :] + 2 * np.arange(h)[:, None]).ravel())
         above.append(np.maximum(at - w, 0).ravel())
         corner_right.append(np.maximum(right, 0).ravel())
     mode, when = np.concatenate(modes), np.concatenate(when)
-    order = np.lexsort((mode, when)).astype(np.int32)
-    mode, when = mode[order], when[order]
-    top, right = np.concatenate(above)[order], np.concatenate(corner_right)[order]
-    cuts = np.flatnonzero((when[1:] != when[:-1]) | (mode[1:] != mode[:-1])) + 1
+    kind = np.maximum(mode, SELECT - 1)  # all means are worked out as one
+    order = np.lexsort((kind, when))
+    mode, kind, when = mode[order], kind[order], when[order]
+    top = np.concatenate(above)[order]
+    beside = np.stack([np.maximum(order - 1, 0), top, np.concatenate(corner_right)[order], np.maximum(top - 1, 0), np.full(len(order), len(c) - 1)])
+    means = [beside[MEANS[:, k][np.minimum(mode, SELECT - 1)], np.arange(len(order))] for k in range(4)]
+    cuts = np.flatnonzero((when[1:] != when[:-1]) | (kind[1:] != kind[:-1])) + 1
     cuts = [0, *cuts.tolist(), len(order)]
-    kinds = mode[np.array(cuts[:-1])].tolist() if len(order) else []
+    kinds = kind[np.array(cuts[:-1])].tolist() if len(order) else []
     for k, m in enumerate(kinds):
         a, b = cuts[k], cuts[k + 1]
         at = order[a:b]
-        t = top[a:b]
-        left = c[at - 1] if m not in (0, 2, 3, 4, 8, 9) else None
-        upper = c[t] if m not in (1, 3, 4, 6) or m == 0 else None
-        rr = c[right[a:b]] if m in (3, 5, 9, 10) else None
-        corner = c[t - 1] if m in (4, 6, 8, 10, 11, 12, 13) else None
-        c[at] = (c[at] + _predict(m, left, upper, rr, corner)) & 0xFF
-    flat = _packed(c)
-    return [flat[a : a + x.size].reshape(x.shape) for a, (x, _, _) in zip(first.tolist(), images, strict=True)]
+        if m < SELECT:
+            c[at] = plus(c[at], half(half(c[means[0][a:b]], c[means[1][a:b]]), half(c[means[2][a:b]], c[means[3][a:b]])))
+        else:
+            c[at] = plus(c[at], predict(m, c[beside[0, a:b]], c[beside[1, a:b]], c[beside[3, a:b]]))
+    return [c[a : a + x.size].reshape(x.shape) for a, (x, _, _) in zip(first.tolist(), images, strict=True)]
+
+
+def _bytes(x: np.ndarray) -> np.ndarray:
+    """Packed pixels as bytes [..., 4] in the order blue, green, red, alpha (lowest first)."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 4)
 
 
 def _delta(t: np.ndarray, c: np.ndarray) -> np.ndarray:
-    s = lambda v: ((v & 0xFF) ^ 0x80) - 0x80
-    return (s(t) * s(c)) >> 5
+    return ((t.view(np.int8).astype(np.int16) * c.view(np.int8)) >> 5).astype(np.uint8)
 
 
 def cross_colour(x: np.ndarray, elements: np.ndarray, tile: int, undo: bool) -> np.ndarray:
-    h, w = x.shape
-    e = _channels(np.repeat(np.repeat(elements, 1 << tile, axis=0), 1 << tile, axis=1)[:h, :w])
-    c = _channels(x)
-    sign = 1 if undo else -1
-    red = (c[..., 1] + sign * _delta(e[..., 3], c[..., 2])) & 0xFF
-    c[..., 3] += sign * (_delta(e[..., 2], c[..., 2]) + _delta(e[..., 1], red if undo else c[..., 1]))
-    c[..., 1] = red
-    return _packed(c)
+    e, c = _bytes(tiled(elements, tile, *x.shape)), _bytes(x)
+    red = c[..., 2] + _delta(e[..., 0], c[..., 1]) if undo else c[..., 2] - _delta(e[..., 0], c[..., 1])
+    blue = _delta(e[..., 1], c[..., 1]) + _delta(e[..., 2], red if undo else c[..., 2])
+    out = c.copy()
+    out[..., 2] = red
+    out[..., 0] = c[..., 0] + blue if undo else c[..., 0] - blue
+    return out.view(np.uint32)[..., 0]
 
 
 def subtract_green(x: np.ndarray, undo: bool) -> np.ndarray:
-    c = _channels(x)
-    c[..., [1, 3]] += (1 if undo else -1) * c[..., [2]]
-    return _packed(c)
+    c = _bytes(x).copy()
+    for k in (0, 2):
+        c[..., k] = c[..., k] + c[..., 1] if undo else c[..., k] - c[..., 1]
+    return c.view(np.uint32)[..., 0]
 
 
 def _bundle(size: int) -> int:
@@ -654,7 +947,8 @@ class Parsed:
                 table = _packed(np.cumsum(_channels(decode_image(r, n, 1, False)[0]), axis=0))
                 self.todo.append((kind, _bundle(n), table, w))
                 w = (w + (1 << _bundle(n)) - 1) >> _bundle(n)
-        self.x = decode_image(r, w, height, True)
+        self.coded = Coded(r, w, height, True)
+        self.x: np.ndarray | None = None
 
     def until_predictor(self) -> bool:
         """Undo transforms up to a predictor; whether there is one."""
@@ -677,6 +971,8 @@ class Parsed:
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
     """ARGB pixels [height, width] of lossless WebP files."""
     every = [Parsed(f) for f in files]
+    for p, x in zip(every, read_all([p.coded for p in every]), strict=True):
+        p.x = x
     waiting = [p for p in every if p.until_predictor()]
     if waiting:  # a transform stands once in a file, so there is one round
         tops = [p.todo.pop() for p in waiting]

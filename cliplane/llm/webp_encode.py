@@ -7,12 +7,12 @@ from functools import lru_cache
 
 import numpy as np
 
-from cliplane.llm.webp_decode import CROSS, GREEN, NEAR, ORDER, PALETTE, PREDICTOR, _bundle, _channels, _delta, _packed, _predict, cross_colour, reverse, slots, subtract_green
+from cliplane.llm.webp_decode import (
+    BLACK, CROSS, GREEN, MEANS, MODES, NEAR, ORDER, PALETTE, PREDICTOR, SELECT, _bundle, _channels, _packed, byte_sums, cross_colour, half, minus, pixel_modes, predict, reverse, slots, subtract_green,
+)
 
 #: Pixels of the shortest and of the longest back-reference.
 SHORTEST, LONGEST = 3, 4096
-#: Extra bits behind each code length symbol.
-_EXTRA = np.array([0] * 16 + [2, 3, 7])
 #: Odd numbers that mix three pixels to a key.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -107,77 +107,95 @@ class Writer:
         return out.tobytes()[: int(ends[-1] + 7) >> 3]
 
 
-def code_header(lengths: np.ndarray) -> tuple[list[int], list[int]]:
+def _told(gap: int, length: int) -> tuple[int, int, int]:
+    """(value, size, tokens) of the zeros before a symbol (whole runs of 138, then a shorter run or one or two single ones) and its length."""
+    tokens = [(18, 127)] * (gap // 138)
+    gap %= 138
+    tokens += [(18, gap - 11)] if gap > 10 else [(17, gap - 3)] if gap >= 3 else [(0, 0)] * gap
+    value = n = 0
+    for t, extra in [*tokens, (length, 0)]:
+        value |= (_INNER_CODE[t] | extra << _INNER_BITS[t]) << n
+        n += _INNER_BITS[t] + (3 if t == 17 else 7 if t == 18 else 0)
+    return value, n, len(tokens) + 1
+
+
+@lru_cache(maxsize=1)
+def _usual_told() -> np.ndarray:
+    """What is told of gaps up to 275 (one field has room for it) and lengths."""
+    return np.array([_told(gap, length) for gap in range(276) for length in range(MOST_BITS + 1)], np.int64).T.copy()
+
+
+def code_header(lengths: np.ndarray) -> tuple[list[int] | np.ndarray, list[int] | np.ndarray]:
     """Values and sizes of the fields that describe a prefix code."""
     used = _where(lengths)
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
         symbols = used.tolist() or [0]
         return [1, len(symbols) - 1, 1, *symbols], [1, 1, 1, *[8] * len(symbols)]
-    # before each symbol that is used stand the zeros of the gap: whole runs of 138, then a shorter run or one or two single ones
-    gap = used - np.concatenate([[-1], used[:-1]]) - 1
-    whole, rest = gap // 138, gap % 138
-    run = rest >= 3
-    many = whole + np.where(run, 1, rest) + 1
-    ends = np.cumsum(many)
-    tokens, extra = np.zeros(int(ends[-1]), np.int64), np.zeros(int(ends[-1]), np.int64)
-    tokens[ends - 1] = lengths[used]
-    begin = ends - many
-    for k in _where(whole).tolist():
-        tokens[begin[k] : begin[k] + whole[k]], extra[begin[k] : begin[k] + whole[k]] = 18, 127
-    at, rest = (begin + whole)[run], rest[run]
-    tokens[at], extra[at] = np.where(rest > 10, 18, 17), np.where(rest > 10, rest - 11, rest - 3)
+    gap = used.copy()
+    gap[1:] -= used[:-1] + 1
+    far = gap // 138 if gap.max() >= 276 else None
+    if far is not None:  # whole runs of 138 are fields of their own
+        gap -= 138 * far
+    fields, bits, tokens = _usual_told().take(gap * (MOST_BITS + 1) + lengths[used], axis=1)
+    if far is not None:
+        at = np.repeat(np.arange(len(used)), far)
+        fields, bits = np.insert(fields, at, _INNER_CODE[18] | 127 << _INNER_BITS[18]), np.insert(bits, at, _INNER_BITS[18] + 7)
+    many = int(tokens.sum()) + (0 if far is None else int(far.sum()))
     values, sizes = _INNER_HEAD
-    if len(tokens) == len(lengths) or len(tokens) < 2:
+    if many < 2:
+        raise ValueError("too few code lengths")
+    if many == len(lengths):
         values, sizes = [*values, 0], [*sizes, 1]
-        if len(tokens) < 2:
-            raise ValueError("too few code lengths")
     else:
-        values, sizes = [*values, 1, 4, len(tokens) - 2], [*sizes, 1, 3, 10]
-    code, size = _INNER
-    own = size[tokens]
-    fields = code[tokens] | extra << own
-    return values + fields.tolist(), sizes + (own + _EXTRA[tokens]).tolist()
+        values, sizes = [*values, 1, 4, many - 2], [*sizes, 1, 3, 10]
+    return np.concatenate([values, fields]), np.concatenate([sizes, bits])
 
 
 #: Lengths of the code for code lengths (symbols 0 to 18): one for all images, made for how often texts' codes have each length.
 INNER = np.array([3, 7, 7, 5, 4, 4, 4, 3, 3, 3, 4, 5, 6, 7, 7, 7, 7, 4, 4])
-_INNER = codes(INNER)
+_INNER_CODE, _INNER_BITS = (x.tolist() for x in codes(INNER))
 _INNER_HEAD = ([0, 15, *INNER[ORDER].tolist()], [1, 4, *[3] * 19])
 
 
+def _beside(x: np.ndarray) -> list[np.ndarray]:
+    """The pixels to the left, above, above right and above left of each pixel (where there is none, a zero or the last ones), and black."""
+    w, px = x.shape[1], x.ravel()
+    wide = np.concatenate([px[max(0, len(px) - w) :], np.zeros(1, np.uint32), px])
+    left, top, right, corner = (wide[w + 1 - back : len(wide) - back] for back in (1, w, w - 1, w + 1))
+    return [left, top, right, corner, np.full(x.size, BLACK, np.uint32)]
+
+
+def _predictions(beside: list[np.ndarray], mode: int) -> np.ndarray:
+    if mode >= SELECT:
+        return predict(mode, beside[0], beside[1], beside[3])
+    a, b, c, d = (beside[k] for k in MEANS[mode])
+    return half(half(a, b) if a is not b else a, half(c, d) if c is not d else c) if a is not c or b is not d else a
+
+
 def do_predictor(x: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
-    c = _channels(x)
-    h, w, _ = c.shape
-    flat = np.concatenate([c.reshape(-1, 4), np.zeros((1, 4), np.int32)])
-    out = c.copy()
-    out[0, 0] -= [255, 0, 0, 0]
-    out[0, 1:] -= c[0, :-1]
-    out[1:, 0] -= c[:-1, 0]
-    at = np.arange(h * w).reshape(h, w)
-    mode = np.repeat(np.repeat(modes, 1 << tile, axis=0), 1 << tile, axis=1)[:h, :w]
-    inner = np.zeros((h, w), bool)
-    inner[1:, 1:] = True
-    for m in np.unique(mode):
-        i = at[inner & (mode == m)]
-        out.reshape(-1, 4)[i] -= _predict(int(m) & 15, flat[i - 1], flat[i - w], flat[i - w + 1], flat[i - w - 1])
-    return _packed(out)
+    h, w = x.shape
+    mode = pixel_modes(modes, tile, h, w).ravel()
+    beside = _beside(x)
+    flat = np.concatenate(beside)
+    place = MEANS[np.minimum(mode, SELECT - 1)].T * x.size + np.arange(x.size)
+    guess = half(half(flat[place[0]], flat[place[1]]), half(flat[place[2]], flat[place[3]]))
+    for m in range(SELECT, MODES):
+        i = _where(mode == m)
+        if len(i):
+            guess[i] = predict(m, beside[0][i], beside[1][i], beside[3][i])
+    return minus(x.ravel(), guess).reshape(h, w)
 
 
 def best_modes(x: np.ndarray, tile: int) -> np.ndarray:
     """For each tile the predictor mode with the smallest sum of differences."""
-    c = _channels(x)
-    h, w, _ = c.shape
-    flat = np.concatenate([c.reshape(-1, 4), np.zeros((1, 4), np.int32)])
-    at = np.arange(h * w)
-    left, top, right, corner = flat[at - 1], flat[at - w], flat[at - w + 1], flat[at - w - 1]
-    across = (w + (1 << tile) - 1) >> tile
-    of = ((at // w) >> tile) * across + ((at % w) >> tile)
-    tiles = across * ((h + (1 << tile) - 1) >> tile)
-    cost = np.empty((14, tiles))
-    for m in range(14):
-        d = (flat[:-1] - _predict(m, left, top, right, corner)) & 0xFF
-        cost[m] = np.bincount(of, np.minimum(d, 256 - d).sum(1), tiles)
-    return cost.argmin(0).reshape(-1, across)
+    h, w = x.shape
+    beside = _beside(x)
+    side = 1 << tile
+    guess = np.stack([_predictions(beside, m) for m in range(MODES)])
+    d = minus(np.broadcast_to(x.ravel(), guess.shape).copy(), guess).view(np.uint8)
+    off = byte_sums(np.minimum(d, -d).view(np.uint32)).reshape(MODES, h, w)
+    by_row = np.add.reduceat(off, np.arange(0, h, side), axis=1)
+    return np.add.reduceat(by_row, np.arange(0, w, side), axis=2).argmin(0)
 
 
 def best_elements(x: np.ndarray, tile: int) -> np.ndarray:
@@ -195,7 +213,7 @@ def best_elements(x: np.ndarray, tile: int) -> np.ndarray:
 
     to_red = slope(green, red)
     to_blue = slope(green, blue)
-    rest = blue - _delta(to_blue[of], green.astype(np.int64))
+    rest = blue - (to_blue[of] * green.astype(np.int64) >> 5)
     e = np.stack([np.full(tiles, 255), slope(red, rest) & 0xFF, to_blue & 0xFF, to_red & 0xFF], axis=1)
     return _packed(e).reshape(-1, across)
 
@@ -323,7 +341,7 @@ def _put_image(w: Writer, x: np.ndarray, main: bool, cache_bits: int = 0, lz: bo
                 told[id(t)] = (codes(t), code_header(t))
             made.append(told[id(t)][0])
             heads.append(told[id(t)][1])
-        w.many(np.array([v for h in heads for v in h[0]], np.int64), np.array([n for h in heads for n in h[1]], np.int64))
+        w.many(np.concatenate([h[0] for h in heads]), np.concatenate([h[1] for h in heads]))
 
         def field(parts, to, made=made):
             """Put codes (table, symbols) and extra values (None, values, sizes) one after the other."""

@@ -469,3 +469,41 @@ def test_webp_code_lengths_in_runs_are_those_read_one_by_one(monkeypatch):
         want = webp_decode.Code(lengths)
         assert found.width == want.width and (found.symbol == want.symbol).all() and (found.size == want.size).all()
     assert max(longest) >= 3
+
+
+def test_webp_side_by_side_is_image_by_image(monkeypatch):
+    """Many images of every kind are read together, only the longest by themselves, and give what each gives alone."""
+    alone = webp_decode.Coded.pixels
+    files, want = [], []
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        h, w = int(rng.integers(1, 30)), int(rng.integers(1, 30))
+        x = rng.choice(rng.integers(0, 1 << 24, int(rng.choice([1, 3, 20, 300]))), (h, w)).astype(np.uint32)
+        x |= rng.integers(0, 256, (h, w)).astype(np.uint32) << 24 if rng.integers(2) else np.uint32(0xFF000000)
+        how = {"green": bool(rng.integers(2)), "cache_bits": int(rng.choice([0, 0, 1, 5, 11])), "lz": bool(rng.integers(3))}
+        if rng.integers(2):
+            how |= {"meta": rng.integers(0, int(rng.choice([2, 5])), ((h + 3) >> 2, (w + 3) >> 2)), "meta_tile": 2}
+        files.append(webp.encode(x, **how))
+        want.append(x)
+    several = []
+    monkeypatch.setattr(webp_decode.Coded, "pixels", lambda self: several.append(self.height * self.width) or alone(self))
+    coded = [webp_decode.Parsed(f).coded for f in files]
+    several.clear()
+    got = webp_decode.read_all(coded)
+    assert len(several) == webp_decode.LANES
+    assert all(np.array_equal(a, alone(c)) for a, c in zip(got, coded, strict=True))
+    assert all(np.array_equal(a, x) for a, x in zip(webp.decode_many(files), want, strict=True))
+    monkeypatch.setattr(webp_decode, "ENTRIES", 1 << 17)  # in several rounds
+    assert all(np.array_equal(a, x) for a, x in zip(webp.decode_many(files), want, strict=True))
+
+
+def test_webp_damaged_among_many():
+    rng = np.random.default_rng(3)
+    words = [" ".join(rng.choice(["the", "of", "line", "\n", "words", "1234", "Ab"], 200)).encode() for _ in range(200)]
+    for form in webp.FORMS:
+        stored = [webp.store(webp.padded(t), form) for t in words]
+        assert [x.tobytes() for x in webp.load_many(stored)] == [webp.padded(t) for t in words]
+        body = stored[150][20:-12]
+        cut = b"RIFF" + (12 + len(body)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body
+        with pytest.raises(ValueError, match="the stream ends early"):
+            webp.load_many([*stored[:150], cut, *stored[151:]])
