@@ -507,3 +507,10 @@ def test_webp_damaged_among_many():
         cut = b"RIFF" + (12 + len(body)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body
         with pytest.raises(ValueError, match="the stream ends early"):
             webp.load_many([*stored[:150], cut, *stored[151:]])
+
+
+def test_webp_every_form_has_its_share():
+    """No form is left to a few images: each is written for about an eighth of the different texts or more."""
+    texts = dict.fromkeys(pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist())
+    chosen = [webp._CHOICE[zlib.crc32(webp.padded((t or "").encode())) % len(webp._CHOICE)] for t in texts]
+    assert all(chosen.count(form) > len(chosen) / 10 for form in webp.FORMS)
