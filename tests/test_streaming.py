@@ -54,3 +54,31 @@ def test_frames_behind_the_watermark_are_told(spark, tmp_path):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
     found, late = ordered.judged(spark, folder, spark.createDataFrame([], SCHEMA).schema, "10 minutes")
     assert late == 3 and {r.event_id for r in found.collect()} == {r[0] for r in rows} | {400}
+
+
+def test_a_micro_batch_waits_as_one_value():
+    """Frames of a clip are packed as one value of the state, and no table is sent back for a clip that only waits."""
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.values, self.timers = [], []
+
+        def getListState(self, *_):  # noqa: N802
+            return self
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def appendValue(self, value):  # noqa: N802
+            self.values.append(value)
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.append(ms)
+
+    handle, one = Handle(), ordered.Ordered()
+    one.init(handle)
+    rows = pd.DataFrame({"ms": [30, 10, 20], "event_id": [3, 1, 2], **{c: [0.5, 1.5, 2.5] for c in ordered.BOX}})
+    assert list(one.handleInputRows((1,), iter([rows]), None)) == []
+    assert len(handle.values) == 1 and handle.timers == [30]
+    assert ordered.np.frombuffer(handle.values[0][0], ordered.FRAME)["event_id"].tolist() == [3, 1, 2]
