@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,9 @@ from pyspark.sql import types as T
 
 from cliplane.llm.common import scan_text
 from cliplane.llm.webp_decode import decode, decode_many, split
-from cliplane.llm.webp_encode import best_elements, best_modes, encode
+from cliplane.llm.webp_encode import Plane, best_elements, best_modes, encode, encode_many, planes
 
-__all__ = ["decode", "decode_many", "digests", "encode", "load", "media", "pixels", "smallest", "store"]
+__all__ = ["decode", "decode_many", "digests", "encode", "load", "media", "pixels", "smallest", "store", "store_many"]
 
 UNIT = 192
 WIDTH = 64
@@ -46,17 +47,21 @@ def _groups_by_tile(x: np.ndarray) -> np.ndarray:
     return (share > np.median(share)).astype(np.int64).reshape(down, across)
 
 
-def written(x: np.ndarray, form: str) -> bytes:
-    """One file of ARGB pixels in one of the FORMS (an image of too many colours for a palette takes the cache)."""
+def planned(x: np.ndarray, form: str) -> list[Plane]:
+    """What a file of ARGB pixels holds in one of the FORMS (an image of too many colours for a palette takes the cache)."""
     if form == "palette" and len(np.unique(x)) <= 256:
-        return encode(x, palette=True, lz=True)
+        return planes(x, palette=True, lz=True)
     if form == "predictor":
-        return encode(x, predictor=best_modes(x, TILE), green=True, tile=TILE)
+        return planes(x, predictor=best_modes(x, TILE), green=True, tile=TILE)
     if form == "cross":
-        return encode(x, cross=best_elements(x, TILE), green=True, tile=TILE, lz=True)
+        return planes(x, cross=best_elements(x, TILE), green=True, tile=TILE, lz=True)
     if form == "groups":
-        return encode(x, meta=_groups_by_tile(x), meta_tile=TILE, lz=True)
-    return encode(x, cache_bits=0 if form == "references" else 6, lz=True)
+        return planes(x, meta=_groups_by_tile(x), meta_tile=TILE, lz=True)
+    return planes(x, cache_bits=0 if form == "references" else 6, lz=True)
+
+
+def written(x: np.ndarray, form: str) -> bytes:
+    return next(encode_many([planned(x, form)]))
 
 
 def _images(payload: bytes) -> list[np.ndarray]:
@@ -67,9 +72,16 @@ def _images(payload: bytes) -> list[np.ndarray]:
     return [x[k : k + MOST_ROWS] for k in range(0, len(x), MOST_ROWS)]
 
 
+def store_many(payloads: list[bytes], form: str | None = None) -> list[bytes]:
+    """The files of each payload, one after the other; images of all payloads are written together."""
+    images = [_images(p) for p in payloads]
+    forms = [form or _CHOICE[zlib.crc32(p) % len(_CHOICE)] for p in payloads]
+    files = encode_many(planned(x, f) for each, f in zip(images, forms, strict=True) for x in each)
+    return [b"".join(islice(files, len(each))) for each in images]
+
+
 def store(payload: bytes, form: str | None = None) -> bytes:
-    form = form or _CHOICE[zlib.crc32(payload) % len(_CHOICE)]
-    return b"".join(written(x, form) for x in _images(payload))
+    return store_many([payload], form)[0]
 
 
 def smallest(payload: bytes) -> bytes:
@@ -124,7 +136,7 @@ def _different(text: pa.Array) -> tuple[list[bytes], np.ndarray]:
 
 def _columns(text: pa.Array) -> list[pa.Array]:
     raw, at = _different(text)
-    stored = [store(padded(t)) for t in raw]
+    stored = store_many([padded(t) for t in raw])
     rows = [digest(t, m, x) for t, m, x in zip(raw, stored, load_many(stored), strict=True)]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     return [pa.array([r[k] for r in rows], kind).take(pa.array(at)) for k, kind in enumerate(kinds)]
@@ -132,7 +144,7 @@ def _columns(text: pa.Array) -> list[pa.Array]:
 
 def _media(text: pa.Array) -> list[pa.Array]:
     raw, at = _different(text)
-    stored = [store(padded(t)) for t in raw]
+    stored = store_many([padded(t) for t in raw])
     return [pa.array([stored[k] for k in at], pa.binary())]
 
 

@@ -514,3 +514,62 @@ def test_webp_every_form_has_its_share():
     texts = dict.fromkeys(pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist())
     chosen = [webp._CHOICE[zlib.crc32(webp.padded((t or "").encode())) % len(webp._CHOICE)] for t in texts]
     assert all(chosen.count(form) > len(chosen) / 10 for form in webp.FORMS)
+
+
+def test_webp_written_together_is_one_by_one(monkeypatch):
+    """Images of every kind are written together, their codes made at once, and give the files that each gives alone."""
+    from cliplane.llm import webp_encode
+
+    told, want = [], []
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        h, w, n = int(rng.integers(1, 30)), int(rng.integers(1, 30)), int(rng.choice([1, 2, 30, 0]))
+        x = rng.choice(rng.integers(0, 1 << 32, n), (h, w)) if n else rng.integers(0, 1 << 32, (h, w))
+        how = {"lz": bool(seed & 1), "cache_bits": int(rng.choice([0, 1, 6, 11])), "palette": seed % 5 == 0 and len(np.unique(x)) <= 256}
+        if seed % 3 == 0 and not how["palette"]:
+            how |= {"meta": rng.integers(0, 5, ((h + 3) >> 2, (w + 3) >> 2)), "meta_tile": 2}
+        if seed % 4 == 1:
+            how |= {"predictor": rng.integers(0, 14, ((h + 3) >> 2, (w + 3) >> 2)), "green": True} if not how["palette"] else {}
+        told.append((x, how))
+        want.append(webp.encode(x, **how))
+    assert all(np.array_equal(a, x) for a, (x, _) in zip(webp.decode_many(want), told, strict=True))
+    real, lots = webp_encode.many_lengths, []
+    monkeypatch.setattr(webp_encode, "many_lengths", lambda *a: lots.append(1) or real(*a))
+    assert list(webp_encode.encode_many(webp_encode.planes(x, **how) for x, how in told)) == want and len(lots) == 1
+    monkeypatch.setattr(webp_encode, "ROOM", 10000)
+    assert list(webp_encode.encode_many(webp_encode.planes(x, **how) for x, how in told)) == want and 2 < len(lots) < 40
+    payloads = [webp.padded(b"one two three %d " % k * (k % 90)) for k in range(300)]
+    assert webp.store_many(payloads) == [webp.store(p) for p in payloads]
+
+
+def test_webp_lengths_of_many_codes_are_those_of_plain_trees():
+    import heapq
+
+    from cliplane.llm import webp_encode
+
+    rng = np.random.default_rng(8)
+    every = [rng.integers(1, 1 << int(rng.integers(1, 20)), int(rng.choice([0, 1, 2, 3, 40, 256, 700]))) for _ in range(150)]
+    fibonacci = [1, 1]
+    while len(fibonacci) < 30:
+        fibonacci.append(sum(fibonacci[-2:]))
+    every += [np.array(fibonacci), np.array(fibonacci[:12]), np.array([1] * 5)]
+    many = np.array([len(w) for w in every])
+    got = np.split(webp_encode.many_lengths(np.concatenate(every), many), np.cumsum(many)[:-1])
+    for w, length in zip(every, got, strict=True):
+        alone = np.array(webp_encode.code_lengths(w))
+        assert np.array_equal(alone, length) and (len(w) < 2 or (0.5**length).sum() == 1) and length.max(initial=0) <= 15
+        heap, cost = w.tolist(), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            cost += both
+            heapq.heappush(heap, both)
+        free = (webp_encode.many_lengths(w, np.array([len(w)]), 60) * w).sum() if len(w) > 1 else 0
+        assert free == cost and (len(w) < 2 or (length * w).sum() >= cost)
+
+
+def test_webp_code_with_over_a_thousand_lengths():
+    rng = np.random.default_rng(1)
+    for colours in (1500, 2500):
+        x = rng.choice(rng.integers(0, 1 << 24, colours), (300, 200))
+        assert np.array_equal(webp.decode(webp.encode(x, cache_bits=11)), x)
