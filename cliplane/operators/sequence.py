@@ -177,7 +177,8 @@ def loaded_frames(kept: DataFrame, start: int, count: int | None, step: int) ->
     """video_id, out, frame of the frames that are loaded: so many of the kept ones from the 1-based start on (None: the rest), cut
     to step * n + 1. A range past a video's frames is an error. kept may tell n, the number of a video's kept frames."""
     if "n" not in kept.columns:
-        kept = kept.join(kept.groupBy("video_id").agg(F.count("*").alias("n")), "video_id")
+        # counted in one pass: frames that a view explodes look small to the planner, which broadcast them to a join with their counts
+        kept = kept.withColumn("n", F.count("*").over(Window.partitionBy("video_id")))
     last = F.lit(start if count is None else start + count - 1)
     n = F.when(last > F.col("n"), F.raise_error(F.format_string("frames %d to %d of video %s, which has %d", F.lit(start), last, "video_id", "n")).cast("long"))
     n = n.otherwise((F.col("n") - start + 1) if count is None else F.lit(count).cast("long"))

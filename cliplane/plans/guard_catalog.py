@@ -93,7 +93,9 @@ def aa_split(spark, d):
 
 @query(f"WITH {v.VIDEO_SQL} SELECT video_id, count(*) AS frames, min(i)::BIGINT AS first, max(i)::BIGINT AS last FROM video, range(1100) t(i) WHERE i >= 10 AND i < 10 + (frames - 11) // 4 * 4 + 1 GROUP BY video_id")
 def loaded_frames(spark, d):
-    kept = v.videos(spark, d).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("out")).withColumn("frame", F.col("out"))
+    # the videos are few bytes and their frames are not: they are dealt out before they grow, to tasks that aren't put together again
+    videos = v.videos(spark, d).select("video_id", F.col("frames").alias("n")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "video_id")
+    kept = videos.select("video_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("out")).withColumn("frame", F.col("out"))
     return sequence.loaded_frames(kept, 11, None, 4).groupBy("video_id").agg(F.count("*").alias("frames"), F.min("frame").alias("first"), F.max("frame").alias("last"))
 
 

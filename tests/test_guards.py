@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cliplane.operators import boxes, draw, guards, masks, sequence
+from cliplane.plans import catalog
 
 
 def test_person_is_chosen_in_order_of_score(spark):
@@ -43,6 +45,17 @@ def test_loaded_frames_range(spark):
         sequence.loaded_frames(kept, 19, 7, 4).collect()
 
 
+def test_loaded_frames_join_nothing(spark):
+    """Frames that are counted and frames that tell their number: the same, each read once, with no join that could broadcast them."""
+    rows = [(video, i, 2 * i) for video, n in ((1, 20), (2, 11), (3, 14)) for i in range(n)]
+    kept = spark.createDataFrame(rows, "video_id long, out long, frame long")
+    told = kept.withColumn("n", F.when(F.col("video_id") == 1, 20).when(F.col("video_id") == 2, 11).otherwise(14).cast("long"))
+    got = [sorted(map(tuple, sequence.loaded_frames(k, 3, None, 4).collect())) for k in (kept, told)]
+    assert got[0] == got[1] == [(video, k, 2 * k + 4) for video, n in ((1, 17), (2, 9), (3, 9)) for k in range(n)]
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (sequence.loaded_frames(kept, 3, None, 4), catalog.QUERIES["loaded_frames"](spark, "/root/testdata/sf0.001"))]
+    assert not any("Join" in p for p in plans) and "Window" not in plans[1]
+
+
 def test_clean_fills_small_holes_and_drops_islands(spark):
     mask = np.zeros((20, 20), bool)
     mask[2:14, 2:14] = True
