@@ -1,12 +1,15 @@
 """Frame sequences as files: a data source that reads and writes uncompressed pictures in ranges of frames.
 
-A clip is one or more segments, files of binary PPM pictures one after the other, all of one size, so the place of every frame is
-known: a range of frames is read without what stands before it. A comment in each picture's head holds the exact rate and how far
-the picture is turned. Written tables add a list of their segments, which names only those of tasks that succeeded.
+A file holds binary PPM pictures one after the other. A segment is a stretch of a file with consecutive frames of one clip, all of one
+size, so the place of every frame is known: a range of frames is read without what stands before it. A comment in each picture's head
+holds the exact rate and how far the picture is turned. A task writes its segments one behind the other to few files, each with an
+index of its segments beside it; the table's list names the files of tasks that succeeded, not their segments. Tasks read stretches of
+bytes of a file, or several small files: the driver sees names and sizes and opens no picture. A file that no list names is a clip.
 
 Reading gives (clip, frame, width, height, rate_num, rate_den, pixels); pixels are RGB bytes row by row. Options: `range_frames`,
-frames that a task reads at once; `upright`, whether turned pictures are turned back (default true); `info`, one row a segment
-without pixels instead of frames. Files are opened through Arrow's file systems, so paths may be URIs of stores that those know.
+frames that no two tasks share; `task_bytes`, about how many bytes a task reads; `file_bytes`, after how many a writing task begins a
+new file; `upright`, whether turned pictures are turned back (default true); `info`, one row a segment without pixels instead of
+frames. Files are opened through Arrow's file systems, so paths may be URIs of stores that those know.
 
     register(spark)
     frames.write.format("frame_sequence").mode("append").save(path)
@@ -22,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,8 +33,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 SCHEMA = "clip bigint, frame bigint, width int, height int, rate_num bigint, rate_den bigint, pixels binary"
 INFO = "path string, clip bigint, first bigint, frames bigint, width int, height int, rate_num bigint, rate_den bigint, turns int"
-LISTING, SEGMENT = "_segments.json", ".ppms"
+LISTING, SEGMENT, INDEX = "_segments.json", ".ppms", ".index"
 RANGE_FRAMES = 64
+#: Bytes that a task reads, and those after which a task that writes begins a new file (a range, and a picture, at least).
+TASK_BYTES, FILE_BYTES = 8 << 20, 256 << 20
 #: Bytes of pictures that a batch may hold (one picture at least).
 BATCH_BYTES = 8 << 20
 HEAD_BYTES = 256
@@ -78,109 +84,219 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass(frozen=True)
-class Segment(InputPartition):
+class Stretch:
+    """Bytes of a file, whose first ones are no earlier than low and earlier than high; clip and first of a file without an index."""
+
     path: str
+    size: int
+    low: int
+    high: int
+    indexed: bool
     clip: int
     first: int
-    begin: int
-    count: int
-    head: Head
 
 
-def segments(path: str) -> list[Segment]:
-    """The segments of a folder (those that its list names, or without one all files) or of one file."""
+@dataclass(frozen=True)
+class Stretches(InputPartition):
+    parts: tuple[Stretch, ...]
+
+
+#: What an index tells of each segment: clip and first frame, first byte, frames, what a Head says, and whether the clip is null.
+COLUMNS = ["clip", "first", "begin", "frames", "width", "height", "rate_num", "rate_den", "nameless", "turns", "size", "step"]
+
+
+def files(path: str) -> list[Stretch]:
+    """The files of a folder (those that its list names, or without one all) or one file, each as a whole."""
     store, place = _open(path)
     info = store.get_file_info(place)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     if info.type == fs.FileType.File:
-        found = [(place, 0, 0)]
-    elif store.get_file_info(f"{place}/{LISTING}").type == fs.FileType.File:
+        return [Stretch(place, info.size, 0, info.size, False, 0, 0)]
+    inside = store.get_file_info(fs.FileSelector(place))
+    if store.get_file_info(f"{place}/{LISTING}").type == fs.FileType.File:
         with store.open_input_stream(f"{place}/{LISTING}") as f:
-            found = [(f"{place}/{s['name']}", s["clip"], s["first"]) for s in json.loads(f.read())]
-    else:
-        names = sorted(x.path for x in store.get_file_info(fs.FileSelector(place)) if x.path.endswith(SEGMENT))
-        found = [(name, k, 0) for k, name in enumerate(names)]
-    out = []
-    for name, clip, first in found:
-        size = store.get_file_info(name).size
-        with store.open_input_file(name) as f:
-            own = read_head(f.read(HEAD_BYTES), name)
-        if size % own.step:
-            raise ValueError(f"{name}: {size} bytes are no whole number of pictures of {own.step}")
-        out.append(Segment(name, clip, first, 0, size // own.step, own))
-    return out
+            found = json.loads(f.read())
+        size = {x.base_name: x.size for x in inside}
+        # a list of an earlier version names a file for each segment, with its clip and first frame
+        return [Stretch(f"{place}/{s['name']}", size[s["name"]], 0, size[s["name"]], "clip" not in s, s.get("clip", 0), s.get("first", 0)) for s in found]
+    plain = sorted((x.path, x.size) for x in inside if x.path.endswith(SEGMENT))
+    return [Stretch(name, n, 0, n, False, k, 0) for k, (name, n) in enumerate(plain)]
+
+
+def segments(store: fs.FileSystem, file: Stretch) -> dict[str, np.ndarray]:
+    """COLUMNS of a file's segments in the order of their bytes: those of its index, or the one segment that its first head tells."""
+    if file.indexed:
+        with store.open_input_file(file.path + INDEX) as f:
+            table = pa.ipc.open_file(f).read_all()
+        return {c: table.column(c).to_numpy() for c in COLUMNS}
+    with store.open_input_file(file.path) as f:
+        h = read_head(f.read(HEAD_BYTES), file.path)
+    if file.size % h.step:
+        raise ValueError(f"{file.path}: {file.size} bytes are no whole number of pictures of {h.step}")
+    values = [file.clip, file.first, 0, file.size // h.step, h.width, h.height, h.rate_num, h.rate_den, 0, h.turns, h.size, h.step]
+    return {c: np.array([v], np.int64) for c, v in zip(COLUMNS, values, strict=True)}
+
+
+def ranges(found: dict[str, np.ndarray], most: int, low: int, high: int) -> dict[str, np.ndarray]:
+    """Segments cut to ranges of so many frames, those that begin in a stretch of bytes."""
+    cuts = -(-found["frames"] // most)
+    of = np.repeat(np.arange(len(cuts)), cuts)
+    past = (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * most
+    out = {c: x[of] for c, x in found.items()}
+    out |= {"first": out["first"] + past, "begin": out["begin"] + past * out["step"], "frames": np.minimum(out["frames"] - past, most)}
+    keep = (out["begin"] >= low) & (out["begin"] < high)
+    return {c: x[keep] for c, x in out.items()}
+
+
+def _binary(rows: np.ndarray) -> pa.BinaryArray:
+    """Rows of bytes, all of one length, as a column."""
+    n, size = rows.shape
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 class FrameReader(DataSourceReader):
-    def __init__(self, path: str, ranges: int, upright: bool, info: bool) -> None:
-        self.path, self.ranges, self.upright, self.info = path, ranges, upright, info
-
-    def partitions(self) -> list[Segment]:
-        out = []
-        for s in segments(self.path):
-            steps = [s.count] if self.info else [min(self.ranges, s.count - k) for k in range(0, s.count, self.ranges)]
-            out += [Segment(s.path, s.clip, s.first, k * self.ranges, n, s.head) for k, n in enumerate(steps)]
-        return out
-
-    def read(self, part: Segment | None) -> Iterator[pa.RecordBatch]:
-        if part is None:  # nothing to read
-            return
-        h = part.head
-        turned = self.upright and h.turns % 2
-        sides = (h.height, h.width) if turned else (h.width, h.height)
-        ints = lambda v, n, kind: pa.array(np.full(n, v), kind)
-        if self.info:
-            values = [part.clip, part.first, part.count, h.width, h.height, h.rate_num, h.rate_den, h.turns]
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.int32()]
-            names = [c.split()[0] for c in INFO.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([part.path]), *[ints(v, 1, k) for v, k in zip(values, kinds, strict=True)]], names=names)
-            return
+    def __init__(self, path: str, ranges: int, upright: bool, info: bool, task_bytes: int) -> None:
+        self.path, self.ranges, self.upright, self.info, self.task_bytes = path, ranges, upright, info, task_bytes
+
+    def partitions(self) -> list[Stretches]:
+        """Stretches of about task_bytes; small files share a task."""
+        out, now, held = [], [], 0
+        for f in files(self.path):
+            # whole files for info, of which a task reads heads and indices: as if these were a hundredth
+            for low in range(0, 1 if self.info else max(f.size, 1), self.task_bytes):
+                high = f.size if self.info else min(low + self.task_bytes, f.size)
+                now.append(Stretch(f.path, f.size, low, high, f.indexed, f.clip, f.first))
+                held += HEAD_BYTES + (high - low) // (100 if self.info else 1)
+                if held >= self.task_bytes:
+                    out.append(Stretches(tuple(now)))
+                    now, held = [], 0
+        return out + [Stretches(tuple(now))] if now else out
+
+    def read(self, part: Stretches | None) -> Iterator[pa.RecordBatch]:
         store, _ = _open(self.path)
-        many = max(1, BATCH_BYTES // h.step)
-        with store.open_input_file(part.path) as f:
-            for k in range(0, part.count, many):
-                n = min(many, part.count - k)
-                f.seek((part.begin + k) * h.step)
-                raw = np.frombuffer(f.read(n * h.step), np.uint8).reshape(n, h.step)[:, h.size :]
-                if self.upright and h.turns:
-                    raw = np.rot90(raw.reshape(n, h.height, h.width, 3), h.turns, (1, 2)).reshape(n, -1)
-                frame = pa.array(part.first + part.begin + k + np.arange(n))
-                columns = [ints(part.clip, n, pa.int64()), frame, *[ints(v, n, pa.int32()) for v in sides], *[ints(v, n, pa.int64()) for v in (h.rate_num, h.rate_den)]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([p.tobytes() for p in raw], pa.binary())], names=[c.split()[0] for c in SCHEMA.split(", ")])
+        for file in part.parts if part is not None else ():  # None: nothing to read
+            found = segments(store, file)
+            if self.info:
+                kinds = {"path": pa.string(), **{c: pa.int32() if c in ("width", "height", "turns") else pa.int64() for c in COLUMNS}}
+                found["path"] = np.full(len(found["clip"]), file.path, object)
+                names = [c.split()[0] for c in INFO.split(", ")]
+                nulls = {"clip": found["nameless"] > 0}
+                yield pa.RecordBatch.from_arrays([pa.array(found[c], kinds[c], mask=nulls.get(c)) for c in names], names=names)
+            else:
+                yield from self._frames(store, file, ranges(found, self.ranges, file.low, file.high))
+
+    def _frames(self, store: fs.FileSystem, file: Stretch, found: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The frames of ranges; ranges that follow one another and are alike are read together."""
+        if not len(found["begin"]):
+            return
+        alike = np.diff(found["begin"]) == (found["frames"] * found["step"])[:-1]
+        for c in COLUMNS[4:]:
+            alike &= np.diff(found[c]) == 0
+        starts = np.append(0, np.flatnonzero(~alike) + 1).tolist()
+        with store.open_input_file(file.path) as f:
+            for a, b in zip(starts, [*starts[1:], len(found["begin"])], strict=True):
+                h = {c: int(found[c][a]) for c in COLUMNS[2:]}
+                count = found["frames"][a:b]
+                clip, place = np.repeat(found["clip"][a:b], count), np.arange(count.sum())
+                frame = np.repeat(found["first"][a:b] - (np.cumsum(count) - count), count) + place
+                many = max(1, BATCH_BYTES // h["step"])
+                for k in range(0, len(place), many):
+                    n = min(many, len(place) - k)
+                    f.seek(h["begin"] + k * h["step"])
+                    raw = np.frombuffer(f.read(n * h["step"]), np.uint8).reshape(n, h["step"])[:, h["size"] :]
+                    sides = (h["width"], h["height"])
+                    if self.upright and h["turns"]:
+                        raw = np.rot90(raw.reshape(n, h["height"], h["width"], 3), h["turns"], (1, 2)).reshape(n, -1)
+                        sides = sides[::-1] if h["turns"] % 2 else sides
+                    same = [pa.array(np.full(n, v), t) for v, t in zip((*sides, h["rate_num"], h["rate_den"]), [pa.int32()] * 2 + [pa.int64()] * 2, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(clip[k : k + n], mask=np.full(n, h["nameless"] > 0)), pa.array(frame[k : k + n]), *same, _binary(raw)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    found: list[dict]
+    found: list[str]
+
+
+class SegmentFile:
+    """A file that a task writes, and the index of its segments."""
+
+    def __init__(self, store: fs.FileSystem, place: str) -> None:
+        self.store, self.place, self.name, self.bytes = store, place, f"{uuid.uuid4().hex}{SEGMENT}", 0
+        self.parts: list[np.ndarray] = []
+        self.out = store.open_output_stream(f"{place}/{self.name}")
+
+    def add(self, clip: np.ndarray, frame: np.ndarray, form: tuple[int, int, int, int, int], pixels: np.ndarray, follows: bool) -> None:
+        """Pictures of one form (sides, rate, whether the clip is null); the first may follow the last one that was added."""
+        first = np.frombuffer(head(*form[:2], form[2:4]), np.uint8)
+        rows = np.empty((len(pixels), len(first) + pixels.shape[1]), np.uint8)
+        rows[:, : len(first)], rows[:, len(first) :] = first, pixels
+        self.out.write(rows)
+        at = np.append(0, np.flatnonzero((np.diff(clip) != 0) | (np.diff(frame) != 1)) + 1)
+        count = np.diff(np.append(at, len(rows)))
+        if follows and self.parts:
+            self.parts[-1][-1, 3] += count[0]
+            at, count = at[1:], count[1:]
+        if len(at):
+            step = rows.shape[1]
+            same = np.tile(np.array([*form, 0, len(first), step], np.int64), (len(at), 1))
+            self.parts.append(np.column_stack([clip[at], frame[at], self.bytes + at * step, count, same]))
+        self.bytes += rows.size
+
+    def close(self) -> None:
+        self.out.close()
+        every = np.concatenate(self.parts)
+        table = pa.table({c: every[:, k] for k, c in enumerate(COLUMNS)})
+        with self.store.open_output_stream(f"{self.place}/{self.name}{INDEX}") as f, pa.ipc.new_file(f, table.schema) as out:
+            out.write_table(table)
 
 
 class FrameWriter(DataSourceArrowWriter):
-    """Each task writes its rows to segments of its own, a new one where the clip or the size changes or a frame isn't the next."""
+    """Each task writes its rows to files of its own, in segments: a new one where the clip or the size changes or a frame isn't the next."""
 
-    def __init__(self, path: str, overwrite: bool) -> None:
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, path: str, overwrite: bool, file_bytes: int) -> None:
+        self.path, self.overwrite, self.file_bytes = path, overwrite, file_bytes
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, place = _open(self.path)
         store.create_dir(place, recursive=True)
-        out, file, now = [], None, None
+        out: list[str] = []
+        file, last = None, None
         try:
             for batch in batches:
-                for r in zip(*[batch.column(c).to_pylist() for c in ("clip", "frame", "width", "height", "rate_num", "rate_den", "pixels")], strict=True):
-                    clip, frame, width, height, num, den, pixels = r
-                    if len(pixels) != 3 * width * height:
-                        raise ValueError(f"clip {clip} frame {frame}: {len(pixels)} bytes are not {width} x {height} pixels")
-                    if now != (clip, frame - 1, width, height, num, den):
-                        if file is not None:
+                if any(batch.column(c).null_count for c in ("frame", "width", "height", "rate_num", "rate_den")):
+                    raise ValueError("a picture's frame, sides and rate must be known")
+                clip, frame, *forms = [batch.column(c).fill_null(0).to_numpy().astype(np.int64) for c in ("clip", "frame", "width", "height", "rate_num", "rate_den")]
+                forms.append(batch.column("clip").is_null().to_numpy(zero_copy_only=False).astype(np.int64))
+                pixels = batch.column("pixels")
+                size = pa.compute.fill_null(pa.compute.binary_length(pixels), 0).to_numpy()
+                bad = np.flatnonzero(size != 3 * forms[0] * forms[1])
+                if len(bad):
+                    k = bad[0]
+                    raise ValueError(f"clip {clip[k]} frame {frame[k]}: {size[k]} bytes are not {forms[0][k]} x {forms[1][k]} pixels")
+                turns = np.any([np.diff(x) != 0 for x in forms], axis=0) if len(clip) else np.zeros(0, bool)
+                starts = np.append(0, np.flatnonzero(turns) + 1).tolist() if len(clip) else []
+                for low, high in zip(starts, [*starts[1:], len(clip)], strict=True):
+                    form = tuple(int(x[low]) for x in forms)
+                    many = max(1, min(BATCH_BYTES, self.file_bytes) // max(1, int(size[low])))
+                    for a in range(low, high, many):
+                        b = min(a + many, high)
+                        if file is not None and file.bytes >= self.file_bytes:
                             file.close()
-                        out.append({"name": f"{clip}-{frame}-{uuid.uuid4().hex}{SEGMENT}", "clip": clip, "first": frame})
-                        file = store.open_output_stream(f"{place}/{out[-1]['name']}")
-                    now = (clip, frame, width, height, num, den)
-                    file.write(head(width, height, (num, den)) + pixels)
-        finally:
+                            out.append(file.name)
+                            file = None
+                        if file is None:
+                            file, last = SegmentFile(store, place), None
+                        raw = np.frombuffer(b"".join(pixels.slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, int(size[low]))
+                        file.add(clip[a:b], frame[a:b], form, raw, last == (int(clip[a]), int(frame[a]) - 1, form))
+                        last = int(clip[b - 1]), int(frame[b - 1]), form
+        except BaseException:
             if file is not None:
-                file.close()
+                file.out.close()
+            raise
+        if file is not None:
+            file.close()
+            out.append(file.name)
         return Written(out)
 
     def commit(self, messages: list) -> None:
@@ -191,16 +307,17 @@ class FrameWriter(DataSourceArrowWriter):
         if not self.overwrite and store.get_file_info(name).type == fs.FileType.File:
             with store.open_input_stream(name) as f:
                 kept = json.loads(f.read())
-        every = kept + [s for m in messages if m is not None for s in m.found]
+        every = kept + [{"name": s} for m in messages if m is not None for s in m.found]
         with store.open_output_stream(f"{name}.new") as f:
-            f.write(json.dumps(sorted(every, key=lambda s: (s["clip"], s["first"]))).encode())
+            f.write(json.dumps(sorted(every, key=lambda s: s["name"])).encode())
         store.move(f"{name}.new", name)
 
     def abort(self, messages: list) -> None:
         store, place = _open(self.path)
         for m in messages:
             for s in m.found if m is not None else ():
-                store.delete_file(f"{place}/{s['name']}")
+                store.delete_file(f"{place}/{s}")
+                store.delete_file(f"{place}/{s}{INDEX}")
 
 
 class FrameSequence(DataSource):
@@ -215,10 +332,11 @@ class FrameSequence(DataSource):
         return INFO if self._flag("info", "false") else SCHEMA
 
     def reader(self, schema) -> FrameReader:
-        return FrameReader(self.options["path"], int(self.options.get("range_frames", RANGE_FRAMES)), self._flag("upright", "true"), self._flag("info", "false"))
+        task_bytes = int(self.options.get("task_bytes", TASK_BYTES))
+        return FrameReader(self.options["path"], int(self.options.get("range_frames", RANGE_FRAMES)), self._flag("upright", "true"), self._flag("info", "false"), task_bytes)
 
     def writer(self, schema, overwrite: bool) -> FrameWriter:
-        return FrameWriter(self.options["path"], overwrite)
+        return FrameWriter(self.options["path"], overwrite, int(self.options.get("file_bytes", FILE_BYTES)))
 
 
 def register(spark: SparkSession) -> None:

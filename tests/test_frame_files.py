@@ -37,6 +37,39 @@ def test_round_trip_in_ranges(spark, tmp_path):
     assert set(read(spark, path)) == {(0, 0)}
 
 
+def test_many_clips_share_few_files(spark, tmp_path):
+    """A task's segments stand in one file (or a few, by size), whatever their number, and the driver plans by bytes."""
+    rng = np.random.default_rng(5)
+    at = [(c, f) for c in range(150) for f in range(1 + c % 7) if (c + f) % 11] + [(None, f) for f in (0, 1, 7)]
+    pixels = {k: rng.integers(0, 256, (2 + (k[0] or 0) // 60, 3, 3), dtype=np.uint8) for k in at}
+    frames = spark.createDataFrame([(*k, 3, len(x), 24 + (k[0] or 0) % 2, 1, bytearray(x.tobytes())) for k, x in pixels.items()], ff.SCHEMA)
+    want = {k: (3, len(x), 24 + (k[0] or 0) % 2, 1, x.tobytes()) for k, x in pixels.items()}
+    ff.write(frames, str(tmp_path / "a"), range_frames=3)
+    named = json.loads((tmp_path / "a" / ff.LISTING).read_text())
+    assert len(named) <= 4 and len(list((tmp_path / "a").glob("*.ppms"))) == len(named)
+    parts = lambda path, size, info=False: ff.FrameReader(str(path), 64, True, info, size).partitions()
+    assert len(parts(tmp_path / "a", 1 << 20)) == 1 and len(parts(tmp_path / "a", 4000)) > 4
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    frames.repartition(1).sortWithinPartitions("clip", "frame").write.format("frame_sequence").option("file_bytes", "5000").mode("append").save(str(tmp_path / "b"))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(json.loads((tmp_path / "b" / ff.LISTING).read_text())) > 4
+    for path in (tmp_path / "a", tmp_path / "b"):
+        for options in ({}, {"range_frames": "1", "task_bytes": "100"}, {"range_frames": "2", "task_bytes": "777"}):
+            assert read(spark, path, **options) == want
+        found = {r.clip: (r.frames, r.height) for r in ff.probe(spark, str(path)).collect()}
+        assert found == {c: (sum(k[0] == c for k in at), 2 + (c or 0) // 60) for c in {k[0] for k in at}}
+
+
+def test_lists_of_an_earlier_version(spark, tmp_path):
+    x = np.random.default_rng(6).integers(0, 256, (4, 2, 3, 3), dtype=np.uint8)
+    for name, part in (("a.ppms", x[:3]), ("b.ppms", x[3:])):
+        (tmp_path / name).write_bytes(b"".join(ff.head(3, 2, (24, 1)) + f.tobytes() for f in part))
+    (tmp_path / ff.LISTING).write_text(json.dumps([{"name": "a.ppms", "clip": 8, "first": 0}, {"name": "b.ppms", "clip": 8, "first": 3}]))
+    ff.write(frames_of(spark, {9: x[:1]}), str(tmp_path))
+    got = read(spark, tmp_path)
+    assert {k: v[4] for k, v in got.items()} == {(8, f): x[f].tobytes() for f in range(4)} | {(9, 0): x[0].tobytes()}
+
+
 def test_turned_pictures_and_plain_files(spark, tmp_path):
     x = np.random.default_rng(2).integers(0, 256, (2, 3, 5, 3), dtype=np.uint8)
     for turns in range(4):
