@@ -13,13 +13,17 @@ from cliplane.operators.masks import FRAME, PIXEL, by_frame, gathered, regions
 
 #: Most points sent into a region.
 POINTS = 16
+#: Distances up to which a stack's depths are found by shifts; frames with deeper pixels go through the envelope.
+SHIFTS = 48
+#: Pixels of the frames whose points are found together (one frame at least).
+STACK_PIXELS = 1 << 21
 
 
-def _beside(on: np.ndarray, edge: bool) -> np.ndarray:
+def _beside(on: np.ndarray, edge: bool, kind: type = np.int64) -> np.ndarray:
     """Rows to the nearest off pixel of the same column; without one, more than any distance in the frame."""
     h = len(on)
     far = 2 * (on.shape[0] + on.shape[-1])
-    row = np.arange(h).reshape(-1, *[1] * (on.ndim - 1))
+    row = np.arange(h, dtype=kind).reshape(-1, *[1] * (on.ndim - 1))
     above = np.maximum.accumulate(np.where(on, -far, row), axis=0)
     below = np.minimum.accumulate(np.where(on, h + far, row)[::-1], axis=0)[::-1]
     if edge:
@@ -74,11 +78,25 @@ def squared_depths(mask: np.ndarray, edge: bool = True) -> np.ndarray:
 
 
 def stack_depths(masks: np.ndarray) -> np.ndarray:
-    """squared_depths of every frame of a stack, whose rows go through the envelope side by side."""
+    """squared_depths of every frame of a stack. A column so far away counts only where nothing nearer was found, so a few shifts of the
+    whole stack do for shallow masks; deep ones go through the envelope, the rows of all side by side."""
     n, height, width = masks.shape
-    g = _beside(np.moveaxis(masks, 0, 1), True) ** 2
-    side = np.zeros((n * height, 1), np.int64)
-    return _envelope(np.hstack([side, np.moveaxis(g, 0, 1).reshape(-1, width), side]))[:, 1:-1].reshape(masks.shape)
+    if not masks.size:
+        return np.zeros(masks.shape, np.int32)
+    kind = np.int16 if max(height, width) < 128 else np.int32  # the squares of the sides and their sum fit
+    g = np.zeros((n, height, width + 2), kind)  # what lies beside the frame is off
+    g[:, :, 1:-1] = np.moveaxis(_beside(np.moveaxis(masks, 0, 1), True, kind) ** 2, 0, 1)
+    deep = g.copy()
+    for d in range(1, width + 2):
+        if d * d >= int(deep.max()):
+            break
+        if d > SHIFTS:
+            far = np.flatnonzero(deep.max((1, 2)) > SHIFTS * SHIFTS)
+            deep[far] = _envelope(g[far].reshape(-1, width + 2).astype(np.int64)).reshape(len(far), height, -1)
+            break
+        np.minimum(deep[:, :, d:], g[:, :, :-d] + d * d, out=deep[:, :, d:])
+        np.minimum(deep[:, :, :-d], g[:, :, d:] + d * d, out=deep[:, :, :-d])
+    return deep[:, :, 1:-1]
 
 
 def inner_points(mask: np.ndarray, count: int = POINTS, deep: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -107,18 +125,49 @@ def inner_points(mask: np.ndarray, count: int = POINTS, deep: np.ndarray | None
     return taken
 
 
+def stack_points(deep: np.ndarray, count: int = POINTS) -> np.ndarray:
+    """inner_points of every frame of a stack of depths as pixel numbers, -1 for none: [frames, count].
+
+    The frames take a point each at a step: the deepest pixel that is left, whose surroundings are then left no more."""
+    n, height, width = deep.shape
+    left = deep.reshape(n, height * width).copy()
+    most = left.max(1, initial=0)
+    left[4 * left < most[:, None]] = 0
+    out = np.full((n, count), -1, np.int64)
+    rows = np.flatnonzero(most)
+    if not len(rows):
+        return out
+    left, near = left[rows], most[rows] // 4
+    x, y = np.arange(width, dtype=deep.dtype), np.arange(height, dtype=deep.dtype)
+    for k in range(count):
+        at = left.argmax(1)
+        live = left[np.arange(len(rows)), at] > 0
+        if not live.all():
+            left, near, rows, at = left[live], near[live], rows[live], at[live]
+        if not len(rows):
+            break
+        out[rows, k] = at
+        py, px = (v.astype(deep.dtype)[:, None] for v in np.divmod(at, width))
+        apart = ((y - py) ** 2)[:, :, None] + ((x - px) ** 2)[:, None, :]
+        left[apart.reshape(len(rows), -1) <= near[:, None]] = 0
+    return out
+
+
 def region_points(regions_px: DataFrame, width: int, height: int, count: int = POINTS) -> DataFrame:
     """clip, frame, place, x, y: points (pixel centres) well inside the region that each frame's pixels (rows or gathered) make."""
 
     def pick(clips: pa.Array, frames: pa.Array, stack: np.ndarray) -> pa.RecordBatch:
-        found = [inner_points(mask, count, deep) for mask, deep in zip(stack, stack_depths(stack), strict=True)]
-        size = [len(p) for p in found]
-        of = pa.array(np.repeat(np.arange(len(found)), size))
-        place = np.concatenate([np.arange(n) for n in size]) if size else np.zeros(0, np.int64)
-        at = np.array([xy for p in found for xy in p], np.int64).reshape(-1, 2) + 0.5
-        return pa.RecordBatch.from_arrays([clips.take(of).cast(pa.int64()), frames.take(of).cast(pa.int64()), pa.array(place.astype(np.int64)), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["clip", "frame", "place", "x", "y"])
-
-    return by_frame(gathered(regions_px, width), pick, width, height, "clip long, frame long, place long, x double, y double")
+        # all beyond the box around all regions is off, as what lies off the frame is
+        ys, xs = (np.flatnonzero(stack.any(axes)) for axes in ((0, 2), (0, 1)))
+        top, left = (v[0] if len(v) else 0 for v in (ys, xs))
+        inside = stack[:, top : ys[-1] + 1, left : xs[-1] + 1] if len(ys) else stack[:, :0, :0]
+        found = stack_points(stack_depths(inside), count)
+        frame, place = np.nonzero(found >= 0)
+        y, x = np.divmod(found[frame, place], max(1, inside.shape[2]))
+        of = pa.array(frame)
+        return pa.RecordBatch.from_arrays([clips.take(of).cast(pa.int64()), frames.take(of).cast(pa.int64()), pa.array(place), pa.array(left + x + 0.5), pa.array(top + y + 0.5)], names=["clip", "frame", "place", "x", "y"])
+
+    return by_frame(gathered(regions_px, width), pick, width, height, "clip long, frame long, place long, x double, y double", max(1, min(256, STACK_PIXELS // (width * height))))
 
 
 def regions_points(regions_found: DataFrame, width: int, height: int, count: int = POINTS) -> DataFrame:

@@ -26,6 +26,30 @@ def test_points_of_a_large_disc_are_few_and_apart():
     assert depths.inner_points(np.zeros((3, 3), bool)) == []
 
 
+def test_points_of_stacks_equal_those_of_frames():
+    """Shallow and deep masks, empty and full ones; deep ones past the shifts go through the envelope."""
+    rng = np.random.default_rng(9)
+    for h, w in ((1, 1), (7, 12), (24, 32), (130, 140)):
+        stack = rng.random((24, h, w)) < rng.choice([0.0, 0.5, 0.9, 0.999, 1.0], (24, 1, 1))
+        stack[:5] = False
+        stack[1:5, h // 4 : h, : w - w // 5] = True
+        deep = depths.stack_depths(stack)
+        assert all((a == depths.squared_depths(m)).all() for a, m in zip(deep, stack, strict=True))
+        for count in (1, 3, 16):
+            got = [[(p % w, p // w) for p in row.tolist() if p >= 0] for row in depths.stack_points(deep, count)]
+            assert got == [depths.inner_points(m, count) for m in stack]
+    assert deep.max() > depths.SHIFTS**2
+    assert depths.stack_points(depths.stack_depths(np.zeros((0, 4, 5), bool))).shape == (0, 16)
+
+
+def test_points_of_many_regions_take_few_steps_of_python(monkeypatch):
+    """The steps are those of the points of one region, not of all."""
+    steps = []
+    monkeypatch.setattr(np, "divmod", lambda *a, f=np.divmod: steps.append(1) or f(*a))
+    stack = np.random.default_rng(4).random((500, 24, 32)) < 0.9
+    assert (depths.stack_points(depths.stack_depths(stack)) >= 0).sum() > 2000 and len(steps) <= 16
+
+
 def test_anchor_log(spark):
     rng = np.random.default_rng(5)
     h, w, slots, overlaps, track, found, want = 12, 16, [], [], [], [], {}
