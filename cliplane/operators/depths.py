@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliplane.operators.masks import FRAME, PIXEL, by_frame, gathered, regions
+from cliplane.operators.masks import FRAME, PIXEL, bitmaps, by_frame, gathered, regions
 
 #: Most points sent into a region.
 POINTS = 16
@@ -153,34 +153,53 @@ def stack_points(deep: np.ndarray, count: int = POINTS) -> np.ndarray:
     return out
 
 
+def _points_in(stack: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The frame, the place, x and y (pixel centres) of the points of every frame of a stack."""
+    # all beyond the box around all regions is off, as what lies off the frame is
+    ys, xs = (np.flatnonzero(stack.any(axes)) for axes in ((0, 2), (0, 1)))
+    top, left = (v[0] if len(v) else 0 for v in (ys, xs))
+    inside = stack[:, top : ys[-1] + 1, left : xs[-1] + 1] if len(ys) else stack[:, :0, :0]
+    found = stack_points(stack_depths(inside), count)
+    frame, place = np.nonzero(found >= 0)
+    y, x = np.divmod(found[frame, place], max(1, inside.shape[2]))
+    return frame, place, left + x + 0.5, top + y + 0.5
+
+
+def _few(width: int, height: int) -> int:
+    return max(1, min(256, STACK_PIXELS // (width * height)))
+
+
 def region_points(regions_px: DataFrame, width: int, height: int, count: int = POINTS) -> DataFrame:
     """clip, frame, place, x, y: points (pixel centres) well inside the region that each frame's pixels (rows or gathered) make."""
 
     def pick(clips: pa.Array, frames: pa.Array, stack: np.ndarray) -> pa.RecordBatch:
-        # all beyond the box around all regions is off, as what lies off the frame is
-        ys, xs = (np.flatnonzero(stack.any(axes)) for axes in ((0, 2), (0, 1)))
-        top, left = (v[0] if len(v) else 0 for v in (ys, xs))
-        inside = stack[:, top : ys[-1] + 1, left : xs[-1] + 1] if len(ys) else stack[:, :0, :0]
-        found = stack_points(stack_depths(inside), count)
-        frame, place = np.nonzero(found >= 0)
-        y, x = np.divmod(found[frame, place], max(1, inside.shape[2]))
+        frame, place, x, y = _points_in(stack, count)
         of = pa.array(frame)
-        return pa.RecordBatch.from_arrays([clips.take(of).cast(pa.int64()), frames.take(of).cast(pa.int64()), pa.array(place), pa.array(left + x + 0.5), pa.array(top + y + 0.5)], names=["clip", "frame", "place", "x", "y"])
+        return pa.RecordBatch.from_arrays([clips.take(of).cast(pa.int64()), frames.take(of).cast(pa.int64()), pa.array(place), pa.array(x), pa.array(y)], names=["clip", "frame", "place", "x", "y"])
 
-    return by_frame(gathered(regions_px, width), pick, width, height, "clip long, frame long, place long, x double, y double", max(1, min(256, STACK_PIXELS // (width * height))))
+    return by_frame(gathered(regions_px, width), pick, width, height, "clip long, frame long, place long, x double, y double", _few(width, height))
 
 
 def regions_points(regions_found: DataFrame, width: int, height: int, count: int = POINTS) -> DataFrame:
     """clip, number, start, length, anchors, points of lost regions (clip, start, length, region as pixel numbers), numbered in each clip in
-    the order of their runs: what repairs.region_frames takes."""
-    number = F.row_number().over(Window.partitionBy("clip").orderBy("start", "length", F.col("region")[0])).cast("long")
-    parts = regions_found.withColumn("number", number)
-    region = parts.select("clip", F.col("number").alias("frame"), F.transform("region", lambda p: p.cast("int")).alias("on"))
-    at = region_points(region, width, height, count)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.struct(p["x"], p["y"]))
-    at = at.groupBy("clip", F.col("frame").alias("number")).agg(listed.alias("points"))
+    the order of their runs: what repairs.region_frames takes. Regions are found once: what there is to say of them stays beside them."""
+    number = F.row_number().over(Window.partitionBy("clip").orderBy("start", "length", F.col("region")[0])).cast("long").alias("number")
+    region = F.transform("region", lambda p: p.cast("int")).alias("on")
+    parts = regions_found.select("clip", number, F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), region)
+    few = _few(width, height)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, len(whole), few):
+                batch = whole.slice(k, few)
+                frame, _, x, y = _points_in(bitmaps(batch.column(4), width, height), count)
+                ends = np.append(0, np.cumsum(np.bincount(frame, minlength=len(batch)))).astype(np.int32)
+                points = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(4)], points], names=["clip", "number", "start", "length", "points"])
+
+    at = parts.mapInArrow(run, f"clip {parts.schema['clip'].dataType.simpleString()}, number long, start long, length long, points array<struct<x:double,y:double>>")
     anchors = F.array(F.col("start") - 1, F.col("start") + F.col("length")).alias("anchors")
-    return parts.select("clip", "number", "start", "length", anchors).join(at, ["clip", "number"])
+    return at.where(F.size("points") > 0).select("clip", "number", "start", "length", anchors, "points")
 
 
 def largest_inside(px: DataFrame, width: int, height: int) -> DataFrame:

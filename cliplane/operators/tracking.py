@@ -93,7 +93,8 @@ def background_points(boxes: DataFrame, px: DataFrame, width: int, height: int,
 def near(mask: np.ndarray, reach: float) -> np.ndarray:
     """Pixels within reach of the mask, by a disc: for each row offset the rows are widened by running sums."""
     h, w = mask.shape
-    out, total = np.zeros_like(mask), np.pad(np.cumsum(mask, axis=1), ((0, 0), (1, 0)))
+    out, total = np.zeros_like(mask), np.zeros((h, w + 1), np.int64)
+    np.cumsum(mask, axis=1, out=total[:, 1:])
     x = np.arange(w)
     for dy in range(-int(reach), int(reach) + 1):
         half = int(np.sqrt(reach * reach - dy * dy))

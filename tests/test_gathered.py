@@ -70,3 +70,34 @@ def test_readings_are_those_of_cells_and_shuffle_nothing(spark):
         assert sorted((r.clip, r.frame, p) for r in found for p in r.on) == want and want
     held = spark.createDataFrame([(r.clip, r.frame, r.on) for r in wide.collect()], "clip long, frame long, on array<int>")
     assert "Exchange" not in driving.readings(held, width, height)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slabs_travel_as_bits_in_many_tasks_and_regions_are_found_once(spark):
+    """Masks of like frames are few bytes: their slabs aren't put into one task, and no list of pixels is dealt to them."""
+    for name, steps in (("repair_frames", 1), ("repair_frames_posed", 1), ("mask_loss_posed", 3)):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+        text = plan.toString()
+        assert text.count("RepartitionByExpression [clip") >= steps and "FlatMapGroupsInPandas" not in text and "FlatMapCoGroups" not in text, name
+        assert all(f", {spark.conf.get('spark.sql.shuffle.partitions')}" in line for line in text.splitlines() if "RepartitionByExpression" in line and "slab" in line), name
+    assert text.count("bits#") > 0
+    once = catalog.QUERIES["repair_frames"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("RepartitionByExpression" in line and "slab" in line for line in once.splitlines()) == 1
+
+
+def test_lots_of_slabs_equal_one_at_a_time(spark):
+    """Whole groups in lots of any size, over batches that cut them, clips without a name among them."""
+    rows = [(clip, f, bytes([(clip or 7) * 31 + f & 255])) for clip in (None, 1, 2, 3) for f in range(40)]
+    df = spark.createDataFrame(rows, "clip long, frame long, bits binary").withColumn("slab", F.floor(F.col("frame") / 7))
+
+    def told(rows, starts):
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            some = rows.slice(a, b - a).to_pydict()
+            yield pa.RecordBatch.from_pydict({"clip": pa.array(some["clip"][:1], pa.int64()), "slab": some["slab"][:1], "text": [str((some["clip"], some["slab"], some["frame"]))]})
+
+    want = sorted(str(([c] * len(f), [k] * len(f), f)) for c in (None, 1, 2, 3) for k in range(6) for f in [list(range(7 * k, min(40, 7 * k + 7)))])
+    for size in ("3", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for pixels in (1, losses.TOGETHER // 20, losses.TOGETHER * 2):
+            got = losses.in_groups(df, ["clip", "slab"], "frame", pixels, told, "clip long, slab long, text string").collect()
+            assert sorted(r.text for r in got) == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
