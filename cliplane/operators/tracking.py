@@ -91,17 +91,17 @@ def background_points(boxes: DataFrame, px: DataFrame, width: int, height: int,
 
 
 def near(mask: np.ndarray, reach: float) -> np.ndarray:
-    """Pixels within reach of the mask, by a disc: for each row offset the rows are widened by running sums."""
-    h, w = mask.shape
-    out, total = np.zeros_like(mask), np.zeros((h, w + 1), np.int64)
-    np.cumsum(mask, axis=1, out=total[:, 1:])
+    """Pixels within reach of a mask, or of each one of a stack, by a disc: for each row offset the rows are widened by running sums."""
+    h, w = mask.shape[-2:]
+    out, total = np.zeros_like(mask), np.zeros((*mask.shape[:-1], w + 1), np.int32)
+    np.cumsum(mask, axis=-1, out=total[..., 1:])
     x = np.arange(w)
     for dy in range(-int(reach), int(reach) + 1):
         half = int(np.sqrt(reach * reach - dy * dy))
-        wide = total[:, np.minimum(x + half + 1, w)] > total[:, np.maximum(x - half, 0)]
+        wide = total[..., np.minimum(x + half + 1, w)] > total[..., np.maximum(x - half, 0)]
         a, b = max(0, dy), min(h, h + dy)
         if a < b:
-            out[a:b] |= wide[a - dy : b - dy]
+            out[..., a:b, :] |= wide[..., a - dy : b - dy, :]
     return out
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cliplane.operators import depths, driving, losses, masks, repairs
+from cliplane.operators import depths, driving, losses, masks, repairs, tracking
 from cliplane.plans import catalog
 
 
@@ -101,3 +101,13 @@ def test_lots_of_slabs_equal_one_at_a_time(spark):
             got = losses.in_groups(df, ["clip", "slab"], "frame", pixels, told, "clip long, slab long, text string").collect()
             assert sorted(r.text for r in got) == want
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_regions_and_zones_of_stacks_equal_those_of_frames():
+    rng = np.random.default_rng(12)
+    stack = rng.random((40, 9, 13)) < rng.choice([0.0, 0.3, 0.6, 1.0], (40, 1, 1))
+    for diagonal in (False, True):
+        assert all((a == masks.regions(m, diagonal)[0]).all() for a, m in zip(masks.stack_regions(stack, diagonal), stack, strict=True))
+    assert masks.stack_regions(stack[:0], True).shape == (0, 9, 13)
+    for reach in (0.0, 1.2, 3.7):
+        assert all((a == tracking.near(m, reach)).all() for a, m in zip(tracking.near(stack, reach), stack, strict=True))
